@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpuscle.llm import substring
 from corpuscle.llm.media import op10_interleaved_media
 from corpuscle.llm.mixing import op9_pfair_mix
 from corpuscle.llm.packing import op8_deficit_packing
@@ -13,5 +14,5 @@ from corpuscle.llm.sharding import op5_fixed_slots
 from corpuscle.llm.toxicity import op6_nbsvm_toxicity
 from corpuscle.llm.warc import op4_warc_ranges
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_warc_ranges, op5_fixed_slots, op6_nbsvm_toxicity, op8_deficit_packing, op9_pfair_mix, op10_interleaved_media)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (substring.op2_fixed_block_anchors, op4_warc_ranges, op5_fixed_slots, op6_nbsvm_toxicity, op8_deficit_packing, op9_pfair_mix, op10_interleaved_media)}
+ORACLE_SQL: dict[str, str] = {"op2_fixed_block_anchors": substring.ORACLE}
