@@ -143,3 +143,26 @@ class Words:
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((mix(self.hash) if second else self.hash) * up[:n], out=total[1:])
         return at, mix((total[at + size] - total[at]) * down[at])
+
+
+# ---------------------------------------------------------------------------- groups in sorted batches
+
+
+def whole_groups(batches, names: list[str]):
+    """Tables of whole groups, one group each, from record batches sorted on integer columns `names`."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])
+        cut = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            key = tuple(keys[:, a])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import Words, materialize, mix, rekeyed, slices, text_id
+from corpuscle.llm.common import Words, materialize, mix, rekeyed, slices, text_id, whole_groups
 from corpuscle.llm.graph import components
 
 SHINGLE = 5
@@ -231,36 +231,10 @@ def cross_pairs(members: DataFrame, known: DataFrame, roots: DataFrame, similari
                 yield max(tid[p], tid[m]), min(tid[p], tid[m])
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        last = None
-
-        def out(table: pa.Table):
-            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in names])
-            cut = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), table.num_rows]
-            found = {pair for a, b in zip(cut[:-1], cut[1:], strict=True) for pair in compare(table.slice(a, b - a))}
-            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
-            end = np.ones(batch.num_rows, bool)
-            for k in key:
-                end &= k == k[-1]
-            start = 0 if end.all() else batch.num_rows - int(np.argmin(end[::-1]))
-            lastly, firstly = tuple(k[-1] for k in key), tuple(k[0] for k in key)
-            if held and firstly != last:
-                yield out(pa.Table.from_batches(held))
-                held = []
-            if start:
-                held.append(batch.slice(0, start))
-                yield out(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(start))
-            last = lastly
-        if held:
-            yield out(pa.Table.from_batches(held))
+        for rows in whole_groups(batches, names):
+            pairs = np.array(sorted(set(compare(rows))), np.int64).reshape(-1, 2)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
     return dealt.mapInArrow(run, "u long, v long").distinct()
 

@@ -10,10 +10,11 @@ from corpuscle.llm import substring
 from corpuscle.llm.media import op10_interleaved_media
 from corpuscle.llm.mixing import op9_pfair_mix
 from corpuscle.llm.neardup import op7_dart_minhash
+from corpuscle.llm.neighbours import op1_multiprobe_lsh
 from corpuscle.llm.packing import op8_deficit_packing
 from corpuscle.llm.sharding import op5_fixed_slots
 from corpuscle.llm.toxicity import op6_nbsvm_toxicity
 from corpuscle.llm.warc import op4_warc_ranges
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (substring.op2_fixed_block_anchors, op4_warc_ranges, op5_fixed_slots, op6_nbsvm_toxicity, op7_dart_minhash, op8_deficit_packing, op9_pfair_mix, op10_interleaved_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multiprobe_lsh, substring.op2_fixed_block_anchors, op4_warc_ranges, op5_fixed_slots, op6_nbsvm_toxicity, op7_dart_minhash, op8_deficit_packing, op9_pfair_mix, op10_interleaved_media)}
 ORACLE_SQL: dict[str, str] = {"op2_fixed_block_anchors": substring.ORACLE}
