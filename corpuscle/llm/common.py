@@ -166,3 +166,20 @@ def whole_groups(batches, names: list[str]):
             last = key
     if held:
         yield pa.Table.from_batches(held)
+
+
+# ---------------------------------------------------------------------------- columns that are only carried along
+
+SPECIAL = ("doc_id", "text", "source", "n_chars")
+
+
+def aside(docs: DataFrame):
+    """docs with all columns but SPECIAL under names that no operator uses, and a function that gives them back."""
+    names = docs.columns
+    hidden = {c: c if c in SPECIAL else f"_carried{i}" for i, c in enumerate(names)}
+    inner = docs.select(*[F.col(f"`{c}`").alias(hidden[c]) for c in names])
+
+    def back(df: DataFrame, *more) -> DataFrame:
+        return df.select(*[F.col(hidden[c]).alias(c) for c in names], *more)
+
+    return inner, back

@@ -23,10 +23,13 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuscle.llm.common import aside
+
 BUCKETS = (64, 8192, 100_000)  # least, most, rows a bucket
 PERIOD = 1024
 MAX_SOURCES = 64
 EXPONENT = 0.5
+RESULT = ["position", "queue_position", "release", "deadline", "stretch"]
 
 
 def quantise(weights: dict[int, float], period: int) -> dict[int, int]:
@@ -104,18 +107,19 @@ def spread(cols: list[str]) -> Column:
 
 
 def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None, *, exponent: float = EXPONENT, period: int = PERIOD, buckets: int | None = None, max_sources: int = MAX_SOURCES, key: list[str] | None = None) -> DataFrame:
-    """All rows of docs, with `position` (0, 1, ... in the mixed order), queue_position, stretch, release and deadline.
+    """All rows of docs (a column with the name of a result is replaced), with `position` (0, 1, ... in the mixed order), queue_position, stretch, release and deadline.
 
     targets: weight of each source; by default its number of rows to the power `exponent`.
     key: the columns that tell rows apart and shuffle each queue, doc_id and text by default.
     """
     spark = docs.sparkSession
+    docs = docs.drop(*RESULT)
+    docs, back = aside(docs) if key is None else (docs, lambda df, *more: df.select(*docs.columns, *more))
     key = key or [c for c in ("doc_id", "text") if c in docs.columns]
     largest = queue_sizes(docs, max_sources)
     total = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     if not total:
-        blank = docs.limit(0)
-        return blank.select("*", *[F.lit(0).cast("long").alias(c) for c in ("position", "queue_position", "release", "deadline")], F.lit(0).alias("stretch"))
+        return back(docs.limit(0), *[F.lit(0).cast("long").alias(c) for c in RESULT[:4]], F.lit(0).alias("stretch"))
     buckets = buckets or min(BUCKETS[1], max(BUCKETS[0], total // BUCKETS[2]))
     sizes = {i: n for i, (_, n) in enumerate(largest)}
     rest = total - sum(sizes.values())
@@ -143,7 +147,7 @@ def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None,
     at = at.drop("queue", "high").withColumn("_block", F.expr("(queue_position - low) % per")).withColumn("_period", F.expr("(queue_position - low) div per"))
     out = at.join(F.broadcast(table), (F.col("_queue") == table["queue"]) & (at["stretch"] == table["stretch"]) & (F.col("_block") == table["block"])).drop(table["stretch"])
     start = F.col("first_slot") + F.col("_period") * F.col("slots")
-    return out.select(*[at[c] for c in docs.columns], (start + F.col("slot")).alias("position"), "queue_position", (start + F.col("release")).alias("release"), (start + F.col("due")).alias("deadline"), at["stretch"].alias("stretch"))
+    return back(out, (start + F.col("slot")).alias("position"), "queue_position", (start + F.col("release")).alias("release"), (start + F.col("due")).alias("deadline"), at["stretch"].alias("stretch"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:

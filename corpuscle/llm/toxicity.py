@@ -8,8 +8,8 @@ included, hashed to one of 2**20 buckets and counted once a document.  On a boun
 The model, of at most 2**20 floats, is sent to all tasks, which score whole texts.
 
 Defined results: null and empty texts score by the bias alone; labels that are null, or of no document, are not learnt;
-several labels of one document count as their largest; without labels of both kinds every score is the share of toxic
-labels (0 without any); repeated rows get equal scores; other columns are kept by `score` and ignored.
+several labels of one document count as their largest; extra columns of any name are carried along; without labels of both kinds every score is the share of toxic
+labels (0 without any); repeated rows get equal scores; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import materialize, mix, slices
+from corpuscle.llm.common import aside, materialize, mix, slices
 
 GRAMS = (4, 5, 6)
 BITS = 20
@@ -203,8 +203,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score less than the threshold."""
-    model = train(docs, labels)
-    return score(docs, model).filter(F.col("score") < threshold).select(*docs.columns)
+    model = train(docs.select("doc_id", "text"), labels)
+    inner, back = aside(docs)
+    return back(score(inner, model).filter(F.col("score") < threshold))
 
 
 def op6_nbsvm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
