@@ -19,6 +19,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from itertools import accumulate
 
@@ -34,8 +35,11 @@ from corpuscle.llm.mixing import MAX_SOURCES, queue_sizes
 LENGTH = 4096
 WINDOW_SEQUENCES = 16
 END = 2
-CACHE = 400_000
-_TAIL = set("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+CACHE = 600_000  # cores of words; twice as many whole words
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN_TO = "\u0130"  # below it lower case and composition do not depend on neighbours
+_ODD = re.compile("[\x1c-\x1f]")  # blanks to str.split, signs to tokenizers
+_FAR = re.compile("[^\x00-\u012f]")
 _LOADED: dict[str, "Tokenizer"] = {}
 
 
@@ -57,7 +61,7 @@ class Tokenizer:
         self.own = Reader.from_file(path)
         self.kind = np.dtype("<u2") if self.own.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         one = lambda t: self.own.encode(t, add_special_tokens=False).ids
-        self.by_word = one("ab the\n\tThe. ,x") == one("ab") + one("the") + one("The.") + one(",x") and one("the") == one("The")
+        self.by_word = one("ab the\n\tThe. ,x") == one("ab") + one("the") + one("The.") + one(",x") and one("the") == one("The") == one("THE")
         ends = np.zeros(self.own.get_vocab_size(), bool)
         for token, i in self.own.get_vocab().items():
             ends[i] = token.endswith("</w>")
@@ -71,12 +75,9 @@ class Tokenizer:
         """Ids of new words: of letters with a tail of signs, both parts apart; of others as a whole."""
         plain, other, new = [], [], set()
         for w in words:
-            n = len(w)
-            while n and w[n - 1] in _TAIL:
-                n -= 1
-            core, tail = w[:n], w[n:]
-            if self.by_core and (not core or (core.isalpha() and max(core) < "İ")):
-                core = core.lower()
+            core = w.rstrip(_TAIL)
+            if self.by_core and (not core or (core.isalpha() and max(core) < _PLAIN_TO)):
+                core, tail = core.lower(), w[len(core) :]
                 plain.append((w, core, tail))
                 new.add(core)
                 new.add(tail)
@@ -102,14 +103,18 @@ class Tokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._raw(texts)
-        split = [t.split() for t in texts]
+        whole = [i for i, t in enumerate(texts) if _ODD.search(t)]
+        split = [[] if _ODD.search(t) else (t if "<|" in t or (not t.isascii() and _FAR.search(t)) else t.lower()).split() for t in texts]
         seen = set().union(*split)
         if len(self.words) + len(seen) > 2 * CACHE:
             self.words = {}
         if new := [w for w in seen if w not in self.words]:
             self._learn(new)
         get = self.words.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        out = [b"".join(map(get, s)) for s in split]
+        for i, raw in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
+            out[i] = raw
+        return out
 
 
 def loaded(path: str) -> Tokenizer:
