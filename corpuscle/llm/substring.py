@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import Words, materialize, rekeyed, slices, text_id
+from corpuscle.llm.common import Words, aside, rekeyed, slices
 
 WINDOW = 35
 PART_WORDS = 1 << 21  # windows a part is to hold
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 20  # worked on at a time
+HELD = 1 << 21  # hashes gathered before they are dealt out to parts
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -40,8 +41,34 @@ def parts_for(docs: DataFrame) -> int:
     return max(8, -(-total // (6 * PART_WORDS)))
 
 
-def _part(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+def _key(h: np.ndarray, parts: int) -> np.ndarray:
+    """The part above 32 bits, a hash of 32 bits below."""
+    return ((h >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32) | (h & _LOW)
+
+
+def _part_of(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(32)).astype(np.int64)
+
+
+def _once(key: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and whether each is there twice or is marked."""
+    order = np.argsort(key, kind="stable")
+    key, many = key[order], many[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], (np.diff([*first, len(key)]) > 1) | np.maximum.reduceat(many, first)
+
+
+def _held(items):
+    """Lists of items, of HELD entries in their first arrays or so."""
+    held, n = [], 0
+    for x in items:
+        held.append(x)
+        n += len(x[0])
+        if n >= HELD:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def _distinct(batch: pa.RecordBatch, tid: str, text: str):
@@ -76,7 +103,8 @@ def anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
     """Probes and index entries by part.  docs: (tid, text)."""
     block = (window + 1) // 2
 
-    def run(batches):
+    def work(batches):
+        """Slice by slice: distinct (part, hash) keys, whether each is there more than once, and the aligned blocks."""
         for batch in batches:
             for tid, texts, multi, _ in _distinct(batch, "tid", "text"):
                 words = Words(texts)
@@ -86,22 +114,22 @@ def anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
                 if not len(h):
                     continue
                 doc = words.doc[at]
-                part, low = _part(h, parts), (h & _LOW).astype(np.uint32)
-                key = (part.astype(np.uint64) << np.uint64(32)) | low
-                order = np.argsort(key, kind="stable")
-                key = key[order]
-                new = np.concatenate([[True], key[1:] != key[:-1]])
-                first = np.flatnonzero(new)
-                many = np.diff([*first, len(key)]) > 1
-                many |= np.maximum.reduceat(multi[doc[order]], first)
-                probes = {p: rest for p, *rest in _grouped(part[order][first], low[order][first], many)}
+                key = _key(h, parts)
                 place = at - words.first[doc]
                 aligned = place % block == 0
-                blocks = {p: rest for p, *rest in _grouped(part[aligned], low[aligned], tid[doc[aligned]], (place[aligned] // block).astype(np.int32))}
-                none = [b"", b"", b""]
-                rows = [(p, *v, *blocks.get(p, none)) for p, v in probes.items()]
-                kinds = [pa.int32()] + [pa.binary()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in ANCHORS.split(", ")])
+                yield *_once(key, multi[doc]), key[aligned], tid[doc[aligned]], (place[aligned] // block).astype(np.int32)
+
+    def dealt(held: list[tuple]) -> pa.RecordBatch:
+        key, many, *index = (np.concatenate(c) for c in zip(*held, strict=True))
+        key, many = _once(key, many)
+        probes = {p: rest for p, *rest in _grouped(_part_of(key), (key & _LOW).astype(np.uint32), many)}
+        blocks = {p: rest for p, *rest in _grouped(_part_of(index[0]), (index[0] & _LOW).astype(np.uint32), *index[1:])}
+        rows = [(p, *v, *blocks.get(p, (b"", b"", b""))) for p, v in probes.items()]
+        kinds = [pa.int32()] + [pa.binary()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in ANCHORS.split(", ")])
+
+    def run(batches):
+        yield from map(dealt, _held(work(batches)))
 
     return docs.select("tid", "text").mapInArrow(run, ANCHORS)
 
@@ -146,7 +174,7 @@ def candidates(joined: DataFrame, window: int, parts: int) -> DataFrame:
     """Digests of the windows that hold a hit block, by part.  joined: (tid, text, hits, ...)."""
     block = (window + 1) // 2
 
-    def run(batches):
+    def work(batches):
         for batch in batches:
             hits = batch.column(batch.schema.get_field_index("hits"))
             for tid, texts, multi, rows in _distinct(batch, "tid", "text"):
@@ -163,17 +191,19 @@ def candidates(joined: DataFrame, window: int, parts: int) -> DataFrame:
                 at, h = words.windows(window)
                 some = np.cumsum(marked)[at] > 0
                 at, h = at[some], h[some]
-                if not len(h):
-                    continue
-                _, h2 = words.windows(window, second=True)
-                doc = words.doc[at]
-                part = _part(h2[some], parts)
-                order = np.lexsort((h, part))
-                h, part, doc, at = h[order], part[order], doc[order], at[order]
-                many = multi[doc]
-                out = list(_grouped(part, h, many, tid[doc], (at - words.first[doc]).astype(np.int32)))
-                kinds = [pa.int32()] + [pa.binary()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in CANDIDATES.split(", ")])
+                if len(h):
+                    _, other = words.windows(window, second=True)
+                    doc = words.doc[at]
+                    yield h, (other[some] >> np.uint64(32)) % np.uint64(parts), multi[doc], tid[doc], (at - words.first[doc]).astype(np.int32)
+
+    def dealt(held: list[tuple]) -> pa.RecordBatch:
+        h, part, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
+        out = list(_grouped(part.astype(np.int64), h, *rest))
+        kinds = [pa.int32()] + [pa.binary()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in CANDIDATES.split(", ")])
+
+    def run(batches):
+        yield from map(dealt, _held(work(batches)))
 
     return joined.mapInArrow(run, CANDIDATES)
 
@@ -193,7 +223,7 @@ def _windows(table: pa.Table) -> pa.Table:
 def with_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs (with text) and tid, and `repeats`: arrays of 32-bit places at which repeated windows start."""
     parts = parts_for(docs)
-    own = docs.withColumn("tid", text_id())
+    own = docs.withColumn("tid", F.xxhash64("text"))  # never null, so both joins below read one and the same exchange
     found = anchors(own, window, parts).groupBy("part").applyInArrow(_hits, PLACES)
     hits = rekeyed(found, "tid", F.collect_list("places").alias("hits"))
     joined = own.join(hits, "tid")
@@ -260,6 +290,7 @@ def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the words of repeated windows; a text that loses none is unchanged, others have one blank between words."""
+    docs, back = aside(docs)
     names = docs.columns
     at = names.index("text")
 
@@ -277,7 +308,7 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     typed = docs.withColumn("n_chars", F.col("n_chars").cast("long")) if "n_chars" in names else docs
-    return with_repeats(typed, window).mapInArrow(run, typed.schema)
+    return back(with_repeats(typed, window).mapInArrow(run, typed.schema))
 
 
 def op2_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
