@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corpuscle.plans import documents, native, registry, retrieval
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return QUERIES["hybrid_hits"](spark, sf_dir)
+QUERIES = retrieval.QUERIES | documents.QUERIES | registry.QUERIES | native.QUERIES
+ORACLE_SQL = retrieval.ORACLE_SQL | documents.ORACLE_SQL | registry.ORACLE_SQL | native.ORACLE_SQL
+FLAGSHIP = retrieval.hybrid_hits
