@@ -11,7 +11,8 @@ Links, without ever forming the pairs of a bucket:
 1. every text of a bucket is compared with three leaders of it (least by three orders), exactly, on its shingles;
 2. components of the links found join most of each bucket;
 3. in buckets that still hold several components, all texts outside the largest one are compared with the whole bucket, in
-   blocks of bounded size; signatures rule out pairs far below the threshold, and the others are compared exactly.
+   blocks of bounded size, each pair in the first band it shares; signatures rule out pairs far below the threshold, the
+   others are compared exactly, and a block returns no more links than join its components.
 A link of two different texts that share a band is thus always found, unless both are already in one class.
 
 Copies of a text are one node.  Defined results: a text of fewer than five words is one shingle of all its words; a text
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import Words, materialize, mix, rekeyed, slices, text_id, whole_groups
+from corpuscle.llm.common import Words, aside, materialize, mix, rekeyed, slices, text_id, whole_groups
 from corpuscle.llm.graph import components
 
 SHINGLE = 5
@@ -144,13 +145,32 @@ def sketches(texts: DataFrame) -> DataFrame:
     return found.groupBy("tid").agg(F.max("weight").alias("weight"), F.max("sig").alias("sig"))
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(tid, elements): sorted 32-bit hashes of every distinct text's shingles, each as often as it occurs."""
+def node_filter(nodes: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of the text ids in nodes, of 2**27 bits at most; beyond some ten million ids it lets more through."""
+    bits = 1 << min(27, max(10, (16 * nodes.count()).bit_length()))
+    place = F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.pmod(F.xxhash64("tid", k), F.lit(bits))))
+    words = nodes.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 32 AS INT))")).alias("v"))
+    out = np.zeros(bits // 32, np.uint32)
+    for r in words.toLocalIterator():  # at most bits / 32 rows
+        out[r["w"]] = r["v"]
+    return out, bits
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(tid, elements) of the texts in nodes, and perhaps some more: sorted 32-bit hashes of a text's shingles, each as often as it occurs.
+
+    Texts are chosen where they lie; only the sets of those chosen are shuffled.
+    """
+    found, bits = node_filter(nodes)
+    shared = docs.sparkSession.sparkContext.broadcast(found)  # 16 MB at most
 
     def run(batches):
         for batch in batches:
-            for tid, some in _distinct_texts(batch):
-                doc, h, weight, _ = shingles(some)
+            places = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(2, 6)]) if batch.num_rows else np.zeros((4, 0), np.int64)
+            inside = ((shared.value[places >> 5] >> (places & 31).astype(np.uint32)) & np.uint32(1)).all(0)
+            some = batch.filter(pa.array(inside))
+            for tid, texts in _distinct_texts(some):
+                doc, h, weight, _ = shingles(texts)
                 again = np.repeat(np.arange(len(h)), weight.astype(np.int64))
                 nth = np.arange(len(again)) - np.repeat(np.cumsum(weight) - weight, weight.astype(np.int64)).astype(np.int64)
                 doc, e = doc[again], (mix(h[again] + _C[2] * nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -159,8 +179,9 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
                 cut = np.searchsorted(doc, np.arange(len(tid) + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(tid, pa.int64()), pa.array([e[cut[k] : cut[k + 1]].tobytes() for k in range(len(tid))], pa.binary())], ["tid", "elements"])
 
-    found = texts.select("tid", "text").mapInArrow(run, "tid long, elements binary")
-    return found.groupBy("tid").agg(F.max("elements").alias("elements"))
+    placed = docs.select("tid", "text", *[F.pmod(F.xxhash64("tid", F.lit(k)), F.lit(bits)).alias(f"p{k}") for k in (1, 2, 3, 4)])
+    chosen = placed.mapInArrow(run, "tid long, elements binary")
+    return chosen.groupBy("tid").agg(F.max("elements").alias("elements"))
 
 
 def _similar(batches):
@@ -178,19 +199,16 @@ def _similar(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["u", "v"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) of text ids that are alike enough, by their whole shingle sets."""
-    pairs = materialize(pairs, "pairs")
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("tid")).distinct()
-    sets = materialize(shingle_sets(texts.join(rekeyed(nodes, "tid", F.count(F.lit(1)).alias("_n")).drop("_n"), "tid")), "shingles")
     joined = pairs.join(sets.select(F.col("tid").alias("u"), F.col("elements").alias("a")), "u").join(sets.select(F.col("tid").alias("v"), F.col("elements").alias("b")), "v")
     return joined.select("u", "v", "a", "b", F.lit(similarity).alias("least")).mapInArrow(_similar, "u long, v long")
 
 
 def buckets(known: DataFrame) -> DataFrame:
-    """(key, tid): a row a band."""
+    """(key, tid, band): a row a band."""
     bands = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    return known.select("tid", "sig", bands.alias("band")).select(F.xxhash64("band", F.substring("sig", F.col("band") * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("key"), "tid")
+    return known.select("tid", "sig", bands.alias("band")).select(F.xxhash64("band", F.substring("sig", F.col("band") * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("key"), "tid", "band")
 
 
 def leader_pairs(members: DataFrame) -> DataFrame:
@@ -201,53 +219,80 @@ def leader_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("tid", "leader").alias("u"), F.least("tid", "leader").alias("v")).distinct()
 
 
-def cross_pairs(members: DataFrame, known: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different components that share a bucket and whose signatures do not rule them out."""
+def cells(members: DataFrame, known: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Buckets of several components, in blocks: all texts, and beside them those outside the largest component."""
     own = members.join(roots.select(F.col("u").alias("tid"), F.col("v").alias("root")), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     several = rekeyed(own, "key", F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
     inside = materialize(own.join(several, "key"), "mixed-buckets")
     sizes = inside.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     shape = rekeyed(sizes, "key", F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    placed = inside.join(shape, "key").join(known, "tid")
+    placed = inside.join(shape, "key").join(known, "tid").join(sets, "tid")
     blocks, probes = F.ceil(F.col("n") / BLOCK).cast("int"), F.greatest(F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int"), F.lit(1))
     at = lambda n, salt: F.pmod(F.xxhash64("tid", F.lit(salt)), n).cast("int")
-    as_member = placed.select("key", F.explode(F.sequence(F.lit(0), probes - 1)).alias("probe"), at(blocks, 1).alias("block"), F.lit(False).alias("asks"), "tid", "root", "weight", "sig")
+    rest = ["band", "tid", "root", "weight", "sig", "elements"]
+    as_member = placed.select("key", F.explode(F.sequence(F.lit(0), probes - 1)).alias("probe"), at(blocks, 1).alias("block"), F.lit(False).alias("asks"), *rest)
     asks = placed.filter(F.col("root") != F.col("main"))
-    as_probe = asks.select("key", at(probes, 2).alias("probe"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("asks"), "tid", "root", "weight", "sig")
-    cells = as_member.unionByName(as_probe)
-    names = ["key", "probe", "block"]
-    dealt = cells.repartition(*names).sortWithinPartitions(*names)
-
-    def compare(rows: pa.Table):
-        asks = rows.column("asks").to_numpy().astype(bool)
-        tid, root, weight = (rows.column(c).to_numpy() for c in ("tid", "root", "weight"))
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(len(tid), -1)
-        members = np.flatnonzero(~asks)
-        for p in np.flatnonzero(asks):
-            small, large = np.minimum(weight[members], weight[p]), np.maximum(weight[members], weight[p])
-            some = members[(root[members] != root[p]) & (small >= similarity * large)]
-            same = (sig[some] == sig[p]).mean(1) if len(some) else np.zeros(0)
-            for m in some[same >= similarity - MARGIN]:
+    as_probe = asks.select("key", at(probes, 2).alias("probe"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("asks"), *rest)
+    return as_member.unionByName(as_probe)
+
+
+CELL = ["key", "probe", "block"]
+
+
+def _cell_links(rows: pa.Table, similarity: float):
+    """Links between components in one cell, enough of them to join what belongs together.
+
+    A pair is looked at only in the first band it shares, so once in all cells, and only while its texts are not joined.
+    """
+    asks = rows.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+    tid, root, weight, band = (rows.column(c).to_numpy() for c in ("tid", "root", "weight", "band"))
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(len(tid), BANDS, ROWS)
+    sets = rows.column("elements").to_pylist()
+    _, group = np.unique(root, return_inverse=True)
+    label = np.arange(group.max() + 1)  # of each component of the cell; equal once joined
+    members = np.flatnonzero(~asks)
+    for p in np.flatnonzero(asks):
+        small, large = np.minimum(weight[members], weight[p]), np.maximum(weight[members], weight[p])
+        some = members[(label[group[members]] != label[group[p]]) & (small >= similarity * large)]
+        if not len(some):
+            continue
+        equal = sig[some] == sig[p]
+        first = equal.all(2).argmax(1) == band[p]
+        some = some[first & (equal.mean((1, 2)) >= similarity - MARGIN)]
+        a = np.frombuffer(sets[p], np.uint32)
+        for m in some:
+            if label[group[m]] == label[group[p]]:
+                continue
+            both = np.sort(np.concatenate([a, np.frombuffer(sets[m], np.uint32)]), kind="stable")
+            common = int((both[1:] == both[:-1]).sum())
+            if common >= similarity * (len(both) - common):
+                label[label == label[group[m]]] = label[group[p]]
                 yield max(tid[p], tid[m]), min(tid[p], tid[m])
 
+
+def cross_links(dealt: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links found in the cells."""
+
     def run(batches):
-        for rows in whole_groups(batches, names):
-            pairs = np.array(sorted(set(compare(rows))), np.int64).reshape(-1, 2)
+        for rows in whole_groups(batches, CELL):
+            pairs = np.array(list(_cell_links(rows, similarity)), np.int64).reshape(-1, 2)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return dealt.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, "u long, v long").distinct()
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(tid, class_id): the class of every text, for documents (doc_id, text)."""
     own = docs.select("doc_id", text_id().alias("tid"), "text").filter(F.col("tid").isNotNull())
-    texts = own.select("tid", "text")
-    known = materialize(sketches(texts), "sketches")
+    known = materialize(sketches(own), "sketches")
     members = buckets(known)
-    first = materialize(verified(leader_pairs(members), texts, similarity), "links")
+    pairs = materialize(leader_pairs(members), "pairs")
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("tid")).distinct()
+    sets = materialize(shingle_sets(own, nodes), "shingles")  # of all texts that share a bucket
+    first = materialize(verified(pairs, sets, similarity), "links")
     roots = components(first)
-    second = materialize(verified(cross_pairs(members, known, roots, similarity), texts, similarity), "links")
+    second = materialize(cross_links(cells(members, known, sets, roots), similarity), "links")
     roots = components(first.unionByName(second)) if second.limit(1).count() else roots
     least = rekeyed(own, "tid", F.min("doc_id").alias("least")).join(roots.select(F.col("u").alias("tid"), F.col("v").alias("root")), "tid", "left")
     least = least.withColumn("root", F.coalesce("root", "tid"))
@@ -256,13 +301,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class: a row of its least doc_id; null texts stay."""
-    names = docs.columns
-    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = docs.withColumn("_tid", text_id())
-    found = classes(typed, similarity).select(F.col("tid").alias("_tid"), F.col("class_id").alias("_class"))
+    inner, back = aside(docs)
+    keyed = inner.withColumn("_tid", text_id())
+    found = classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), similarity).select(F.col("tid").alias("_tid"), F.col("class_id").alias("_class"))
     kept = keyed.join(found, "_tid").filter(F.col("doc_id").eqNullSafe(F.col("_class")))
     one = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_class").orderBy("_tid"))).filter("_n = 1")
-    return one.select(*names).unionByName(docs.filter(F.col("text").isNull()))
+    return back(one).unionByName(docs.filter(F.col("text").isNull()))
 
 
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
