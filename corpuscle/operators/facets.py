@@ -38,8 +38,9 @@ def facet_candidates(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     is read once for all of them.
     """
     keys = ["file_types", "provinces", "cities"]
-    distinct = queries.select(*keys).distinct().withColumn("_facet", F.xxhash64(*keys))
+    # JSON tells a null list (left out) from an empty one; hashes of both are equal
+    distinct = queries.select(*keys).distinct().withColumn("_facet", F.to_json(F.struct(*keys)))
     rows = corpus.select("id", "file_type", "region", "city")
     ok = facet_predicate(F.col("file_type"), F.col("region"), F.col("city"), *[F.col(k) for k in keys])
     matched = rows.join(distinct, ok).select("id", "_facet")
-    return queries.withColumn("_facet", F.xxhash64(*keys)).select("query_id", "_facet").join(matched, "_facet").select("query_id", "id")
+    return queries.withColumn("_facet", F.to_json(F.struct(*keys))).select("query_id", "_facet").join(matched, "_facet").select("query_id", "id")
