@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import Words, aside, rekeyed, slices
+from corpuscle.llm.common import Words, aside, slices
 
 WINDOW = 35
 PART_WORDS = 1 << 21  # windows a part is to hold
@@ -148,24 +148,38 @@ def _repeated(values: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.unique(values[many | np.concatenate([same, [False]])])
 
 
-def _hits(table: pa.Table) -> pa.Table:
-    repeated = _repeated(_joined(table, "probes", np.uint32), _joined(table, "many", bool))
-    h, tid, no = _joined(table, "block_hash", np.uint32), _joined(table, "block_tid", np.int64), _joined(table, "block_no", np.int32)
-    hit = np.isin(h, repeated) if len(repeated) else np.zeros(len(h), bool)
-    tid, no = tid[hit], no[hit]
-    order = np.lexsort((no, tid))
-    tid, no = tid[order], no[order]
-    one = np.concatenate([[True], (tid[1:] != tid[:-1]) | (no[1:] != no[:-1])]) if len(tid) else np.zeros(0, bool)
-    return _by_text(tid[one], no[one])
+def _dealt_back(tid: np.ndarray, place: np.ndarray, parts: int) -> pa.Table:
+    """A row for each of `parts` groups of texts: distinct (text, place) pairs, sorted."""
+    order = np.lexsort((place, tid))
+    tid, place = tid[order], place[order]
+    one = np.concatenate([[True], (tid[1:] != tid[:-1]) | (place[1:] != place[:-1])]) if len(tid) else np.zeros(0, bool)
+    tid, place = tid[one], place[one]
+    rows = list(_grouped(tid % parts, tid, place))
+    columns = zip(*rows, strict=True) if rows else [()] * 3
+    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], [x.split()[0] for x in BACK.split(", ")])
+
+
+def _hits(parts: int):
+    def run(table: pa.Table) -> pa.Table:
+        repeated = _repeated(_joined(table, "probes", np.uint32), _joined(table, "many", bool))
+        h, tid, no = _joined(table, "block_hash", np.uint32), _joined(table, "block_tid", np.int64), _joined(table, "block_no", np.int32)
+        hit = np.isin(h, repeated) if len(repeated) else np.zeros(len(h), bool)
+        return _dealt_back(tid[hit], no[hit], parts)
+
+    return run
 
 
-def _by_text(tid: np.ndarray, place: np.ndarray) -> pa.Table:
-    """A row for each text: its places, as 32-bit numbers."""
+def _by_text(table: pa.Table) -> pa.Table:
+    """A row for each text of a group: its places, as 32-bit numbers."""
+    tid, place = _joined(table, "tids", np.int64), _joined(table, "places", np.int32)
+    order = np.lexsort((place, tid))
+    tid, place = tid[order], place[order]
     cut = np.flatnonzero(np.concatenate([[True], tid[1:] != tid[:-1]])) if len(tid) else np.zeros(0, np.int64)
     ends = [*cut[1:], len(tid)] if len(cut) else []
     return pa.table({"tid": pa.array(tid[cut], pa.int64()), "places": pa.array([place[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())})
 
 
+BACK = "texts int, tids binary, places binary"
 PLACES = "tid long, places binary"
 CANDIDATES = "part int, digest binary, many binary, tid binary, place binary"
 
@@ -181,7 +195,7 @@ def candidates(joined: DataFrame, window: int, parts: int) -> DataFrame:
                 words = Words(texts)
                 marked = np.zeros(len(words.start) + 1, np.int64)
                 for k, row in enumerate(rows):
-                    for places in hits[int(row)].as_py() or ():
+                    if (places := hits[int(row)].as_py()) is not None:
                         b = np.frombuffer(places, np.int32).astype(np.int64) * block
                         lo = np.maximum(b + block - window, 0) + words.first[k]
                         hi = np.minimum(b, words.count[k] - window) + words.first[k] + 1
@@ -208,27 +222,26 @@ def candidates(joined: DataFrame, window: int, parts: int) -> DataFrame:
     return joined.mapInArrow(run, CANDIDATES)
 
 
-def _windows(table: pa.Table) -> pa.Table:
-    h = _joined(table, "digest", np.uint64)
-    tid, place = _joined(table, "tid", np.int64), _joined(table, "place", np.int32)
-    repeated = _repeated(h, _joined(table, "many", bool))
-    hit = np.isin(h, repeated) if len(repeated) else np.zeros(len(h), bool)
-    tid, place = tid[hit], place[hit]
-    order = np.lexsort((place, tid))
-    tid, place = tid[order], place[order]
-    one = np.concatenate([[True], (tid[1:] != tid[:-1]) | (place[1:] != place[:-1])]) if len(tid) else np.zeros(0, bool)
-    return _by_text(tid[one], place[one])
+def _windows(parts: int):
+    def run(table: pa.Table) -> pa.Table:
+        h = _joined(table, "digest", np.uint64)
+        tid, place = _joined(table, "tid", np.int64), _joined(table, "place", np.int32)
+        repeated = _repeated(h, _joined(table, "many", bool))
+        hit = np.isin(h, repeated) if len(repeated) else np.zeros(len(h), bool)
+        return _dealt_back(tid[hit], place[hit], parts)
+
+    return run
 
 
 def with_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs (with text) and tid, and `repeats`: arrays of 32-bit places at which repeated windows start."""
+    """docs (with text) and tid, and `repeats`: the places at which repeated windows start, as 32-bit numbers."""
     parts = parts_for(docs)
     own = docs.withColumn("tid", F.xxhash64("text"))  # never null, so both joins below read one and the same exchange
-    found = anchors(own, window, parts).groupBy("part").applyInArrow(_hits, PLACES)
-    hits = rekeyed(found, "tid", F.collect_list("places").alias("hits"))
+    found = anchors(own, window, parts).groupBy("part").applyInArrow(_hits(parts), BACK)
+    hits = found.groupBy("texts").applyInArrow(_by_text, PLACES).withColumnRenamed("places", "hits")
     joined = own.join(hits, "tid")
-    again = candidates(joined, window, parts).groupBy("part").applyInArrow(_windows, PLACES)
-    repeats = rekeyed(again, "tid", F.collect_list("places").alias("repeats"))
+    again = candidates(joined, window, parts).groupBy("part").applyInArrow(_windows(parts), BACK)
+    repeats = again.groupBy("texts").applyInArrow(_by_text, PLACES).withColumnRenamed("places", "repeats")
     return own.join(repeats, "tid", "left")
 
 
@@ -236,7 +249,7 @@ def _covered(words: Words, repeats, window: int) -> np.ndarray:
     """Whether each word of a slice is in a repeated window."""
     marked = np.zeros(len(words.start) + 1, np.int64)
     for k in range(words.docs):
-        for places in repeats[k] or ():
+        if (places := repeats[k]) is not None:
             at = np.frombuffer(places, np.int32).astype(np.int64) + words.first[k]
             np.add.at(marked, at, 1)
             np.add.at(marked, at + window, -1)
