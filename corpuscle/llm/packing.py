@@ -1,11 +1,11 @@
 """Mixture-controlled packing: deficit round-robin over source queues into sequences of fixed length.
 
 Every source is a queue of tokens.  A window of `window_sequences` sequences visits all queues in turn and serves each its
-share of the window; what a queue could not be served in whole tokens is its deficit, carried to the next window.  Served
-tokens may be cut anywhere, so after w windows of W tokens the first i queues have been served floor(w W c_i) tokens, c_i
-being their share together: the deficits are those fractions, and each piece's window, sequence and place follow from the
-place of its document in its queue.  Windows and partitions are therefore independent of one another, and every sequence
-but the last is full.  Where a source ends before the others (targets other than the corpus's own shares), a new stretch
+share of the window as its quantum; what it could not be served in whole tokens is its deficit, carried to the next window.
+Served tokens may be cut anywhere, so after n windows of W tokens a queue of share s has been served floor(n W s) tokens:
+the deficit is the fraction, and each piece's window, sequence and place follow from the place of its document in its
+queue.  Windows and partitions are therefore independent of one another; a window has W tokens but for less than one a
+queue, sequences run on over the ends of windows, and every sequence but the last is full.  Where a source ends before the others (targets other than the corpus's own shares), a new stretch
 begins with the shares of those that are left.
 
 Places in queues: tokenizing numbers each source's tokens within a partition and writes a table; sums over partitions
@@ -179,31 +179,44 @@ class Plan:
 
     def __init__(self, planned: list[tuple[int, list[int], list[int]]], length: int, window: int) -> None:
         self.planned, self.length, self.window = planned, length, window
-        self.below = [[0, *accumulate(served)] for _, _, served in planned]
+        self.totals = [sum(served) for _, _, served in planned]
         self.starts = [[done[i] for _, done, _ in planned] for i in range(len(planned[0][1]))] if planned else []
+        self.known: dict[tuple[int, int], list[int]] = {}
+
+    def served(self, k: int, queue: int, n: int) -> int:
+        """Tokens that a queue has been served after n windows of stretch k: whole ones of its share, never fewer later on."""
+        total = self.totals[k]
+        return min(n * self.window, total) * self.planned[k][2][queue] // total
+
+    def layout(self, k: int, n: int) -> list[int]:
+        """Where each queue's tokens of window n start in the whole."""
+        if (k, n) not in self.known:
+            if len(self.known) > 10_000:
+                self.known.clear()
+            every = range(len(self.planned[k][2]))
+            before = [self.served(k, q, n) for q in every]
+            own = [self.served(k, q, n + 1) - x for q, x in zip(every, before, strict=True)]
+            self.known[k, n] = list(accumulate(own, initial=self.planned[k][0] + sum(before)))
+        return self.known[k, n]
 
     def places(self, queue: int, first: int, count: int):
         """(tokens before, tokens, place in the whole) of the runs of tokens [first, first + count) of a queue that stay together."""
-        x, stop, w = first, first + count, self.window
+        x, stop = first, first + count
         k = bisect.bisect_right(self.starts[queue], x) - 1
         while x < stop:
-            at, done, served = self.planned[k]
-            below, own = self.below[k], served[queue]
-            total, c0, c1 = below[-1], below[queue], below[queue + 1]
-            if x - done[queue] >= own:
+            _, done, served = self.planned[k]
+            y, own = x - done[queue], served[queue]
+            if y >= own:
                 k += 1
                 continue
-            y = x - done[queue]
-            share = lambda n, c: min(n * w, total) * c // total
-            n = y * total // (own * w)
-            while n and share(n, c1) - share(n, c0) > y:
+            n = y * self.totals[k] // (own * self.window)
+            while n and self.served(k, queue, n) > y:
                 n -= 1
-            while share(n + 1, c1) - share(n + 1, c0) <= y:
+            while self.served(k, queue, n + 1) <= y:
                 n += 1
-            s0, s1 = share(n, c0), share(n + 1, c0)
-            begin, end = share(n, c1) - s0, share(n + 1, c1) - s1
+            begin, end = self.served(k, queue, n), self.served(k, queue, n + 1)
             size = min(stop - x, end - y)
-            yield x - first, size, at + n * w + (s1 - s0) + (y - begin)
+            yield x - first, size, self.layout(k, n)[queue] + (y - begin)
             x += size
 
 
