@@ -7,19 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.functions import text as T
 from corpuscle.operators import bm25, facets, fusion, vectors
 
 
 class Corpus:
-    """Chunks (id, corpus_pos, text, source, file_type, region, city[, embedding]) and their BM25 index, built on first use."""
+    """Chunks (id, corpus_pos, text, source, file_type, region, city[, embedding]) and their index of postings, built on first use."""
 
     def __init__(self, chunks: DataFrame, tokenizer=None) -> None:
-        self.chunks, self._tokenizer, self._index = chunks, tokenizer, None
+        self.chunks, self.tokenizer, self._index = chunks, tokenizer or T.words, None
 
     @property
     def index(self) -> bm25.Index:
         if self._index is None:
-            self._index = (bm25.build(self.chunks, self._tokenizer) if self._tokenizer else bm25.build(self.chunks)).persist()
+            self._index = bm25.build(self.chunks, self.tokenizer).persist()
         return self._index
 
     def reset(self, chunks: DataFrame | None = None) -> None:
@@ -40,7 +41,10 @@ def retrieve(queries: DataFrame, corpus: Corpus, top_k: int = 5, scorer: Callabl
         seen = corpus.chunks.join(visible.select("source"), "source", "left_semi").select("id")
         every = queries.select("query_id").crossJoin(seen) if candidates is None else candidates
         candidates = every.join(seen, "id", "left_semi")
-    words = bm25.rank(bm25.score(queries.select("query_id", "text"), corpus.index), corpus.index, 2 * want, candidates, query_ids=queries)
+    if candidates is None:
+        words = bm25.rank_batch(queries, corpus.chunks, 2 * want, tokenizer=corpus.tokenizer)
+    else:
+        words = bm25.rank(bm25.score(queries.select("query_id", "text"), corpus.index), corpus.index, 2 * want, candidates)
     lists = [words]
     if "embedding" in queries.columns:
         lists.append(vectors.vector_rank(queries.select("query_id", "embedding"), corpus.chunks, 2 * want, candidates, mode))

@@ -15,24 +15,24 @@ TOP = 10
 FACET = (["国家法律", "地方法规"], ["src1", "src3", "src5"], ["c1", "c2"])
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bm25.Index, DataFrame]:
-    index = bm25.build(tables.corpus(spark, sf_dir))
-    q = tables.queries(spark, sf_dir)
-    return bm25.score(q, index), index, q
+def _ranked(spark: SparkSession, sf_dir: str, top: int) -> DataFrame:
+    return bm25.rank_batch(tables.queries(spark, sf_dir), tables.corpus(spark, sf_dir), top)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores, index, q = _scores(spark, sf_dir)
-    return bm25.rank(scores, index, TOP, query_ids=q).select("query_id", "id", "score", "rank")
+    return _ranked(spark, sf_dir, TOP).select("query_id", "id", "score", "rank")
+
+
+def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first words of each query through the index of postings."""
+    index = bm25.build(tables.corpus(spark, sf_dir))
+    q = tables.queries(spark, sf_dir).withColumn("text", F.array_join(F.slice(T.words(F.col("text")), 1, 3), " "))
+    return bm25.rank(bm25.score(q, index), index, TOP, query_ids=q).select("query_id", "id", "score", "rank")
 
 
 def bm25_candidates_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores, index, q = _scores(spark, sf_dir)
-    # one facet for all queries: the candidates of each are the same rows of the corpus
-    chosen = facets.facet_filter(tables.corpus(spark, sf_dir), *FACET).select("id", "corpus_pos")
-    lengths = index.lengths.join(chosen.select("id"), "id", "left_semi")
-    some = bm25.Index(index.postings, lengths, index.terms, index.stats, index.tokenizer)
-    return bm25.rank(scores.join(chosen.select("id"), "id", "left_semi"), some, TOP, query_ids=q).select("query_id", "id", "score", "rank")
+    where = facets.facet_predicate(F.col("file_type"), F.col("region"), F.col("city"), *map(facets.literal_list, FACET))
+    return bm25.rank_batch(tables.queries(spark, sf_dir), tables.corpus(spark, sf_dir), TOP, where).select("query_id", "id", "score", "rank")
 
 
 def _facet(types, provinces, cities):
@@ -69,8 +69,7 @@ def vector_filtered_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    scores, index, q = _scores(spark, sf_dir)
-    words = bm25.rank(scores, index, 2 * TOP, query_ids=q)
+    words = _ranked(spark, sf_dir, 2 * TOP)
     vq, vc = _vectors(spark, sf_dir)
     return words, vectors.vector_rank(vq, vc, 2 * TOP)
 
@@ -85,8 +84,8 @@ def hybrid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores, index, q = _scores(spark, sf_dir)
-    pool = fusion.hits(bm25.rank(scores, index, fusion.POOL, query_ids=q).drop("corpus_pos"), tables.corpus(spark, sf_dir), ["text", "source"])
+    q = tables.queries(spark, sf_dir)
+    pool = fusion.hits(_ranked(spark, sf_dir, fusion.POOL).drop("corpus_pos"), tables.corpus(spark, sf_dir), ["text", "source"])
     return pool.join(q.select("query_id", F.col("text").alias("query")), "query_id")
 
 
@@ -142,7 +141,7 @@ def token_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "bm25_topk": bm25_topk, "bm25_candidates_filtered": bm25_candidates_filtered,
+    "bm25_topk": bm25_topk, "bm25_postings": bm25_postings, "bm25_candidates_filtered": bm25_candidates_filtered,
     "facet_none": _facet(None, None, None), "facet_empty_types": _facet([], FACET[1], None), "facet_places": _facet(None, FACET[1], FACET[2]), "facet_types": _facet(["行政法规"], None, None), "facet_types_places": _facet(*FACET),
     "vector_topk": vector_topk, "vector_filtered_overfetch": vector_filtered_overfetch, "vector_filtered_exact": vector_filtered_exact, "rrf_fusion": rrf_fusion, "hybrid_hits": hybrid_hits,
     "rerank_lexical": rerank_lexical, "citation_context": citation_context, "eval_metrics": eval_metrics, "eval_metrics_rollup": eval_metrics_rollup, "embedding_eval": embedding_eval, "query_segments": query_segments, "token_statistics": token_statistics,
@@ -177,7 +176,10 @@ _IN_TYPES = "file_type IN ('国家法律', '地方法规')"
 _IN_PLACE = "(file_type = '国家法律' OR CASE WHEN city <> '' THEN city IN ('c1', 'c2') ELSE region IN ('src1', 'src3', 'src5') END)"
 _FACET_ROWS = f"SELECT id, file_type, region, city FROM ({CORPUS_SQL}) WHERE "
 
+_FEW = _BM25.replace("bench AS (SELECT item_id AS query_id, text,", "bench AS (SELECT item_id AS query_id, array_to_string(list_slice(regexp_extract_all(lower(text), '\\p{L}+'), 1, 3), ' ') AS text,")
+
 ORACLE_SQL = {
+    "bm25_postings": f"WITH {_FEW} SELECT query_id, id, score, rank FROM ranked WHERE rank <= {TOP}",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, id, score, rank FROM ranked WHERE rank <= {TOP}",
     "bm25_candidates_filtered": f"WITH {_BM25} SELECT query_id, id, score, CAST(r AS INT) AS rank FROM (SELECT ranked.query_id, ranked.id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_pos) AS r FROM ranked JOIN corpus USING (id) WHERE {_IN_TYPES} AND {_IN_PLACE}) WHERE r <= {TOP}",
     "facet_none": _FACET_ROWS + "true", "facet_empty_types": _FACET_ROWS + "false", "facet_places": _FACET_ROWS + _IN_PLACE, "facet_types": _FACET_ROWS + "file_type = '行政法规'", "facet_types_places": _FACET_ROWS + f"{_IN_TYPES} AND {_IN_PLACE}",
