@@ -101,7 +101,15 @@ def without_thoughts(c: Column) -> Column:
 
 
 def without_ansi(c: Column) -> Column:
-    return F.regexp_replace(c, "\x1b\\[[0-9;]*[A-Za-z]", "")
+    """Without terminal control sequences."""
+    return F.regexp_replace(c, "\x1b(?:\\[[0-9;?]*[A-Za-z]|[0-9]|[=<>(A-Z])", "")
+
+
+def message_summary(c: Column, most: int = 80) -> Column:
+    """'text(120): first characters…' for logs."""
+    flat = strip(c)
+    head = F.concat(F.lit("text("), F.length(flat).cast("string"), F.lit(")"))
+    return F.when(F.length(flat) > most, F.concat(head, F.lit(": "), F.substring(flat, 1, most), F.lit("…"))).when(flat != "", F.concat(head, F.lit(": "), flat)).otherwise(head)
 
 
 def summary(c: Column, most: int = 80) -> Column:

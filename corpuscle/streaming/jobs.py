@@ -76,8 +76,8 @@ class _States(StatefulProcessor):
 
 
 def job_states(events: DataFrame) -> DataFrame:
-    """(id, before, to, accepted) of a stream of moves (id, at, to)."""
-    return events.groupBy("id").transformWithStateInPandas(_States(), "id string, before string, to string, accepted boolean", "append", "none")
+    """(id, before, to, accepted) of a stream of moves (id, at, to); needs the RocksDB state store."""
+    return events.groupBy("id").transformWithStateInPandas(_States(), f"id {dict(events.dtypes)['id']}, before string, to string, accepted boolean", "append", "none")
 
 
 def recover(jobs: DataFrame) -> DataFrame:
