@@ -35,7 +35,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5  # a pair at 0.8 shares no band once in 20,000 times
 MARGIN = 0.15  # four deviations of the estimate from 125 coordinates
 BLOCK = 4096
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 18  # worked on at a time
 BASE_RANK = 2.0**-6
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _CDF: dict[float, np.ndarray] = {}
