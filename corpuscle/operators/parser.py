@@ -29,7 +29,8 @@ def _head(kind: str) -> str:
 
 def is_legal(text: Column) -> Column:
     """At least three lines start with a chapter, section or article number."""
-    return F.size(F.filter(T.solid_lines(text), lambda x: T.squeeze(x).rlike(f"^第{NUMERAL}[章节条]"))) >= LEGAL_LEAST
+    heads = F.size(F.filter(T.solid_lines(text), lambda x: T.squeeze(x).rlike(f"^第{NUMERAL}[章节条]")))
+    return F.when(F.contains(text, F.lit("第")), heads >= LEGAL_LEAST).otherwise(False)  # most other texts need no lines
 
 
 def _rows(files: DataFrame, lines: Column) -> DataFrame:
@@ -102,22 +103,24 @@ HEADINGS: list[tuple[str, str, int]] = [
 MARKDOWN = r"^(#{1,6})\s+(.*)$"
 
 
-def heading(raw: Column) -> Column:
-    """(no, title, level) of a line that looks like a heading, else null."""
-    sq, stripped = T.squeeze(raw), T.strip(raw)
+STARTS = "^[#0-9０-９一二三四五六七八九十百千万第（(]|^\\d"
+
+
+def heading(sq: Column, stripped: Column) -> Column:
+    """(no, title, level) of a line that looks like a heading, else null; sq: squeezed, stripped: without outer blanks."""
     md_title = T.strip(F.regexp_extract(stripped, MARKDOWN, 2))
     md = F.struct(F.lit("").alias("no"), md_title.alias("title"), F.when(F.length(F.regexp_extract(stripped, MARKDOWN, 1)) == 1, 1).otherwise(2).alias("level"))
     out = F.when(stripped.rlike(MARKDOWN) & (md_title != "") & (F.length(md_title) <= HEADING_MOST), md)
     for pattern, shown, level in HEADINGS:
         no = F.format_string(shown, F.regexp_extract(sq, pattern, 1))
         out = out.when(sq.rlike(pattern), F.struct(no.alias("no"), F.regexp_extract(sq, pattern, 2).alias("title"), F.lit(level).alias("level")))
-    return F.when((sq != "") & (F.length(sq) <= HEADING_MOST) & ~sq.rlike(TERMINAL), out)
+    return F.when((F.length(sq) <= HEADING_MOST) & sq.rlike(STARTS) & ~sq.rlike(TERMINAL), out)
 
 
 def plain_lines(files: DataFrame) -> DataFrame:
     """Lines of plain files; a heading counts only if a line follows that is no heading of its level or above."""
-    rows = _rows(files, T.lines(F.col("text"))).withColumn("blank", T.blank(F.col("raw")))
-    solid = rows.filter(~F.col("blank")).withColumn("h", heading(F.col("raw")))
+    rows = _rows(files, T.lines(F.col("text"))).withColumn("sq", T.squeeze(F.col("raw"))).withColumn("blank", F.col("sq") == "")
+    solid = rows.filter(~F.col("blank")).withColumn("h", heading(F.col("sq"), T.strip(F.col("raw"))))
     after = F.lead(F.struct("raw", "h")).over(_file())
     kept = F.when(after.isNotNull() & (after["h"].isNull() | (after["h"]["level"] > F.col("h")["level"])), F.col("h"))
     solid = solid.withColumn("heading", kept).drop("h")
