@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as T
 
 DONE = "[DONE]"
+# keys are fixed values; the wording is this engine's own
+TEMPLATES = [
+    ("accident_analysis", "事故分析", "分析事故经过与责任", "你是安全生产分析人员，只依据所给条文作答。", "事故材料：\n{original_text}\n\n要求：{requirements}\n\n条文：\n{context}\n\n请写出事故经过、原因、责任与依据。"),
+    ("hazard_inspection", "隐患排查", "列出隐患与整改", "你是隐患排查人员，只依据所给条文作答。", "现场情况：\n{original_text}\n\n要求：{requirements}\n\n条文：\n{context}\n\n请逐项列出隐患、依据与整改期限。"),
+    ("emergency_plan", "应急预案", "起草应急预案", "你是应急预案编制人员，只依据所给条文作答。", "单位概况：\n{original_text}\n\n要求：{requirements}\n\n条文：\n{context}\n\n请起草预案：组织、预警、响应、恢复。"),
+]
 
 
 def last_questions(messages: DataFrame) -> DataFrame:
@@ -30,6 +36,14 @@ def inject_context(messages: DataFrame, contexts: DataFrame) -> DataFrame:
     return kept.unionByName(new)
 
 
+def templates(spark: SparkSession, key: str | None = None) -> DataFrame:
+    """(key, name, description, system_prompt, user_template); an unknown key is an error."""
+    if key is not None and key not in {t[0] for t in TEMPLATES}:
+        raise KeyError(key)
+    rows = [t for t in TEMPLATES if key in (None, t[0])]
+    return spark.createDataFrame(rows, "key string, name string, description string, system_prompt string, user_template string")
+
+
 def prompts(jobs: DataFrame, templates: DataFrame) -> DataFrame:
     """(id, system, user) of jobs (id, task_type, original_text, requirements, context) by their template; templates are few."""
     t = templates.select(F.col("key").alias("task_type"), "system_prompt", "user_template")

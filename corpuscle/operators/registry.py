@@ -170,10 +170,13 @@ def check_status(value: str, states: list[str] = DOCUMENT_STATES) -> str:
 
 
 def even_sample(rows: DataFrame, count: int, order: str) -> DataFrame:
-    """`count` rows evenly spaced by rank: round-half-even(i (n - 1) / (count - 1))."""
+    """`count` rows evenly spaced by rank: round-half-even(i (n - 1) / (count - 1)).
+
+    Ranks come from one sorted window over the `order` column alone, which suits a registry's names; rows are joined back.
+    """
     if count <= 1:
         return rows.orderBy(order).limit(max(count, 0))
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.orderBy(order)) - 1)
+    ranked = rows.select(order).withColumn("_rank", F.row_number().over(Window.orderBy(order)) - 1)
     n = rows.agg(F.count(F.lit(1)).alias("_n"))
     wanted = n.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(count - 1)).cast("long"))).alias("_rank")).distinct()
-    return ranked.join(F.broadcast(wanted), "_rank").drop("_rank")
+    return rows.join(F.broadcast(ranked.join(F.broadcast(wanted), "_rank").select(order)), order, "left_semi")

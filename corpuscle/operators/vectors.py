@@ -13,7 +13,7 @@ BATCH_ROWS = 4096  # of queries sent to all tasks at once
 def similarities(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, id, corpus_pos, score) of all pairs; queries (query_id, embedding) are a stated, small set.
 
-    The query side is broadcast: callers with more than BATCH_ROWS queries pass them in batches (see `in_batches`).
+    The query side is broadcast; `vector_rank` counts it first and takes BATCH_ROWS queries at a time.
     """
     q = queries.select("query_id", V.unit(F.col("embedding")).alias("_q"))
     c = corpus.select("id", "corpus_pos", V.unit(F.col("embedding")).alias("_v"))
@@ -38,12 +38,17 @@ def vector_rank(queries: DataFrame, corpus: DataFrame, top_n: int, candidates: D
     mode exact: the filter comes first, so a list is short only if candidates are.  mode overfetch: the best over * top_n
     of all are filtered afterwards, so hits can be lost, as in stores that filter late.
     """
-    scores = similarities(queries, corpus)
-    if candidates is None:
-        return rank(scores, top_n)
-    if mode == "exact":
-        return rank(scores.join(candidates, ["query_id", "id"], "left_semi"), top_n)
-    return rank(rank(scores, over * top_n).drop("rank").join(candidates, ["query_id", "id"], "left_semi"), top_n)
+    every = None
+    for some in in_batches(queries):
+        scores = similarities(some, corpus)
+        if candidates is None:
+            one = rank(scores, top_n)
+        elif mode == "exact":
+            one = rank(scores.join(candidates, ["query_id", "id"], "left_semi"), top_n)
+        else:
+            one = rank(rank(scores, over * top_n).drop("rank").join(candidates, ["query_id", "id"], "left_semi"), top_n)
+        every = one if every is None else every.unionByName(one)
+    return every
 
 
 def segment_merge(ranked: DataFrame, top_n: int) -> DataFrame:

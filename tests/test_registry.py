@@ -172,3 +172,13 @@ def test_joins(spark):
     points = table(spark, [(1, 10), (2, 25), (3, 31)], "p int, at int")
     ranges = table(spark, [(1, 5, 30), (2, 31, 31)], "r int, low int, high int")
     assert rows_of(joins.range_join(points, ranges, "at", "low", "high", 10).select("p", "r")) == [(1, 1), (2, 1), (3, 2)]
+
+
+def test_templates(spark):
+    rows = chat.templates(spark).collect()
+    assert [r["key"] for r in rows] == ["accident_analysis", "hazard_inspection", "emergency_plan"]
+    for r in rows:
+        assert all("{" + p + "}" in r["user_template"] for p in ("original_text", "requirements", "context"))
+    assert chat.templates(spark, "emergency_plan").count() == 1
+    with pytest.raises(KeyError):
+        chat.templates(spark, "nope")
