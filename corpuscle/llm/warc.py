@@ -209,4 +209,16 @@ def read_warc(files: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, wit
 def op4_warc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     files = write_warc(decide(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")), folder)
-    return read_warc(files, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "offset")
+    return read_warc(files, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+o AS (SELECT h, min(page_id) AS owner FROM p GROUP BY h)
+SELECT page_id, payload_bytes,
+       list_reduce(list_transform(range(8), lambda g: list_reduce(list_transform([15, 10, 5, 0], lambda s:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((('0x' || substr(p.h, 1 + 5 * CAST(g AS INT), 5))::BIGINT >> s) & 31) + 1 AS INT), 1)), lambda a, b: a || b)), lambda a, b: a || b) AS payload_digest,
+       CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM p JOIN o ON p.h = o.h
+"""
