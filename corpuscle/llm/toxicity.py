@@ -15,6 +15,7 @@ labels (0 without any); repeated rows get equal scores; empty tables give empty
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ MAX_FEATURES = 32_768
 LEAST_GAIN = 10.83  # of a bucket's log-likelihood ratio; chi-squared at 0.001
 THRESHOLD = 0.7
 BLOCK = 4096
+SLICE = 1 << 17  # characters or bytes worked on at a time; what fits a cache is twice as fast
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,7 +78,7 @@ def _frequencies(batches):
     for batch in batches:
         y, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
         rows += np.bincount(y > 0, minlength=2)
-        for i, j in slices(texts, 1 << 20):
+        for i, j in slices(texts, SLICE):
             doc, bucket = features(texts.slice(i, j - i).to_pylist())
             one = np.unique((doc << BITS) | bucket)
             for k in (0, 1):
@@ -128,16 +130,22 @@ class Model:
 
 def _fit(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, rounds: int = 200, penalty: float = 0.05) -> tuple[np.ndarray, float]:
     """Logistic regression on binary features scaled by r: full-batch Adam, which needs no line search."""
-    lengths = np.array([len(x) for x in rows])
-    at = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    doc = np.repeat(np.arange(len(rows)), lengths)
-    x = r[at]
+    blocks = []
+    for i in range(0, len(rows), 512):  # what stands beside the rows stays small
+        some = rows[i : i + 512]
+        lengths = np.array([len(x) for x in some])
+        full = np.flatnonzero(lengths)
+        if len(full):
+            blocks.append((i + full, lengths[full], (np.cumsum(lengths) - lengths)[full], np.concatenate(some).astype(np.int32)))
     w, bias = np.zeros(len(r)), float(np.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for k in range(1, rounds + 1):
-        z = bias + np.bincount(doc, x * w[at], minlength=len(rows))
+        z, u, gw = np.full(len(rows), bias), w * r, penalty * w / len(y)
+        for full, _, starts, at in blocks:
+            z[full] += np.add.reduceat(u[at], starts)
         g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        gw = np.bincount(at, x * g[doc], minlength=len(w)) + penalty * w / len(y)
+        for full, lengths, _, at in blocks:
+            gw = gw + r * np.bincount(at, np.repeat(g[full], lengths), minlength=len(w))
         gb = g.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         rate = 0.05 / (1 + k / 100)
@@ -169,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> Mod
     def rows_of(batches):
         for batch in batches:
             texts, out = batch.column(1), []
-            for i, j in slices(texts, 1 << 20):
+            for i, j in slices(texts, SLICE):
                 doc, found = features(texts.slice(i, j - i).to_pylist())
                 at = shared.value[found]
                 one = np.unique((doc[at >= 0] << BITS) | at[at >= 0])
@@ -179,26 +187,28 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> Mod
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["toxic", "found"])
 
     fitted = sample.mapInArrow(rows_of, "toxic int, found binary").collect()  # at most `most` rows of a few hundred numbers
-    w, bias = _fit([np.frombuffer(f["found"], np.int32) for f in fitted], np.array([float(f["toxic"] > 0) for f in fitted]), r)
+    found, y = [np.frombuffer(f["found"], np.int32) for f in fitted], np.array([float(f["toxic"] > 0) for f in fitted])
+    del fitted
+    w, bias = _fit(found, y, r)
     weights = np.zeros(1 << BITS)
     weights[bucket] = w * r
     return Model(weights, bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `score`, of whole texts; a narrow transformation."""
+    """docs with `score`, of whole texts; a narrow transformation that sends texts to Python and only scores back."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
-    names = docs.columns
-    at = names.index("text")
 
-    def scored(batches):
+    @F.pandas_udf("double")
+    def scored(text: pd.Series) -> pd.Series:
         own = Model(*shared.value)
-        for batch in batches:
-            texts = batch.column(at)
-            parts = [own.score(texts.slice(i, j - i).to_pylist()) for i, j in slices(texts, 1 << 20)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([*parts, np.zeros(0)]), pa.float64())], [*names, "score"])
+        texts = text.tolist()
+        ends = np.cumsum([len(t or "") + 1 for t in texts])
+        cut = [0, *np.searchsorted(ends, np.arange(SLICE, ends[-1], SLICE)).tolist(), len(texts)] if texts else [0]
+        parts = [own.score(texts[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True) if j > i]
+        return pd.Series(np.concatenate([*parts, np.zeros(0)]))
 
-    return docs.mapInArrow(scored, docs.select("*", F.lit(0.0).alias("score")).schema)
+    return docs.withColumn("score", scored("text"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
