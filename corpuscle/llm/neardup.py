@@ -35,6 +35,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5  # a pair at 0.8 shares no band once in 20,000 times
 MARGIN = 0.15  # four deviations of the estimate from 125 coordinates
 BLOCK = 4096
+ROUNDING = 1e-6  # so that exactly 0.8 counts
 SLICE_BYTES = 1 << 18  # worked on at a time
 BASE_RANK = 2.0**-6
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -191,11 +192,11 @@ def _similar(batches):
         keep = np.zeros(batch.num_rows, bool)
         for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
             a, b = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-            if min(len(a), len(b)) < least[k] * max(len(a), len(b)):
+            if min(len(a), len(b)) < least[k] * max(len(a), len(b)) - ROUNDING:
                 continue
             both = np.sort(np.concatenate([a, b]), kind="stable")
             common = int((both[1:] == both[:-1]).sum())
-            keep[k] = common >= least[k] * (len(both) - common)
+            keep[k] = common >= least[k] * (len(both) - common) - ROUNDING
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["u", "v"])
 
 
@@ -253,7 +254,7 @@ def _cell_links(rows: pa.Table, similarity: float):
     members = np.flatnonzero(~asks)
     for p in np.flatnonzero(asks):
         small, large = np.minimum(weight[members], weight[p]), np.maximum(weight[members], weight[p])
-        some = members[(label[group[members]] != label[group[p]]) & (small >= similarity * large)]
+        some = members[(label[group[members]] != label[group[p]]) & (small >= similarity * large - ROUNDING)]
         if not len(some):
             continue
         equal = sig[some] == sig[p]
@@ -265,7 +266,7 @@ def _cell_links(rows: pa.Table, similarity: float):
                 continue
             both = np.sort(np.concatenate([a, np.frombuffer(sets[m], np.uint32)]), kind="stable")
             common = int((both[1:] == both[:-1]).sum())
-            if common >= similarity * (len(both) - common):
+            if common >= similarity * (len(both) - common) - ROUNDING:
                 label[label == label[group[m]]] = label[group[p]]
                 yield max(tid[p], tid[m]), min(tid[p], tid[m])
 
