@@ -53,12 +53,15 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
-def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, and losing executors loses nothing."""
+def materialize(df: DataFrame, label: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage is cut, and losing executors loses nothing.
+
+    rows: of an Arrow batch meanwhile.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    with small_batches(spark):
-        df.write.option("compression", compression).parquet(path)
+    with small_batches(spark, rows):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

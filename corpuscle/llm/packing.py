@@ -38,7 +38,7 @@ END = 2
 CACHE = 600_000  # cores of words; twice as many whole words
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN_TO = "\u0130"  # below it lower case and composition do not depend on neighbours
-_ODD = re.compile("[\x1c-\x1f]")  # blanks to str.split, signs to tokenizers
+_ODD = "\x1c\x1d\x1e\x1f"  # blanks to str.split, signs to tokenizers
 _FAR = re.compile("[^\x00-\u012f]")
 _LOADED: dict[str, "Tokenizer"] = {}
 
@@ -65,7 +65,7 @@ class Tokenizer:
         ends = np.zeros(self.own.get_vocab_size(), bool)
         for token, i in self.own.get_vocab().items():
             ends[i] = token.endswith("</w>")
-        self.ends, self.words, self.cores = ends, {}, {}
+        self.ends, self.words, self.cores = ends, {}, {"": b""}
         self.by_core = self.by_word and bool(ends.any())
 
     def _raw(self, texts: list[str]) -> list[bytes]:
@@ -73,38 +73,42 @@ class Tokenizer:
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words: of letters with a tail of signs, both parts apart; of others as a whole."""
-        plain, other, new = [], [], set()
+        if len(self.cores) > CACHE:
+            self.cores = {"": b""}
+        known, cores, plain, other, missing = self.words, self.cores, [], [], set()
         for w in words:
             core = w.rstrip(_TAIL)
-            if self.by_core and (not core or (core.isalpha() and max(core) < _PLAIN_TO)):
-                core, tail = core.lower(), w[len(core) :]
-                plain.append((w, core, tail))
-                new.add(core)
-                new.add(tail)
+            if self.by_core and (not core or (core.isalpha() and (core.isascii() or max(core) < _PLAIN_TO))):
+                tail = w[len(core) :]
+                core = core.lower()
+                if core in cores and tail in cores:
+                    known[w] = cores[core] + cores[tail]
+                else:
+                    plain.append((w, core, tail))
+                    missing.add(core)
+                    missing.add(tail)
             else:
                 other.append(w)
-        if len(self.cores) > CACHE:
-            self.cores.clear()
-        self.cores[""] = b""
-        missing = sorted(c for c in new if c not in self.cores)
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
+        new = sorted(c for c in missing if c not in cores)
+        for i in range(0, len(new), 4096):
+            some = new[i : i + 4096]
             ids = np.array(self.own.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(some):
                 raw, at = ids.tobytes(), [0, *(cut * self.kind.itemsize).tolist()]
-                self.cores.update((c, raw[at[k] : at[k + 1]]) for k, c in enumerate(some))
+                cores.update((c, raw[at[k] : at[k + 1]]) for k, c in enumerate(some))
             else:
-                self.cores.update(zip(some, self._raw(some), strict=True))
-        self.words.update((w, self.cores[core] + self.cores[tail]) for w, core, tail in plain)
+                cores.update(zip(some, self._raw(some), strict=True))
+        known.update((w, cores[core] + cores[tail]) for w, core, tail in plain)
         if other:
-            self.words.update(zip(other, self._raw(other), strict=True))
+            known.update(zip(other, self._raw(other), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._raw(texts)
-        whole = [i for i, t in enumerate(texts) if _ODD.search(t)]
-        split = [[] if _ODD.search(t) else (t if "<|" in t or (not t.isascii() and _FAR.search(t)) else t.lower()).split() for t in texts]
+        whole = [i for i, t in enumerate(texts) if any(x in t for x in _ODD)]
+        odd = set(whole)
+        split = [[] if i in odd else (t.lower() if "<|" not in t and (t.isascii() or _plain(t)) else t).split() for i, t in enumerate(texts)]
         seen = set().union(*split)
         if len(self.words) + len(seen) > 2 * CACHE:
             self.words = {}
@@ -117,6 +121,15 @@ class Tokenizer:
         return out
 
 
+def _plain(text: str) -> bool:
+    """Whether all characters are below _PLAIN_TO."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _FAR.search(text) is None
+    return True
+
+
 def loaded(path: str) -> Tokenizer:
     if path not in _LOADED:
         _LOADED[path] = Tokenizer(path)
@@ -135,8 +148,12 @@ def tokenize(docs: DataFrame, path: str, sources: list[str | None], end: int = E
         last = np.array([end], own.kind).tobytes()
         for batch in batches:
             ids, texts, names = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+            known: dict[str, bytes] = {}  # copies within a batch are tokenized once
             for i, j in slices(texts, 1 << 20):
-                coded = own.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])
+                here = [t or "" for t in texts.slice(i, j - i).to_pylist()]
+                new = list(dict.fromkeys(t for t in here if t not in known))
+                known.update(zip(new, own.encode(new), strict=True))
+                coded = [known[t] for t in here]
                 queues, offsets, sizes, raw = [], [], [], []
                 for name, c in zip(names[i:j], coded, strict=True):
                     q = queue_of.get(name, len(queue_of))
@@ -252,7 +269,7 @@ def pack(docs: DataFrame, targets: dict[str | None, float] | None = None, *, pat
     targets: wanted share of tokens of each source; by default the corpus's own shares, which all windows then have.
     """
     names = [s for s, _ in queue_sizes(docs, max_sources)]
-    tokens = materialize(tokenize(docs, path or default_tokenizer(), names), "tokens")
+    tokens = materialize(tokenize(docs, path or default_tokenizer(), names), "tokens", rows=10_000)
     sums = tokens.groupBy("part", "queue").agg(F.sum("doc_tokens").alias("n"))
     up_to = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     bases = materialize(sums.select("part", "queue", "n", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("base")), "bases")
