@@ -120,11 +120,12 @@ def heading(sq: Column, stripped: Column) -> Column:
 def plain_lines(files: DataFrame) -> DataFrame:
     """Lines of plain files; a heading counts only if a line follows that is no heading of its level or above."""
     rows = _rows(files, T.lines(F.col("text"))).withColumn("sq", T.squeeze(F.col("raw"))).withColumn("blank", F.col("sq") == "")
-    solid = rows.filter(~F.col("blank")).withColumn("h", heading(F.col("sq"), T.strip(F.col("raw"))))
-    after = F.lead(F.struct("raw", "h")).over(_file())
-    kept = F.when(after.isNotNull() & (after["h"].isNull() | (after["h"]["level"] > F.col("h")["level"])), F.col("h"))
-    solid = solid.withColumn("heading", kept).drop("h")
-    return solid.unionByName(rows.filter("blank").withColumn("heading", F.lit(None).cast("struct<no:string,title:string,level:int>")))
+    rows = rows.withColumn("h", heading(F.col("sq"), T.strip(F.col("raw"))))
+    later = Window.partitionBy("filename").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.last(F.when(~F.col("blank"), F.struct(F.lit(True).alias("there"), F.col("h"))), ignorenulls=True).over(later)
+    rows = rows.withColumn("after", after)
+    kept = F.when(F.col("after").isNotNull() & (F.col("after.h").isNull() | (F.col("after.h.level") > F.col("h.level"))), F.col("h"))
+    return rows.select("filename", "n", "raw", "blank", kept.alias("heading"))
 
 
 def plain_articles(files: DataFrame, most: int = 400) -> DataFrame:
