@@ -19,17 +19,18 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import materialize, slices
+from corpuscle.llm.common import Words, materialize, slices
 from corpuscle.llm.mixing import MAX_SOURCES, queue_sizes
 
 LENGTH = 4096
@@ -38,8 +39,6 @@ END = 2
 CACHE = 600_000  # cores of words; twice as many whole words
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN_TO = "\u0130"  # below it lower case and composition do not depend on neighbours
-_ODD = "\x1c\x1d\x1e\x1f"  # blanks to str.split, signs to tokenizers
-_FAR = re.compile("[^\x00-\u012f]")
 _LOADED: dict[str, "Tokenizer"] = {}
 
 
@@ -50,7 +49,12 @@ def default_tokenizer() -> str:
 
 
 class Tokenizer:
-    """Ids of whole texts.  Where words are tokenized one by one, the ids of words met before come from a bounded cache."""
+    """Ids of whole texts.
+
+    Where a tokenizer treats words between blanks one by one, words are told apart by 64-bit hashes, and the ids of those
+    met before come from a bounded table, sorted by hash; a batch is put together by array operations.  New words of
+    letters with a tail of signs are learnt by parts, all others as they are.
+    """
 
     def __init__(self, path: str) -> None:
         import os
@@ -65,69 +69,86 @@ class Tokenizer:
         ends = np.zeros(self.own.get_vocab_size(), bool)
         for token, i in self.own.get_vocab().items():
             ends[i] = token.endswith("</w>")
-        self.ends, self.words, self.cores = ends, {}, {"": b""}
-        self.by_core = self.by_word and bool(ends.any())
+        self.ends, self.by_core = ends, self.by_word and bool(ends.any())
+        self.cores: dict[str, bytes] = {"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, self.kind)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words: of letters with a tail of signs, both parts apart; of others as a whole."""
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words without blanks."""
         if len(self.cores) > CACHE:
             self.cores = {"": b""}
-        known, cores, plain, other, missing = self.words, self.cores, [], [], set()
+        cores, parts, other, missing = self.cores, [], [], set()
         for w in words:
             core = w.rstrip(_TAIL)
             if self.by_core and (not core or (core.isalpha() and (core.isascii() or max(core) < _PLAIN_TO))):
                 tail = w[len(core) :]
                 core = core.lower()
-                if core in cores and tail in cores:
-                    known[w] = cores[core] + cores[tail]
-                else:
-                    plain.append((w, core, tail))
+                parts.append((core, tail))
+                if core not in cores:
                     missing.add(core)
+                if tail not in cores:
                     missing.add(tail)
             else:
+                parts.append((w, None))
                 other.append(w)
-        new = sorted(c for c in missing if c not in cores)
+        new = sorted(missing)
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
             ids = np.array(self.own.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(some):
                 raw, at = ids.tobytes(), [0, *(cut * self.kind.itemsize).tolist()]
-                cores.update((c, raw[at[k] : at[k + 1]]) for k, c in enumerate(some))
+                cores.update(zip(some, [raw[x:y] for x, y in zip(at, at[1:], strict=False)], strict=True))
             else:
                 cores.update(zip(some, self._raw(some), strict=True))
-        known.update((w, cores[core] + cores[tail]) for w, core, tail in plain)
-        if other:
-            known.update(zip(other, self._raw(other), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = dict(zip(other, self._raw(other), strict=True)) if other else {}
+        return [whole[core] if tail is None else cores[core] + cores[tail] for core, tail in parts]
+
+    def _places(self, keys: np.ndarray, words: Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of distinct hashes lie in the pool, and how many there are; first: a word of each."""
+        if len(self.keys) + len(keys) > 2 * CACHE:
+            self._forget()
+        order = np.argsort(keys)  # in order, searches stay in the cache
+        keys, first = keys[order], first[order]
+        k = np.searchsorted(self.keys, keys)
+        known = self.keys[np.minimum(k, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = words.raw.tobytes()
+            got = self._learn([raw[x:y].decode("utf-8", "surrogatepass") for x, y in zip(words.start[first[new]].tolist(), words.end[first[new]].tolist(), strict=True)])
+            sizes = np.array([len(g) for g in got], np.int64) // self.kind.itemsize
+            at = len(self.pool) + np.cumsum(sizes) - sizes
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(got), self.kind)])
+            self.keys, self.at, self.sizes = (np.insert(old, k[new], x) for old, x in ((self.keys, keys[new]), (self.at, at), (self.sizes, sizes)))
+            k += np.cumsum(~known) - ~known  # each place moves up by the new ones before it
+        back = np.empty_like(k)
+        back[order] = k
+        return self.at[back], self.sizes[back]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a string array; nulls are empty."""
         if not self.by_word:
-            return self._raw(texts)
-        whole = [i for i, t in enumerate(texts) if any(x in t for x in _ODD)]
-        odd = set(whole)
-        split = [[] if i in odd else (t.lower() if "<|" not in t and (t.isascii() or _plain(t)) else t).split() for i, t in enumerate(texts)]
-        seen = set().union(*split)
-        if len(self.words) + len(seen) > 2 * CACHE:
-            self.words = {}
-        if new := [w for w in seen if w not in self.words]:
-            self._learn(new)
-        get = self.words.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        for i, raw in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
-            out[i] = raw
-        return out
-
-
-def _plain(text: str) -> bool:
-    """Whether all characters are below _PLAIN_TO."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return _FAR.search(text) is None
-    return True
+            return self._raw([t or "" for t in texts.to_pylist()])
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are told by their case
+            texts = pc.ascii_lower(texts)
+        words = Words(texts)
+        code, keys = pd.factorize(words.hash)
+        first = np.empty(len(keys), np.int64)
+        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+        at, sizes = self._places(keys, words, first)
+        own = sizes[code]
+        ends = np.cumsum(own)
+        ids = self.pool[np.repeat(at[code] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
+        cut = np.concatenate([[0], ends])[words.first] * self.kind.itemsize
+        raw = ids.tobytes()
+        return [raw[x:y] for x, y in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
 
 
 def loaded(path: str) -> Tokenizer:
@@ -148,12 +169,8 @@ def tokenize(docs: DataFrame, path: str, sources: list[str | None], end: int = E
         last = np.array([end], own.kind).tobytes()
         for batch in batches:
             ids, texts, names = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            known: dict[str, bytes] = {}  # copies within a batch are tokenized once
             for i, j in slices(texts, 1 << 20):
-                here = [t or "" for t in texts.slice(i, j - i).to_pylist()]
-                new = list(dict.fromkeys(t for t in here if t not in known))
-                known.update(zip(new, own.encode(new), strict=True))
-                coded = [known[t] for t in here]
+                coded = own.encode(texts.slice(i, j - i))
                 queues, offsets, sizes, raw = [], [], [], []
                 for name, c in zip(names[i:j], coded, strict=True):
                     q = queue_of.get(name, len(queue_of))

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpuscle.llm import packing as P
@@ -25,8 +26,8 @@ def test_tokenizer_is_exact(monkeypatch):
     monkeypatch.setattr(P, "CACHE", 50)
     own = P.Tokenizer(P.default_tokenizer())
     texts = [t or "" for _, t, _ in corpus()]
-    for _ in range(2):
-        got = [np.frombuffer(b, own.kind).tolist() for b in own.encode(texts)]
+    for size in (7, 60, 1000):
+        got = [np.frombuffer(b, own.kind).tolist() for i in range(0, len(texts), size) for b in own.encode(pa.array(texts[i : i + size]))]
         assert got == [e.ids for e in own.own.encode_batch(texts, add_special_tokens=False)]
 
 
