@@ -303,11 +303,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class: a row of its least doc_id; null texts stay."""
     inner, back = aside(docs)
-    keyed = inner.withColumn("_tid", text_id())
-    found = classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), similarity).select(F.col("tid").alias("_tid"), F.col("class_id").alias("_class"))
-    kept = keyed.join(found, "_tid").filter(F.col("doc_id").eqNullSafe(F.col("_class")))
-    one = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_class").orderBy("_tid"))).filter("_n = 1")
-    return back(one).unionByName(docs.filter(F.col("text").isNull()))
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id")
+    found = classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), similarity)
+    # one (text, id) of each class is chosen before any text is shuffled; joined on both, copies are spread
+    chosen = docs.select(text_id().alias("tid"), number).join(found.withColumn("class_id", F.coalesce("class_id", F.lit(-(1 << 63)))), "tid").filter("_id = class_id")
+    first = F.row_number().over(Window.partitionBy("class_id").orderBy("tid"))
+    keep = chosen.withColumn("_n", first).filter("_n = 1").select(F.col("tid").alias("_tid"), "_id")
+    rows = inner.select("*", text_id().alias("_tid"), number).join(keep, ["_tid", "_id"])
+    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_tid", "_id").orderBy("_tid"))).filter("_n = 1")
+    return back(once).unionByName(docs.filter(F.col("text").isNull()))
 
 
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
