@@ -36,7 +36,7 @@ from corpuscle.llm.mixing import MAX_SOURCES, queue_sizes
 LENGTH = 4096
 WINDOW_SEQUENCES = 16
 END = 2
-CACHE = 600_000  # cores of words; twice as many whole words
+WORDS_KEPT, CORES_KEPT = 1_500_000, 250_000  # of a worker's tables: some 40 and 200 bytes each
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN_TO = "\u0130"  # below it lower case and composition do not depend on neighbours
 _LOADED: dict[str, "Tokenizer"] = {}
@@ -82,7 +82,7 @@ class Tokenizer:
 
     def _learn(self, words: list[str]) -> list[bytes]:
         """Ids of words without blanks."""
-        if len(self.cores) > CACHE:
+        if len(self.cores) > CORES_KEPT:
             self.cores = {"": b""}
         cores, parts, other, missing = self.cores, [], [], set()
         for w in words:
@@ -113,7 +113,7 @@ class Tokenizer:
 
     def _places(self, keys: np.ndarray, words: Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of distinct hashes lie in the pool, and how many there are; first: a word of each."""
-        if len(self.keys) + len(keys) > 2 * CACHE:
+        if len(self.keys) + len(keys) > WORDS_KEPT:
             self._forget()
         order = np.argsort(keys)  # in order, searches stay in the cache
         keys, first = keys[order], first[order]

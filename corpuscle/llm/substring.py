@@ -30,8 +30,8 @@ from corpuscle.llm.common import Words, aside, slices
 
 WINDOW = 35
 PART_WORDS = 1 << 21  # windows a part is to hold
-SLICE_BYTES = 1 << 20  # worked on at a time
-HELD = 1 << 21  # hashes gathered before they are dealt out to parts
+SLICE_BYTES = 1 << 18  # worked on at a time
+HELD = 1 << 20  # hashes gathered before they are dealt out to parts
 _LOW = np.uint64(0xFFFFFFFF)
 
 

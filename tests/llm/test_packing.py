@@ -23,7 +23,8 @@ def corpus(n=400):
 
 
 def test_tokenizer_is_exact(monkeypatch):
-    monkeypatch.setattr(P, "CACHE", 50)
+    monkeypatch.setattr(P, "WORDS_KEPT", 300)
+    monkeypatch.setattr(P, "CORES_KEPT", 50)
     own = P.Tokenizer(P.default_tokenizer())
     texts = [t or "" for _, t, _ in corpus()]
     for size in (7, 60, 1000):
