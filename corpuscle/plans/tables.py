@@ -29,8 +29,18 @@ def filename():
     return F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt"))
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of fewer partitions than there are cores are dealt out by key; larger inputs stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, corpus_pos, text, source, file_type, region, city)"""
+    return spread(_corpus(spark, sf_dir), "id")
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("corpus_pos"), "text", filename().alias("source"), *_facets())
 
 
