@@ -6,9 +6,10 @@ numbers of pages and occurrences), so tokens with equal vectors fall into one eq
 valid if it is on nearly all pages of its host, has several tokens, and its tokens keep one order.  The class that is on
 every page once is the template's root; the others nest in its slots by their paths (a list item's class in the menu's
 slot, a paragraph's in the article's).  What is left between template tokens are slots; slots of menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments are told by the names on their paths, and where the
-template has an article or a main part only its slots are extracted.  A block of text that is itself a template token
-(the same on every page) is no slot's value.
+sidebars, notices, adverts, forms, scripts, styles and comments are told by the names on their paths (a fallback beside the
+template), and where the template has an article or a main part only its slots are extracted.  A block of text that is
+itself a template token, of a valid class or on every page of its host, is no slot's value wherever it lies and whatever
+its names are; only a page that has no other text keeps it.
 
 Fingerprints are added up before anything is shuffled, so a host with a third of all pages is no hot spot; templates are
 joined to pages by host in a join that adaptive execution can split.  A host of few pages, or a page on which its host's
@@ -35,7 +36,6 @@ from corpuscle.llm.common import materialize, slices
 LEAST_PAGES = 5  # of a host that gets a template
 NEARLY_ALL = 0.8
 LEAST_TOKENS = 3
-LEAST_PAGES_FOR_TEXT = 10
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _CLASS = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -191,10 +191,9 @@ def templates(seen: DataFrame) -> DataFrame:
     hosts = seen.filter("token = '' AND text IS NULL").select("host", F.col("pages").alias("all")).filter(F.col("all") >= LEAST_PAGES)
     often = seen.filter(F.col("pages") >= NEARLY_ALL * LEAST_PAGES).filter("token != ''")  # most texts are on one page
     own = often.join(hosts, "host").filter(F.col("pages") >= NEARLY_ALL * F.col("all"))
-    sums = seen.filter("text IS NOT NULL AND main AND NOT side").groupBy("host").agg(F.sum("chars").alias("main_chars"))
     # what is on nearly all pages of a host is bounded by the length of its pages
     token = F.struct("token", "text", "pages", "total", "vector", (F.col("place") / F.col("pages")).alias("place"), "chars", "side", "main")
-    grouped = own.groupBy("host").agg(F.first("all").alias("all"), F.collect_list(token).alias("tokens")).join(sums, "host", "left")
+    grouped = own.groupBy("host").agg(F.first("all").alias("all"), F.collect_list(token).alias("tokens"))
 
     def run(batches):
         for batch in batches:
@@ -210,10 +209,10 @@ def templates(seen: DataFrame) -> DataFrame:
                 root = [t["token"] for t in sorted(root, key=lambda t: t["place"])]
                 nested = {t["token"] for c in valid for t in c} | {t["token"] for t in tags if t["pages"] == r["all"]}
                 slots = sorted({t for t in nested if not t.startswith("//")})
-                still = [t for t in r["tokens"] if t["text"] is not None and t["main"] and not t["side"] and t["pages"] == r["all"] == t["total"]]
-                few = r["all"] >= LEAST_PAGES_FOR_TEXT and 2 * sum(t["chars"] for t in still) <= (r["main_chars"] or 0)
+                members = Counter((t["vector"], t["pages"], t["total"]) for t in r["tokens"])
+                still = [t for t in r["tokens"] if t["text"] is not None and (t["pages"] == r["all"] or members[t["vector"], t["pages"], t["total"]] >= LEAST_TOKENS)]
                 if root:
-                    out.append((r["host"], root, slots, [t["text"] for t in still] if few else []))
+                    out.append((r["host"], root, slots, [_hash(t["token"], t["text"]) for t in still]))
             kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], ["host", "root", "slots", "constant"])
 
@@ -232,11 +231,12 @@ def main_blocks(page: Page, root: list[str] | None, slots: list[str] | None, con
         root, slots, constant = None, None, None
     if root:
         has_main = any(re.search(r"/(article|main)(?=[./]|$)", t) for t in slots)
-        gone = set(constant or ())
-        kept = [b for b in page.blocks if not b[2] and (b[3] or not has_main) and not (gone and _hash(b[1]) in gone)]
     else:
         has_main = any(b[3] and not b[2] for b in page.blocks)
-        kept = [b for b in page.blocks if not b[2] and (b[3] or not has_main)]
+    kept = [b for b in page.blocks if not b[2] and (b[3] or not has_main)]
+    if constant:
+        gone = set(constant)
+        kept = [b for b in kept if _hash(b[0], _hash(b[1])) not in gone] or kept
     return [text for _, text, _, _ in kept]
 
 

@@ -44,6 +44,19 @@ def test_text_on_every_page_is_template(spark):
     assert all("One article" in r["text"] for r in rows(spark, same).values())
 
 
+@pytest.mark.parametrize("n", [5, 6, 12])
+def test_template_text_without_telling_names(spark, n):
+    html = "<html><body><div class='xq'><div>Home</div><div>All our goods</div></div><div class='zz'><h1>Title {i}</h1><p>Own text {i}</p></div><div class='yk'>Made by us</div></body></html>"
+    got = rows(spark, [(i, f"http://h.example/{i}", html.format(i=i)) for i in range(n)])
+    assert {i: r["text"] for i, r in got.items()} == {i: f"Title {i}\n\nOwn text {i}" for i in range(n)}
+
+
+def test_template_text_on_nearly_all_pages(spark):
+    html = "<html><body>{notice}<p>Own text {i}</p></body></html>"
+    got = rows(spark, [(i, f"http://h.example/{i}", html.format(i=i, notice="<div class='xq'>We are closed</div>" if i else "")) for i in range(10)])
+    assert {i: r["text"] for i, r in got.items()} == {i: f"Own text {i}" for i in range(10)}
+
+
 @pytest.mark.parametrize(
     ("html", "want"),
     [
