@@ -1,12 +1,15 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
 Each source is a queue of blocks.  Block j of a source of weight w is released at floor(j / w) and due at
-ceil((j + 1) / w); earliest deadline first then runs in every slot one block that has been released.  Weights are whole
-numbers of slots of a period, so the schedule repeats: it is planned for one period (a table of bounded size) and every
-block's slot follows from its number in its queue by arithmetic.  No source is ever a whole block from its target.
+ceil((j + 1) / w); earliest deadline first then runs in every slot one block that has been released.  Weights are exact
+ratios of whole numbers (roots and the like are rounded to 2**-53, as floats are), and the schedule runs over a whole stretch without a period, so no source is
+ever a whole block from its target, however long the stretch.  (A caller's `period` rounds weights to whole slots of it.)
 
-A source that is used up leaves; the others go on with their weights scaled up.  The plan therefore has stretches: one of
-whole periods, then one period in which the queues that end get their last blocks, at most two for each source.
+A source that is used up leaves, which ends a stretch; the others go on with their weights scaled up, counted from there.
+
+The driver runs the schedule, some 2 microseconds a block, and writes it to the shared folder in chunks of bounded size:
+a line for each queue and chunk with the slots of the queue's blocks.  Rows find their slots by a join; releases and
+deadlines are whole-number arithmetic on the block's number.  The last source left needs no schedule.
 
 The number of a block in its queue needs no global sort: rows are counted by (source, bucket of a hash of the row), the
 counts are summed over the buckets, and rows are numbered within a bucket.  A source with a third of all rows is spread
@@ -19,14 +22,18 @@ own; beyond `max_sources` sources the smallest form one queue; an empty table gi
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
+from fractions import Fraction
+from math import gcd, lcm
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import aside
+from corpuscle.llm.common import aside, new_path
 
 BUCKETS = (64, 8192, 100_000)  # least, most, rows a bucket
-PERIOD = 1024
+WHOLE = 1 << 53  # shares of a whole without a period
+CHUNK, RUN = 8192, 65536  # slots a chunk, and of the last source
 MAX_SOURCES = 64
 EXPONENT = 0.5
 RESULT = ["position", "queue_position", "release", "deadline", "stretch"]
@@ -62,37 +69,73 @@ def earliest_deadline_first(share: dict[int, int], period: int) -> list[tuple[in
     return out
 
 
-def plan(sizes: dict[int, int], weights: dict[int, float], period: int = PERIOD) -> list[tuple]:
-    """Rows (queue, stretch, first block, period's blocks, block in the period, first slot, slots a period, slot, release, deadline, periods)."""
-    left, done, at, stretch, rows = {q: n for q, n in sizes.items() if n > 0}, dict.fromkeys(sizes, 0), 0, 0, []
-    while left:
-        slots = max(period, len(left))
-        share = quantise({q: weights[q] for q in left}, slots)
-        times = min(left[q] // share[q] for q in left)
-        order = earliest_deadline_first(share, slots)
-        for n in ([times] if times else []) + [0]:
-            got = {q: share[q] if n else min(share[q], left[q]) for q in left}
-            kept = [x for x in order if x[1] < got[x[0]]]
-            rows += [(q, stretch, done[q], got[q], b, at, len(kept), slot, release, due, max(1, n)) for slot, (q, b, release, due) in enumerate(kept)]
-            for q, k in got.items():
-                done[q] += k * max(1, n)
-                left[q] -= k * max(1, n)
-            at += len(kept) * max(1, n)
-            stretch += 1
+def shares(weights: dict[int, float], period: int | None) -> tuple[dict[int, int], int]:
+    """Weights as whole parts of a total: of the period's slots, or else exactly (0.3 is 3 of 10) or of WHOLE."""
+    if period:
+        slots = max(period, len(weights))
+        return quantise(weights, slots), slots
+    exact = {q: Fraction(str(float(w))) for q, w in weights.items()}
+    unit = Fraction(gcd(*(w.numerator for w in exact.values())), lcm(*(w.denominator for w in exact.values())))
+    total = sum(exact.values())
+    if total / unit <= WHOLE:
+        return {q: int(w / unit) for q, w in exact.items()}, int(total / unit)
+    out = {q: max(1, round(w / total * WHOLE)) for q, w in exact.items()}
+    out[max(out, key=lambda q: (out[q], -q))] += WHOLE - sum(out.values())
+    return out, WHOLE
+
+
+def schedule(sizes: dict[int, int], weights: dict[int, float], period: int | None = None):
+    """(queue, stretch, first block and first slot of the stretch, share, whole, first block and first slot of the chunk, blocks, their slots in the chunk); without slots the blocks are next to each other."""
+    left, at, stretch = {q: n for q, n in sizes.items() if n > 0}, 0, 0
+    done = dict.fromkeys(left, 0)
+    while len(left) > 1:
+        share, whole = shares({q: weights[q] for q in left}, period)
+        count, waiting, slot, ended = dict.fromkeys(left, 0), [(0, q) for q in sorted(left)], 0, False
+        ready: list[tuple[int, int]] = []
+        while not ended:
+            base, before, own = slot, dict(count), defaultdict(list)
+            while slot < base + CHUNK and not ended:
+                while waiting and waiting[0][0] <= slot:
+                    q = heapq.heappop(waiting)[1]
+                    heapq.heappush(ready, (-(-(count[q] + 1) * whole // share[q]), q))
+                q = heapq.heappop(ready)[1]
+                own[q].append(slot - base)
+                count[q] += 1
+                slot += 1
+                ended = count[q] == left[q]
+                heapq.heappush(waiting, (count[q] * whole // share[q], q))
+            for q, slots in own.items():
+                yield q, stretch, done[q], at, share[q], whole, done[q] + before[q], at + base, len(slots), slots
+        for q, n in count.items():
+            done[q] += n
+            left[q] -= n
         left = {q: n for q, n in left.items() if n}
-    return rows
-
-
-PLAN = "queue int, stretch int, first_block long, blocks long, block long, first_slot long, slots long, slot long, release long, due long, periods long"
-
-
-def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small table out of a literal string, without Python or RDDs: 'a,b;c,d'."""
-    names = [x.split() for x in schema.split(", ")]
-    text = ";".join(",".join(map(str, r)) for r in rows)
-    split = F.split("row", ",")
-    one = spark.range(1).select(F.explode(F.split(F.lit(text), ";")).alias("row")).filter(F.length("row") > 0)
-    return one.select(*[F.get(split, F.lit(i)).cast(kind).alias(name) for i, (name, kind) in enumerate(names)])
+        at += slot
+        stretch += 1
+    for q, n in left.items():
+        for i in range(0, n, RUN):
+            yield q, stretch, done[q], at, 1, 1, done[q] + i, at + i, min(RUN, n - i), []
+
+
+def stored(spark: SparkSession, lines) -> DataFrame:
+    """A schedule as a table: (queue, queue_position, position, stretch, low, start, share, whole)."""
+    path, n, part = new_path(spark, "schedule"), 0, []
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/lines.txt")
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    for *numbers, slots in lines:
+        part.append("|".join([*map(str, numbers), ",".join(map(str, slots))]) + "\n")
+        n += 1
+        if len(part) == 1024:
+            out.write(bytearray("".join(part).encode()))
+            part.clear()
+    out.write(bytearray("".join(part).encode()))
+    out.close()
+    cell = F.split("value", r"\|")
+    names = ["queue", "stretch", "low", "start", "share", "whole", "first", "base", "blocks"]
+    table = spark.read.text(path).repartition(n // 64 + 1, "value").select(*[cell[i].cast("long").alias(c) for i, c in enumerate(names)], cell[len(names)].alias("slots"))
+    slots = F.when(F.col("slots") == "", F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.split("slots", ",").cast("array<long>"))
+    each = table.select(*names[:8], F.posexplode(slots).alias("i", "slot"))
+    return each.select(F.col("queue").cast("int").alias("queue"), (F.col("first") + F.col("i")).alias("queue_position"), (F.col("base") + F.col("slot")).alias("position"), F.col("stretch").cast("int").alias("stretch"), "low", "start", "share", "whole")
 
 
 def queue_sizes(docs: DataFrame, max_sources: int = MAX_SOURCES) -> list[tuple[str | None, int]]:
@@ -106,10 +149,11 @@ def spread(cols: list[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
-def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None, *, exponent: float = EXPONENT, period: int = PERIOD, buckets: int | None = None, max_sources: int = MAX_SOURCES, key: list[str] | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None, *, exponent: float = EXPONENT, period: int | None = None, buckets: int | None = None, max_sources: int = MAX_SOURCES, key: list[str] | None = None) -> DataFrame:
     """All rows of docs (a column with the name of a result is replaced), with `position` (0, 1, ... in the mixed order), queue_position, stretch, release and deadline.
 
     targets: weight of each source; by default its number of rows to the power `exponent`.
+    period: where given, weights are rounded to whole slots of it.
     key: the columns that tell rows apart and shuffle each queue, doc_id and text by default.
     """
     spark = docs.sparkSession
@@ -138,16 +182,12 @@ def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None,
     numbered = rows.withColumn("_number", F.row_number().over(within) - 1).join(F.broadcast(base), ["_queue", "_bucket"])
     numbered = numbered.withColumn("queue_position", F.col("_base") + F.col("_number"))
 
-    planned = plan(sizes, weights, period)
-    table = literal_table(spark, planned, PLAN)
-    # the stretch of a block, from a list with two entries a source at most
-    limits = sorted({(q, first, first + n * times, s, n) for q, s, first, n, _, _, _, _, _, _, times in planned})
-    stretches = literal_table(spark, limits, "queue int, low long, high long, stretch int, per long")
-    at = numbered.join(F.broadcast(stretches), (F.col("_queue") == F.col("queue")) & (F.col("queue_position") >= F.col("low")) & (F.col("queue_position") < F.col("high")))
-    at = at.drop("queue", "high").withColumn("_block", F.expr("(queue_position - low) % per")).withColumn("_period", F.expr("(queue_position - low) div per"))
-    out = at.join(F.broadcast(table), (F.col("_queue") == table["queue"]) & (at["stretch"] == table["stretch"]) & (F.col("_block") == table["block"])).drop(table["stretch"])
-    start = F.col("first_slot") + F.col("_period") * F.col("slots")
-    return back(out, (start + F.col("slot")).alias("position"), "queue_position", (start + F.col("release")).alias("release"), (start + F.col("due")).alias("deadline"), at["stretch"].alias("stretch"))
+    table = stored(spark, schedule(sizes, weights, period)).withColumnRenamed("queue", "_queue").hint("merge")  # a row a block
+    out = numbered.join(table, ["_queue", "queue_position"])
+    part = "cast({0} AS decimal(20,0)) * cast(whole AS decimal(17,0))"
+    release = F.col("start") + F.expr(f"({part.format('queue_position - low')}) div cast(share AS decimal(17,0))")
+    due = F.col("start") + F.expr(f"({part.format('queue_position - low + 1')} + cast(share - 1 AS decimal(17,0))) div cast(share AS decimal(17,0))")
+    return back(out, "position", "queue_position", release.alias("release"), due.alias("deadline"), "stretch")
 
 
 def mixed(docs: DataFrame) -> DataFrame:

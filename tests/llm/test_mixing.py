@@ -46,6 +46,35 @@ def test_order(spark):
         assert [r["queue_position"] for r in got if r["source"] == s] == list(range(n))
 
 
+@pytest.mark.parametrize("weights", [[1.0] * 20, [0.6, 0.3, 0.0999, 0.0001], [n**0.5 for n in range(1, 41)], [1 / 3, 2 / 3]])
+def test_exact_targets_over_many_periods(weights):
+    total, n = sum(weights), 60_000
+    lines = [x for x in M.schedule({q: n for q in range(len(weights))}, dict(enumerate(weights))) if x[1] == 0]
+    order = sorted((base + s, q) for q, _, _, _, _, _, _, base, _, slots in lines for s in slots)
+    assert [s for s, _ in order] == list(range(len(order))) and len(order) >= n
+    seen = Counter()
+    for slot, q in order:
+        seen[q] += 1
+        assert -1 < seen[q] - weights[q] / total * (slot + 1) < 1
+        if slot % 501 == 0:
+            assert all(abs(seen[k] - w / total * (slot + 1)) < 1 for k, w in enumerate(weights))
+    assert all(abs(seen[k] - w / total * len(order)) < 1 for k, w in enumerate(weights))
+
+
+def test_rows_follow_exact_targets(spark):
+    docs = spark.createDataFrame(rows({f"s{i}": 600 for i in range(20)} | {"t": 70_000}), SCHEMA).repartition(6)
+    got = M.mix_sources(docs, {f"s{i}": 1.0 for i in range(20)} | {"t": 1.0}).orderBy("position").select("position", "source", "release", "deadline", "stretch", "queue_position").collect()
+    assert [r["position"] for r in got] == list(range(82_000))
+    seen = Counter()
+    for r in got:
+        assert r["release"] <= r["position"] < r["deadline"]
+        assert r["queue_position"] == seen[r["source"]]
+        seen[r["source"]] += 1
+        if r["stretch"] == 0:
+            assert abs(seen[r["source"]] - (r["position"] + 1) / 21) < 1
+    assert sum(r["stretch"] == 0 for r in got) > 12_000
+
+
 def test_many_sources_and_repeats(spark):
     docs = spark.createDataFrame(rows({f"s{i}": 3 for i in range(20)} | {"big": 200}), SCHEMA)
     docs = docs.union(docs)
