@@ -16,12 +16,13 @@ counts are summed over the buckets, and rows are numbered within a bucket.  A so
 over all buckets.
 
 Defined results: a null source is a source of its own; a null doc_id or text is kept; repeated rows get slots of their
-own; beyond `max_sources` sources the smallest form one queue; an empty table gives an empty result.
+own; every source is a queue, unless a caller's `max_sources` makes the smallest one queue with the sum of their weights; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 from collections import defaultdict
 from fractions import Fraction
 from math import gcd, lcm
@@ -34,7 +35,6 @@ from corpuscle.llm.common import aside, new_path
 BUCKETS = (64, 8192, 100_000)  # least, most, rows a bucket
 WHOLE = 1 << 53  # shares of a whole without a period
 CHUNK, RUN = 8192, 65536  # slots a chunk, and of the last source
-MAX_SOURCES = 64
 EXPONENT = 0.5
 RESULT = ["position", "queue_position", "release", "deadline", "stretch"]
 
@@ -138,10 +138,16 @@ def stored(spark: SparkSession, lines) -> DataFrame:
     return each.select(F.col("queue").cast("int").alias("queue"), (F.col("first") + F.col("i")).alias("queue_position"), (F.col("base") + F.col("slot")).alias("position"), F.col("stretch").cast("int").alias("stretch"), "low", "start", "share", "whole")
 
 
-def queue_sizes(docs: DataFrame, max_sources: int = MAX_SOURCES) -> list[tuple[str | None, int]]:
-    """(source, rows) of the largest sources, at most max_sources of them."""
-    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return [(r["source"], r["n"]) for r in counts.orderBy(F.desc("n"), F.col("source")).limit(max_sources).collect()]
+def queue_sizes(docs: DataFrame) -> list[tuple[str | None, int]]:
+    """(source, rows) of all sources, largest first: a row a source."""
+    counts = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    return [(r["source"], r["n"]) for r in counts.orderBy(F.desc("n"), F.col("source")).collect()]
+
+
+def queue_table(spark: SparkSession, sources: list[str | None]) -> DataFrame:
+    """(_source, _queue), out of a literal: without Python or RDDs."""
+    rows = F.from_json(F.lit(json.dumps([{"s": s, "q": q} for q, s in enumerate(sources)])), "array<struct<s string, q int>>")
+    return spark.range(1).select(F.inline(rows)).toDF("_source", "_queue")
 
 
 def spread(cols: list[str]) -> Column:
@@ -149,7 +155,7 @@ def spread(cols: list[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
-def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None, *, exponent: float = EXPONENT, period: int | None = None, buckets: int | None = None, max_sources: int = MAX_SOURCES, key: list[str] | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None, *, exponent: float = EXPONENT, period: int | None = None, buckets: int | None = None, max_sources: int | None = None, key: list[str] | None = None) -> DataFrame:
     """All rows of docs (a column with the name of a result is replaced), with `position` (0, 1, ... in the mixed order), queue_position, stretch, release and deadline.
 
     targets: weight of each source; by default its number of rows to the power `exponent`.
@@ -160,20 +166,19 @@ def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None,
     docs = docs.drop(*RESULT)
     docs, back = aside(docs) if key is None else (docs, lambda df, *more: df.select(*docs.columns, *more))
     key = key or [c for c in ("doc_id", "text") if c in docs.columns]
-    largest = queue_sizes(docs, max_sources)
-    total = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    every = queue_sizes(docs)
+    total = sum(n for _, n in every)
     if not total:
         return back(docs.limit(0), *[F.lit(0).cast("long").alias(c) for c in RESULT[:4]], F.lit(0).alias("stretch"))
     buckets = buckets or min(BUCKETS[1], max(BUCKETS[0], total // BUCKETS[2]))
-    sizes = {i: n for i, (_, n) in enumerate(largest)}
-    rest = total - sum(sizes.values())
-    weights = {i: (targets.get(s, 0) or 1e-9) if targets else n**exponent for i, (s, n) in enumerate(largest)}
-    if rest:
-        sizes[len(largest)], weights[len(largest)] = rest, rest**exponent if not targets else 1e-9
-    queue = F.lit(len(largest))
-    for i, (s, _) in reversed(list(enumerate(largest))):
-        queue = F.when(F.col("source").eqNullSafe(F.lit(s).cast("string")), F.lit(i)).otherwise(queue)
-    rows = docs.withColumn("_queue", queue).withColumn("_hash", spread(key)).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("int"))
+    sizes, weights = defaultdict(int), defaultdict(float)
+    own = len(every) if max_sources is None else min(max_sources, len(every))
+    for i, (s, n) in enumerate(every):
+        sizes[min(i, own)] += n
+        weights[min(i, own)] += (targets.get(s, 0) or 1e-9) if targets else n**exponent
+    queues = F.broadcast(queue_table(spark, [s for s, _ in every[:own]]))  # a row a source
+    rows = docs.join(queues, docs["source"].cast("string").eqNullSafe(queues["_source"]), "left").drop("_source").withColumn("_queue", F.coalesce("_queue", F.lit(own)))
+    rows = rows.withColumn("_hash", spread(key)).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("int"))
 
     counts = rows.groupBy("_queue", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     up_to = Window.partitionBy("_queue").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # of `buckets` rows

@@ -12,7 +12,7 @@ Places in queues: tokenizing numbers each source's tokens within a partition and
 (a row for each partition and source) then give every partition its base.  No task ever holds a source or a window.
 
 Defined results: a null text is the empty one and packs as its end id alone; null sources are a source of their own;
-beyond `max_sources` sources the smallest form one queue; null or repeated doc_ids are packed like others; an empty table
+every source is a queue, unless a caller's `max_sources` makes the smallest one queue with the sum of their targets; null or repeated doc_ids are packed like others; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.llm.common import Words, materialize, slices
-from corpuscle.llm.mixing import MAX_SOURCES, queue_sizes
+from corpuscle.llm.mixing import queue_sizes
 
 LENGTH = 4096
 WINDOW_SEQUENCES = 16
@@ -225,7 +225,7 @@ class Plan:
     def layout(self, k: int, n: int) -> list[int]:
         """Where each queue's tokens of window n start in the whole."""
         if (k, n) not in self.known:
-            if len(self.known) > 10_000:
+            if len(self.known) * len(self.planned[k][2]) > 640_000:
                 self.known.clear()
             every = range(len(self.planned[k][2]))
             before = [self.served(k, q, n) for q in every]
@@ -280,12 +280,13 @@ def cut(tokens: DataFrame, plan: Plan, with_ids: bool) -> DataFrame:
     return tokens.select("doc_id", "queue", "first", "doc_tokens", "ids").mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, targets: dict[str | None, float] | None = None, *, path: str | None = None, length: int = LENGTH, window_sequences: int = WINDOW_SEQUENCES, max_sources: int = MAX_SOURCES, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, targets: dict[str | None, float] | None = None, *, path: str | None = None, length: int = LENGTH, window_sequences: int = WINDOW_SEQUENCES, max_sources: int | None = None, with_ids: bool = False) -> DataFrame:
     """All documents in pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, ids.
 
     targets: wanted share of tokens of each source; by default the corpus's own shares, which all windows then have.
     """
-    names = [s for s, _ in queue_sizes(docs, max_sources)]
+    every = [s for s, _ in queue_sizes(docs)]
+    names = every[:max_sources]
     tokens = materialize(tokenize(docs, path or default_tokenizer(), names), "tokens", rows=10_000)
     sums = tokens.groupBy("part", "queue").agg(F.sum("doc_tokens").alias("n"))
     up_to = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
@@ -293,7 +294,7 @@ def pack(docs: DataFrame, targets: dict[str | None, float] | None = None, *, pat
     totals = [0] * (len(names) + 1)
     for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # a row a queue
         totals[r["queue"]] = r["n"]
-    wanted = [targets.get(s, 0.0) for s in names] + [0.0] if targets else None
+    wanted = [targets.get(s, 0.0) for s in names] + [sum(targets.get(s, 0.0) for s in every[len(names) :])] if targets else None
     plan = Plan(stretches(totals, wanted), length, length * window_sequences)
     placed = tokens.join(bases.select("part", "queue", "base"), ["part", "queue"]).withColumn("first", F.col("base") + F.col("queue_offset"))
     return cut(placed, plan, with_ids)

@@ -83,6 +83,18 @@ def test_many_sources_and_repeats(spark):
     assert M.mixed(docs).columns == docs.columns
 
 
+def test_every_source_is_a_queue_with_its_own_weight(spark):
+    sizes = {f"s{i:02}": 6 for i in range(79)} | {"z": 5, None: 5}
+    docs = spark.createDataFrame(rows(sizes), SCHEMA)
+    got = M.mix_sources(docs, {s: 1.0 for s in sizes} | {"z": 80.0}).orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(sum(sizes.values())))
+    assert abs(sum(r["source"] == "z" for r in got[:8]) - 4) <= 1
+    for s, n in sizes.items():
+        assert [r["queue_position"] for r in got if r["source"] == s] == list(range(n))
+    first = [r["source"] for r in M.mix_sources(docs).orderBy("position").limit(81).collect()]
+    assert set(first) == set(sizes)
+
+
 def test_mixed_rows_are_in_order(spark, tmp_path):
     docs = spark.createDataFrame(rows({"a": 300, "b": 300}), SCHEMA).repartition(4)
     M.mixed(docs).write.parquet(str(tmp_path / "out"))

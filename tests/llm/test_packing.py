@@ -77,6 +77,15 @@ def test_windows_have_the_target_mix(spark):
             assert abs(r["n"] - 512 * total[r["queue"]] / every) < 2 + len(total)
 
 
+def test_targets_of_more_sources_than_64(spark):
+    names = [f"s{i:02}" for i in range(79)] + ["z"]
+    docs = spark.createDataFrame([(100 * i + j, "the ab " * (20 if s == "z" else 30), s) for i, s in enumerate(names) for j in range(3 if s == "z" else 4)], "doc_id long, text string, source string")
+    got = P.pack(docs, {s: 1.0 for s in names} | {"z": 79.0}, length=64, window_sequences=2).collect()
+    assert len({r["queue"] for r in got}) == 80
+    mine = [r for r in got if r["doc_id"] // 100 == 79]
+    assert sum(r["length"] for r in mine if r["sequence_id"] < 2) > 50 and len({r["queue"] for r in mine}) == 1
+
+
 def test_places_cover_every_token():
     r = random.Random(3)
     for _ in range(60):
