@@ -2,8 +2,9 @@
 
 toxicity: documents that score 0.7 or more are dropped.  near_dedup: one document of each near-duplicate class stays.
 substring_dedup: words of passages of 35 words or more that occur elsewhere are removed.  mixing: documents are put in
-the order of the Pfair schedule.  packing: their tokens are packed into sequences; this stage alone returns other columns,
-a row for each piece.
+the order of the Pfair schedule.  packing: their tokens are packed into sequences, the weights of mixing as each source's
+target share of tokens, so that sequences have the mixture that mixing decided; this stage alone returns other columns, a
+row for each piece.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuscle.llm.common import new_path
-from corpuscle.llm.mixing import mixed
+from corpuscle.llm.mixing import default_weights, mixed
 from corpuscle.llm.neardup import without_near_copies
 from corpuscle.llm.packing import pack
 from corpuscle.llm.substring import removed
@@ -37,7 +38,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs).drop("ids")
+    return pack(docs, default_weights(docs)).drop("ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

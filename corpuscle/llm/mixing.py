@@ -150,15 +150,20 @@ def queue_table(spark: SparkSession, sources: list[str | None]) -> DataFrame:
     return spark.range(1).select(F.inline(rows)).toDF("_source", "_queue")
 
 
+def default_weights(docs: DataFrame) -> dict[str | None, float]:
+    """Weight of each source where no targets are given: its number of rows to the power EXPONENT."""
+    return {s: n**EXPONENT for s, n in queue_sizes(docs)}
+
+
 def spread(cols: list[str]) -> Column:
     """A hash of a row that is the same wherever the row lies."""
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
-def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None, *, exponent: float = EXPONENT, period: int | None = None, buckets: int | None = None, max_sources: int | None = None, key: list[str] | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None, *, exponent: float | None = None, period: int | None = None, buckets: int | None = None, max_sources: int | None = None, key: list[str] | None = None) -> DataFrame:
     """All rows of docs (a column with the name of a result is replaced), with `position` (0, 1, ... in the mixed order), queue_position, stretch, release and deadline.
 
-    targets: weight of each source; by default its number of rows to the power `exponent`.
+    targets: weight of each source; by default its number of rows to the power `exponent` (EXPONENT).
     period: where given, weights are rounded to whole slots of it.
     key: the columns that tell rows apart and shuffle each queue, doc_id and text by default.
     """
@@ -166,7 +171,7 @@ def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None,
     docs = docs.drop(*RESULT)
     docs, back = aside(docs) if key is None else (docs, lambda df, *more: df.select(*docs.columns, *more))
     key = key or [c for c in ("doc_id", "text") if c in docs.columns]
-    every = queue_sizes(docs)
+    every, exponent = queue_sizes(docs), EXPONENT if exponent is None else exponent
     total = sum(n for _, n in every)
     if not total:
         return back(docs.limit(0), *[F.lit(0).cast("long").alias(c) for c in RESULT[:4]], F.lit(0).alias("stretch"))

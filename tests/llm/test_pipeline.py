@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
+from corpuscle.llm import mixing as M
 from corpuscle.llm.registry import QUERIES
 
 
@@ -32,5 +35,18 @@ def test_stages(spark, small, tmp_path):
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in mixed.collect()}
 
 
+@pytest.mark.parametrize(("exponent", "share"), [(None, 0.25), (1.0, 0.1), (0.0, 0.5)])
+def test_sequences_have_the_mixture_of_mixing(spark, monkeypatch, tmp_path, exponent, share):
+    if exponent is not None:
+        monkeypatch.setattr(M, "EXPONENT", exponent)
+    docs = spark.createDataFrame([(i, "ab the " * 500, "few" if i % 10 == 0 else "many") for i in range(1000)], "doc_id long, text string, source string")
+    corpus_pipeline.mixing(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    packed = corpus_pipeline.packing(spark, mixed, "")
+    first = [r for r in packed.collect() if r["sequence_id"] < 16]
+    assert sum(r["length"] for r in first) == 16 * 4096
+    assert abs(sum(r["length"] for r in first if r["doc_id"] % 10 == 0) / (16 * 4096) - share) < 0.01
+
+
 def test_run(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
