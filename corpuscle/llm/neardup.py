@@ -13,7 +13,8 @@ Links, without ever forming the pairs of a bucket:
 3. in buckets that still hold several components, all texts outside the largest one are compared with the whole bucket, in
    blocks of bounded size, each pair in the first band it shares; signatures rule out pairs far below the threshold, the
    others are compared exactly, and a block returns no more links than join its components.
-A link of two different texts that share a band is thus always found, unless both are already in one class.
+A link of two different texts that share a band is thus found, unless both are already in one class or signatures rule it
+out in step 3: by the binomial law some 5 in 100,000 pairs at exactly 0.8 agree on too few coordinates.
 
 Copies of a text are one node.  Defined results: a text of fewer than five words is one shingle of all its words; a text
 without words is only like its exact copies; a null text is alone; the class of a document is the least doc_id in it;
