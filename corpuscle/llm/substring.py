@@ -2,19 +2,23 @@
 
 A window is `window` consecutive words of one document; it is repeated if its words also start anywhere else.
 1. Index: every document's non-overlapping blocks of `block` words, block = (window + 1) // 2, so that each window holds a
-   whole block wherever it starts.  Probe: the rolling hashes of all its windows of `block` words.  Both go, as sorted
-   arrays without repeats, to the part of the hash space they fall in; a part holds a bounded number of distinct hashes,
-   since the number of parts follows the corpus.  Blocks whose hash is met at another place are hits.
-2. Extension: only windows that hold a hit block can be repeated.  Their digests of 64 bits, beside the bits that chose
-   the part, are counted likewise, and the windows whose digest is met twice or more are repeated; neighbouring ones merge
-   to maximal exact repeats.  Every place is compared with one digest, never with all its copies.
+   whole block wherever it starts.  Probe: the rolling hashes of all its windows of `block` words.  A block whose hash is
+   met at another place is a hit.
+2. Extension: a hit is extended to the windows that hold it; no other window can be repeated.  Their digests (BLAKE2b of
+   the window's words, 128 bits) are counted, and those met twice or more are repeated; neighbouring ones merge to maximal
+   exact repeats.  Every place is compared with one digest, never with all its copies.
 3. The words that repeated windows cover are removed from all copies.
 
-Hash values of 32 bits in step 1 only choose what step 2 looks at.  Texts travel once, hashed on their identity, and meet
-hits and repeats there; copies of one text give a part their hashes once a batch.
+Hash values of step 1 only choose what step 2 looks at; equal words have equal hashes, so nothing is lost by them.
 
-Defined results: null and empty texts have no words; a text shorter than a window keeps all its words; ties, repeated rows
-and null doc_ids are documents like others; an empty table gives an empty result; other columns are kept by `removed`.
+Documents are dealt into groups of some megabytes by a hash of the row, so copies of one text are spread.  A group sends
+each hash or digest once to the part of the hash space it falls in, however often it holds it, with the mark "twice or more"; a part answers
+each group with those that are repeated.  So a passage in all documents costs a part one entry a group, and never one a document.
+The numbers of groups and of parts both follow the corpus.
+
+Defined results: null and empty texts have no words; a text shorter than a window keeps all its words; very long texts are
+worked on whole; ties, repeated rows and null doc_ids are documents like others; an empty table, or one without any
+repeat, loses no word; other columns are kept by `removed`.
 """
 
 from __future__ import annotations
@@ -26,234 +30,188 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import Words, aside, slices
+from corpuscle.llm.common import Words, aside, materialize, slices
 
 WINDOW = 35
-PART_WORDS = 1 << 21  # windows a part is to hold
+GROUPS = (16, 4 << 20, 64 << 20)  # least number; least and most bytes a group: 6.4 times the root of the corpus between them
+PARTS = (8, 1 << 21, 1 << 24)  # least number; least and most windows a part
 SLICE_BYTES = 1 << 18  # worked on at a time
-HELD = 1 << 20  # hashes gathered before they are dealt out to parts
 _LOW = np.uint64(0xFFFFFFFF)
+_MANY, _BLOCK = 1, 2
 
 
-def parts_for(docs: DataFrame) -> int:
-    """Parts of the hash space: by the bytes of all texts, six to a word."""
+def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs with `_row` (a hash of the row) and its group `_g`, and the number of parts: by the bytes of all texts, six to a word."""
     total = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
-    return max(8, -(-total // (6 * PART_WORDS)))
+    grown = 6.4 * total**0.5
+    group = int(min(max(GROUPS[1], grown), GROUPS[2]))
+    part = int(min(max(PARTS[1], grown / 6), PARTS[2]))
+    row = F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns])
+    out = docs.withColumn("_row", row).withColumn("_g", F.pmod("_row", F.lit(max(GROUPS[0], -(-total // group)))))
+    return out, max(PARTS[0], -(-total // (6 * part)))
 
 
-def _key(h: np.ndarray, parts: int) -> np.ndarray:
-    """The part above 32 bits, a hash of 32 bits below."""
-    return ((h >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32) | (h & _LOW)
+def _cuts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start in a sorted array, and its length at the end; empty for an empty one."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
 
-def _part_of(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(32)).astype(np.int64)
+def _batch(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def _once(key: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys, and whether each is there twice or is marked."""
-    order = np.argsort(key, kind="stable")
-    key, many = key[order], many[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], (np.diff([*first, len(key)]) > 1) | np.maximum.reduceat(many, first)
+def _column(table: pa.Table, name: str) -> pa.Array:
+    got = table.column(name)
+    return got.combine_chunks() if isinstance(got, pa.ChunkedArray) else got
 
 
-def _held(items):
-    """Lists of items, of HELD entries in their first arrays or so."""
-    held, n = [], 0
-    for x in items:
-        held.append(x)
-        n += len(x[0])
-        if n >= HELD:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+# ---------------------------------------------------------------------------- 1. hits
 
+PROBES = "part int, g long, keys binary, flags binary"
+HITS = "g long, part int, keys binary"
 
-def _distinct(batch: pa.RecordBatch, tid: str, text: str):
-    """Slices of a batch's texts: (ids, texts) of distinct texts, and whether each is there more than once."""
-    ids = batch.column(batch.schema.get_field_index(tid))
-    texts = batch.column(batch.schema.get_field_index(text))
-    keep = np.flatnonzero(~np.asarray(ids.is_null()))
-    if not len(keep):
-        return
-    values = ids.take(pa.array(keep)).to_numpy(zero_copy_only=False).astype(np.int64)
-    one, first, counts = np.unique(values, return_index=True, return_counts=True)
-    order = np.argsort(first)
-    at = keep[first[order]]
-    some, multi, own = texts.take(pa.array(at)), counts[order] > 1, one[order]
-    for i, j in slices(some, SLICE_BYTES):
-        yield own[i:j], some.slice(i, j - i), multi[i:j], at[i:j]
 
+def _key(h: np.ndarray, parts: int) -> np.ndarray:
+    """The part above 32 bits, a hash of 32 bits below."""
+    return ((h >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32) | (h & _LOW)
 
-def _grouped(part: np.ndarray, *columns: np.ndarray):
-    """(part, columns' bytes...) for each part."""
-    order = np.argsort(part, kind="stable")
-    part, columns = part[order], [c[order] for c in columns]
-    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-    for a, b in zip(cut, [*cut[1:], len(part)], strict=True):
-        yield int(part[a]), *[c[a:b].tobytes() for c in columns]
 
+def _anchors(words: Words, window: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all windows of a block's length in texts of a window or more, whether each is an aligned block, and its first word."""
+    block = (window + 1) // 2
+    at, h = words.windows(block)
+    doc = words.doc[at]
+    long = words.count[doc] >= window
+    at, h, doc = at[long], h[long], doc[long]
+    return _key(h, parts), (at - words.first[doc]) % block == 0, at
+
+
+def _probes(window: int, parts: int):
+    """A group's distinct keys by part; flags: there twice or more, a block of the index."""
+
+    def run(key, table):
+        found = []
+        for i, j in slices(texts := _column(table, "text"), SLICE_BYTES):
+            k, aligned, _ = _anchors(Words(texts.slice(i, j - i)), window, parts)
+            found.append((k, aligned))
+        if not sum(len(k) for k, _ in found):
+            return _batch([], PROBES)
+        keys, aligned = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, aligned = keys[order], aligned[order]
+        cut = _cuts(keys)
+        flags = (np.diff(cut) > 1) * np.uint8(_MANY) + np.maximum.reduceat(aligned, cut[:-1]).astype(np.uint8) * np.uint8(_BLOCK)
+        keys = keys[cut[:-1]]
+        part, low = (keys >> np.uint64(32)).astype(np.int32), (keys & _LOW).astype(np.uint32)
+        ends = _cuts(part)
+        return _batch([(int(part[a]), key[0].as_py(), low[a:b].tobytes(), flags[a:b].astype(np.uint8).tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)], PROBES)
 
-ANCHORS = "part int, probes binary, many binary, block_hash binary, block_tid binary, block_no binary"
+    return run
 
 
-def anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
-    """Probes and index entries by part.  docs: (tid, text)."""
-    block = (window + 1) // 2
+def _hits(table: pa.Table) -> pa.Table:
+    """For each group of a part, its blocks that are met at another place."""
+    part, groups = table.column("part")[0].as_py(), table.column("g").to_pylist()
+    keys = [np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()]
+    flags = np.frombuffer(b"".join(table.column("flags").to_pylist()), np.uint8)
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    cut = _cuts(every[order])
+    many = (np.diff(cut) > 1) | (np.maximum.reduceat(flags[order] & _MANY, cut[:-1]) > 0)
+    hit = np.empty(len(every), bool)
+    hit[order] = np.repeat(many, np.diff(cut))
+    hit &= flags & _BLOCK > 0
+    ends = np.cumsum([0, *map(len, keys)])
+    out = [(g, part, every[a:b][hit[a:b]].tobytes()) for g, a, b in zip(groups, ends[:-1], ends[1:], strict=True) if hit[a:b].any()]
+    return _batch(out, HITS)
 
-    def work(batches):
-        """Slice by slice: distinct (part, hash) keys, whether each is there more than once, and the aligned blocks."""
-        for batch in batches:
-            for tid, texts, multi, _ in _distinct(batch, "tid", "text"):
-                words = Words(texts)
-                at, h = words.windows(block)
-                long = words.count[words.doc[at]] >= window
-                at, h = at[long], h[long]
-                if not len(h):
-                    continue
-                doc = words.doc[at]
-                key = _key(h, parts)
-                place = at - words.first[doc]
-                aligned = place % block == 0
-                yield *_once(key, multi[doc]), key[aligned], tid[doc[aligned]], (place[aligned] // block).astype(np.int32)
-
-    def dealt(held: list[tuple]) -> pa.RecordBatch:
-        key, many, *index = (np.concatenate(c) for c in zip(*held, strict=True))
-        key, many = _once(key, many)
-        probes = {p: rest for p, *rest in _grouped(_part_of(key), (key & _LOW).astype(np.uint32), many)}
-        blocks = {p: rest for p, *rest in _grouped(_part_of(index[0]), (index[0] & _LOW).astype(np.uint32), *index[1:])}
-        rows = [(p, *v, *blocks.get(p, (b"", b"", b""))) for p, v in probes.items()]
-        kinds = [pa.int32()] + [pa.binary()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in ANCHORS.split(", ")])
-
-    def run(batches):
-        yield from map(dealt, _held(work(batches)))
-
-    return docs.select("tid", "text").mapInArrow(run, ANCHORS)
-
-
-def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-
-
-def _repeated(values: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Sorted distinct values that are there twice or are marked."""
-    order = np.argsort(values, kind="stable")
-    values, many = values[order], many[order]
-    if not len(values):
-        return values
-    same = values[1:] == values[:-1]
-    return np.unique(values[many | np.concatenate([same, [False]])])
-
-
-def _dealt_back(tid: np.ndarray, place: np.ndarray, parts: int) -> pa.Table:
-    """A row for each of `parts` groups of texts: distinct (text, place) pairs, sorted."""
-    order = np.lexsort((place, tid))
-    tid, place = tid[order], place[order]
-    one = np.concatenate([[True], (tid[1:] != tid[:-1]) | (place[1:] != place[:-1])]) if len(tid) else np.zeros(0, bool)
-    tid, place = tid[one], place[one]
-    rows = list(_grouped(tid % parts, tid, place))
-    columns = zip(*rows, strict=True) if rows else [()] * 3
-    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], [x.split()[0] for x in BACK.split(", ")])
-
-
-def _hits(parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        repeated = _repeated(_joined(table, "probes", np.uint32), _joined(table, "many", bool))
-        h, tid, no = _joined(table, "block_hash", np.uint32), _joined(table, "block_tid", np.int64), _joined(table, "block_no", np.int32)
-        hit = np.isin(h, repeated) if len(repeated) else np.zeros(len(h), bool)
-        return _dealt_back(tid[hit], no[hit], parts)
 
-    return run
+# ---------------------------------------------------------------------------- 2. extension
 
+DIGESTS = "part int, g long, digests binary, many binary, nth binary, place binary"
+REPEATS = "g long, nth binary, place binary"
 
-def _by_text(table: pa.Table) -> pa.Table:
-    """A row for each text of a group: its places, as 32-bit numbers."""
-    tid, place = _joined(table, "tids", np.int64), _joined(table, "places", np.int32)
-    order = np.lexsort((place, tid))
-    tid, place = tid[order], place[order]
-    cut = np.flatnonzero(np.concatenate([[True], tid[1:] != tid[:-1]])) if len(tid) else np.zeros(0, np.int64)
-    ends = [*cut[1:], len(tid)] if len(cut) else []
-    return pa.table({"tid": pa.array(tid[cut], pa.int64()), "places": pa.array([place[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())})
 
+def _in_order(table: pa.Table) -> pa.Table:
+    """A group's rows in an order that does not depend on how they came; rows with one hash are equal."""
+    return table.take(pa.array(np.argsort(_column(table, "_row").to_numpy(zero_copy_only=False), kind="stable")))
 
-BACK = "texts int, tids binary, places binary"
-PLACES = "tid long, places binary"
-CANDIDATES = "part int, digest binary, many binary, tid binary, place binary"
 
+def _spaced(words: Words) -> tuple[bytes, np.ndarray]:
+    """All words of a slice, each with one blank after it, and where each starts."""
+    out, _ = _kept(words, np.zeros(len(words.start), bool))
+    return out.tobytes(), np.concatenate([[0], np.cumsum(words.end - words.start + 1)])
 
-def candidates(joined: DataFrame, window: int, parts: int) -> DataFrame:
-    """Digests of the windows that hold a hit block, by part.  joined: (tid, text, hits, ...)."""
+
+def _extended(window: int, parts: int):
+    """Digests of a group's windows that hold a hit, by part; and, as part -1, the places of all of them."""
     block = (window + 1) // 2
 
-    def work(batches):
-        for batch in batches:
-            hits = batch.column(batch.schema.get_field_index("hits"))
-            for tid, texts, multi, rows in _distinct(batch, "tid", "text"):
-                words = Words(texts)
-                marked = np.zeros(len(words.start) + 1, np.int64)
-                for k, row in enumerate(rows):
-                    if (places := hits[int(row)].as_py()) is not None:
-                        b = np.frombuffer(places, np.int32).astype(np.int64) * block
-                        lo = np.maximum(b + block - window, 0) + words.first[k]
-                        hi = np.minimum(b, words.count[k] - window) + words.first[k] + 1
-                        ok = lo < hi
-                        np.add.at(marked, lo[ok], 1)
-                        np.add.at(marked, hi[ok], -1)
-                at, h = words.windows(window)
-                some = np.cumsum(marked)[at] > 0
-                at, h = at[some], h[some]
-                if len(h):
-                    _, other = words.windows(window, second=True)
-                    doc = words.doc[at]
-                    yield h, (other[some] >> np.uint64(32)) % np.uint64(parts), multi[doc], tid[doc], (at - words.first[doc]).astype(np.int32)
-
-    def dealt(held: list[tuple]) -> pa.RecordBatch:
-        h, part, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
-        out = list(_grouped(part.astype(np.int64), h, *rest))
-        kinds = [pa.int32()] + [pa.binary()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in CANDIDATES.split(", ")])
-
-    def run(batches):
-        yield from map(dealt, _held(work(batches)))
-
-    return joined.mapInArrow(run, CANDIDATES)
-
-
-def _windows(parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        h = _joined(table, "digest", np.uint64)
-        tid, place = _joined(table, "tid", np.int64), _joined(table, "place", np.int32)
-        repeated = _repeated(h, _joined(table, "many", bool))
-        hit = np.isin(h, repeated) if len(repeated) else np.zeros(len(h), bool)
-        return _dealt_back(tid[hit], place[hit], parts)
+    def run(key, texts, hits):
+        if not texts.num_rows or not hits.num_rows:
+            return _batch([], DIGESTS)
+        known = np.sort(np.concatenate([np.frombuffer(k, np.uint32).astype(np.uint64) | np.uint64(p << 32) for p, k in zip(hits.column("part").to_pylist(), hits.column("keys").to_pylist(), strict=True)]))
+        texts, base, digests, places = _column(_in_order(texts), "text"), 0, [], []
+        for i, j in slices(texts, SLICE_BYTES):
+            words = Words(texts.slice(i, j - i))
+            keys, aligned, at = _anchors(words, window, parts)
+            keys, at = keys[aligned], at[aligned]
+            at = at[known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys]
+            marked = np.zeros(len(words.start) + 1, np.int64)
+            doc = words.doc[at]
+            lo = np.maximum(at + block - window, words.first[doc])
+            hi = np.minimum(at, words.first[doc] + words.count[doc] - window) + 1
+            np.add.at(marked, lo[lo < hi], 1)
+            np.add.at(marked, hi[lo < hi], -1)
+            some = np.flatnonzero(np.cumsum(marked)[:-1] > 0)
+            if len(some):
+                raw, start = _spaced(words)
+                own = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start[some].tolist(), (start[some + window] - 1).tolist(), strict=True)]
+                digests.append(b"".join(own))
+                places.append(base + some)
+            base += len(words.start)
+        if not digests:
+            return _batch([], DIGESTS)
+        two = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+        order = np.lexsort((two[:, 1], two[:, 0]))
+        two, place = two[order], np.concatenate(places)[order].astype(np.int32)
+        new = np.concatenate([[True], (two[1:] != two[:-1]).any(1)])
+        nth = np.cumsum(new) - 1
+        cut = np.append(np.flatnonzero(new), len(two))
+        one, many = two[cut[:-1]], np.diff(cut) > 1
+        part = (one[:, 1] % np.uint64(parts)).astype(np.int32)
+        by_part = np.argsort(part, kind="stable")
+        ends, g = _cuts(part[by_part]), key[0].as_py()
+        rows = [(-1, g, b"", b"", nth.astype(np.int32).tobytes(), place.tobytes())]
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            own = by_part[a:b]
+            rows.append((int(part[own[0]]), g, one[own].tobytes(), many[own].tobytes(), own.astype(np.int32).tobytes(), b""))
+        return _batch(rows, DIGESTS)
 
     return run
 
 
-def with_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs (with text) and tid, and `repeats`: the places at which repeated windows start, as 32-bit numbers."""
-    parts = parts_for(docs)
-    own = docs.withColumn("tid", F.xxhash64("text"))  # never null, so both joins below read one and the same exchange
-    found = anchors(own, window, parts).groupBy("part").applyInArrow(_hits(parts), BACK)
-    hits = found.groupBy("texts").applyInArrow(_by_text, PLACES).withColumnRenamed("places", "hits")
-    joined = own.join(hits, "tid")
-    again = candidates(joined, window, parts).groupBy("part").applyInArrow(_windows(parts), BACK)
-    repeats = again.groupBy("texts").applyInArrow(_by_text, PLACES).withColumnRenamed("places", "repeats")
-    return own.join(repeats, "tid", "left")
+def _repeated(table: pa.Table) -> pa.Table:
+    """For each group of a part, the numbers of its digests that are repeated."""
+    groups = table.column("g").to_pylist()
+    nth = [np.frombuffer(x, np.int32) for x in table.column("nth").to_pylist()]
+    two = np.frombuffer(b"".join(table.column("digests").to_pylist()), np.uint64).reshape(-1, 2)
+    many = np.frombuffer(b"".join(table.column("many").to_pylist()), bool)
+    order = np.lexsort((two[:, 1], two[:, 0]))
+    new = np.concatenate([[True], (two[order][1:] != two[order][:-1]).any(1)])
+    cut = np.append(np.flatnonzero(new), len(two))
+    again = np.empty(len(two), bool)
+    again[order] = np.repeat((np.diff(cut) > 1) | np.maximum.reduceat(many[order], cut[:-1]), np.diff(cut))
+    ends = np.cumsum([0, *map(len, nth)])
+    return _batch([(g, x[again[a:b]].tobytes(), b"") for g, x, a, b in zip(groups, nth, ends[:-1], ends[1:], strict=True) if again[a:b].any()], REPEATS)
 
 
-def _covered(words: Words, repeats, window: int) -> np.ndarray:
-    """Whether each word of a slice is in a repeated window."""
-    marked = np.zeros(len(words.start) + 1, np.int64)
-    for k in range(words.docs):
-        if (places := repeats[k]) is not None:
-            at = np.frombuffer(places, np.int32).astype(np.int64) + words.first[k]
-            np.add.at(marked, at, 1)
-            np.add.at(marked, at + window, -1)
-    return np.cumsum(marked)[:-1] > 0
+# ---------------------------------------------------------------------------- 3. removal
 
 
 def _kept(words: Words, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,56 +230,80 @@ def _kept(words: Words, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], np.cumsum(kept_of)])
 
 
-def _edit(batch: pa.RecordBatch, window: int):
-    """Slices of a batch: rows, words, covered words, kept bytes and their offsets."""
-    texts = batch.column(batch.schema.get_field_index("text"))
-    repeats = batch.column(batch.schema.get_field_index("repeats"))
+def _edits(texts: pa.Array, repeats: pa.Table, window: int):
+    """Slices of a group's texts, in order: rows, words, covered words, kept bytes and their offsets."""
+    nth, place = repeats.column("nth").to_pylist(), repeats.column("place").to_pylist()
+    again = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(n, np.int32) for n, p in zip(nth, place, strict=True) if not p]])
+    at = np.zeros(0, np.int64)
+    for n, p in zip(nth, place, strict=True):
+        if p:
+            own = np.zeros(int(np.frombuffer(n, np.int32).max()) + 1, bool)
+            own[again] = True
+            at = np.sort(np.frombuffer(p, np.int32)[own[np.frombuffer(n, np.int32)]]).astype(np.int64)
+    base = 0
     for i, j in slices(texts, SLICE_BYTES):
         words = Words(texts.slice(i, j - i), hashed=False)
-        covered = _covered(words, repeats.slice(i, j - i).to_pylist(), window)
+        n = len(words.start)
+        here = at[np.searchsorted(at, base) : np.searchsorted(at, base + n)] - base
+        marked = np.bincount(here, minlength=n + 1) - np.bincount(here + window, minlength=n + 1)
+        covered = np.cumsum(marked)[:n] > 0
+        base += n
         yield i, j, words, covered, *_kept(words, covered)
 
 
-DIGESTS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+def edited(docs: DataFrame, window: int, edit, schema) -> DataFrame:
+    """edit(texts in a group's order, slices of them) of every group, by the method above."""
+    own, parts = dealt(docs)
+    probes = own.groupBy("_g").applyInArrow(_probes(window, parts), PROBES)
+    hits = probes.groupBy("part").applyInArrow(_hits, HITS)
+    found = materialize(own.groupBy("_g").cogroup(hits.groupBy("g")).applyInArrow(_extended(window, parts), DIGESTS), "digests")
+    repeats = found.filter("part >= 0").groupBy("part").applyInArrow(_repeated, REPEATS)
+    repeats = repeats.unionByName(found.filter("part < 0").select("g", "nth", "place"))
+
+    def run(key, rows, again):
+        rows = _in_order(rows)
+        return edit(rows, _edits(_column(rows, "text"), again, window))
+
+    return own.groupBy("_g").cogroup(repeats.groupBy("g")).applyInArrow(run, schema)
+
+
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row of docs (doc_id, text)."""
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            for i, j, words, covered, kept, off in _edit(batch, window):
-                gone = np.bincount(words.doc[covered], minlength=words.docs)
-                raw = kept.tobytes()
-                sha = [hashlib.sha256(raw[off[k] : max(off[k], off[k + 1] - 1)]).hexdigest() for k in range(words.docs)]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(words.count, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], [x.split()[0] for x in DIGESTS.split(", ")])
+    def edit(rows: pa.Table, edits) -> pa.Table:
+        words_of, gone_of, sha = [], [], []
+        for _, _, words, covered, kept, off in edits:
+            raw = kept.tobytes()
+            words_of.append(words.count)
+            gone_of.append(np.bincount(words.doc[covered], minlength=words.docs))
+            sha += [hashlib.sha256(raw[off[k] : max(off[k], off[k + 1] - 1)]).hexdigest() for k in range(words.docs)]
+        counts = [np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (words_of, gone_of)]
+        return pa.table([_column(rows, "doc_id"), *map(pa.array, counts), pa.array(sha, pa.string())], [x.split()[0] for x in RESULT.split(", ")])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_repeats(own, window).mapInArrow(run, DIGESTS)
+    return edited(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), window, edit, RESULT)
 
 
 def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the words of repeated windows; a text that loses none is unchanged, others have one blank between words."""
     docs, back = aside(docs)
     names = docs.columns
-    at = names.index("text")
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            for i, j, words, covered, kept, off in _edit(batch, window):
-                gone = np.bincount(words.doc[covered], minlength=words.docs)
-                raw, own = kept.tobytes(), texts.slice(i, j - i)
-                new = [own[k].as_py() if not gone[k] else raw[off[k] : max(off[k], off[k + 1] - 1)].decode() for k in range(words.docs)]
-                columns = [batch.column(batch.schema.get_field_index(c)).slice(i, j - i) for c in names]
-                columns[at] = pa.array(new, pa.string())
-                if "n_chars" in names:
-                    columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in new], pa.int64())
-                yield pa.RecordBatch.from_arrays(columns, names)
+
+    def edit(rows: pa.Table, edits) -> pa.Table:
+        texts, new = _column(rows, "text"), []
+        for i, _, words, covered, kept, off in edits:
+            gone = np.bincount(words.doc[covered], minlength=words.docs)
+            raw = kept.tobytes()
+            new += [texts[i + k].as_py() if not gone[k] else raw[off[k] : max(off[k], off[k + 1] - 1)].decode() for k in range(words.docs)]
+        out = {c: rows.column(c) for c in names} | {"text": pa.array(new, pa.string())}
+        if "n_chars" in names:
+            out["n_chars"] = pa.array([None if t is None else len(t) for t in new], pa.int64())
+        return pa.table(out)
 
     typed = docs.withColumn("n_chars", F.col("n_chars").cast("long")) if "n_chars" in names else docs
-    return back(with_repeats(typed, window).mapInArrow(run, typed.schema))
+    return back(edited(typed, window, edit, typed.schema))
 
 
 def op2_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
