@@ -2,12 +2,14 @@
 
 Each source is a queue of blocks.  Block j of a source of weight w is released at floor(j / w) and due at
 ceil((j + 1) / w); earliest deadline first then runs in every slot one block that has been released.  Weights are exact
-ratios of whole numbers (roots and the like are rounded to 2**-53, as floats are), and the schedule runs over a whole stretch without a period, so no source is
-ever a whole block from its target, however long the stretch.  (A caller's `period` rounds weights to whole slots of it.)
+ratios of whole numbers (roots and the like are rounded to 2**-53, as floats are), and the schedule runs over a whole
+stretch without a period, so no source is ever a whole block from its target, however long the stretch.
 
 A source that is used up leaves, which ends a stretch; the others go on with their weights scaled up, counted from there.
 
-The driver runs the schedule, some 2 microseconds a block, and writes it to the shared folder in chunks of bounded size:
+A block is one row, up to STEPS rows; beyond, blocks are so many rows that the schedule has about STEPS steps (`block` sets
+it), and the bound is of one such block: 1,200 rows of 2 * 10**10.  The driver runs the schedule, some 2 microseconds a
+step, so its time is bounded whatever the corpus holds, and writes it to the shared folder in chunks of bounded size:
 a line for each queue and chunk with the slots of the queue's blocks.  Rows find their slots by a join; releases and
 deadlines are whole-number arithmetic on the block's number.  The last source left needs no schedule.
 
@@ -15,8 +17,10 @@ The number of a block in its queue needs no global sort: rows are counted by (so
 counts are summed over the buckets, and rows are numbered within a bucket.  A source with a third of all rows is spread
 over all buckets.
 
-Defined results: a null source is a source of its own; a null doc_id or text is kept; repeated rows get slots of their
-own; every source is a queue, unless a caller's `max_sources` makes the smallest one queue with the sum of their weights; an empty table gives an empty result.
+Defined results: a null source is a source of its own; a null doc_id, and a null, empty or very long text are rows like
+others; repeated rows get places of their own; equal deadlines go to the larger source, then by its name; every source is
+a queue, however many there are, and one without a target has a weight of 1e-9; an empty table gives an empty result.
+`mixed` keeps all columns whatever their names; `mix_sources` replaces those of its results.
 """
 
 from __future__ import annotations
@@ -36,44 +40,13 @@ BUCKETS = (64, 8192, 100_000)  # least, most, rows a bucket
 WHOLE = 1 << 53  # shares of a whole without a period
 CHUNK, RUN = 8192, 65536  # slots a chunk, and of the last source
 EXPONENT = 0.5
+STEPS = 1 << 24  # of a schedule, about: blocks are rows up to that many
+LINE = ["queue", "stretch", "low", "start", "share", "whole", "first", "base", "lacking", "blocks"]  # low, first: blocks of the queue before the stretch, the chunk; start, base: slots before them; lacking: rows that blocks before the stretch had too few
 RESULT = ["position", "queue_position", "release", "deadline", "stretch"]
 
 
-def quantise(weights: dict[int, float], period: int) -> dict[int, int]:
-    """Whole slots of a period for each weight, at least one, by largest remainders."""
-    total = sum(weights.values())
-    exact = {k: w * period / total for k, w in weights.items()}
-    out = {k: max(1, int(x)) for k, x in exact.items()}
-    order = sorted(exact, key=lambda k: (int(exact[k]) - exact[k], k))
-    i = 0
-    while sum(out.values()) < period:
-        out[order[i % len(order)]] += 1
-        i += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda k: (out[k], -k))] -= 1
-    return out
-
-
-def earliest_deadline_first(share: dict[int, int], period: int) -> list[tuple[int, int, int, int]]:
-    """One period: (queue, block in the period, release, deadline), in the order of the slots."""
-    coming = sorted((b * period // a, -(-(b + 1) * period // a), q, b) for q, a in share.items() for b in range(a))
-    ready: list[tuple[int, int, int, int]] = []
-    out, i = [], 0
-    for slot in range(period):
-        while i < len(coming) and coming[i][0] <= slot:
-            release, due, q, b = coming[i]
-            heapq.heappush(ready, (due, q, b, release))
-            i += 1
-        due, q, b, release = heapq.heappop(ready)
-        out.append((q, b, release, due))
-    return out
-
-
-def shares(weights: dict[int, float], period: int | None) -> tuple[dict[int, int], int]:
-    """Weights as whole parts of a total: of the period's slots, or else exactly (0.3 is 3 of 10) or of WHOLE."""
-    if period:
-        slots = max(period, len(weights))
-        return quantise(weights, slots), slots
+def shares(weights: dict[int, float]) -> tuple[dict[int, int], int]:
+    """Weights as whole parts of a total: exactly (0.3 is 3 of 10), or else of WHOLE."""
     exact = {q: Fraction(str(float(w))) for q, w in weights.items()}
     unit = Fraction(gcd(*(w.numerator for w in exact.values())), lcm(*(w.denominator for w in exact.values())))
     total = sum(exact.values())
@@ -84,12 +57,12 @@ def shares(weights: dict[int, float], period: int | None) -> tuple[dict[int, int
     return out, WHOLE
 
 
-def schedule(sizes: dict[int, int], weights: dict[int, float], period: int | None = None):
-    """(queue, stretch, first block and first slot of the stretch, share, whole, first block and first slot of the chunk, blocks, their slots in the chunk); without slots the blocks are next to each other."""
-    left, at, stretch = {q: n for q, n in sizes.items() if n > 0}, 0, 0
+def schedule(sizes: dict[int, int], weights: dict[int, float], block: int = 1):
+    """Lines of LINE, and the blocks' slots in the chunk; without slots the blocks are next to each other.  sizes: rows."""
+    left, at, stretch, lacking = {q: -(-n // block) for q, n in sizes.items() if n > 0}, 0, 0, 0
     done = dict.fromkeys(left, 0)
     while len(left) > 1:
-        share, whole = shares({q: weights[q] for q in left}, period)
+        share, whole = shares({q: weights[q] for q in left})
         count, waiting, slot, ended = dict.fromkeys(left, 0), [(0, q) for q in sorted(left)], 0, False
         ready: list[tuple[int, int]] = []
         while not ended:
@@ -105,20 +78,22 @@ def schedule(sizes: dict[int, int], weights: dict[int, float], period: int | Non
                 ended = count[q] == left[q]
                 heapq.heappush(waiting, (count[q] * whole // share[q], q))
             for q, slots in own.items():
-                yield q, stretch, done[q], at, share[q], whole, done[q] + before[q], at + base, len(slots), slots
+                yield q, stretch, done[q], at, share[q], whole, done[q] + before[q], at + base, lacking, len(slots), slots
         for q, n in count.items():
             done[q] += n
             left[q] -= n
+            if not left[q]:  # its last block ended the stretch, and may have fewer rows
+                lacking += done[q] * block - sizes[q]
         left = {q: n for q, n in left.items() if n}
         at += slot
         stretch += 1
     for q, n in left.items():
         for i in range(0, n, RUN):
-            yield q, stretch, done[q], at, 1, 1, done[q] + i, at + i, min(RUN, n - i), []
+            yield q, stretch, done[q], at, 1, 1, done[q] + i, at + i, lacking, min(RUN, n - i), []
 
 
 def stored(spark: SparkSession, lines) -> DataFrame:
-    """A schedule as a table: (queue, queue_position, position, stretch, low, start, share, whole)."""
+    """A schedule as a table with a row a block: (queue, block_number, slot, lacking, stretch, low, start, share, whole)."""
     path, n, part = new_path(spark, "schedule"), 0, []
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/lines.txt")
     out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
@@ -131,11 +106,10 @@ def stored(spark: SparkSession, lines) -> DataFrame:
     out.write(bytearray("".join(part).encode()))
     out.close()
     cell = F.split("value", r"\|")
-    names = ["queue", "stretch", "low", "start", "share", "whole", "first", "base", "blocks"]
-    table = spark.read.text(path).repartition(n // 64 + 1, "value").select(*[cell[i].cast("long").alias(c) for i, c in enumerate(names)], cell[len(names)].alias("slots"))
+    table = spark.read.text(path).repartition(n // 64 + 1, "value").select(*[cell[i].cast("long").alias(c) for i, c in enumerate(LINE)], cell[len(LINE)].alias("slots"))
     slots = F.when(F.col("slots") == "", F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.split("slots", ",").cast("array<long>"))
-    each = table.select(*names[:8], F.posexplode(slots).alias("i", "slot"))
-    return each.select(F.col("queue").cast("int").alias("queue"), (F.col("first") + F.col("i")).alias("queue_position"), (F.col("base") + F.col("slot")).alias("position"), F.col("stretch").cast("int").alias("stretch"), "low", "start", "share", "whole")
+    each = table.select(*LINE[:-1], F.posexplode(slots).alias("i", "own"))
+    return each.select(F.col("queue").cast("int").alias("queue"), (F.col("first") + F.col("i")).alias("block_number"), (F.col("base") + F.col("own")).alias("slot"), "lacking", F.col("stretch").cast("int").alias("stretch"), "low", "start", "share", "whole")
 
 
 def queue_sizes(docs: DataFrame) -> list[tuple[str | None, int]]:
@@ -160,50 +134,54 @@ def spread(cols: list[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
-def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None, *, exponent: float | None = None, period: int | None = None, buckets: int | None = None, max_sources: int | None = None, key: list[str] | None = None) -> DataFrame:
-    """All rows of docs (a column with the name of a result is replaced), with `position` (0, 1, ... in the mixed order), queue_position, stretch, release and deadline.
-
-    targets: weight of each source; by default its number of rows to the power `exponent` (EXPONENT).
-    period: where given, weights are rounded to whole slots of it.
-    key: the columns that tell rows apart and shuffle each queue, doc_id and text by default.
-    """
+def scheduled(docs: DataFrame, key: list[str], targets: dict[str | None, float] | None, exponent: float, block: int | None, buckets: int | None) -> DataFrame:
+    """docs, none of whose columns starts with a line, with RESULT under names that do."""
     spark = docs.sparkSession
-    docs = docs.drop(*RESULT)
-    docs, back = aside(docs) if key is None else (docs, lambda df, *more: df.select(*docs.columns, *more))
-    key = key or [c for c in ("doc_id", "text") if c in docs.columns]
-    every, exponent = queue_sizes(docs), EXPONENT if exponent is None else exponent
+    every = queue_sizes(docs)
     total = sum(n for _, n in every)
     if not total:
-        return back(docs.limit(0), *[F.lit(0).cast("long").alias(c) for c in RESULT[:4]], F.lit(0).alias("stretch"))
+        return docs.select("*", *[F.lit(0).cast("long").alias(f"_{c}") for c in RESULT[:4]], F.lit(0).alias("_stretch"))
     buckets = buckets or min(BUCKETS[1], max(BUCKETS[0], total // BUCKETS[2]))
-    sizes, weights = defaultdict(int), defaultdict(float)
-    own = len(every) if max_sources is None else min(max_sources, len(every))
-    for i, (s, n) in enumerate(every):
-        sizes[min(i, own)] += n
-        weights[min(i, own)] += (targets.get(s, 0) or 1e-9) if targets else n**exponent
-    queues = F.broadcast(queue_table(spark, [s for s, _ in every[:own]]))  # a row a source
-    rows = docs.join(queues, docs["source"].cast("string").eqNullSafe(queues["_source"]), "left").drop("_source").withColumn("_queue", F.coalesce("_queue", F.lit(own)))
+    block = block or -(-total // STEPS)
+    sizes = {i: n for i, (_, n) in enumerate(every)}
+    weights = {i: (targets.get(s, 0) or 1e-9) if targets else n**exponent for i, (s, n) in enumerate(every)}
+    queues = F.broadcast(queue_table(spark, [s for s, _ in every]))  # a row a source
+    rows = docs.join(queues, docs["source"].cast("string").eqNullSafe(queues["_source"])).drop("_source")
     rows = rows.withColumn("_hash", spread(key)).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("int"))
 
     counts = rows.groupBy("_queue", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     up_to = Window.partitionBy("_queue").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # of `buckets` rows
     base = counts.select("_queue", "_bucket", F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_base"))
     within = Window.partitionBy("_queue", "_bucket").orderBy("_hash", *key)
-    numbered = rows.withColumn("_number", F.row_number().over(within) - 1).join(F.broadcast(base), ["_queue", "_bucket"])
-    numbered = numbered.withColumn("queue_position", F.col("_base") + F.col("_number"))
+    numbered = rows.withColumn("_number", F.row_number().over(within) - 1).join(base, ["_queue", "_bucket"])
+    numbered = numbered.withColumn("_queue_position", F.col("_base") + F.col("_number")).withColumn("_block", F.expr(f"_queue_position div {block}"))
 
-    table = stored(spark, schedule(sizes, weights, period)).withColumnRenamed("queue", "_queue").hint("merge")  # a row a block
-    out = numbered.join(table, ["_queue", "queue_position"])
+    table = stored(spark, schedule(sizes, weights, block)).withColumnsRenamed({"queue": "_queue", "block_number": "_block", "stretch": "_stretch"}).hint("merge")  # a row a block
+    out = numbered.join(table, ["_queue", "_block"])
     part = "cast({0} AS decimal(20,0)) * cast(whole AS decimal(17,0))"
-    release = F.col("start") + F.expr(f"({part.format('queue_position - low')}) div cast(share AS decimal(17,0))")
-    due = F.col("start") + F.expr(f"({part.format('queue_position - low + 1')} + cast(share - 1 AS decimal(17,0))) div cast(share AS decimal(17,0))")
-    return back(out, "position", "queue_position", release.alias("release"), due.alias("deadline"), "stretch")
+    release = F.col("start") + F.expr(f"({part.format('_block - low')}) div cast(share AS decimal(17,0))")
+    due = F.col("start") + F.expr(f"({part.format('_block - low + 1')} + cast(share - 1 AS decimal(17,0))) div cast(share AS decimal(17,0))")
+    position = F.col("slot") * block - F.col("lacking") + F.pmod("_queue_position", F.lit(block))
+    return out.select(*docs.columns, position.alias("_position"), "_queue_position", release.alias("_release"), due.alias("_deadline"), "_stretch")
+
+
+def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None, *, exponent: float | None = None, block: int | None = None, buckets: int | None = None, key: list[str] | None = None) -> DataFrame:
+    """All rows of docs (a column with the name of a result is replaced), with `position` (0, 1, ... in the mixed order), queue_position, stretch, release and deadline (in slots).
+
+    targets: weight of each source; by default its number of rows to the power `exponent` (EXPONENT).
+    block: rows of a block.
+    key: the columns that tell rows apart and shuffle each queue, doc_id and text by default.
+    """
+    docs = docs.drop(*RESULT)
+    docs, back = aside(docs) if key is None else (docs, lambda df, *more: df.select(*docs.columns, *more))
+    key = key or [c for c in ("doc_id", "text") if c in docs.columns]
+    return back(scheduled(docs, key, targets, EXPONENT if exponent is None else exponent, block, buckets), *[F.col(f"_{c}").alias(c) for c in RESULT])
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """The documents in their mixed order; columns as they were."""
-    columns = docs.columns
-    return mix_sources(docs).orderBy("position").select(*columns)
+def mixed(docs: DataFrame, targets: dict[str | None, float] | None = None) -> DataFrame:
+    """The documents in their mixed order; columns as they were, whatever their names."""
+    inner, back = aside(docs)
+    return back(scheduled(inner, [c for c in ("doc_id", "text") if c in docs.columns], targets, EXPONENT, None, None).orderBy("_position"))
 
 
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,9 @@ Places in queues: tokenizing numbers each source's tokens within a partition and
 (a row for each partition and source) then give every partition its base.  No task ever holds a source or a window.
 
 Defined results: a null text is the empty one and packs as its end id alone; null sources are a source of their own;
-every source is a queue, unless a caller's `max_sources` makes the smallest one queue with the sum of their targets; null or repeated doc_ids are packed like others; an empty table
-gives an empty result; other columns are ignored.
+every source is a queue, however many there are; null or repeated doc_ids are packed like others, in the order in which
+they are read, so there are no ties; very long texts are tokenized whole and cut anywhere; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -173,7 +174,7 @@ def tokenize(docs: DataFrame, path: str, sources: list[str | None], end: int = E
                 coded = own.encode(texts.slice(i, j - i))
                 queues, offsets, sizes, raw = [], [], [], []
                 for name, c in zip(names[i:j], coded, strict=True):
-                    q = queue_of.get(name, len(queue_of))
+                    q = queue_of[name]
                     n = len(c) // own.kind.itemsize + 1
                     queues.append(q)
                     offsets.append(at.get(q, 0))
@@ -280,21 +281,20 @@ def cut(tokens: DataFrame, plan: Plan, with_ids: bool) -> DataFrame:
     return tokens.select("doc_id", "queue", "first", "doc_tokens", "ids").mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, targets: dict[str | None, float] | None = None, *, path: str | None = None, length: int = LENGTH, window_sequences: int = WINDOW_SEQUENCES, max_sources: int | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, targets: dict[str | None, float] | None = None, *, path: str | None = None, length: int = LENGTH, window_sequences: int = WINDOW_SEQUENCES, with_ids: bool = False) -> DataFrame:
     """All documents in pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, ids.
 
     targets: wanted share of tokens of each source; by default the corpus's own shares, which all windows then have.
     """
-    every = [s for s, _ in queue_sizes(docs)]
-    names = every[:max_sources]
+    names = [s for s, _ in queue_sizes(docs)]
     tokens = materialize(tokenize(docs, path or default_tokenizer(), names), "tokens", rows=10_000)
     sums = tokens.groupBy("part", "queue").agg(F.sum("doc_tokens").alias("n"))
     up_to = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     bases = materialize(sums.select("part", "queue", "n", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("base")), "bases")
-    totals = [0] * (len(names) + 1)
+    totals = [0] * len(names)
     for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # a row a queue
         totals[r["queue"]] = r["n"]
-    wanted = [targets.get(s, 0.0) for s in names] + [sum(targets.get(s, 0.0) for s in every[len(names) :])] if targets else None
+    wanted = [targets.get(s, 0.0) for s in names] if targets else None
     plan = Plan(stretches(totals, wanted), length, length * window_sequences)
     placed = tokens.join(bases.select("part", "queue", "base"), ["part", "queue"]).withColumn("first", F.col("base") + F.col("queue_offset"))
     return cut(placed, plan, with_ids)

@@ -7,17 +7,22 @@ import pytest
 from corpuscle.llm import mixing as M
 
 
-@pytest.mark.parametrize("share", [{0: 1}, {0: 1, 1: 1}, {0: 37, 1: 5, 2: 22}, {0: 900, 1: 100, 2: 20, 3: 4}, {i: i + 1 for i in range(20)}])
+def slots_of(lines):
+    return sorted((base + x, q) for q, _, _, _, _, _, _, base, _, _, slots in lines for x in slots)
+
+
+@pytest.mark.parametrize("share", [{0: 1, 1: 1}, {0: 37, 1: 5, 2: 22}, {0: 900, 1: 100, 2: 20, 3: 4}, {i: i + 1 for i in range(20)}])
 def test_pfair(share):
-    period = sum(share.values())
-    order = M.earliest_deadline_first(share, period)
+    """Every block between its release and its deadline, and every source less than a block from its target at every slot."""
+    total = sum(share.values())
+    order = slots_of(x for x in M.schedule(share, share) if x[1] == 0)
     seen = Counter()
-    for slot, (q, b, release, due) in enumerate(order):
-        assert b == seen[q] and release <= slot < due
+    for slot, q in order:
+        b = seen[q]
+        assert b * total // share[q] <= slot < -(-(b + 1) * total // share[q])
         seen[q] += 1
         for k, a in share.items():
-            assert abs(seen[k] - a * (slot + 1) / period) < 1
-    assert seen == share
+            assert abs(seen[k] - a * (slot + 1) / total) < 1
 
 
 def rows(sizes):
@@ -27,30 +32,38 @@ def rows(sizes):
 SCHEMA = "doc_id long, text string, source string, n_chars long, position long, slot string"
 
 
-def test_order(spark):
+@pytest.mark.parametrize("block", [1, 7])
+def test_order(spark, block):
     sizes = {"a": 900, "b": 120, None: 60, "c": 7}
     docs = spark.createDataFrame(rows(sizes), SCHEMA).repartition(6)
-    got = M.mix_sources(docs, {"a": 0.5, "b": 0.3, None: 0.15, "c": 0.05}, period=64).orderBy("position").collect()
+    target = {"a": 0.5, "b": 0.3, None: 0.15, "c": 0.05}
+    got = M.mix_sources(docs, target, block=block).orderBy("position").collect()
     assert [r["position"] for r in got] == list(range(sum(sizes.values())))
     assert Counter((r["doc_id"], r["source"]) for r in got) == Counter((r[0], r[2]) for r in rows(sizes))
-    share = M.quantise({0: 0.5, 1: 0.3, 2: 0.15, 3: 0.05}, 64)
     seen = Counter()
     first = [r for r in got if r["stretch"] == 0]
     assert len(first) >= 64
     for i, r in enumerate(first):
-        assert r["release"] <= r["position"] < r["deadline"]
+        assert r["release"] <= r["position"] // block < r["deadline"]
         seen[r["source"]] += 1
-        for k, s in enumerate(["a", "b", None, "c"]):
-            assert abs(seen[s] - share[k] * (i + 1) / 64) < 1
+        for s, w in target.items():
+            assert abs(seen[s] - w * (i + 1)) < (1 if block == 1 else 2 * block)
     for s, n in sizes.items():  # queues keep their own order
         assert [r["queue_position"] for r in got if r["source"] == s] == list(range(n))
 
 
-@pytest.mark.parametrize("weights", [[1.0] * 20, [0.6, 0.3, 0.0999, 0.0001], [n**0.5 for n in range(1, 41)], [1 / 3, 2 / 3]])
-def test_exact_targets_over_many_periods(weights):
-    total, n = sum(weights), 60_000
+def test_columns_with_the_names_of_results_keep_their_values(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "ab"[i % 2], 100 + i, f"q{i}", 7, -i, 3.5) for i in range(6)], "doc_id long, text string, source string, position long, queue_position string, stretch int, release long, deadline double")
+    out = M.mixed(docs)
+    assert out.columns == docs.columns
+    assert Counter(map(tuple, out.collect())) == Counter(map(tuple, docs.collect()))
+
+
+@pytest.mark.parametrize(("weights", "n"), [([1.0] * 20, 60_000), ([0.6, 0.3, 0.0999, 0.0001], 60_000), ([n**0.5 for n in range(1, 41)], 60_000), ([1 / 3, 2 / 3], 2_000_000)])
+def test_exact_targets_over_long_stretches(weights, n):
+    total = sum(weights)
     lines = [x for x in M.schedule({q: n for q in range(len(weights))}, dict(enumerate(weights))) if x[1] == 0]
-    order = sorted((base + s, q) for q, _, _, _, _, _, _, base, _, slots in lines for s in slots)
+    order = slots_of(lines)
     assert [s for s, _ in order] == list(range(len(order))) and len(order) >= n
     seen = Counter()
     for slot, q in order:
@@ -78,7 +91,7 @@ def test_rows_follow_exact_targets(spark):
 def test_many_sources_and_repeats(spark):
     docs = spark.createDataFrame(rows({f"s{i}": 3 for i in range(20)} | {"big": 200}), SCHEMA)
     docs = docs.union(docs)
-    got = M.mix_sources(docs, max_sources=5, period=32, buckets=3).collect()
+    got = M.mix_sources(docs, buckets=3).collect()
     assert sorted(r["position"] for r in got) == list(range(520))
     assert M.mixed(docs).columns == docs.columns
 
