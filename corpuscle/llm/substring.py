@@ -27,17 +27,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import Words, aside, materialize, slices
+from corpuscle.llm.common import Words, aside, slices
 
 WINDOW = 35
 GROUPS = (16, 4 << 20, 64 << 20)  # least number; least and most bytes a group: 6.4 times the root of the corpus between them
 PARTS = (8, 1 << 21, 1 << 24)  # least number; least and most windows a part
 SLICE_BYTES = 1 << 18  # worked on at a time
 _LOW = np.uint64(0xFFFFFFFF)
-_MANY, _BLOCK = 1, 2
 
 
 def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -65,6 +65,10 @@ def _batch(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
 def _column(table: pa.Table, name: str) -> pa.Array:
     got = table.column(name)
     return got.combine_chunks() if isinstance(got, pa.ChunkedArray) else got
@@ -105,11 +109,11 @@ def _probes(window: int, parts: int):
         order = np.argsort(keys, kind="stable")
         keys, aligned = keys[order], aligned[order]
         cut = _cuts(keys)
-        flags = (np.diff(cut) > 1) * np.uint8(_MANY) + np.maximum.reduceat(aligned, cut[:-1]).astype(np.uint8) * np.uint8(_BLOCK)
+        flags = np.stack([np.diff(cut) > 1, np.maximum.reduceat(aligned, cut[:-1])], 1)
         keys = keys[cut[:-1]]
         part, low = (keys >> np.uint64(32)).astype(np.int32), (keys & _LOW).astype(np.uint32)
         ends = _cuts(part)
-        return _batch([(int(part[a]), key[0].as_py(), low[a:b].tobytes(), flags[a:b].astype(np.uint8).tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)], PROBES)
+        return _batch([(int(part[a]), key[0].as_py(), low[a:b].tobytes(), np.packbits(flags[a:b]).tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)], PROBES)
 
     return run
 
@@ -118,14 +122,14 @@ def _hits(table: pa.Table) -> pa.Table:
     """For each group of a part, its blocks that are met at another place."""
     part, groups = table.column("part")[0].as_py(), table.column("g").to_pylist()
     keys = [np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()]
-    flags = np.frombuffer(b"".join(table.column("flags").to_pylist()), np.uint8)
+    flags = np.concatenate([_unpacked(x, 2 * len(k)) for x, k in zip(table.column("flags").to_pylist(), keys, strict=True)]).reshape(-1, 2)
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
     cut = _cuts(every[order])
-    many = (np.diff(cut) > 1) | (np.maximum.reduceat(flags[order] & _MANY, cut[:-1]) > 0)
+    many = (np.diff(cut) > 1) | np.maximum.reduceat(flags[order, 0], cut[:-1])
     hit = np.empty(len(every), bool)
     hit[order] = np.repeat(many, np.diff(cut))
-    hit &= flags & _BLOCK > 0
+    hit &= flags[:, 1]
     ends = np.cumsum([0, *map(len, keys)])
     out = [(g, part, every[a:b][hit[a:b]].tobytes()) for g, a, b in zip(groups, ends[:-1], ends[1:], strict=True) if hit[a:b].any()]
     return _batch(out, HITS)
@@ -133,8 +137,8 @@ def _hits(table: pa.Table) -> pa.Table:
 
 # ---------------------------------------------------------------------------- 2. extension
 
-DIGESTS = "part int, g long, digests binary, many binary, nth binary, place binary"
-REPEATS = "g long, nth binary, place binary"
+DIGESTS = "part int, g long, digests binary, many binary, nth binary"
+REPEATS = "g long, nth binary"
 
 
 def _in_order(table: pa.Table) -> pa.Table:
@@ -148,49 +152,54 @@ def _spaced(words: Words) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), np.concatenate([[0], np.cumsum(words.end - words.start + 1)])
 
 
-def _extended(window: int, parts: int):
-    """Digests of a group's windows that hold a hit, by part; and, as part -1, the places of all of them."""
+def _candidates(texts: pa.Array, hits: pa.Table, window: int, parts: int):
+    """Of a group's windows that hold a hit: their distinct digests in order, whether each is there twice or more; and the number of the digest and the place of every window."""
     block = (window + 1) // 2
+    keys_of = [np.frombuffer(k, np.uint32).astype(np.uint64) | np.uint64(p << 32) for p, k in zip(hits.column("part").to_pylist(), hits.column("keys").to_pylist(), strict=True)]
+    known = np.sort(np.concatenate([np.zeros(0, np.uint64), *keys_of]))
+    base, digests, places = 0, [], [np.zeros(0, np.int64)]
+    for i, j in slices(texts, SLICE_BYTES) if len(known) else ():
+        words = Words(texts.slice(i, j - i))
+        keys, aligned, at = _anchors(words, window, parts)
+        keys, at = keys[aligned], at[aligned]
+        at = at[known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys]
+        marked = np.zeros(len(words.start) + 1, np.int64)
+        doc = words.doc[at]
+        lo = np.maximum(at + block - window, words.first[doc])
+        hi = np.minimum(at, words.first[doc] + words.count[doc] - window) + 1
+        np.add.at(marked, lo[lo < hi], 1)
+        np.add.at(marked, hi[lo < hi], -1)
+        some = np.flatnonzero(np.cumsum(marked)[:-1] > 0)
+        if len(some):
+            raw, start = _spaced(words)
+            digests += [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start[some].tolist(), (start[some + window] - 1).tolist(), strict=True)]
+            places.append(base + some)
+        base += len(words.start)
+    two = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+    order = np.lexsort((two[:, 1], two[:, 0]))
+    two = two[order]
+    cut = _runs(two)
+    return two[cut[:-1]], np.diff(cut) > 1, np.repeat(np.arange(len(cut) - 1), np.diff(cut)), np.concatenate(places)[order]
+
+
+def _runs(two: np.ndarray) -> np.ndarray:
+    """As _cuts, for rows."""
+    return np.concatenate([[0], np.flatnonzero((two[1:] != two[:-1]).any(1)) + 1, [len(two)]]) if len(two) else np.zeros(1, np.int64)
+
+
+def _extended(window: int, parts: int):
+    """Digests of a group's windows that hold a hit, by part."""
 
     def run(key, texts, hits):
         if not texts.num_rows or not hits.num_rows:
             return _batch([], DIGESTS)
-        known = np.sort(np.concatenate([np.frombuffer(k, np.uint32).astype(np.uint64) | np.uint64(p << 32) for p, k in zip(hits.column("part").to_pylist(), hits.column("keys").to_pylist(), strict=True)]))
-        texts, base, digests, places = _column(_in_order(texts), "text"), 0, [], []
-        for i, j in slices(texts, SLICE_BYTES):
-            words = Words(texts.slice(i, j - i))
-            keys, aligned, at = _anchors(words, window, parts)
-            keys, at = keys[aligned], at[aligned]
-            at = at[known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys]
-            marked = np.zeros(len(words.start) + 1, np.int64)
-            doc = words.doc[at]
-            lo = np.maximum(at + block - window, words.first[doc])
-            hi = np.minimum(at, words.first[doc] + words.count[doc] - window) + 1
-            np.add.at(marked, lo[lo < hi], 1)
-            np.add.at(marked, hi[lo < hi], -1)
-            some = np.flatnonzero(np.cumsum(marked)[:-1] > 0)
-            if len(some):
-                raw, start = _spaced(words)
-                own = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start[some].tolist(), (start[some + window] - 1).tolist(), strict=True)]
-                digests.append(b"".join(own))
-                places.append(base + some)
-            base += len(words.start)
-        if not digests:
-            return _batch([], DIGESTS)
-        two = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
-        order = np.lexsort((two[:, 1], two[:, 0]))
-        two, place = two[order], np.concatenate(places)[order].astype(np.int32)
-        new = np.concatenate([[True], (two[1:] != two[:-1]).any(1)])
-        nth = np.cumsum(new) - 1
-        cut = np.append(np.flatnonzero(new), len(two))
-        one, many = two[cut[:-1]], np.diff(cut) > 1
+        one, many, _, _ = _candidates(_column(_in_order(texts), "text"), hits, window, parts)
         part = (one[:, 1] % np.uint64(parts)).astype(np.int32)
         by_part = np.argsort(part, kind="stable")
-        ends, g = _cuts(part[by_part]), key[0].as_py()
-        rows = [(-1, g, b"", b"", nth.astype(np.int32).tobytes(), place.tobytes())]
+        ends, rows = _cuts(part[by_part]), []
         for a, b in zip(ends[:-1], ends[1:], strict=True):
             own = by_part[a:b]
-            rows.append((int(part[own[0]]), g, one[own].tobytes(), many[own].tobytes(), own.astype(np.int32).tobytes(), b""))
+            rows.append((int(part[own[0]]), key[0].as_py(), one[own].tobytes(), np.packbits(many[own]).tobytes(), own.astype(np.int32).tobytes()))
         return _batch(rows, DIGESTS)
 
     return run
@@ -201,14 +210,13 @@ def _repeated(table: pa.Table) -> pa.Table:
     groups = table.column("g").to_pylist()
     nth = [np.frombuffer(x, np.int32) for x in table.column("nth").to_pylist()]
     two = np.frombuffer(b"".join(table.column("digests").to_pylist()), np.uint64).reshape(-1, 2)
-    many = np.frombuffer(b"".join(table.column("many").to_pylist()), bool)
+    many = np.concatenate([_unpacked(x, len(n)) for x, n in zip(table.column("many").to_pylist(), nth, strict=True)])
     order = np.lexsort((two[:, 1], two[:, 0]))
-    new = np.concatenate([[True], (two[order][1:] != two[order][:-1]).any(1)])
-    cut = np.append(np.flatnonzero(new), len(two))
+    cut = _runs(two[order])
     again = np.empty(len(two), bool)
     again[order] = np.repeat((np.diff(cut) > 1) | np.maximum.reduceat(many[order], cut[:-1]), np.diff(cut))
     ends = np.cumsum([0, *map(len, nth)])
-    return _batch([(g, x[again[a:b]].tobytes(), b"") for g, x, a, b in zip(groups, nth, ends[:-1], ends[1:], strict=True) if again[a:b].any()], REPEATS)
+    return _batch([(g, x[again[a:b]].tobytes()) for g, x, a, b in zip(groups, nth, ends[:-1], ends[1:], strict=True) if again[a:b].any()], REPEATS)
 
 
 # ---------------------------------------------------------------------------- 3. removal
@@ -230,17 +238,14 @@ def _kept(words: Words, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], np.cumsum(kept_of)])
 
 
-def _edits(texts: pa.Array, repeats: pa.Table, window: int):
-    """Slices of a group's texts, in order: rows, words, covered words, kept bytes and their offsets."""
-    nth, place = repeats.column("nth").to_pylist(), repeats.column("place").to_pylist()
-    again = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(n, np.int32) for n, p in zip(nth, place, strict=True) if not p]])
-    at = np.zeros(0, np.int64)
-    for n, p in zip(nth, place, strict=True):
-        if p:
-            own = np.zeros(int(np.frombuffer(n, np.int32).max()) + 1, bool)
-            own[again] = True
-            at = np.sort(np.frombuffer(p, np.int32)[own[np.frombuffer(n, np.int32)]]).astype(np.int64)
-    base = 0
+def _edits(texts: pa.Array, told: pa.Table, window: int, parts: int):
+    """Slices of a group's texts, in order: rows, words, covered words, kept bytes and their offsets.  told: a group's HITS and REPEATS."""
+    raw, at, base = told.column("nth").to_pylist(), np.zeros(0, np.int64), 0
+    if any(raw):
+        one, _, nth, place = _candidates(texts, told.filter(pa.compute.is_valid(told.column("keys"))), window, parts)
+        again = np.zeros(len(one), bool)
+        again[np.concatenate([np.frombuffer(x, np.int32) for x in raw if x])] = True
+        at = np.sort(place[again[nth]])
     for i, j in slices(texts, SLICE_BYTES):
         words = Words(texts.slice(i, j - i), hashed=False)
         n = len(words.start)
@@ -252,19 +257,22 @@ def _edits(texts: pa.Array, repeats: pa.Table, window: int):
 
 
 def edited(docs: DataFrame, window: int, edit, schema) -> DataFrame:
-    """edit(texts in a group's order, slices of them) of every group, by the method above."""
+    """edit(texts in a group's order, slices of them) of every group, by the method above.
+
+    The exchanges of the texts and of the hits are read again by later steps; digests are computed twice and never written.
+    """
     own, parts = dealt(docs)
     probes = own.groupBy("_g").applyInArrow(_probes(window, parts), PROBES)
     hits = probes.groupBy("part").applyInArrow(_hits, HITS)
-    found = materialize(own.groupBy("_g").cogroup(hits.groupBy("g")).applyInArrow(_extended(window, parts), DIGESTS), "digests")
-    repeats = found.filter("part >= 0").groupBy("part").applyInArrow(_repeated, REPEATS)
-    repeats = repeats.unionByName(found.filter("part < 0").select("g", "nth", "place"))
+    found = own.groupBy("_g").cogroup(hits.groupBy("g")).applyInArrow(_extended(window, parts), DIGESTS)
+    repeats = found.groupBy("part").applyInArrow(_repeated, REPEATS)
+    told = hits.unionByName(repeats, allowMissingColumns=True)
 
-    def run(key, rows, again):
+    def run(key, rows, told):
         rows = _in_order(rows)
-        return edit(rows, _edits(_column(rows, "text"), again, window))
+        return edit(rows, _edits(_column(rows, "text"), told, window, parts))
 
-    return own.groupBy("_g").cogroup(repeats.groupBy("g")).applyInArrow(run, schema)
+    return own.groupBy("_g").cogroup(told.groupBy("g")).applyInArrow(run, schema)
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"

@@ -113,7 +113,7 @@ def test_collisions_of_the_rolling_hash_change_nothing(spark, monkeypatch):
     probes = S._probes(9, parts)([pa.scalar(0)], group).to_pylist()
     hits = pa.concat_tables([S._hits(S._batch([tuple(p.values())], S.PROBES)) for p in probes])
     found = S._extended(9, parts)([pa.scalar(0)], group, hits).to_pylist()
-    again = pa.concat_tables([S._repeated(S._batch([tuple(r.values())], S.DIGESTS)) for r in found if r["part"] >= 0])
-    again = pa.concat_tables([again, S._batch([(r["g"], r["nth"], r["place"]) for r in found if r["part"] < 0], S.REPEATS)])
-    gone = [int(x) for *_, words, covered, _, _ in S._edits(S._column(S._in_order(group), "text"), again, 9) for x in np.bincount(words.doc[covered], minlength=words.docs)]
+    again = pa.concat_tables([S._repeated(S._batch([tuple(r.values())], S.DIGESTS)) for r in found])
+    told = pa.concat_tables([hits, again], promote_options="default")
+    gone = [int(x) for *_, words, covered, _, _ in S._edits(S._column(S._in_order(group), "text"), told, 9, parts) for x in np.bincount(words.doc[covered], minlength=words.docs)]
     assert gone == [n for _, n, _ in brute(texts, 9)[0]]
