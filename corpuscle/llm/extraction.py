@@ -1,23 +1,28 @@
 """Main text of pages by equivalence-class template deduction.
 
-Tokens of a page are its tags, told apart by their path, and its blocks of text.  For every host and token the occurrence
-vector over the host's pages is kept as a fingerprint (an exclusive-or over pages of a hash of page and count, with the
-numbers of pages and occurrences), so tokens with equal vectors fall into one equivalence class by grouping.  A class is
-valid if it is on nearly all pages of its host, has several tokens, and its tokens keep one order.  The class that is on
-every page once is the template's root; the others nest in its slots by their paths (a list item's class in the menu's
-slot, a paragraph's in the article's).  What is left between template tokens are slots; slots of menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments are told by the names on their paths (a fallback beside the
-template), and where the template has an article or a main part only its slots are extracted.  A block of text that is
-itself a template token, of a valid class or on every page of its host, is no slot's value wherever it lies and whatever
-its names are; only a page that has no other text keeps it.
+Tokens of a page are its tags, told apart by their path (with class names, and their number among like siblings), and its
+blocks of text.  For every host and token the occurrence vector over the host's pages is kept as a fingerprint (sums over
+pages of a hash of page and count, with the numbers of pages and occurrences), so tokens with equal vectors fall into one
+equivalence class by grouping.  A class is valid if it is on nearly all pages of its host and has several tokens.  The
+class that is on most pages once, in one order, is the template's root; every other valid class is nested in the class
+that holds its nearest ancestor, in the gap between two of that class's tokens.
+
+The elements of the template delimit its slots; what lies in a slot on a page is its value.  A block of text that is itself
+a template token, of a valid class or on every page of its host, is no slot's value wherever it lies; only a page
+that has no other text keeps it.  Of the slots are extracted:
+1. those in an article or main element, where the template has one;
+2. else those in the innermost container that holds nearly all of the host's running text (text outside of links, summed over
+   its pages) and its main heading, but for elements there that hold hardly anything but links.
+Beside the template, fixed tag, role and class names tell menus, forms, adverts, comments and the like; they decide alone
+on hosts of fewer than LEAST_PAGES pages, and for a page on which its host's template does not fit.
 
 Fingerprints are added up before anything is shuffled, so a host with a third of all pages is no hot spot; templates are
-joined to pages by host in a join that adaptive execution can split.  A host of few pages, or a page on which its host's
-template does not fit, is read by the names on its own paths.
+joined to pages by host in a join that adaptive execution can split.
 
 Defined results: a null or empty html has an empty text; a null url is a host of its own; a null page_id is kept;
-repeated rows give equal texts; tags that never end, broken markup and very long pages are read to their end; an empty
-table gives an empty result; other columns are ignored.
+repeated rows count as often as they are there and give equal texts; of classes that are on equally many pages the one with
+more tokens is the root, then the first on the page; tags that never end, broken markup and very long pages are read to
+their end; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ from corpuscle.llm.common import materialize, slices
 LEAST_PAGES = 5  # of a host that gets a template
 NEARLY_ALL = 0.8
 LEAST_TOKENS = 3
+HOSTS_KEPT = 256  # of templates that a task has at hand
+MOST = 0.8  # of a host's running text that the main container holds; of an element's text that links are in a menu
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _CLASS = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -54,6 +61,8 @@ _SIDE_NAMES = {
     "sidebar", "aside", "widget", "widgets", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "popup", "modal", "overlay", "promo", "promotion", "sponsor", "sponsored", "masthead", "topbar", "toolbar", "pagination", "pager", "skip",
 }
 _MAIN_NAMES = {"article", "main"}
+_CONTAINERS = {"html", "body", "div", "section", "td", "center"}
+_LISTS = {"ul", "ol", "dl", "div", "section", "table", "p"}
 
 
 def _side(tag: str, names: list[str], role: str, inside: bool) -> bool:
@@ -63,14 +72,17 @@ def _side(tag: str, names: list[str], role: str, inside: bool) -> bool:
 
 
 class Page:
-    """blocks: (path, text, side, main) in page order; tokens: of tags, how often, and their first place."""
+    """blocks: (path, text, side, main) in page order; tokens: of tags, how often; first: their first place; elements: of open tags (running text, text of links, side, main)."""
 
     def __init__(self, html: str | None) -> None:
         self.blocks: list[tuple[str, str, bool, bool]] = []
         self.tokens: Counter[str] = Counter()
         self.first: dict[str, int] = {}
-        stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, side, main
+        self.elements: dict[str, list] = {}
+        stack: list[tuple[str, str, bool, bool, dict[str, int]]] = [("", "", False, False, {})]  # tag, path, side, main, children
         parts: list[str] = []
+        linked: list[str] = []
+        link = 0  # the depth at which a link has begun
         html = html or ""
         at, end = 0, len(html)
 
@@ -79,18 +91,28 @@ class Page:
                 text = " ".join(unescape("".join(parts)).split())
                 parts.clear()
                 if text:
-                    self.blocks.append((stack[-1][1], text, stack[-1][2], stack[-1][3]))
+                    _, path, side, main, _ = stack[-1]
+                    self.blocks.append((path, text, side, main))
+                    if not side:
+                        of_links = len(" ".join(unescape("".join(linked)).split())) if linked else 0
+                        for _, above, *_ in stack[1:]:
+                            self.elements[above][0] += max(len(text) - of_links, 0)
+                            self.elements[above][1] += of_links
+            linked.clear()
 
         def seen(token: str) -> None:
             self.first.setdefault(token, len(self.first))
             self.tokens[token] += 1
 
         def close(k: int) -> None:
+            nonlocal link
             flush()
-            for tag, path, _, _ in reversed(stack[k:]):
+            for tag, path, *_ in reversed(stack[k:]):
                 if tag:
                     seen("/" + path)
             del stack[k:]
+            if link > len(stack):
+                link = 0
 
         while at < end:
             m = _TOKEN.match(html, at)
@@ -102,10 +124,15 @@ class Page:
             slash, tag, attributes, text = m.groups()
             if text is not None:
                 parts.append(text)
+                if link:
+                    linked.append(text)
                 continue
             if not tag:
                 continue
             tag = tag.lower()
+            if tag == "a":
+                link = 0 if slash else len(stack)
+                linked.append(" ")
             if slash:
                 if tag not in _PHRASING:
                     k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
@@ -129,15 +156,19 @@ class Page:
             flush()
             names = [n for g in _CLASS.findall(attributes) for n in _SPLIT.split(unescape("".join(g)).lower()) if n] if attributes else []
             role = (_ROLE.search(attributes) or [None, ""])[1].lower() if attributes else ""
-            path = f"{stack[-1][1]}/{tag}" + "".join("." + n for n in sorted(set(names))[:4])
-            main = stack[-1][3] or tag in _MAIN_NAMES or role in _MAIN_NAMES
-            side = stack[-1][2] or _side(tag, names, role, stack[-1][3])
+            own = "".join([tag, *("." + n for n in sorted(set(names)))])
+            _, above, side, main, children = stack[-1]
+            children[own] = n = children.get(own, 0) + 1
+            path = f"{above}/{own}" if n == 1 else f"{above}/{own}[{n}]"
+            side = side or _side(tag, names, role, main)
+            main = main or tag in _MAIN_NAMES or role in _MAIN_NAMES
             seen(path)
+            self.elements.setdefault(path, [0, 0, side, main])
             if tag in _RAW:
                 stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 at = stop.end() if stop else end
             elif tag not in _VOID and not attributes.endswith("/"):
-                stack.append((tag, path, side, main))
+                stack.append((tag, path, side, main, {}))
         close(1)
 
 
@@ -145,7 +176,7 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-SEEN = "host string, token string, text long, pages long, total long, vector long, place double, chars long, side boolean, main boolean"
+SEEN = "host string, token string, text long, pages long, total long, high long, low long, place double, chars long, links long, side boolean, main boolean"
 
 
 def _hash(*x) -> int:
@@ -153,90 +184,155 @@ def _hash(*x) -> int:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """Fingerprints of all tokens' occurrence vectors, by host.  pages: (page_id, host, html)."""
+    """Fingerprints of all tokens' occurrence vectors, by host.  pages: (page_id, host, html).
+
+    chars, links: of a tag, the running text and the text of links inside; of a text, its own length.
+    """
 
     def run(batches):
         for batch in batches:
             ids, hosts, htmls = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             for i, j in slices(htmls, 1 << 23):
-                sums: dict = defaultdict(lambda: [0, 0, 0, 0.0, 0, False, False])
+                sums: dict = defaultdict(lambda: [0, 0, 0, 0, 0.0, 0, 0, False, False])
                 for page_id, host, html in zip(ids[i:j], hosts[i:j], htmls.slice(i, j - i).to_pylist(), strict=True):
                     page = Page(html)
-                    n = max(len(page.first), 1)
-                    rows = [(t, None, c, page.first[t] / n, 0, False, False) for t, c in page.tokens.items()]
-                    texts = Counter((path, text, side, main) for path, text, side, main in page.blocks)
-                    rows += [(path, _hash(text), c, 0.0, c * len(text), side, main) for (path, text, side, main), c in texts.items()]
-                    rows.append(("", None, 1, 0.0, 0, False, False))
-                    for token, text, c, place, chars, side, main in rows:
+                    n, key = max(len(page.first), 1), f"{page_id}/{xxhash.xxh3_64_hexdigest((html or '').encode('utf-8', 'surrogatepass'))}"
+                    none = [0, 0, False, False]
+                    rows = [(t, None, c, page.first[t] / n, *page.elements.get(t, none)) for t, c in page.tokens.items()]
+                    rows += [(path, _hash(text), c, 0.0, c * len(text), 0, side, main) for (path, text, side, main), c in Counter(page.blocks).items()]
+                    rows.append(("", None, 1, 0.0, *none))
+                    marks = {}
+                    for token, text, c, place, chars, links, side, main in rows:
+                        mark = marks.get(c)
+                        if mark is None:
+                            mark = marks[c] = xxhash.xxh3_64_intdigest(f"{c}/{key}")
                         s = sums[host, token, text]
                         s[0] += 1
                         s[1] += c
-                        s[2] ^= _hash(page_id, c)
-                        s[3] += place
-                        s[4] += chars
-                        s[5], s[6] = side, main
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_(), pa.bool_()]
+                        s[2] += mark >> 32
+                        s[3] += mark & 0xFFFFFFFF
+                        s[4] += place
+                        s[5] += chars
+                        s[6] += links
+                        s[7], s[8] = s[7] or side, s[8] or main
+                kinds = [pa.string(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
                 columns = list(zip(*((*k, *v) for k, v in sums.items()), strict=True)) if sums else [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SEEN.split(", ")])
 
-    added = [F.sum(c).alias(c) for c in ("pages", "total")] + [F.bit_xor("vector").alias("vector"), F.sum("place").alias("place"), F.sum("chars").alias("chars"), F.bool_or("side").alias("side"), F.bool_or("main").alias("main")]
+    added = [F.sum(c).alias(c) for c in ("pages", "total", "high", "low", "place", "chars", "links")] + [F.bool_or("side").alias("side"), F.bool_or("main").alias("main")]
     return pages.mapInArrow(run, SEEN).groupBy("host", "token", "text").agg(*added)
 
 
-TEMPLATE = "host string, root array<string>, slots array<string>, constant array<long>"
+TEMPLATE = "host string, classes array<struct<tokens:array<string>,parent:int,gap:int>>, slots array<struct<element:string,wanted:boolean>>, constant array<long>"
+
+
+def nest(classes: list[list[dict]]) -> list[dict]:
+    """Classes in the order of the template, each with the number of its parent and the gap it lies in (-1 for the root)."""
+    of = {t["token"]: (k, i) for k, c in enumerate(classes) for i, t in enumerate(c)}
+    out = []
+    for k, c in enumerate(classes):
+        parent, gap, path = -1, -1, c[0]["token"].removeprefix("/").removeprefix("/")
+        while k and "/" in path:
+            path = path.rpartition("/")[0]
+            found = of.get("/" + path)
+            if found and found[0] != k:
+                parent = found[0]
+                gap = sum(t["place"] <= c[0]["place"] for t in classes[parent]) - 1
+                break
+        out.append({"tokens": [t["token"] for t in c], "parent": parent, "gap": gap})
+    return out
+
+
+def _inside(path: str, element: str) -> bool:
+    return path == element or path.startswith(element + "/")
+
+
+def wanted_slots(elements: list[dict], still: list[dict]) -> dict[str, bool]:
+    """Whether what lies in a template's element, and in no element of the template inside, is to be extracted."""
+    if any(e["main"] and not e["side"] for e in elements):
+        return {e["token"]: e["main"] and not e["side"] for e in elements}
+    text = {e["token"]: e["chars"] - sum(t["chars"] for t in still if _inside(t["token"], e["token"])) for e in elements}
+    every = max(text.values(), default=0)
+    tag = lambda e: re.match(r"[a-z0-9:-]*", e["token"].rpartition("/")[2])[0]
+    once = [e for e in elements if e["total"] == e["pages"] and not e["side"]]
+    headings = [e["token"] for e in sorted(once, key=lambda e: (tag(e), e["place"])) if tag(e) in ("h1", "h2") and text[e["token"]] > 0][:1]
+    holding = [e["token"] for e in once if tag(e) in _CONTAINERS and text[e["token"]] >= MOST * every and all(_inside(h, e["token"]) for h in headings)]
+    container = max(holding, key=lambda t: t.count("/"), default="")
+    menus = [e["token"] for e in elements if tag(e) in _LISTS and e["links"] >= MOST * (e["chars"] + e["links"]) > 0 and not any(_inside(h, e["token"]) for h in [*headings, container])]
+    return {e["token"]: not e["side"] and _inside(e["token"], container) and not any(_inside(e["token"], m) for m in menus) for e in elements}
+
+
+def deduce(tokens: list[dict], pages: int) -> tuple[list[dict], dict[str, bool], list[dict]]:
+    """The nested classes, the elements with whether they are wanted, and the constant texts of a host; no classes without a root."""
+    vector = lambda t: (t["high"], t["low"], t["pages"], t["total"])
+    tags = sorted((t for t in tokens if t["text"] is None), key=lambda t: (t["place"], t["token"]))
+    classes = defaultdict(list)
+    for t in tags:
+        classes[vector(t)].append(t)
+    valid = sorted((c for c in classes.values() if len(c) >= LEAST_TOKENS), key=lambda c: c[0]["place"])
+    once = [c for c in valid if c[0]["total"] == c[0]["pages"]]
+    if not once:
+        return [], {}, []
+    root = max(once, key=lambda c: (c[0]["pages"], len(c)))
+    members = Counter(map(vector, tokens))
+    still = [t for t in tokens if t["text"] is not None and (t["pages"] == pages or members[vector(t)] >= LEAST_TOKENS)]
+    held = {t["token"] for c in valid for t in c} | {t["token"] for t in tags if t["pages"] == pages}
+    elements = [t for t in tags if t["token"] in held and not t["token"].startswith("//")]
+    return nest([root, *(c for c in valid if c is not root)]), wanted_slots(elements, still), still
 
 
 def templates(seen: DataFrame) -> DataFrame:
-    """A row for each host with enough pages: the root class in order, the paths of the slots to extract, constant texts."""
+    """A row for each host with enough pages."""
     hosts = seen.filter("token = '' AND text IS NULL").select("host", F.col("pages").alias("all")).filter(F.col("all") >= LEAST_PAGES)
     often = seen.filter(F.col("pages") >= NEARLY_ALL * LEAST_PAGES).filter("token != ''")  # most texts are on one page
     own = often.join(hosts, "host").filter(F.col("pages") >= NEARLY_ALL * F.col("all"))
     # what is on nearly all pages of a host is bounded by the length of its pages
-    token = F.struct("token", "text", "pages", "total", "vector", (F.col("place") / F.col("pages")).alias("place"), "chars", "side", "main")
+    token = F.struct("token", "text", "pages", "total", "high", "low", (F.col("place") / F.col("pages")).alias("place"), "chars", "links", "side", "main")
     grouped = own.groupBy("host").agg(F.first("all").alias("all"), F.collect_list(token).alias("tokens"))
 
     def run(batches):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                tags = [t for t in r["tokens"] if t["text"] is None]
-                classes = defaultdict(list)
-                for t in tags:
-                    classes[t["vector"], t["pages"], t["total"]].append(t)
-                valid = [c for c in classes.values() if len(c) >= LEAST_TOKENS]
-                once = [c for c in valid if c[0]["total"] == c[0]["pages"]]
-                root = max(once, key=lambda c: (c[0]["pages"], len(c)), default=[])
-                root = [t["token"] for t in sorted(root, key=lambda t: t["place"])]
-                nested = {t["token"] for c in valid for t in c} | {t["token"] for t in tags if t["pages"] == r["all"]}
-                slots = sorted({t for t in nested if not t.startswith("//")})
-                members = Counter((t["vector"], t["pages"], t["total"]) for t in r["tokens"])
-                still = [t for t in r["tokens"] if t["text"] is not None and (t["pages"] == r["all"] or members[t["vector"], t["pages"], t["total"]] >= LEAST_TOKENS)]
-                if root:
-                    out.append((r["host"], root, slots, [_hash(t["token"], t["text"]) for t in still]))
-            kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], ["host", "root", "slots", "constant"])
+                classes, slots, still = deduce(r["tokens"], r["all"])
+                if classes:
+                    out.append((r["host"], classes, [{"element": e, "wanted": w} for e, w in slots.items()], [_hash(t["token"], t["text"]) for t in still]))
+            kinds = [pa.string(), pa.list_(pa.struct([("tokens", pa.list_(pa.string())), ("parent", pa.int32()), ("gap", pa.int32())])), pa.list_(pa.struct([("element", pa.string()), ("wanted", pa.bool_())])), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], ["host", "classes", "slots", "constant"])
 
     return grouped.mapInArrow(run, TEMPLATE)
 
 
-def fits(page: Page, root: list[str]) -> bool:
-    """Whether the root class is on the page once each, in its order."""
-    places = [page.first.get(t, -1) for t in root]
-    return all(page.tokens[t] == 1 for t in root) and all(a < b for a, b in zip(places, places[1:], strict=False))
-
-
-def main_blocks(page: Page, root: list[str] | None, slots: list[str] | None, constant: list[int] | None) -> list[str]:
-    """The blocks of a page's main slots, in page order."""
-    if not root or not fits(page, root):
-        root, slots, constant = None, None, None
-    if root:
-        has_main = any(re.search(r"/(article|main)(?=[./]|$)", t) for t in slots)
-    else:
-        has_main = any(b[3] and not b[2] for b in page.blocks)
-    kept = [b for b in page.blocks if not b[2] and (b[3] or not has_main)]
-    if constant:
-        gone = set(constant)
-        kept = [b for b in kept if _hash(b[0], _hash(b[1])) not in gone] or kept
+class Template:
+    """A host's template: its root class, slots and constant texts, out of a row of templates()."""
+
+    def __init__(self, root: list[str], slots: list[dict], constant: list[int]) -> None:
+        self.root = root
+        self.wanted = {s["element"]: s["wanted"] for s in slots}
+        self.constant = set(constant)
+
+    def fits(self, page: Page) -> bool:
+        """Whether the root class is on the page once each, in its order."""
+        places = [page.first.get(t, -1) for t in self.root]
+        return all(page.tokens[t] == 1 for t in self.root) and all(a < b for a, b in zip(places, places[1:], strict=False))
+
+    def extracts(self, path: str) -> bool:
+        """Whether the slot that a path lies in, that of the innermost template element around it, is wanted."""
+        while path:
+            if path in self.wanted:
+                return self.wanted[path]
+            path = path.rpartition("/")[0]
+        return True
+
+
+def main_blocks(page: Page, template: Template | None = None) -> list[str]:
+    """The blocks of a page's wanted slots, in page order."""
+    kept = [b for b in page.blocks if not b[2]]
+    if any(b[3] for b in kept):
+        kept = [b for b in kept if b[3]]
+    if template and template.fits(page):
+        kept = [b for b in kept if template.extracts(b[0]) or b[3]] or kept
+        kept = [b for b in kept if _hash(b[0], _hash(b[1])) not in template.constant] or kept
     return [text for _, text, _, _ in kept]
 
 
@@ -248,14 +344,22 @@ def extract(pages: DataFrame) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     seen = materialize(occurrences(own.select("page_id", "host", "html")), "tokens-seen")
     learnt = materialize(templates(seen), "templates")
-    joined = own.join(learnt, "host", "left").select("page_id", "url", "html", "root", "slots", "constant")
+    joined = own.join(learnt, "host", "left").select("page_id", "url", "html", "host", F.col("classes")[0]["tokens"].alias("root"), "slots", "constant")
 
     def run(batches):
+        known: dict[str, Template | None] = {}
         for batch in batches:
-            ids, urls, htmls = batch.column(0), batch.column(1), batch.column(2)
+            ids, urls, htmls, hosts, *learnt = (batch.column(k) for k in range(7))
             for i, j in slices(htmls, 1 << 23):
-                rest = [batch.column(k).slice(i, j - i) for k in (3, 4, 5)]
-                texts = ["\n\n".join(main_blocks(Page(h), *(c[k].as_py() for c in rest))) for k, h in enumerate(htmls.slice(i, j - i).to_pylist())]
+                texts = []
+                for k, html in zip(range(i, j), htmls.slice(i, j - i).to_pylist(), strict=True):
+                    host = hosts[k].as_py()
+                    if host not in known:
+                        if len(known) >= HOSTS_KEPT:
+                            known.clear()
+                        row = [c[k].as_py() for c in learnt]
+                        known[host] = Template(*row) if row[0] else None
+                    texts.append("\n\n".join(main_blocks(Page(html), known[host])))
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), urls.slice(i, j - i), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [x.split()[0] for x in EXTRACTED.split(", ")])
 
     return joined.mapInArrow(run, EXTRACTED)

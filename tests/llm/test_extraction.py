@@ -32,9 +32,61 @@ def test_template_classes(spark):
     seen = X.occurrences(pages.select("page_id", X.host_of(pages["url"]).alias("host"), "html"))
     found = X.templates(seen).collect()
     assert len(found) == 1
-    root = found[0]["root"]
+    root, slots = found[0]["classes"][0]["tokens"], {s["element"]: s["wanted"] for s in found[0]["slots"]}
     assert root.index("/html") < root.index("/html/body/main/article") < root.index("/html/body/footer") < root.index("//html/body/footer")
-    assert "/html/body/nav/ul/li" not in root and "/html/body/nav/ul/li" in found[0]["slots"]
+    assert slots["/html/body/main/article"] and slots["/html/body/main/article/h1"]
+    assert not any(slots[e] for e in ("/html/body/nav/ul", "/html/body/footer", "/html/body/main/aside", "/html/body"))
+
+
+def test_classes_nest():
+    """A record with two fields on every other page, in the gap between the list's begin and end."""
+    seen, n = {}, 10
+    for i in range(n):
+        page = X.Page(f"<html><body><p>{i}</p><div class='rr'>" + ("<div class='aa'><h2>x</h2><h3>y</h3></div>" * (2 if i % 2 else 1) if i else "") + "</div><div class='tt'>t</div></body></html>")
+        for t, c in page.tokens.items():
+            s = seen.setdefault(t, {"token": t, "text": None, "pages": 0, "total": 0, "high": 0, "low": 0, "place": 0.0, "chars": 0, "links": 0, "side": False, "main": False})
+            s["pages"] += 1
+            s["total"] += c
+            s["high"] += X._hash(i, c) >> 32
+            s["place"] += page.first[t] / len(page.first)
+    for s in seen.values():
+        s["place"] /= s["pages"]
+    classes, _, _ = X.deduce([s for s in seen.values() if s["pages"] >= 0.8 * n], n)
+    root, inner = classes[0], classes[1]
+    assert root["parent"] == -1 and "/html/body/div.rr" in root["tokens"] and "/html/body/div.rr/div.aa" not in root["tokens"]
+    assert inner["tokens"][:3] == ["/html/body/div.rr/div.aa", "/html/body/div.rr/div.aa/h2", "//html/body/div.rr/div.aa/h2"]
+    assert inner["parent"] == 0 and root["tokens"][inner["gap"]] == "/html/body/div.rr"
+
+
+MEANINGLESS = """<html><body><div class='q1'><ul>{links}</ul></div><div class='q2'>Today: {words}</div>
+<div class='q3'><h1>Title {i}</h1>{body}<div class='q7'><ul>{more}</ul></div></div>
+<div class='q4'><span>Made</span> by us, {i} {words}</div></body></html>"""
+
+
+def meaningless(i):
+    links = lambda n: "".join(f"<li><a href='/{k}'>Link {k * i} to {k}</a></li>" for k in range(1, n + 2))
+    body = "".join(f"<p>Paragraph {k} of page {i} is a piece of running text with <a href='x'>a link</a> and more.</p>" for k in range(3 + i % 4))
+    want = [f"Title {i}"] + [f"Paragraph {k} of page {i} is a piece of running text with a link and more." for k in range(3 + i % 4)]
+    return MEANINGLESS.format(i=i, links=links(4), more=links(i % 3), body=body, words=f"word{i} thing{i * 7}"), "\n\n".join(want)
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_slots_are_chosen_by_what_varies(spark, copies):
+    """Class names say nothing, and menus, notices and footers differ from page to page: names alone fail."""
+    pages = [(i, f"http://h.example/{i}", meaningless(i)[0]) for i in range(1, 11) for _ in range(copies)]
+    got = rows(spark, pages)
+    assert {i: r["text"] for i, r in got.items()} == {i: meaningless(i)[1] for i in range(1, 11)}
+    assert all("\n\n".join(X.main_blocks(X.Page(meaningless(i)[0]))) != meaningless(i)[1] for i in range(1, 11))
+
+
+def test_repeated_rows_do_not_cancel(spark):
+    """Tokens on different pages are in different classes, also where every page is there twice."""
+    html = "<html><body><p>a{i}</p>{x}</body></html>"
+    pages = [(i, "http://h.example", html.format(i=i, x="<pre>x</pre>" if i % 2 else "<blockquote>y</blockquote>")) for i in range(10)] * 2
+    seen = X.occurrences(spark.createDataFrame(pages, "page_id long, host string, html string"))
+    got = {r["token"]: (r["high"], r["low"], r["pages"], r["total"]) for r in seen.filter("text IS NULL").collect()}
+    assert got["/html/body/pre"] == got["//html/body/pre"] != got["/html/body/blockquote"]
+    assert got["/html/body"][2] == 20 and got["/html/body/pre"][2] == 10
 
 
 def test_text_on_every_page_is_template(spark):
@@ -75,9 +127,9 @@ def test_template_text_on_nearly_all_pages(spark):
     ],
 )
 def test_single_pages(html, want):
-    assert "\n\n".join(X.main_blocks(X.Page(html), None, None, None)) == want
+    assert "\n\n".join(X.main_blocks(X.Page(html))) == want
 
 
 def test_very_long_page():
     html = "<article>" + "".join(f"<p>word {i}</p>" for i in range(50_000))
-    assert len(X.main_blocks(X.Page(html), None, None, None)) == 50_000
+    assert len(X.main_blocks(X.Page(html))) == 50_000
