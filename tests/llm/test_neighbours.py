@@ -30,41 +30,83 @@ def found(df):
     return out
 
 
-def test_exact_on_few(spark):
-    r = np.random.default_rng(1)
-    v = r.standard_normal((300, 8))
-    v[10:25] = v[0]  # more copies than a list holds
-    got, want = found(N.nearest(table(spark, v))), brute(v, range(300))
-    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
-    for q in got:
-        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=1e-12)
-
-
-@pytest.mark.parametrize("clustered", [False, True])
-def test_recall(spark, monkeypatch, clustered):
-    monkeypatch.setattr(N, "SMALL", 200)
-    monkeypatch.setattr(N, "BUCKET", 100)
-    r = np.random.default_rng(2)
-    v = r.standard_normal((3000, 32)) * (0.3 if clustered else 1)
-    if clustered:
-        v += r.standard_normal((20, 32))[r.integers(0, 20, 3000)]
-    assert N.fit(v[:1000], 3000).m > 0
-    got, want = found(N.nearest(table(spark, v))), brute(v, range(3000))
+def recall(got, want):
     assert set(got) == set(want)
-    hits = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 5 for q in want]
-    assert np.mean(hits) >= 0.9
-    assert all(len(x) == 5 for x in got.values())
+    assert all(len(got[q]) == len(want[q]) for q in want)
     for q in got:
         exact = dict(want[q])
         assert all(abs(s - exact[i]) < 1e-12 for i, s in got[q] if i in exact)
+    return np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / len(want[q]) for q in want])
+
 
+def clustered(n, dim, each, seed, noise=0.35):
+    r = np.random.default_rng(seed)
+    return r.standard_normal((n // each, dim))[r.integers(0, n // each, n)] + noise * r.standard_normal((n, dim))
 
-def test_blocks_of_a_large_bucket(spark, monkeypatch):
+
+def test_few_vectors_with_copies(spark):
+    r = np.random.default_rng(1)
+    v = r.standard_normal((300, 8))
+    v[10:25] = v[0]  # more copies than a list holds
+    got, want = found(N.nearest(table(spark, v))), brute(v, range(300))
+    assert recall(got, want) >= 0.9
+    assert got[0] == [(i, 1.0) for i in range(10, 15)]
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered"])
+def test_recall(spark, kind):
+    v = clustered(3000, 32, 30, 2) if kind == "clustered" else np.random.default_rng(2).standard_normal((3000, 32))
+    assert recall(found(N.nearest(table(spark, v))), brute(v, range(3000))) >= 0.9
+
+
+@pytest.mark.parametrize(("kind", "most"), [("random", 2.0), ("clustered", 0.1)])
+def test_buckets_are_hashed_at_every_size_and_few_are_visited_among_neighbours(spark, kind, most):
+    v = clustered(4000, 64, 20, 3) if kind == "clustered" else np.random.default_rng(3).standard_normal((4000, 64))
+    entries, _ = N.distinct_vectors(table(spark, v))
+    hashes, reached, share = N.fitted(entries.cache(), "<f4", 4000)
+    assert hashes.m > 0 and reached >= N.RECALL and share < most
+    unit = N._unit(v)
+    q = np.arange(0, 4000, 50)
+    own, seen = hashes.index(unit), hashes.visit(unit[q])
+    at = np.zeros((len(q), len(v)), bool)
+    for t in range(hashes.tables):
+        at |= np.array([np.isin(own[:, t], s) for s in seen[:, t]])
+    near = unit[q] @ unit.T
+    near[np.arange(len(q)), q] = -2
+    best = np.argsort(-near, 1)[:, :5]
+    assert np.take_along_axis(at, best, 1).mean() >= 0.9
+    assert at.mean() < min(most, 0.99)
+
+
+def test_more_vectors_are_hashed_finer():
+    """The more vectors there are, the smaller the share of them that a query scores, at the same recall."""
+    v = N._unit(clustered(20_000, 64, 20, 4))
+    asks = v[::400]
+    near = asks @ v.T
+    near[near > 1 - 1e-9] = -2
+    true = [v[np.argsort(-x)[:5]] for x in near]
+    fits = [N.fit(asks, true, v[1::20], n, n // 50) for n in (2000, 20_000, 2_000_000, 2_000_000_000)]
+    shares = [share for _, _, share in fits]
+    assert shares == sorted(shares, reverse=True) and shares[1] < 0.1 and shares[2] < 0.02 and shares[3] < 0.005
+    assert all(reached >= N.RECALL for _, reached, _ in fits)
+
+
+def test_cells_of_many_vectors_and_queries_are_split(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 40)
+    monkeypatch.setattr(N, "ASKS", 2)
     r = np.random.default_rng(3)
-    v = r.standard_normal((300, 6))
-    got, want = found(N.nearest(table(spark, v))), brute(v, range(300))
-    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+    v = np.concatenate([r.standard_normal((300, 6)), 1e-3 * r.standard_normal((300, 6)) + np.ones(6)])  # half of all in few buckets
+    want = brute(v, range(600), 10)
+    assert recall(found(N.nearest(table(spark, v), 10)), want) >= 0.9
+    cells = N.placed(N.distinct_vectors(table(spark, v), 10)[0], N.Hashes(2, 4, 2, 2.5), "<f4", 600)
+    dealt = N.in_blocks(cells).groupBy("cell", "probe", "block", "asks").count().collect()
+    assert max(d["count"] for d in dealt if not d["asks"]) < 80 and max(d["count"] for d in dealt if d["asks"]) < 12
+
+
+def test_rows_of_very_different_length():
+    a = np.array([[1e-200, 2e-200], [1.0, 2.0], [1e200, 3e200]])
+    assert N.cosine(a, a) == pytest.approx([1, 1, 1], abs=1e-15)
+    assert N.cosine(a[:1], a[1:2])[0] == N.cosine(a, a[[1, 1, 1]])[0]
 
 
 def test_odd_vectors(spark):
