@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,10 +16,14 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir.  Only where that is unset (tests) a local one is made."""
-    sc = spark.sparkContext
-    known = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("corpuscle.scratch", None)
+    """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
+
+    Where that is unset, one is made if this machine runs all tasks (a local master); a cluster must name one.
+    """
+    known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("corpuscle.scratch", None)
     if not known:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         known = "file://" + tempfile.mkdtemp(prefix="corpuscle-")
         spark.conf.set("corpuscle.scratch", known)
     return known.rstrip("/")
@@ -65,9 +69,16 @@ def materialize(df: DataFrame, label: str, rows: int = BATCH_ROWS) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_id(text: str = "text"):
-    """64-bit identity of a text; copies share it.  Null texts have a null identity."""
-    return F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text)))
+def text_ids(docs: DataFrame, text: str = "text") -> Column:
+    """Identity of a text as a 64-bit number that different texts of docs do not share; copies share it, null texts have none.
+
+    It is a hash; texts whose hashes meet are told by a second one (128 bits in all) and take that as their number.
+    """
+    one, two = F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text))
+    met = docs.filter(F.col(text).isNotNull()).groupBy(one.alias("one")).agg(F.min(two).alias("a"), F.max(two).alias("b")).filter("a != b")
+    again = [r["one"] for r in met.select("one").collect()]  # a hundred of 5 * 10**10 texts
+    number = F.when(one.isin(again), two).otherwise(one) if again else one
+    return F.when(F.col(text).isNotNull(), number)
 
 
 def rekeyed(df: DataFrame, key: str, *aggs) -> DataFrame:

@@ -11,14 +11,15 @@ Links, without ever forming the pairs of a bucket:
 1. every text of a bucket is compared with three leaders of it (least by three orders), exactly, on its shingles;
 2. components of the links found join most of each bucket;
 3. in buckets that still hold several components, all texts outside the largest one are compared with the whole bucket, in
-   blocks of bounded size, each pair in the first band it shares; signatures rule out pairs far below the threshold, the
-   others are compared exactly, and a block returns no more links than join its components.
-A link of two different texts that share a band is thus found, unless both are already in one class or signatures rule it
-out in step 3: by the binomial law some 5 in 100,000 pairs at exactly 0.8 agree on too few coordinates.
+   blocks of bounded size, each pair in the first band it shares, unless lengths or counts of shingles by bins show that they
+   can't be alike; a block returns no more links than join its components.
+Every pair of different texts that share a band is thus either compared on its whole shingle sets, or shown to be less alike by
+a bound that holds always, or already in one class: no link of such a pair is lost.
 
-Copies of a text are one node.  Defined results: a text of fewer than five words is one shingle of all its words; a text
+Copies of a text are one node, known by 128 bits.  Defined results: a text of fewer than five words is one shingle of all its words; a text
 without words is only like its exact copies; a null text is alone; the class of a document is the least doc_id in it;
-repeated rows are copies; an empty table gives an empty result; other columns are kept by `without_near_copies`.
+repeated rows are copies; very long texts
+are taken whole; of equal texts the least doc_id stays; an empty table gives an empty result; other columns are kept by `without_near_copies`.
 """
 
 from __future__ import annotations
@@ -28,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import Words, aside, materialize, mix, rekeyed, slices, text_id, whole_groups
+from corpuscle.llm.common import Words, aside, materialize, mix, rekeyed, slices, text_ids, whole_groups
 from corpuscle.llm.graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5  # a pair at 0.8 shares no band once in 20,000 times
-MARGIN = 0.15  # four deviations of the estimate from 125 coordinates
-BLOCK = 4096
+BLOCK = 2048
+BINS = 512
 ROUNDING = 1e-6  # so that exactly 0.8 counts
 SLICE_BYTES = 1 << 18  # worked on at a time
 BASE_RANK = 2.0**-6
@@ -147,14 +148,28 @@ def sketches(texts: DataFrame) -> DataFrame:
     return found.groupBy("tid").agg(F.max("weight").alias("weight"), F.max("sig").alias("sig"))
 
 
+PAGE = 19  # bits of the filter that a row holds, as a power of two
+
+
 def node_filter(nodes: DataFrame) -> tuple[np.ndarray, int]:
-    """A Bloom filter of the text ids in nodes, of 2**27 bits at most; beyond some ten million ids it lets more through."""
-    bits = 1 << min(27, max(10, (16 * nodes.count()).bit_length()))
+    """A Bloom filter of the text ids in nodes, of 2**27 bits at most.
+
+    Beyond some ten million ids it lets more through, and in the end all: then the sets of all texts are shuffled, which
+    are smaller than the texts.
+    """
+    bits = 1 << min(27, max(PAGE, (16 * nodes.count()).bit_length()))
     place = F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.pmod(F.xxhash64("tid", k), F.lit(bits))))
-    words = nodes.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 32 AS INT))")).alias("v"))
-    out = np.zeros(bits // 32, np.uint32)
-    for r in words.toLocalIterator():  # at most bits / 32 rows
-        out[r["w"]] = r["v"]
+    words = nodes.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 32 AS INT))")).alias("v"))
+    paged = words.withColumn("page", F.shiftright("w", PAGE - 5).cast("int"))
+
+    def filled(table: pa.Table) -> pa.Table:
+        own = np.zeros(1 << (PAGE - 5), np.uint32)
+        own[table.column("w").to_numpy() & ((1 << (PAGE - 5)) - 1)] = table.column("v").to_numpy().astype(np.uint32)
+        return pa.table({"page": pa.array([table.column("page")[0].as_py()], pa.int32()), "bits": pa.array([own.tobytes()], pa.binary())})
+
+    out = np.zeros(bits >> 5, np.uint32)
+    for r in paged.groupBy("page").applyInArrow(filled, "page int, bits binary").collect():  # 256 rows at most
+        out[r["page"] << (PAGE - 5) : (r["page"] + 1) << (PAGE - 5)] = np.frombuffer(r["bits"], np.uint32)
     return out, bits
 
 
@@ -195,9 +210,7 @@ def _similar(batches):
             a, b = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
             if min(len(a), len(b)) < least[k] * max(len(a), len(b)) - ROUNDING:
                 continue
-            both = np.sort(np.concatenate([a, b]), kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            keep[k] = common >= least[k] * (len(both) - common) - ROUNDING
+            keep[k] = _alike(a, b, least[k])
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["u", "v"])
 
 
@@ -241,15 +254,25 @@ def cells(members: DataFrame, known: DataFrame, sets: DataFrame, roots: DataFram
 CELL = ["key", "probe", "block"]
 
 
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Of two sorted sets."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (len(both) - common) - ROUNDING
+
+
 def _cell_links(rows: pa.Table, similarity: float):
     """Links between components in one cell, enough of them to join what belongs together.
 
     A pair is looked at only in the first band it shares, so once in all cells, and only while its texts are not joined.
+    Two sets have no more in common than the smaller of their counts in each of BINS classes of elements; pairs that would
+    need more are not alike.
     """
     asks = rows.column("asks").to_numpy(zero_copy_only=False).astype(bool)
     tid, root, weight, band = (rows.column(c).to_numpy() for c in ("tid", "root", "weight", "band"))
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(len(tid), BANDS, ROWS)
-    sets = rows.column("elements").to_pylist()
+    sets = [np.frombuffer(x, np.uint32) for x in rows.column("elements").to_pylist()]
+    counts = np.stack([np.bincount(x & np.uint32(BINS - 1), minlength=BINS) for x in sets]).astype(np.int32)
     _, group = np.unique(root, return_inverse=True)
     label = np.arange(group.max() + 1)  # of each component of the cell; equal once joined
     members = np.flatnonzero(~asks)
@@ -258,16 +281,11 @@ def _cell_links(rows: pa.Table, similarity: float):
         some = members[(label[group[members]] != label[group[p]]) & (small >= similarity * large - ROUNDING)]
         if not len(some):
             continue
-        equal = sig[some] == sig[p]
-        first = equal.all(2).argmax(1) == band[p]
-        some = some[first & (equal.mean((1, 2)) >= similarity - MARGIN)]
-        a = np.frombuffer(sets[p], np.uint32)
+        some = some[(sig[some] == sig[p]).all(2).argmax(1) == band[p]]
+        most = np.minimum(counts[some], counts[p]).sum(1)
+        some = some[most >= similarity * (weight[some] + weight[p] - most) - ROUNDING]
         for m in some:
-            if label[group[m]] == label[group[p]]:
-                continue
-            both = np.sort(np.concatenate([a, np.frombuffer(sets[m], np.uint32)]), kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            if common >= similarity * (len(both) - common) - ROUNDING:
+            if label[group[m]] != label[group[p]] and _alike(sets[p], sets[m], similarity):
                 label[label == label[group[m]]] = label[group[p]]
                 yield max(tid[p], tid[m]), min(tid[p], tid[m])
 
@@ -285,8 +303,8 @@ def cross_links(dealt: DataFrame, similarity: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(tid, class_id): the class of every text, for documents (doc_id, text)."""
-    own = docs.select("doc_id", text_id().alias("tid"), "text").filter(F.col("tid").isNotNull())
+    """(tid, class_id): the class of every text, for documents (doc_id, text, tid), tid by text_ids."""
+    own = docs.select("doc_id", "tid", "text").filter(F.col("tid").isNotNull())
     known = materialize(sketches(own), "sketches")
     members = buckets(known)
     pairs = materialize(leader_pairs(members), "pairs")
@@ -305,18 +323,19 @@ def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     """One document of each class: a row of its least doc_id; null texts stay."""
     inner, back = aside(docs)
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id")
-    found = classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), similarity)
+    tid = text_ids(docs)
+    found = classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tid.alias("tid")), similarity)
     # one (text, id) of each class is chosen before any text is shuffled; joined on both, copies are spread
-    chosen = docs.select(text_id().alias("tid"), number).join(found.withColumn("class_id", F.coalesce("class_id", F.lit(-(1 << 63)))), "tid").filter("_id = class_id")
+    chosen = docs.select(tid.alias("tid"), number).join(found.withColumn("class_id", F.coalesce("class_id", F.lit(-(1 << 63)))), "tid").filter("_id = class_id")
     first = F.row_number().over(Window.partitionBy("class_id").orderBy("tid"))
     keep = chosen.withColumn("_n", first).filter("_n = 1").select(F.col("tid").alias("_tid"), "_id")
-    rows = inner.select("*", text_id().alias("_tid"), number).join(keep, ["_tid", "_id"])
+    rows = inner.select("*", tid.alias("_tid"), number).join(keep, ["_tid", "_id"])
     once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_tid", "_id").orderBy("_tid"))).filter("_n = 1")
     return back(once).unionByName(docs.filter(F.col("text").isNull()))
 
 
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = docs.select("doc_id", text_id().alias("tid"))
-    out = keyed.join(classes(docs), "tid", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    docs = docs.withColumn("tid", text_ids(docs))
+    out = docs.select("doc_id", "tid").join(classes(docs), "tid", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))

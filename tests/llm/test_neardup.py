@@ -5,7 +5,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpuscle.llm import graph
 from corpuscle.llm import neardup as N
@@ -64,7 +66,8 @@ def corpus(seed, families=25, members=6):
 def test_against_brute_force(spark, seed):
     texts = corpus(seed)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
-    tid = docs.select("doc_id", N.text_id().alias("tid")).join(N.classes(docs), "tid", "left").collect()
+    docs = docs.withColumn("tid", N.text_ids(docs))
+    tid = docs.select("doc_id", "tid").join(N.classes(docs), "tid", "left").collect()
     got = {r["doc_id"]: r["doc_id"] if r["class_id"] is None else r["class_id"] for r in tid}
     assert got == brute(texts)
 
@@ -80,10 +83,51 @@ def test_cells_join_what_leaders_miss(spark, monkeypatch):
         base[(i * 11) % 120] = f"n{i}"
         texts.append(" ".join(base))
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r["class_id"] for r in N.classes(docs).collect()}
+    got = {r["class_id"] for r in N.classes(docs.withColumn("tid", N.text_ids(docs))).collect()}
     assert got == set(brute(texts).values())
 
 
+def test_a_bucket_of_texts_below_the_threshold(spark):
+    """Texts of one template, some 0.7 alike, share bands in great numbers; two of them are near copies."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join([*base, *(f"d{i}x{k}" for k in range(26))]) for i in range(120)]
+    texts += [texts[7] + " more", texts[90] + " words"]
+    r.shuffle(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["tid"]: r["class_id"] for r in N.classes(docs.withColumn("tid", N.text_ids(docs))).collect()}
+    assert sorted(got.values()) == sorted(brute(texts).values()) and len(set(got.values())) == 120
+
+
+def test_bounds_leave_no_link_out():
+    """A cell of all texts finds the components that pairwise comparison finds."""
+    texts = [t for t in dict.fromkeys(corpus(11, 12, 8)) if t and t.split()]
+    doc, element, weight, _ = N.shingles(pa.array(texts))
+    sets = []
+    for k in range(len(texts)):
+        own, many = element[doc == k], weight[doc == k].astype(int)
+        nth = np.concatenate([np.arange(n) for n in many]).astype(np.uint64)
+        sets.append(np.sort((N.mix(np.repeat(own, many) + N._C[2] * nth) >> np.uint64(32)).astype(np.uint32)).tobytes())
+    n = len(texts)
+    sig = [np.arange(125, dtype=np.uint32).tobytes()] * n  # all share all bands
+    one = {"tid": list(range(n)), "root": list(range(n)), "weight": [len(s) // 4 for s in sets], "band": [0] * n, "sig": sig, "elements": sets}
+    cell = pa.table({"asks": [False] * n + [True] * n} | {c: v + v for c, v in one.items()})
+    parent = list(range(n))
+    for u, v in N._cell_links(cell, 0.8):
+        parent = [parent[v] if x == parent[u] else x for x in parent]
+    want = brute(texts)
+    assert all((parent[i] == parent[j]) == (want[i] == want[j]) for i in range(n) for j in range(i))
+
+
+def test_texts_with_one_hash_are_told_apart(spark, monkeypatch):
+    real = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(7)) if len(c) == 1 else real(*c))
+    docs = spark.createDataFrame([(i, f"text {i % 20}") for i in range(60)] + [(99, None)], "doc_id long, text string")
+    got = docs.select("text", N.text_ids(docs).alias("tid")).distinct().collect()
+    assert len(got) == 21 and len({r["tid"] for r in got}) == 21
+    assert [r["tid"] for r in got if r["text"] is None] == [None]
+
+
 def test_kept_documents(spark):
     texts = corpus(3)
     docs = spark.createDataFrame([(i, t, i, i) for i, t in enumerate(texts)], "doc_id long, text string, tid int, class_id int")
