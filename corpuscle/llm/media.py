@@ -6,7 +6,8 @@ samples wide; references are resolved by a join on the digest, which moves featu
 
 Defined results: a null text is the empty one; an empty text is stored as 64 zero bytes; equal texts share digest and
 features; a null doc_id is kept; other columns are ignored; empty tables give empty results.  A reference to a digest that
-is not stored keeps its place and caption, with null features.
+is not stored keeps its place and caption, with null features; repeated rows and references get a row each; very long texts
+are stored whole; items keep the order of the page, so there are no ties.
 """
 
 from __future__ import annotations
@@ -159,10 +160,12 @@ def one_per_digest(read: DataFrame) -> DataFrame:
 
 
 def page_of(text: Column, doc_id: Column) -> Column:
-    """A page for a document: a lead, its media by reference, and a caption."""
+    """A page for a document: a lead, a cover that all pages share, a line, its own media by reference, and an end."""
     name = F.concat(F.lit("document "), F.coalesce(doc_id.cast("string"), F.lit("null")))
     digest = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
-    return F.concat(F.lit("<article><p>"), name, F.lit('</p><figure><img src="sha256:'), digest, F.lit('"><figcaption>'), name, F.lit(" as samples</figcaption></figure><p>end</p></article>"))
+    figure = lambda d, said: F.concat(F.lit('<figure><img src="sha256:'), d, F.lit('"><figcaption>'), said, F.lit("</figcaption></figure>"))
+    own = F.concat(name, F.lit(" as samples"))
+    return F.concat(F.lit("<article><p>"), name, F.lit("</p>"), figure(F.sha2(F.lit("").cast("binary"), 256), F.lit("cover")), F.lit("<p>its text</p>"), figure(digest, own), F.lit("<p>end</p></article>"))
 
 
 def sequences(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -179,9 +182,9 @@ def sequences(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.mapInArrow(parsed, schema)
 
 
-def resolve(sequenced: DataFrame, features: DataFrame) -> DataFrame:
-    """One row for each media reference, with its place and caption, joined to the features of its digest."""
-    refs = sequenced.select("*", F.explode("sequence").alias("_item")).drop("sequence").filter(F.col("_item.kind") == "media")
+def resolve(sequenced: DataFrame, features: DataFrame, wanted: Column | str = "true") -> DataFrame:
+    """One row for each media reference that `wanted` lets through, with its place and caption, joined to the features of its digest."""
+    refs = sequenced.select("*", F.explode("sequence").alias("_item")).drop("sequence").filter(F.col("_item.kind") == "media").filter(wanted)
     refs = refs.select("*", "_item.digest", "_item.position", "_item.caption").drop("_item")
     return refs.join(features, "digest", "left")
 
@@ -190,5 +193,5 @@ def op10_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = media_features(store_media(docs))
     pages = docs.select("doc_id", page_of(F.col("text"), F.col("doc_id")).alias("html"))
-    out = resolve(sequences(pages).drop("html"), features)
+    out = resolve(sequences(pages).drop("html"), features, F.col("_item.caption") != "cover")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

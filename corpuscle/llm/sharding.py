@@ -5,7 +5,8 @@ versioned table maps slots to shards; only that table is edited when shards are
 changes its slot.  The table has `slots` rows whatever the corpus holds, so it may be planned on the driver and broadcast.
 
 Defined results: a null text has size 1 and the CRC of the empty text; a null doc_id is hashed like a value; repeated
-rows share a virtual slot and get places of their own; an empty table gives an empty result; other columns are ignored.
+rows share a virtual slot and get places of their own, in no order among themselves; very long texts count whole; slots of
+equal bytes are dealt in the order of their numbers; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import materialize
+from corpuscle.llm.common import materialize, new_path
 
 SLOTS = 4096
 SHARDS = 8
+RUN = 1 << 16  # copies of a record listed at once
 
 
 def record_digests(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -86,15 +88,30 @@ def place(digests: DataFrame, loads: dict[int, tuple[int, int]], slot_map: dict[
     before = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum("copies").over(before), F.lit(0))
     placed = digests.withColumn("_first", first).join(F.broadcast(table), "virtual_slot")
-    each = F.explode(F.sequence(F.col("base") + F.col("_first"), F.col("base") + F.col("_first") + F.col("copies") - 1))
-    return placed.select("doc_id", "size", "text_crc32", "shard", each.alias("slot"), "virtual_slot")
+    first, last = F.col("base") + F.col("_first"), F.col("base") + F.col("_first") + F.col("copies") - 1
+    runs = placed.withColumn("_last", last).withColumn("_from", F.explode(F.sequence(first, last, F.lit(RUN).cast("long"))))  # no array holds all copies
+    each = F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + RUN - 1, F.col("_last"))))
+    return runs.select("doc_id", "size", "text_crc32", "shard", each.alias("slot"), "virtual_slot")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slot_map: dict[int, int] | None = None) -> DataFrame:
-    """Place all records by a given map, or by a new one that evens the shards' bytes."""
+def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None, version: int | None = None) -> DataFrame:
+    """Place all records by a stored map: by `version` of the one at map_path, or by a first version that evens the shards' bytes, stored there (or in the scratch folder)."""
+    spark = docs.sparkSession
     digests = materialize(record_digests(docs, slots), "digests")
     loads = {r["virtual_slot"]: (r["rows"], r["bytes"]) for r in slot_loads(digests).collect()}  # at most `slots` rows
-    return place(digests, loads, slot_map or plan_map({k: v[1] for k, v in loads.items()}, slots, shards))
+    if version is None:
+        map_path, version = map_path or new_path(spark, "slot-map"), 1
+        save_map(spark, plan_map({k: v[1] for k, v in loads.items()}, slots, shards), map_path, version)
+    return place(digests, loads, load_map(spark, map_path, version))
+
+
+def rebalance(docs: DataFrame, map_path: str, shards: int, slots: int = SLOTS) -> int:
+    """Store the next version of a map for `shards` shards and today's loads; its number."""
+    spark = docs.sparkSession
+    loads = {r["virtual_slot"]: r["bytes"] for r in slot_loads(record_digests(docs, slots)).collect()}  # at most `slots` rows
+    last = spark.read.parquet(map_path).agg(F.max("version")).first()[0]
+    save_map(spark, edit_map(load_map(spark, map_path, last), loads, shards), map_path, last + 1)
+    return last + 1
 
 
 def op5_fixed_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,18 @@
 """Toxicity: a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 A feature is an n-gram of 4 to 6 characters within a blank-delimited word of the lower-cased text, blanks at its ends
-included, hashed to one of 2**20 buckets and counted once a document.  On a bounded sample of labelled rows:
+included, hashed to one of 2**20 buckets and counted once a document.  On a bounded sample of labelled rows (MAX_TRAIN_ROWS
+rows, MAX_TRAIN_BYTES of text, in the order of a hash of their ids):
 1. document frequencies of each bucket in toxic and other rows are summed over the executors;
-2. the buckets that tell most (by the log-likelihood ratio) are kept, with r = log of the smoothed frequencies' ratio;
+2. buckets in LEAST_SEEN rows or more whose log-likelihood ratio is LEAST_GAIN or more are the features, of more than
+   MAX_FEATURES those with the greatest ratio, with r = log of the smoothed frequencies' ratio; all are parameters of the model;
 3. a logistic regression with an L2 penalty is fitted to the rows' r-scaled features.
 The model, of at most 2**20 floats, is sent to all tasks, which score whole texts.
 
 Defined results: null and empty texts score by the bias alone; labels that are null, or of no document, are not learnt;
 several labels of one document count as their largest; extra columns of any name are carried along; without labels of both kinds every score is the share of toxic
-labels (0 without any); repeated rows get equal scores; empty tables give empty results.
+labels (0 without any); repeated rows get equal scores and are learnt once; very long texts are scored whole, and of those
+chosen for learning the last may pass MAX_TRAIN_BYTES; equal ratios go to the smaller bucket; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.llm.common import aside, materialize, mix, slices
@@ -25,7 +28,9 @@ from corpuscle.llm.common import aside, materialize, mix, slices
 GRAMS = (4, 5, 6)
 BITS = 20
 MAX_TRAIN_ROWS = 20_000  # of labelled rows, the ones with the least hashes of their ids
+MAX_TRAIN_BYTES = 256 << 20  # of their texts
 MAX_FEATURES = 32_768
+LEAST_SEEN = 3  # rows with a bucket
 LEAST_GAIN = 10.83  # of a bucket's log-likelihood ratio; chi-squared at 0.001
 THRESHOLD = 0.7
 BLOCK = 4096
@@ -63,12 +68,17 @@ def held_out(doc_id: Column | None = None) -> Column:
     return F.coalesce(F.pmod(F.crc32((F.col("doc_id") if doc_id is None else doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """(toxic, text) of the bounded sample; the ids chosen are at most `most` rows, so they may be broadcast."""
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS, most_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
+    """(toxic, text) of the bounded sample.  Rows are chosen by ids, hashes and lengths; only chosen texts are moved."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("toxic").cast("int").alias("toxic"), "text")
+    place = [F.xxhash64("doc_id"), "doc_id", "_hash"]
+    narrow = docs.select("doc_id", F.xxhash64("text").alias("_hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_size"))
+    rows = narrow.join(F.broadcast(chosen), "doc_id").distinct().orderBy(*place).limit(most)
+    before = F.coalesce(F.sum("_size").over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of `most` rows
+    rows = rows.withColumn("_before", before).filter(F.col("_before") < most_bytes).select("doc_id", "_hash", "toxic")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash")).join(F.broadcast(rows), ["doc_id", "_hash"])
+    return texts.dropDuplicates(["doc_id", "_hash"]).select(F.col("toxic").cast("int").alias("toxic"), "text")
 
 
 def _frequencies(batches):
@@ -100,7 +110,7 @@ def _sums(table: pa.Table) -> pa.Table:
             total[:, 0] += np.frombuffer(counts, np.int32)
         else:
             total[:, np.frombuffer(at, np.uint16)] += np.frombuffer(counts, np.int32).reshape(2, -1)
-    at = np.flatnonzero(total.sum(0) >= 3) if block >= 0 else np.array([0])
+    at = np.flatnonzero(total.sum(0) >= LEAST_SEEN) if block >= 0 else np.array([0])
     return pa.table({"bucket": pa.array(at + block, pa.int64()), "clean": pa.array(total[0, at], pa.int64()), "toxic": pa.array(total[1, at], pa.int64())})
 
 

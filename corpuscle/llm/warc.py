@@ -8,7 +8,9 @@ its end to finish the last one.
 
 Defined results: a null html is the empty payload; among equal payloads all rows with the least page_id are responses and
 the others revisit it; rows with a null page_id are revisits of it if there is one, else responses; a null url has no
-target; repeated rows get a record each; an empty table gives no archive and an empty result; other columns are ignored.
+target; repeated rows get a record each; very long payloads are written and read whole; an empty table gives no archive and
+an empty result; other columns are ignored.  Archives of other tools are read too, with records of all types.  Folders are
+opened through Arrow's file systems (local, HDFS, S3, GCS, ABFS).
 """
 
 from __future__ import annotations
@@ -153,15 +155,49 @@ def members(stream, start: int, stop: int):
         yield first, b"".join(parts)
 
 
+def _fields(head: bytes, encoding: str) -> dict[str, str]:
+    """Header fields below a first line; a line that starts with a blank goes on from the one before."""
+    out: dict[str, str] = {}
+    name = None
+    for line in head.decode(encoding, "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] = f"{out[name]} {line.strip()}".strip()
+        else:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
 def parse_record(raw: bytes) -> dict:
-    """Headers, block and payload of a record."""
+    """Headers and payload of a record of any type: of an HTTP message what is below its headers, else the whole block."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    block = rest[: int(headers["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
-    return {"headers": headers, "http": fields, "payload": payload}
+    headers = _fields(head, "utf-8")
+    size = headers.get("content-length", "")
+    block = rest[: int(size)] if size.isdigit() else rest
+    http, payload = {}, block
+    if headers.get("content-type", "").lower().startswith("application/http"):
+        message, _, payload = block.partition(b"\r\n\r\n")
+        http = _fields(message, "latin-1")
+    return {"headers": headers, "http": http, "payload": payload}
+
+
+def described(r: dict, place: str) -> tuple:
+    """(type, url, page_id, refers_to, size, digest) of a parsed record.
+
+    A revisit tells size and digest of what it refers to.  Records of other tools may lack any header; the digest is then
+    computed.  A record of our own whose payload is not what its digest says is an error; others may have digested other bytes.
+    """
+    h, kind = r["headers"], r["headers"].get("warc-type", "")
+    page, other = h.get("x-page") or None, h.get("x-refers-to-page") or None
+    said = h.get("warc-payload-digest", "")
+    size, digest = len(r["payload"]), digest32(r["payload"])
+    if kind == "revisit":
+        told = r["http"].get("content-length", "")
+        size, digest = (int(told) if told.isdigit() else None), said.removeprefix("sha1:") or None
+    elif "x-page" in h and said.removeprefix("sha1:") != digest:
+        raise ValueError(f"{place}: the payload is not what its digest says")
+    return kind, h.get("warc-target-uri"), page and int(page), other and int(other), size, digest
 
 
 READ = "path string, offset long, record_type string, url string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -187,16 +223,7 @@ def read_warc(files: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, wit
                 with fs.open_input_file(path) as stream:
                     for offset, raw in members(stream, start, stop):
                         r = parse_record(raw)
-                        h, kind = r["headers"], r["headers"]["warc-type"]
-                        page, other = h.get("x-page") or None, h.get("x-refers-to-page") or None
-                        said = h["warc-payload-digest"].removeprefix("sha1:")
-                        if kind == "response":
-                            size, digest = len(r["payload"]), digest32(r["payload"])
-                            if digest != said:
-                                raise ValueError(f"{path}, byte {offset}: the payload is not what its digest says")
-                        else:
-                            size, digest = int(r["http"]["content-length"]), said
-                        rows.append((path, offset, kind, h.get("warc-target-uri"), page and int(page), other and int(other), size, digest, r["payload"] if with_payload else None))
+                        rows.append((path, offset, *described(r, f"{path}, byte {offset}"), r["payload"] if with_payload else None))
                         if len(rows) >= 1000:
                             yield batch_of(rows)
                             rows = []

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpuscle.llm import media as M
 
@@ -25,10 +27,26 @@ def test_payloads(spark, tmp_path):
         form = M.encode_pgm(payload)
         assert (r["media_bytes"], r["media_sha256"]) == (len(form), hashlib.sha256(form).hexdigest())
         assert M.decode_pgm(form) == payload
-        assert r["position"] == 1 and r["caption"] == f"document {i} as samples"
+        assert r["position"] == 3 and r["caption"] == f"document {i} as samples"
+        samples = list(payload)
+        mean = sum(samples) / size
+        shares = [samples.count(v) / size for v in set(samples)]
+        said = dict(x.split("=") for x in r["feature"].split(";"))
+        assert float(said["mean"]) == pytest.approx(mean, abs=1e-4)
+        assert float(said["std"]) == pytest.approx((sum((v - mean) ** 2 for v in samples) / size) ** 0.5, abs=1e-4)
+        assert abs(float(said["entropy"])) == pytest.approx(-sum(p * math.log2(p) for p in shares), abs=1e-4)
+        bands = [1000 * sum(32 * k <= v < 32 * k + 32 for v in samples) / size for k in range(8)]
+        assert [int(x) for x in said["bands"].split(",")] == pytest.approx(bands, abs=0.51)
     assert got[1]["feature"] == got[7]["feature"] != got[0]["feature"]
 
 
+def test_a_page_keeps_order_and_captions(spark):
+    html = spark.range(1).select(M.page_of(F.lit("x"), F.lit(7)).alias("html")).first()["html"]
+    own, none = hashlib.sha256(b"x").hexdigest(), hashlib.sha256(b"").hexdigest()
+    got = [(x["kind"], x["text"] or x["digest"], x["caption"]) for x in M.parse_sequence(html)]
+    assert got == [("text", "document 7", None), ("media", none, "cover"), ("text", "its text", None), ("media", own, "document 7 as samples"), ("text", "end", None)]
+
+
 def test_sequences():
     html = """<h1>T &amp; x</h1><p>one <b>two</b></p><figure><img src="sha256:abc" alt="alt"><figcaption>Cap <i>tion</i></figcaption></figure>
     text<img src='d&amp;e'>tail<!-- <img src=no> --><script>"<img src=no>"</script><figure><video src=v1></video><img src=v2><figcaption>both"""

@@ -38,3 +38,26 @@ def test_maps(spark, tmp_path):
     drifted = dict(loads) | {k: 300 for k in one if one[k] == 0}
     fixed = S.edit_map(one, drifted, 8)
     assert all(one[k] == 0 for k in one if one[k] != fixed[k])
+
+
+def test_placing_by_stored_versions(spark, tmp_path):
+    """One more shard: the next version moves a part of the records, and older versions still place as before."""
+    path = str(tmp_path / "map")
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
+    where = lambda df: Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in df.collect())
+    one = where(S.shard_documents(docs, map_path=path))
+    assert S.rebalance(docs, path, 9) == 2
+    nine = where(S.shard_documents(docs, map_path=path, version=2))
+    assert where(S.shard_documents(docs, map_path=path, version=1)) == one
+    moved = sum((nine - one).values())
+    assert 0 < moved < 0.4 * len(ROWS) and {k[3] for k in nine} == set(range(9))
+    load = Counter()
+    for (_, size, _, shard), n in nine.items():
+        load[shard] += size * n
+    assert max(load.values()) < 1.2 * sum(load.values()) / 9
+
+
+def test_many_copies_of_a_record(spark, monkeypatch):
+    monkeypatch.setattr(S, "RUN", 7)
+    docs = spark.range(100).selectExpr("1L AS doc_id", "'x' AS text")
+    assert sorted(r["slot"] for r in S.shard_documents(docs).collect()) == list(range(100))

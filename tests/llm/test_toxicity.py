@@ -61,3 +61,55 @@ def test_features_are_within_words():
     assert (doc == 0).sum() == 2 * padded("ab") and (doc == 2).sum() == padded("abcdef")
     again = X.features(["x abcdef\ny"])
     assert set(bucket[doc == 2]) <= set(again[1])
+
+
+def test_against_a_plain_fit(spark):
+    """Counts, ratios and the optimum, computed from sets of n-grams without any of the operator's tables."""
+    rows = texts(5, 300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    held = {r["doc_id"] for r in docs.filter(X.held_out()).collect()}
+    model = X.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    learnt = [(t, y) for i, t, y in rows if i not in held]
+
+    def buckets(text):
+        grams = {(" " + w + " ")[k : k + n] for w in text.lower().split() for n in X.GRAMS for k in range(len(w) + 3 - n)}
+        found = X.features([text])[1]
+        assert len(set(found.tolist())) <= len(grams) <= len(found)  # a bucket a gram, but for collisions
+        return set(found.tolist())
+
+    sets, y = [buckets(t) for t, _ in learnt], np.array([v for _, v in learnt], float)
+    n, m = (y == 0).sum(), (y == 1).sum()
+    r = {}
+    for b in set().union(*sets):
+        a, t = sum(b in s for s, v in learnt_sets(sets, y) if not v), sum(b in s for s, v in learnt_sets(sets, y) if v)
+        seen, total = a + t, n + m
+        gain = 2 * sum(x * np.log(x / e) for x, e in ((a, seen * n / total), (t, seen * m / total), (n - a, (total - seen) * n / total), (m - t, (total - seen) * m / total)) if x)
+        if seen >= X.LEAST_SEEN and gain >= X.LEAST_GAIN:
+            r[b] = np.log((t + 1) / (m + 2)) - np.log((a + 1) / (n + 2))
+    assert set(np.flatnonzero(model.weights)) <= set(r)
+    at = {b: k for k, b in enumerate(r)}
+    matrix = np.zeros((len(y), len(r)))
+    for i, s in enumerate(sets):
+        for b in s & r.keys():
+            matrix[i, at[b]] = r[b]
+    ratio = np.array(list(r.values()))
+    w, bias = model.weights[list(r)] / ratio, model.bias
+    loss = lambda w, bias: (np.logaddexp(0, matrix @ w + bias) - y * (matrix @ w + bias)).mean() + 0.05 * (w**2).sum() / 2 / len(y)
+    best_w, best_b = np.zeros_like(w), 0.0
+    for _ in range(4000):  # plain gradient descent
+        g = 1 / (1 + np.exp(-(matrix @ best_w + best_b))) - y
+        best_w, best_b = best_w - 0.05 * (matrix.T @ g / len(y) + 0.05 * best_w / len(y)), best_b - 0.05 * g.mean()
+    assert loss(w, bias) <= loss(best_w, best_b) + 0.01
+
+
+def learnt_sets(sets, y):
+    return zip(sets, y, strict=True)
+
+
+def test_the_sample_is_bounded_by_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i, "word " * 20) for i in range(100)] * 2 + [(0, "another")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    held = {r["doc_id"] for r in docs.filter(X.held_out()).collect()}
+    assert X.training_rows(docs, labels).count() == len(set(range(100)) - held) + (0 not in held)
+    assert X.training_rows(docs, labels, most=10).count() == 10
+    assert X.training_rows(docs, labels, most_bytes=1000).count() in (10, 11)

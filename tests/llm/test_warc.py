@@ -54,3 +54,35 @@ def test_false_magic_is_skipped():
 def test_least_payload(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
     assert {r["page_id"]: r["refers_to"] for r in W.decide(pages, 3).collect()} == {1: None, 2: None, 3: None, 4: 3}
+
+
+def test_archives_of_other_tools(spark, tmp_path):
+    """Records of all types, with headers that ours never lack or have."""
+    def rec(kind, block, *headers):
+        return gzip.compress("\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", *headers, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>x</p>"
+    whole = "Content-Type: application/http; msgtype=response"
+    data = [
+        rec("warcinfo", b"software: y\r\n", "Content-Type: application/warc-fields"),
+        rec("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "WARC-Target-URI: http://a/", "Content-Type: application/http; msgtype=request"),
+        rec("response", http, "WARC-Target-URI: http://a/", whole, "WARC-Payload-Digest: sha1:ANOTHERDIGEST"),
+        rec("metadata", b"fetchTimeMs: 3\r\n\r\nmore", "WARC-Target-URI:", "\thttp://a/"),
+        rec("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", whole, "WARC-Payload-Digest: sha1:ABC"),
+        rec("resource", b"plain"),
+    ]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(data))
+    files = spark.createDataFrame([(str(tmp_path / "x.warc.gz"), sum(map(len, data)))], "path string, bytes long")
+    got = W.read_warc(files, f"file://{tmp_path}", 64, with_payload=True).orderBy("offset").collect()
+    assert [r["record_type"] for r in got] == ["warcinfo", "request", "response", "metadata", "revisit", "resource"]
+    assert [bytes(r["payload"]) for r in got] == [b"software: y\r\n", b"", b"<p>x</p>", b"fetchTimeMs: 3\r\n\r\nmore", b"", b"plain"]
+    assert got[2]["payload_digest"] == W.digest32(b"<p>x</p>") and got[4]["payload_digest"] == "ABC"
+    assert [r["payload_bytes"] for r in got] == [13, 0, 8, 22, None, 5]
+    assert got[3]["url"] == "http://a/" and {r["page_id"] for r in got} == {None}
+
+
+def test_a_changed_payload_of_ours_is_found(spark, tmp_path):
+    raw = W.record(1, "u", b"right", None).replace(b"right", b"wrong")
+    (tmp_path / "x.warc.gz").write_bytes(W.gzip_member(raw))
+    with pytest.raises(ValueError, match="digest"):
+        W.described(W.parse_record(raw), "x")
