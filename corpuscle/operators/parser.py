@@ -91,19 +91,20 @@ def legal_documents(files: DataFrame) -> DataFrame:
     return rows.withColumn("toc", F.transform("toc", lambda x: F.struct(F.lit("chapter").alias("level"), x["no"].alias("no"), F.nullif(x["title"], F.lit("")).alias("title"))))
 
 
+# fixed values: the forms of headings and the order they are tried in; digits are those of any script
 HEADINGS: list[tuple[str, str, int]] = [
     # pattern on the squeezed line, form of the number, level; the first that matches counts
-    (r"^(\d+(?:\.\d+)+)(.*)$", "%s", 2),
+    (r"^(\p{Nd}+(?:\.\p{Nd}+)+)(.*)$", "%s", 2),
     (_head("章"), "%s", 1),
     (_head("节"), "%s", 2),
     (f"^({HAN_NUMERAL})[、．.](.*)$", "%s、", 1),
     (f"^[（(]({HAN_NUMERAL})[)）](.*)$", "（%s）", 2),
-    (r"^(\d+)[、．.](.*)$", "%s", 1),
+    (r"^(\p{Nd}+)[、．.](.*)$", "%s", 1),
 ]
 MARKDOWN = r"^(#{1,6})\s+(.*)$"
 
 
-STARTS = "^[#0-9０-９一二三四五六七八九十百千万第（(]|^\\d"
+STARTS = r"^[#\p{Nd}一二三四五六七八九十百千万第（(]"
 
 
 def heading(sq: Column, stripped: Column) -> Column:

@@ -44,11 +44,46 @@ def line_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks out of stored trees that differ from chunks out of the parse: none."""
-    articles = parser.parse(_files(spark, sf_dir).filter("region = 'src1'"))
-    direct = chunking.chunk_articles(articles, end=LATIN_END)
-    stored = chunking.chunk_articles(parser.from_tree(parser.to_tree(articles)), end=LATIN_END)
-    return direct.exceptAll(stored.select(*direct.columns)).unionAll(stored.select(*direct.columns).exceptAll(direct)).select("id", "text")
+    """Chunks of all documents out of stored trees, not out of the parse."""
+    articles = parser.from_tree(parser.to_tree(parser.parse(_files(spark, sf_dir))))
+    stored = chunking.chunk_articles(articles, end=LATIN_END)
+    return stored.select("id", "source", "file_type", "chapter_no", "article_chunk", "chunk", F.md5("text").alias("md5"))
+
+
+def _legal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A legal text a region: a table of contents, nations as chapters, their suppliers as articles of two lines."""
+    nation = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    chapter = F.concat(F.lit("第"), (F.col("n_nationkey") + 1).cast("string"), F.lit("章 "), F.col("n_name"))
+    first = nation.select("r_name", F.lit(0).alias("part"), F.lit(0).alias("n"), F.lit(0).alias("k"), F.concat("r_name", F.lit("\n（"), "r_name", F.lit("）\n目　录")).alias("line")).distinct()
+    listed = nation.select("r_name", F.lit(1), "n_nationkey", F.lit(0), chapter)
+    heads = nation.select("r_name", F.lit(2), "n_nationkey", F.lit(0), chapter)
+    article = F.concat(F.lit("第"), (F.col("s_suppkey") + 1).cast("string"), F.lit("条　"), F.col("s_name"), F.lit("\n  "), F.col("s_suppkey").cast("string"), F.lit(" is its key \n"))
+    articles = load(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("r_name", F.lit(2), "n_nationkey", F.col("s_suppkey") + 1, article)
+    lines = first.union(listed).union(heads).union(articles)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "n", "k", "line"))), lambda x: x["line"]), "\n")
+    return lines.groupBy(F.concat("r_name", F.lit(".txt")).alias("filename")).agg(text.alias("text"), F.lit("国家法律").alias("file_type"), F.lit("").alias("region"), F.lit("").alias("city"))
+
+
+def legal_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of legal texts with the chapter they are in."""
+    return parser.parse(_legal_files(spark, sf_dir)).select("filename", "doc_title", "node", "chapter_no", "chapter_title", "section_no", "article_no", "body")
+
+
+def legal_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, headers and tables of contents of legal texts."""
+    return parser.legal_documents(_legal_files(spark, sf_dir)).select("filename", "title", "meta", F.size("toc").alias("chapters"), F.array_join(F.transform("toc", lambda x: F.concat(x["no"], F.lit(" "), x["title"])), ",").alias("toc"))
+
+
+def numbered_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of plain texts, one a region: nations under numbers in wide digits, their suppliers under numbers of two levels, a line of text below each."""
+    nation = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    wide = F.translate((F.col("n_nationkey") + 1).cast("string"), "0123456789", "０１２３４５６７８９")
+    heads = nation.select("r_name", F.col("n_nationkey").alias("n"), F.lit(0).alias("k"), F.concat(wide, F.lit("．"), "n_name").alias("line"))
+    number = F.concat((F.col("n_nationkey") + 1).cast("string"), F.lit("."), (F.col("s_suppkey") + 1).cast("string"))
+    below = load(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("r_name", "n_nationkey", F.col("s_suppkey") + 1, F.concat(number, F.lit(" "), "s_name", F.lit("\n"), "s_name", F.lit(" sells parts.")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "k", "line"))), lambda x: x["line"]), "\n")
+    files = heads.union(below).groupBy(F.concat("r_name", F.lit(".txt")).alias("filename")).agg(text.alias("text"))
+    return parser.plain_articles(files).select("filename", "chapter_no", "chapter_title", "section_no", "section_title", "body")
 
 
 def rebuild_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +110,50 @@ def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(last)).filter("n = 1").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-QUERIES = {f.__name__: f for f in (sentence_chunks, sentence_counts, chunk_ids, parsed_chunks, line_nodes, tree_round_trip, rebuild_outcomes, corpus_order, summaries, latest_versions)}
+QUERIES = {f.__name__: f for f in (sentence_chunks, sentence_counts, chunk_ids, parsed_chunks, line_nodes, tree_round_trip, legal_parse, legal_contents, numbered_headings, rebuild_outcomes, corpus_order, summaries, latest_versions)}
 
 _SENT = "list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '')"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+# lines of a file are packed into articles of 400 characters, not counting line breaks
+ARTICLES_SQL = f"""c AS ({tables.CORPUS_SQL}),
+g(id, ls, i, buf, size, done) AS (
+  SELECT id, string_split(text, chr(10)), 0, NULL::VARCHAR, 0, NULL::VARCHAR FROM c
+  UNION ALL
+  SELECT id, ls, i + 1,
+    CASE WHEN i >= len(ls) OR trim(ls[i + 1], {_BLANKS}) = '' THEN NULL WHEN buf IS NOT NULL AND size + length(ls[i + 1]) > 400 THEN ls[i + 1] ELSE concat_ws(chr(10), buf, ls[i + 1]) END,
+    CASE WHEN i >= len(ls) OR trim(ls[i + 1], {_BLANKS}) = '' THEN 0 WHEN buf IS NOT NULL AND size + length(ls[i + 1]) > 400 THEN length(ls[i + 1]) ELSE size + length(ls[i + 1]) END,
+    CASE WHEN i >= len(ls) OR trim(ls[i + 1], {_BLANKS}) = '' OR (buf IS NOT NULL AND size + length(ls[i + 1]) > 400) THEN buf END
+  FROM g WHERE i <= len(ls)),
+a AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) AS node, trim(done, {_BLANKS}) AS body FROM g WHERE trim(done, {_BLANKS}) <> '')"""
+# sentences of an article are packed into pieces of 400 characters
+PARSED_SQL = f"""{ARTICLES_SQL},
+s AS (SELECT id, node, {_SENT.replace('text', 'body')} AS ss FROM a),
+f(id, node, ss, i, buf, piece) AS (
+  SELECT id, node, ss, 0, '', []::VARCHAR[] FROM s
+  UNION ALL
+  SELECT id, node, ss, i + 1,
+    CASE WHEN i >= len(ss) THEN '' WHEN length(ss[i + 1]) > 400 THEN '' WHEN buf <> '' AND length(buf) + length(ss[i + 1]) > 400 THEN ss[i + 1] ELSE buf || ss[i + 1] END,
+    CASE WHEN i >= len(ss) THEN CASE WHEN buf <> '' THEN [buf] ELSE [] END
+         WHEN length(ss[i + 1]) > 400 THEN list_concat(CASE WHEN buf <> '' THEN [buf] ELSE [] END, list_transform(range(0, length(ss[i + 1]), 400), lambda k: substr(ss[i + 1], k + 1, 400)))
+         WHEN buf <> '' AND length(buf) + length(ss[i + 1]) > 400 THEN [buf] ELSE [] END
+  FROM f WHERE i <= len(ss)),
+p AS (SELECT id, node, i, trim(unnest(piece), {_BLANKS}) AS piece, generate_subscripts(piece, 1) AS k FROM f WHERE len(piece) > 0),
+chunks AS (SELECT printf('%s#%03d', source, row_number() OVER (PARTITION BY id ORDER BY node, i, k)) AS id, source, file_type, '' AS chapter_no,
+  CAST(row_number() OVER (PARTITION BY id, node ORDER BY i, k) AS INT) AS article_chunk, CAST(row_number() OVER (PARTITION BY id ORDER BY node, i, k) AS INT) AS chunk,
+  md5(trim(concat_ws(' ', nullif(region, ''), nullif(city, '')) || chr(10) || ' ' || piece, {_BLANKS})) AS md5 FROM p JOIN c USING (id) WHERE piece <> '')"""
+_LEGAL = """w AS (SELECT r_name || '.txt' AS filename, r_name, n_nationkey AS k, '第' || (n_nationkey + 1) || '章' AS no, replace(n_name, ' ', '') AS title FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+
 ORACLE_SQL = {
+    "parsed_chunks": f"WITH RECURSIVE {PARSED_SQL} SELECT * FROM chunks",
+    "tree_round_trip": f"WITH RECURSIVE {PARSED_SQL} SELECT * FROM chunks",
+    "line_nodes": f"WITH RECURSIVE {ARTICLES_SQL} SELECT source AS filename, count(*) AS articles, CAST(max(length(body)) AS INT) AS longest FROM a JOIN c USING (id) GROUP BY source",
+    "legal_parse": f"""WITH {_LEGAL}, h AS (SELECT filename, r_name, k, no, title, NULL AS s, '' AS ano, '' AS body FROM w
+  UNION ALL SELECT filename, r_name, k, no, title, s_suppkey, '第' || (s_suppkey + 1) || '条', s_name || chr(10) || s_suppkey || ' is its key' FROM w JOIN supplier ON s_nationkey = k)
+SELECT filename, r_name AS doc_title, CAST(node AS INT) AS node, no AS chapter_no, title AS chapter_title, NULL::VARCHAR AS section_no, ano AS article_no, body
+FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY k, s NULLS FIRST) AS node FROM h) WHERE s IS NOT NULL""",
+    "legal_contents": f"WITH {_LEGAL} SELECT filename, r_name AS title, '（' || r_name || '）' AS meta, CAST(count(*) AS INT) AS chapters, string_agg(no || ' ' || title, ',' ORDER BY k) AS toc FROM w GROUP BY filename, r_name",
+    "numbered_headings": f"""WITH {_LEGAL} SELECT filename, translate(CAST(k + 1 AS VARCHAR), '0123456789', '０１２３４５６７８９') AS chapter_no, title AS chapter_title, (k + 1) || '.' || (s_suppkey + 1) AS section_no, s_name AS section_title, s_name || ' sells parts.' AS body
+FROM w JOIN supplier ON s_nationkey = k""",
     "sentence_chunks": f"""WITH RECURSIVE s AS (SELECT doc_id, {_SENT} AS ss FROM documents),
 f(doc_id, ss, i, buf, piece) AS (
   SELECT doc_id, ss, 0, '', []::VARCHAR[] FROM s
@@ -95,7 +170,6 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS
     "chunk_ids": f"""WITH c AS ({tables.CORPUS_SQL}), l AS (SELECT source, region, city, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM c),
 e AS (SELECT source, region, city, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM l)
 SELECT printf('%s#%03d', source, k) AS id, trim(concat_ws(' ', nullif(region, ''), nullif(city, '')) || chr(10) || line, ' ' || chr(10)) AS text FROM e""",
-    "tree_round_trip": "SELECT 'x' AS id, 'x' AS text WHERE false",
     "rebuild_outcomes": "SELECT outcome, count(*) AS files FROM (SELECT CASE WHEN doc_id % 7 = 0 THEN 'orphan' WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'updated' ELSE 'skipped' END AS outcome FROM documents) GROUP BY outcome",
     "corpus_order": f"SELECT id, row_number() OVER (ORDER BY source) AS rank FROM ({tables.CORPUS_SQL})",
     "summaries": "WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 80 THEN substr(t, 1, 80) || '...' ELSE t END AS summary FROM t",
