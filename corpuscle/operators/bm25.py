@@ -3,9 +3,10 @@
 Two ways to the same scores:
 * `build` / `score` / `rank`: an index of four tables.  The queries' terms are joined to postings on the term, so work
   follows the postings of the terms asked for: for few, selective queries and for candidates given as pairs.
-* `rank_batch`: one pass over the corpus for many queries, whose words would make most pairs of query and document anyway.
-  Each batch of documents becomes a matrix of term weights, multiplied by the matrix of the queries; a batch returns the
-  best top_n of each query, so nothing of the size of the corpus is shuffled.
+* `rank_batch`: two passes over the corpus for many queries, whose words would make most pairs of query and document anyway:
+  one for the statistics of all terms, one to rank.  Each batch of documents becomes a matrix of term weights, multiplied
+  by the matrices of the queries; a batch returns the best top_n of each query, so nothing of the size of the corpus is
+  shuffled.  Queries whose matrices pass AT_ONCE_BYTES take another ranking pass.
 """
 
 from __future__ import annotations
@@ -91,76 +92,94 @@ def rank(scores: DataFrame, index: Index, top_n: int, candidates: DataFrame | No
     return rounded.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top_n).select("query_id", "id", "score", "rank", "corpus_pos")
 
 
-QUERIES_AT_ONCE = 256
+QUERIES_AT_ONCE = 256  # of a matrix
+AT_ONCE_BYTES = 128 << 20  # of matrices sent to all tasks for one pass
 DOCUMENTS_AT_ONCE = 512
 
 
-def _weights(queries: list, corpus: DataFrame, tokenizer, k1: float, b: float, epsilon: float) -> tuple[list, list[str], np.ndarray, float]:
-    """(query ids, terms, term by query weights, mean length): two passes of the corpus; the terms are those of the queries."""
+def _weights(queries: list, corpus: DataFrame, tokenizer, k1: float, b: float, epsilon: float):
+    """(mean length, matrices): one pass of the corpus.  A matrix: (query ids, terms, term by query weights) of QUERIES_AT_ONCE queries."""
     spark = corpus.sparkSession
     asked = spark.createDataFrame([(i, r["text"]) for i, r in enumerate(queries)], "q int, text string")
     asked = asked.select("q", F.explode(tokenizer(F.coalesce("text", F.lit("")))).alias("token")).groupBy("q", "token").agg(F.count(F.lit(1)).alias("times")).collect()
     terms = sorted({r["token"] for r in asked})
+    # a row a document without a token carries its length
     tokens = corpus.select(tokenizer(F.coalesce("text", F.lit(""))).alias("tokens"))
-    n, mean = tokens.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
-    if not n or not terms:
-        return [r["query_id"] for r in queries], terms, np.zeros((len(terms), len(queries))), mean or 1.0
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.withColumn("raw", F.ln(F.lit(float(n)) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    each = tokens.select(F.size("tokens").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("tokens"))).alias("token"))
+    df = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("token").isNull(), F.col("len"))).alias("len"))
+    whole = df.filter(F.col("token").isNull()).select(F.col("df").cast("double").alias("n"), (F.col("len") / F.col("df")).alias("mean_len"))
+    raw = df.filter(F.col("token").isNotNull()).crossJoin(F.broadcast(whole)).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # whole: one row
     own = spark.createDataFrame([(t,) for t in terms], "token string").withColumn("asked", F.lit(True))
-    known = raw.join(F.broadcast(own), "token", "left").agg(F.avg("raw").alias("mean"), F.collect_list(F.when(F.col("asked"), F.struct("token", "raw"))).alias("terms")).first()
+    known = raw.join(F.broadcast(own), "token", "left").agg(F.avg("raw").alias("mean"), F.max("mean_len").alias("mean_len"), F.collect_list(F.when(F.col("asked"), F.struct("token", "raw"))).alias("terms")).first()
     idf = {r["token"]: epsilon * known["mean"] if r["raw"] < 0 else r["raw"] for r in known["terms"]}
-    at = {t: i for i, t in enumerate(terms)}
-    out = np.zeros((len(terms), len(queries)))
-    for r in asked:
-        out[at[r["token"]], r["q"]] = r["times"] * idf.get(r["token"], 0.0) * (k1 + 1)
-    return [r["query_id"] for r in queries], terms, out, float(mean) or 1.0
+    out = []
+    for i in range(0, len(queries), QUERIES_AT_ONCE):
+        some = queries[i : i + QUERIES_AT_ONCE]
+        mine = [r for r in asked if i <= r["q"] < i + len(some) and r["token"] in idf]
+        here = sorted({r["token"] for r in mine})
+        at = {t: k for k, t in enumerate(here)}
+        weights = np.zeros((len(here), len(some)))
+        for r in mine:
+            weights[at[r["token"]], r["q"] - i] = r["times"] * idf[r["token"]] * (k1 + 1)
+        out.append(([r["query_id"] for r in some], here, weights))
+    return float(known["mean_len"] or 1.0), out
 
 
 def _best(batches, shared, top_n: int, digits: int, k1: float, b: float):
     """For each batch of (id, corpus_pos, tokens): the best top_n of each query, documents without a score included."""
-    ids, terms, weights, mean = shared.value
-    known = pa.array(terms, pa.string())
+    mean, matrices = shared.value
+    matrices = [(ids, pa.array(terms, pa.string()), weights) for ids, terms, weights in matrices]
     for batch in batches:
         tokens = batch.column(2)
         lengths = np.asarray(tokens.value_lengths().fill_null(0))
         place = batch.column(1).to_numpy(zero_copy_only=False)
-        scores = np.zeros((batch.num_rows, len(ids)))
-        found = pc.index_in(tokens.flatten(), value_set=known)
-        doc = np.repeat(np.arange(batch.num_rows), lengths)[np.asarray(found.is_valid())]
-        term = found.drop_null().to_numpy().astype(np.int64)
-        cell, tf = np.unique(doc * max(len(terms), 1) + term, return_counts=True)
-        doc, term = cell // max(len(terms), 1), cell % max(len(terms), 1)
-        part = tf / (tf + k1 * (1 - b + b * lengths[doc] / mean))
-        for i in range(0, batch.num_rows, DOCUMENTS_AT_ONCE):
-            lo, hi = np.searchsorted(doc, [i, i + DOCUMENTS_AT_ONCE])
-            used, column = np.unique(term[lo:hi], return_inverse=True)
-            dense = np.zeros((min(DOCUMENTS_AT_ONCE, batch.num_rows - i), len(used)))
-            dense[doc[lo:hi] - i, column] = part[lo:hi]
-            scores[i : i + len(dense)] = dense @ weights[used]
-        scores = scores.round(digits)
-        by_place = np.argsort(place, kind="stable")
-        take = min(top_n, batch.num_rows)
-        order = by_place[np.argsort(-scores[by_place], 0, kind="stable")[:take]]
-        query = np.repeat(np.arange(len(ids)), take)
-        rows = order.T.ravel()
-        yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in query], pa.int64()), batch.column(0).take(pa.array(rows)), pa.array(place[rows], pa.int64()), pa.array(scores[rows, query], pa.float64())], ["query_id", "id", "corpus_pos", "score"])
-
-
-def rank_batch(queries: DataFrame, corpus: DataFrame, top_n: int, where: Column | None = None, tokenizer: Callable[[Column], Column] = T.words, k1: float = K1, b: float = B, epsilon: float = EPSILON, digits: int = 5) -> DataFrame:
-    """(query_id, id, score, rank, corpus_pos), as `rank`; `where` restricts what is ranked, not the statistics.
-
-    The queries (long query_id, text) are a stated set, taken QUERIES_AT_ONCE at a time.
+        by_place, take = np.argsort(place, kind="stable"), min(top_n, batch.num_rows)
+        words = tokens.flatten()
+        of = np.repeat(np.arange(batch.num_rows), lengths)
+        for ids, terms, weights in matrices:
+            found = pc.index_in(words, value_set=terms)
+            doc, term = of[np.asarray(found.is_valid())], found.drop_null().to_numpy().astype(np.int64)
+            cell, tf = np.unique(doc * max(len(terms), 1) + term, return_counts=True)
+            doc, term = cell // max(len(terms), 1), cell % max(len(terms), 1)
+            part = tf / (tf + k1 * (1 - b + b * lengths[doc] / mean))
+            scores = np.zeros((batch.num_rows, len(ids)))
+            for i in range(0, batch.num_rows, DOCUMENTS_AT_ONCE):
+                lo, hi = np.searchsorted(doc, [i, i + DOCUMENTS_AT_ONCE])
+                used, column = np.unique(term[lo:hi], return_inverse=True)
+                dense = np.zeros((min(DOCUMENTS_AT_ONCE, batch.num_rows - i), len(used)))
+                dense[doc[lo:hi] - i, column] = part[lo:hi]
+                scores[i : i + len(dense)] = dense @ weights[used]
+            scores = scores.round(digits)
+            rows = by_place[np.argsort(-scores[by_place], 0, kind="stable")[:take]].T.ravel()
+            query = np.repeat(np.arange(len(ids)), take)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in query], pa.int64()), batch.column(0).take(pa.array(rows)), pa.array(place[rows], pa.int64()), pa.array(scores[rows, query], pa.float64())], ["query_id", "id", "corpus_pos", "score"])
+
+
+def rank_batch(queries: DataFrame, corpus: DataFrame, top_n: int, where: Column | None = None, tokenizer: Callable[[Column], Column] = T.words, k1: float = K1, b: float = B, epsilon: float = EPSILON, digits: int = 5, among: list[tuple[list, DataFrame]] | None = None) -> DataFrame:
+    """(query_id, id, score, rank, corpus_pos), as `rank`.
+
+    The queries (long query_id, text) are a stated set.  `where` restricts what is ranked, not the statistics; `among` does
+    so for each of several sets of query ids, by the rows of the corpus that they may find.
     """
     spark = corpus.sparkSession
-    asked = queries.select("query_id", "text").collect()
-    some = corpus if where is None else corpus.filter(where)
-    rows = some.select("id", F.col("corpus_pos").cast("long").alias("corpus_pos"), tokenizer(F.coalesce("text", F.lit(""))).alias("tokens"))
     kind = dict(corpus.dtypes)["id"]
-    best = None
-    for i in range(0, max(len(asked), 1), QUERIES_AT_ONCE):
-        shared = spark.sparkContext.broadcast(_weights(asked[i : i + QUERIES_AT_ONCE], corpus, tokenizer, k1, b, epsilon))
-        one = rows.mapInArrow(lambda batches, s=shared: _best(batches, s, top_n, digits, k1, b), f"query_id long, id {kind}, corpus_pos long, score double")
-        best = one if best is None else best.unionByName(one)
+    every = queries.select("query_id", "text").collect()
+    if among is None:
+        among = [([r["query_id"] for r in every], corpus if where is None else corpus.filter(where))]
+    group = {q: g for g, (ids, _) in enumerate(among) for q in ids}
+    asked = sorted((r for r in every if r["query_id"] in group), key=lambda r: group[r["query_id"]])
+    mean, matrices = _weights(asked, corpus, tokenizer, k1, b, epsilon) if asked else (1.0, [])
+    best = spark.createDataFrame([], f"query_id long, id {kind}, corpus_pos long, score double")
+    for g, (_, some) in enumerate(among):
+        rows = some.select("id", F.col("corpus_pos").cast("long").alias("corpus_pos"), tokenizer(F.coalesce("text", F.lit(""))).alias("tokens"))
+        own = [([q for q in ids if group[q] == g], terms, weights[:, [k for k, q in enumerate(ids) if group[q] == g]]) for ids, terms, weights in matrices]
+        own = [m for m in own if m[0]]
+        while own:
+            pass_, size = [], 0
+            while own and (not pass_ or size + own[0][2].nbytes <= AT_ONCE_BYTES):
+                size += own[0][2].nbytes
+                pass_.append(own.pop(0))
+            shared = spark.sparkContext.broadcast((mean, pass_))
+            best = best.unionByName(rows.mapInArrow(lambda batches, s=shared: _best(batches, s, top_n, digits, k1, b), best.schema))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_pos")
     return best.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top_n).select("query_id", "id", "score", "rank", "corpus_pos")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as T
+from corpuscle.operators.registry import global_ranks
 
 MOST = 400
 
@@ -32,14 +33,10 @@ def chunk_articles(articles: DataFrame, most: int = MOST, end: str = T.SENTENCE_
 def with_corpus_order(chunks: DataFrame) -> DataFrame:
     """`corpus_pos` ranks chunks by file and number within it: the order that breaks ties of scores.
 
-    It is (rank of the file) * 2**20 + chunk.  Files are ranked by counts of a prefix of their names first, so no single
-    task sorts them all.
+    It is (rank of the file) * 2**20 + chunk.
     """
-    names = chunks.select("source").distinct().withColumn("_p", F.substring("source", 1, 4))
-    counts = names.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    base = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    ranked = names.join(base, "_p").withColumn("_rank", F.col("_base") + F.row_number().over(Window.partitionBy("_p").orderBy("source")))
-    return chunks.join(ranked.select("source", "_rank"), "source").withColumn("corpus_pos", F.col("_rank") * (1 << 20) + F.col("chunk")).drop("_rank")
+    ranked = global_ranks(chunks.select("source").distinct(), "source")
+    return chunks.join(ranked, "source").withColumn("corpus_pos", F.col("_rank") * (1 << 20) + F.col("chunk")).drop("_rank")
 
 
 def replace_sources(index: DataFrame, new: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ Changes never edit rows in place: each returns the next state of a table, to be
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,14 +171,30 @@ def check_status(value: str, states: list[str] = DOCUMENT_STATES) -> str:
     return value
 
 
-def even_sample(rows: DataFrame, count: int, order: str) -> DataFrame:
-    """`count` rows evenly spaced by rank: round-half-even(i (n - 1) / (count - 1)).
+BOUNDS = 256
+
+
+def global_ranks(values: DataFrame, column: str) -> DataFrame:
+    """(column, _rank) of distinct values, from 1 on, without one task that sorts them all.
 
-    Ranks come from one sorted window over the `order` column alone, which suits a registry's names; rows are joined back.
+    Bounds from a bounded sample cut the values into ranges of like size; the counts of the ranges give each its base.
     """
+    spark = values.sparkSession
+    sample = sorted(r[0] for r in values.orderBy(F.xxhash64(column), column).limit(16 * BOUNDS).collect() if r[0] is not None)
+    kind = values.schema[column].dataType.simpleString()
+    bounds = F.from_json(F.lit(json.dumps([str(x) for x in sample[:: max(1, len(sample) // BOUNDS)]])), "array<string>").cast(f"array<{kind}>")
+    ranged = values.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= F.col(column))))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    base = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row a range
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return ranged.withColumn("_at", within).join(F.broadcast(base), "_range").select(column, (F.col("_base") + F.col("_at")).alias("_rank"))
+
+
+def even_sample(rows: DataFrame, count: int, order: str) -> DataFrame:
+    """`count` rows evenly spaced by rank: round-half-even(i (n - 1) / (count - 1)).  Values of `order` are distinct."""
     if count <= 1:
         return rows.orderBy(order).limit(max(count, 0))
-    ranked = rows.select(order).withColumn("_rank", F.row_number().over(Window.orderBy(order)) - 1)
+    ranked = global_ranks(rows.select(order), order)
     n = rows.agg(F.count(F.lit(1)).alias("_n"))
-    wanted = n.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(count - 1)).cast("long"))).alias("_rank")).distinct()
-    return rows.join(F.broadcast(ranked.join(F.broadcast(wanted), "_rank").select(order)), order, "left_semi")
+    wanted = n.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(count - 1)).cast("long") + 1)).alias("_rank")).distinct()
+    return rows.join(F.broadcast(ranked.join(F.broadcast(wanted), "_rank").select(order)), order, "left_semi")  # `count` rows

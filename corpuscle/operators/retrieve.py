@@ -30,24 +30,37 @@ class Corpus:
         self._index, self.chunks = None, chunks if chunks is not None else self.chunks
 
 
+def facet_groups(queries: DataFrame, chunks: DataFrame) -> list[tuple[list, DataFrame]]:
+    """(query ids, the chunks they may find) for each distinct set of facets: a filter that reaches the scan, and no pairs."""
+    if "file_types" not in queries.columns:
+        return [([r["query_id"] for r in queries.select("query_id").collect()], chunks)]
+    keys = ["file_types", "provinces", "cities"]
+    groups: dict = {}
+    for r in queries.select("query_id", *keys).collect():  # the queries are a stated set
+        groups.setdefault(tuple(None if r[k] is None else tuple(r[k]) for k in keys), []).append(r["query_id"])
+    return [(ids, facets.facet_filter(chunks, *(None if x is None else list(x) for x in own))) for own, ids in groups.items()]
+
+
 def retrieve(queries: DataFrame, corpus: Corpus, top_k: int = 5, scorer: Callable | None = None, mode: str = "exact", pool: int = fusion.POOL, visible: DataFrame | None = None) -> DataFrame:
     """Hits of queries (query_id, text[, embedding][, file_types, provinces, cities]).
 
-    visible: sources that may be shown (without it all, sensitive ones too).
+    visible: sources that may be shown (without it all, sensitive ones too).  Statistics always cover the whole corpus.
     """
     want = pool if scorer else top_k
-    candidates = facets.facet_candidates(corpus.chunks, queries) if "file_types" in queries.columns else None
-    if visible is not None:
-        seen = corpus.chunks.join(visible.select("source"), "source", "left_semi").select("id")
-        every = queries.select("query_id").crossJoin(seen) if candidates is None else candidates
-        candidates = every.join(seen, "id", "left_semi")
-    if candidates is None:
-        words = bm25.rank_batch(queries, corpus.chunks, 2 * want, tokenizer=corpus.tokenizer)
-    else:
-        words = bm25.rank(bm25.score(queries.select("query_id", "text"), corpus.index), corpus.index, 2 * want, candidates)
-    lists = [words]
+    shown = corpus.chunks if visible is None else corpus.chunks.join(visible.select("source"), "source", "left_semi").select(*corpus.chunks.columns)
+    groups = facet_groups(queries, shown)
+    lists = [bm25.rank_batch(queries, corpus.chunks, 2 * want, tokenizer=corpus.tokenizer, among=groups)]
     if "embedding" in queries.columns:
-        lists.append(vectors.vector_rank(queries.select("query_id", "embedding"), corpus.chunks, 2 * want, candidates, mode))
+        every = None
+        for ids, some in groups:
+            own = queries.select("query_id", "embedding").filter(F.col("query_id").isin(ids)) if len(groups) > 1 else queries.select("query_id", "embedding")
+            if mode == "exact":
+                found = vectors.rank_batch(own, some, 2 * want)
+            else:
+                late = vectors.rank_batch(own, corpus.chunks, 3 * 2 * want).drop("rank").join(some.select("id"), "id", "left_semi")
+                found = vectors.rank(late, 2 * want)
+            every = found if every is None else every.unionByName(found)
+        lists.append(every)
     found = fusion.hits(fusion.rrf(lists, want), corpus.chunks)
     if scorer:
         found = fusion.rerank(found.join(queries.select("query_id", F.col("text").alias("query")), "query_id"), scorer).drop("query")

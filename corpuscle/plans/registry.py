@@ -231,6 +231,7 @@ l AS (SELECT *, bare = '' OR region = '' OR city = '' AS lacks FROM b)
 SELECT filename, CASE WHEN NOT lacks THEN bare WHEN doc_id % 3 <> 0 THEN file_type ELSE '地方法规' END AS file_type, CASE WHEN NOT lacks OR doc_id % 3 <> 0 THEN region ELSE '' END AS region, CASE WHEN NOT lacks OR doc_id % 3 <> 0 THEN city ELSE '' END AS city FROM l""",
     "richest_collection": "SELECT lang AS collection, count(DISTINCT source) AS sources FROM documents GROUP BY lang ORDER BY 2 DESC, 1 LIMIT 1",
     "domain_lookup": f"WITH w AS (SELECT unnest({WORDS}) AS k, unnest(range({len(WORDS)})) AS i), t AS (SELECT doc_id, substr(text, 1, 60) AS f FROM documents) SELECT t.doc_id, min_by(k, i) AS domain FROM t LEFT JOIN w ON contains(f, k) GROUP BY t.doc_id",
+    "sample_by_hash": "SELECT item_id AS query_id, text, ['short', 'news', 'long'][item_id % 3 + 1] AS kind FROM benchmark ORDER BY md5('42/' || CAST(item_id AS varchar)), item_id LIMIT 15",
     "even_sample": "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents) SELECT doc_id FROM r WHERE n IN (SELECT CAST(round_even(i * ((SELECT count(*) FROM documents) - 1) / 36::DOUBLE, 0) AS BIGINT) FROM range(37) t(i))",
     "chat_context": """WITH l AS (SELECT conv_id, max_by(text, turn) AS text, min(turn) AS first FROM conversations GROUP BY conv_id), c AS (SELECT conv_id, first, CASE WHEN conv_id % 4 <> 0 THEN concat('CONTEXT ', substr(text, 1, 40)) END AS context FROM l)
 SELECT m.conv_id, turn, role, CASE WHEN context IS NOT NULL AND turn = first AND role = 'system' THEN m.text || chr(10) || chr(10) || context ELSE m.text END AS text FROM conversations m JOIN c ON m.conv_id = c.conv_id

@@ -24,9 +24,9 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first words of each query through the index of postings."""
+    """Whole queries through the index of postings."""
     index = bm25.build(tables.corpus(spark, sf_dir))
-    q = tables.queries(spark, sf_dir).withColumn("text", F.array_join(F.slice(T.words(F.col("text")), 1, 3), " "))
+    q = tables.queries(spark, sf_dir)
     return bm25.rank(bm25.score(q, index), index, TOP, query_ids=q).select("query_id", "id", "score", "rank")
 
 
@@ -42,12 +42,12 @@ def _facet(types, provinces, cities):
     return run
 
 
-VECTORS = 20
+VECTORS = 50  # of the vectors, those whose id it divides are queries
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = load(spark, sf_dir, "embeddings")
-    q = rows.filter(F.col("vec_id") < VECTORS).select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    q = rows.filter(F.col("vec_id") % VECTORS == 0).select(F.col("vec_id").alias("query_id"), "embedding", "label")
     return q, rows.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("corpus_pos"), "embedding", "label")
 
 
@@ -99,11 +99,10 @@ def citation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries with the documents that hold their text: word pairs narrow the search, containment decides."""
-    q, c = tables.queries(spark, sf_dir), tables.corpus(spark, sf_dir)
-    listed = q.select("query_id", "text").agg(F.collect_list(F.struct("query_id", "text")).alias("items"))  # the benchmark: a stated query set
-    held = c.crossJoin(F.broadcast(listed)).select("source", F.explode(F.filter("items", lambda i: F.contains(F.col("text"), i["text"]))).alias("i"))
-    gold = held.groupBy(F.col("i.query_id").alias("query_id")).agg(F.array_sort(F.collect_list("source")).alias("gold"))
+    """Queries with the documents that hold their text."""
+    q = tables.queries(spark, sf_dir)
+    held = evaluate.containing(tables.corpus(spark, sf_dir), q)
+    gold = held.groupBy("query_id").agg(F.array_sort(F.collect_list("source")).alias("gold"))
     return q.join(gold, "query_id", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<string>")))
 
 
@@ -135,9 +134,9 @@ def query_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document frequency and idf of the terms found in five documents or more."""
+    """Document frequency and idf of all terms."""
     index = bm25.build(tables.corpus(spark, sf_dir))
-    return index.terms.filter("df >= 5").select("token", "df", F.round("idf", 5).alias("idf"))
+    return index.terms.select("token", "df", F.round("idf", 5).alias("idf"))
 
 
 QUERIES = {
@@ -148,8 +147,8 @@ QUERIES = {
 }
 
 _BM25 = f"""corpus AS ({CORPUS_SQL}),
-tok AS (SELECT id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS token FROM corpus),
-tf AS (SELECT id, token, count(*) AS tf FROM tok GROUP BY ALL),
+tok AS MATERIALIZED (SELECT id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS token FROM corpus),
+tf AS MATERIALIZED (SELECT id, token, count(*) AS tf FROM tok GROUP BY ALL),
 len AS (SELECT c.id, corpus_pos, coalesce(n, 0) AS len FROM corpus c LEFT JOIN (SELECT id, count(*) AS n FROM tok GROUP BY id) t ON c.id = t.id),
 st AS (SELECT count(*) AS n, avg(len) AS m FROM len),
 raw AS (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT token, count(*) AS df FROM tf GROUP BY token), st),
@@ -160,7 +159,7 @@ sc AS (SELECT query_id, tf.id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 +
 ranked AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_pos) AS INT) AS rank FROM (
   SELECT b.query_id, l.id, l.corpus_pos, round(coalesce(score, 0), 5) AS score FROM bench b CROSS JOIN len l LEFT JOIN sc ON sc.query_id = b.query_id AND sc.id = l.id))"""
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
-_VEC = f"""vec AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label AS ql, b.label AS cl, round({_COS}, 5) AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < {VECTORS}),
+_VEC = f"""vec AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label AS ql, b.label AS cl, round({_COS}, 5) AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % {VECTORS} = 0),
 vranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM vec)"""
 _FUSED = f"""{_BM25}, {_VEC},
 lists AS (SELECT 0 AS l, query_id, id, rank FROM ranked WHERE rank <= {2 * TOP} UNION ALL SELECT 1, query_id, id, rank FROM vranked WHERE rank <= {2 * TOP}),
@@ -176,10 +175,8 @@ _IN_TYPES = "file_type IN ('国家法律', '地方法规')"
 _IN_PLACE = "(file_type = '国家法律' OR CASE WHEN city <> '' THEN city IN ('c1', 'c2') ELSE region IN ('src1', 'src3', 'src5') END)"
 _FACET_ROWS = f"SELECT id, file_type, region, city FROM ({CORPUS_SQL}) WHERE "
 
-_FEW = _BM25.replace("bench AS (SELECT item_id AS query_id, text,", "bench AS (SELECT item_id AS query_id, array_to_string(list_slice(regexp_extract_all(lower(text), '\\p{L}+'), 1, 3), ' ') AS text,")
-
 ORACLE_SQL = {
-    "bm25_postings": f"WITH {_FEW} SELECT query_id, id, score, rank FROM ranked WHERE rank <= {TOP}",
+    "bm25_postings": f"WITH {_BM25} SELECT query_id, id, score, rank FROM ranked WHERE rank <= {TOP}",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, id, score, rank FROM ranked WHERE rank <= {TOP}",
     "bm25_candidates_filtered": f"WITH {_BM25} SELECT query_id, id, score, CAST(r AS INT) AS rank FROM (SELECT ranked.query_id, ranked.id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_pos) AS r FROM ranked JOIN corpus USING (id) WHERE {_IN_TYPES} AND {_IN_PLACE}) WHERE r <= {TOP}",
     "facet_none": _FACET_ROWS + "true", "facet_empty_types": _FACET_ROWS + "false", "facet_places": _FACET_ROWS + _IN_PLACE, "facet_types": _FACET_ROWS + "file_type = '行政法规'", "facet_types_places": _FACET_ROWS + f"{_IN_TYPES} AND {_IN_PLACE}",
@@ -199,5 +196,7 @@ SELECT query_id, id, score, CAST(n AS INT) AS rank FROM (SELECT *, row_number()
 s AS (SELECT query_id, tokens, unnest(CASE WHEN len(tokens) > 512 THEN range(0, CAST(floor((len(tokens) - 1) / 480) AS INT) + 1) ELSE [0] END) AS segment FROM t),
 c AS (SELECT query_id, CAST(segment AS INT) AS segment, CASE WHEN len(tokens) > 512 THEN list_slice(tokens, segment * 480 + 1, segment * 480 + 480) ELSE tokens END AS own FROM s)
 SELECT query_id, segment, CAST(len(own) AS INT) AS n, array_to_string(own, ' ') AS body FROM c""",
-    "token_statistics": f"WITH {_BM25} SELECT token, df, round(idf, 5) AS idf FROM terms WHERE df >= 5",
+    "token_statistics": """WITH tok AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '\\p{L}+'))) AS token FROM documents),
+raw AS MATERIALIZED (SELECT token, count(*) AS df, ln((SELECT count(*) FROM documents) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tok GROUP BY token)
+SELECT token, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END, 5) AS idf FROM raw""",
 }
