@@ -84,9 +84,23 @@ def sources_chunk(sources: Column) -> Column:
     return F.to_json(F.struct(sources.alias("sources")))
 
 
+CHUNK = "choices array<struct<delta:struct<content:string>,message:struct<content:string>>>"
+
+
+def sse_answers(rows: DataFrame) -> DataFrame:
+    """(stream, answer): the contents of all deltas of a stream's data rows (stream, n, data), in order; other rows say nothing."""
+    said = F.from_json("data", CHUNK)["choices"]
+    one = F.get(said, F.lit(0))
+    parts = rows.filter(F.col("data") != DONE).select("stream", "n", F.coalesce(one["delta"]["content"], one["message"]["content"]).alias("text"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("n", "text"))))
+    return parts.groupBy("stream").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("answer"))
+
+
 def generate(jobs: DataFrame, model, batch: int = 32) -> DataFrame:
     """(id, answer, error) of prompts (id, system, user) from a pluggable model(list of (system, user)) -> list of str.
 
+    The model is called once for `batch` jobs, and again for each of them where that fails.
+
     A job that fails is a row with an error; it does not stop the others.
     """
     import pandas as pd
@@ -95,12 +109,15 @@ def generate(jobs: DataFrame, model, batch: int = 32) -> DataFrame:
         for frame in frames:
             for at in range(0, len(frame), batch):
                 some = frame.iloc[at : at + batch]
-                rows = []
-                for i, system, user in zip(some["id"], some["system"], some["user"], strict=True):
-                    try:
-                        rows.append((i, plain_answer(model([(system, user)])[0]), None))
-                    except Exception as e:  # noqa: BLE001
-                        rows.append((i, None, str(e)))
+                asked, ids, rows = list(zip(some["system"], some["user"], strict=True)), some["id"].tolist(), []
+                try:
+                    rows = [(i, plain_answer(a), None) for i, a in zip(ids, model(asked), strict=True)]
+                except Exception:  # noqa: BLE001  one of the batch fails: each by itself
+                    for i, one in zip(ids, asked, strict=True):
+                        try:
+                            rows.append((i, plain_answer(model([one])[0]), None))
+                        except Exception as e:  # noqa: BLE001
+                            rows.append((i, None, str(e)))
                 yield pd.DataFrame(rows, columns=["id", "answer", "error"])
 
     kind = dict(jobs.dtypes)["id"]

@@ -13,6 +13,13 @@ LEADING_PLACE = "^[一-龥]{2,8}?(省|市|自治区|自治州|地区|盟)"
 LAW_SUFFIXES = ["管理办法", "管理条例", "管理规定", "管理暂行办法", "实施细则", "暂行规定", "若干规定", "规定", "条例", "办法", "细则", "规程", "规章"]
 # fixed values: the words that tell a field, in the order they are tried
 DOMAINS = ["消防", "危险化学", "危险废物", "建筑", "矿山", "特种设备", "电梯", "烟花爆竹", "食品", "燃气", "道路", "电力", "水利", "渔业", "出租屋", "学校", "运输", "疫苗", "森林", "林业", "农业", "农机", "劳动保护", "职业健康", "通信"]
+# where something happens in a field, and what: this engine's own wording
+SCENES = {
+    "消防": ("商场地下车库", "充电车辆起火"), "危险化学": ("化工厂罐区", "储罐阀门泄漏"), "危险废物": ("废液中转库", "废液桶破裂渗漏"), "建筑": ("在建住宅楼", "脚手架局部坍塌"), "矿山": ("井下巷道", "顶板冒落"), "特种设备": ("厂房锅炉间", "锅炉超压爆裂"), "电梯": ("写字楼", "电梯轿厢突然下坠"),
+    "烟花爆竹": ("零售仓库", "库存成品燃爆"), "食品": ("中央厨房", "制冷系统漏氨"), "燃气": ("沿街餐馆", "燃气管接口泄漏爆燃"), "道路": ("国道弯道", "货车与客车相撞"), "电力": ("变电站", "检修人员触电"), "水利": ("水库闸房", "泄洪闸门失灵"), "渔业": ("近海渔船", "渔船进水侧翻"), "出租屋": ("城中村出租楼", "电线短路起火"),
+    "学校": ("学校实验楼", "实验药品起火"), "运输": ("高速服务区", "槽罐车侧翻泄漏"), "疫苗": ("冷链仓库", "冷库断电超温"), "森林": ("林场边缘", "野外用火引发山火"), "林业": ("采伐作业点", "伐木砸伤工人"), "农业": ("粮食烘干房", "粉尘爆炸"), "农机": ("农机合作社", "收割机侧翻"), "劳动保护": ("铸造车间", "工人中暑昏倒"), "职业健康": ("石材加工厂", "多人确诊尘肺"), "通信": ("通信铁塔", "登塔人员坠落"),
+}
+ANY_SCENE = ("生产现场", "发生人员受伤事故")
 DEFAULT_PLACE, DEFAULT_TOPIC = "本地", "安全生产"
 
 
@@ -53,13 +60,20 @@ def _number(low: int, high: int, seed: int, salt: str) -> Column:
 
 
 def date_phrase(seed: int) -> Column:
-    part = F.element_at(F.array(*map(F.lit, ["凌晨", "上午", "午后", "傍晚", "夜间"])), _number(1, 5, seed, "part").cast("int"))
-    return F.format_string("%d年%d月%d日%s", _number(2023, 2026, seed, "year"), _number(1, 12, seed, "month"), _number(1, 28, seed, "day"), part)
+    part = F.element_at(F.array(*map(F.lit, ["清晨", "中午", "下午", "晚上"])), _number(1, 4, seed, "part").cast("int"))
+    return F.format_string("%d年%d月%d日%s", _number(2020, 2027, seed, "year"), _number(1, 12, seed, "month"), _number(1, 28, seed, "day"), part)
+
+
+def scene(domain: Column) -> tuple[Column, Column]:
+    """(place in it, incident) of a field."""
+    known = [F.create_map(*(F.lit(x) for k, v in SCENES.items() for x in (k, v[i]))) for i in (0, 1)]
+    return tuple(F.coalesce(m[domain], F.lit(ANY_SCENE[i])) for i, m in enumerate(known))
 
 
 def news_text(place: Column, domain: Column, seed: int) -> Column:
-    hurt = _number(3, 9, seed, "hurt")
-    body = F.format_string("，%s发生一起与%s有关的事故，%d人受伤，损失约%d万元。有关部门已到场。请说明应适用的规定与责任认定。", place, domain, hurt, _number(50, 800, seed, "loss"))
+    where, what = scene(domain)
+    hurt = _number(2, 15, seed, "hurt")
+    body = F.format_string("，%s%s%s，%d人受伤，损失约%d万元。有关部门已到场。请说明应适用的规定与责任认定。", place, where, what, hurt, _number(20, 900, seed, "loss"))
     return F.concat(date_phrase(seed), body)
 
 

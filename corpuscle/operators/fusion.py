@@ -43,19 +43,30 @@ def model_scorer(load: Callable[[], Callable[[list[str], list[str]], list[float]
 
     @F.pandas_udf("double")
     def score(q: pd.Series, t: pd.Series) -> pd.Series:
-        model = held.setdefault("model", load())
-        return pd.Series(model(q.tolist(), t.tolist()), dtype="float64")
+        try:
+            if "model" not in held:
+                held["model"] = load()
+            return pd.Series(held["model"](q.tolist(), t.tolist()), dtype="float64")
+        except Exception:  # noqa: BLE001  a model that fails scores nothing, and rerank keeps the order
+            return pd.Series([None] * len(q), dtype="float64")
 
     return score
 
 
 def rerank(pool: DataFrame, scorer: Callable[[Column, Column], Column] = lexical_overlap, available: bool = True, digits: int = 5) -> DataFrame:
-    """Hits (query_id, query, text, rank) in the scorer's order; without a model the order stays."""
+    """Hits (query_id, query, text, rank[, score]) in the scorer's order.
+
+    Without a model, and for queries with a hit that the scorer gives no score (null), the order and scores stay.
+    """
     if not available:
         return pool
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "_before")
-    scored = pool.withColumnRenamed("rank", "_before").withColumn("score", F.round(scorer(F.col("query"), F.col("text")), digits))
-    return scored.withColumn("rank", F.row_number().over(by)).drop("_before")
+    new = F.round(scorer(F.col("query"), F.col("text")), digits)
+    scored = pool.withColumnRenamed("rank", "_before").withColumn("_new", new)
+    failed = F.max(F.col("_new").isNull() | F.isnan("_new")).over(Window.partitionBy("query_id"))
+    kept = F.col("score") if "score" in pool.columns else F.lit(None).cast("double")
+    marked = scored.withColumn("_failed", failed).withColumn("score", F.when(F.col("_failed"), kept).otherwise(F.col("_new")))
+    by = Window.partitionBy("query_id").orderBy(F.desc(F.when(~F.col("_failed"), F.col("_new"))), "_before")
+    return marked.withColumn("rank", F.row_number().over(by)).drop("_before", "_new", "_failed")
 
 
 def citations(found: DataFrame) -> DataFrame:

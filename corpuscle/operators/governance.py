@@ -52,6 +52,11 @@ def audit_rows(events: DataFrame, users: DataFrame | None = None) -> DataFrame:
     return rows.select(F.current_timestamp().alias("ts"), F.coalesce("username", F.lit("")).alias("username"), role.alias("role"), "action", *[F.coalesce(c, F.lit("")).alias(c) for c in ("target", "detail", "ip")], F.col("ok").cast("int").alias("success"))
 
 
+def unknown_actions(rows: DataFrame) -> DataFrame:
+    """Audit rows of an action that is not among ACTIONS: there should be none."""
+    return rows.filter(~F.coalesce(F.col("action").isin(ACTIONS), F.lit(False)))
+
+
 def append_audit(rows: DataFrame, path: str) -> bool:
     """Append to the log; a failure is reported, never raised, so that it cannot undo what it tells of."""
     try:

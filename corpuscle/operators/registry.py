@@ -121,6 +121,26 @@ def changed(registry: DataFrame, current: DataFrame, force: bool = False) -> Dat
     return joined.filter(~F.col("md5").eqNullSafe(F.col("_old")) | F.lit(force)).drop("_old")
 
 
+def file_detail(files: DataFrame, bodies: DataFrame, name: str | None = None) -> DataFrame:
+    """Registry rows with their file's text as `content`, null where the file is missing or can't be read; bodies: (filename, text)."""
+    rows = files if name is None else point(files, "filename", name)
+    return rows.join(bodies.select("filename", F.col("text").alias("content")), "filename", "left")
+
+
+def with_trees(files: DataFrame, trees: DataFrame) -> DataFrame:
+    """Registry rows with the tree that was stored for them; trees: (filename, tree_json, ...)."""
+    return files.join(trees, "filename")
+
+
+def with_reports(jobs: DataFrame, reports: DataFrame) -> DataFrame:
+    """Jobs with the content of their report, null without one; reports: (id, report_content)."""
+    return jobs.join(reports.select("id", "report_content"), "id", "left")
+
+
+def list_users(users: DataFrame) -> DataFrame:
+    return users.orderBy("id")
+
+
 def orphans(indexed: DataFrame, registered: DataFrame) -> DataFrame:
     return indexed.select("source").distinct().join(registered.select(F.col("filename").alias("source")), "source", "left_anti")
 

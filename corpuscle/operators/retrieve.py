@@ -67,6 +67,22 @@ def retrieve(queries: DataFrame, corpus: Corpus, top_k: int = 5, scorer: Callabl
     return found.filter(F.col("rank") <= top_k)
 
 
+def layers(queries: DataFrame, corpus: Corpus, **options) -> dict[str, DataFrame]:
+    """What each layer makes of the queries, to be looked at: hits, and the context that a prompt would get."""
+    found = retrieve(queries, corpus, **options)
+    return {"hits": found.select("query_id", "rank", "score", "source", F.substring("text", 1, 40).alias("head")), "context": fusion.citations(found)}
+
+
+def self_test(corpus: Corpus, query: str, embed: Callable | None = None, top_k: int = 3) -> str:
+    """'' if a query finds something after a rebuild, else what went wrong; it never raises."""
+    spark = corpus.chunks.sparkSession
+    asked = spark.createDataFrame([(0, query)], "query_id long, text string")
+    if embed:
+        asked = asked.withColumn("embedding", embed(F.col("text")))
+    found, why = retrieve_or_empty(asked, corpus, top_k=top_k)
+    return why or ("" if found.limit(1).count() else "nothing was found")
+
+
 def retrieve_or_empty(queries: DataFrame, corpus: Corpus, **options) -> tuple[DataFrame, str]:
     """Hits, and '' or why there are none: a failure gives an empty result instead of an error."""
     spark = queries.sparkSession

@@ -89,7 +89,7 @@ def segment_merge(ranked: DataFrame, top_n: int) -> DataFrame:
     """
     place = F.min(F.struct("segment", "rank")).alias("place")
     first = ranked.groupBy("query_id", "id").agg(place)
-    by = Window.partitionBy("query_id").orderBy("place")
+    by = Window.partitionBy("query_id").orderBy("place", "id")
     return first.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top_n).select("query_id", "id", "rank")
 
 

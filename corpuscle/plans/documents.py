@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as T
-from corpuscle.operators import chunking, parser
+from corpuscle.operators import chunking, parser, registry
 from corpuscle.plans import tables
-from corpuscle.sources.files import load
+from corpuscle.sources.files import extract_text, load
 
 LATIN_END = "(?<=[.!?])"
 
@@ -93,6 +93,38 @@ def rebuild_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.rebuild_summary(chunking.rebuild_plan(known, there, tables.corpus(spark, sf_dir).select("source")))
 
 
+def _registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry in which some files are not known, some have changed, and the rest are as they were."""
+    rows = tables.files(spark, sf_dir).filter("doc_id % 7 <> 0")
+    md5 = F.when(F.col("doc_id") % 5 == 0, "stale").otherwise(F.col("md5"))
+    return rows.select("filename", md5.alias("md5"), "file_type", "region", "city", "size", F.lit(1).alias("chunk_count"), F.timestamp_seconds(F.lit(0)).alias("updated_at"), F.lit("ready").alias("status"), F.lit(None).cast("string").alias("message"), "sensitive")
+
+
+def rebuild_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rebuild in which files are missing, blank, changed, unchanged or orphans: the registry after it, and each file's chunks in the index."""
+    content = F.when(F.col("id") % 13 == 0, F.lit(" \n ")).otherwise(F.col("text")).cast("binary")
+    disk = tables.corpus(spark, sf_dir).filter("id % 11 <> 0").select(F.col("source").alias("filename"), content.alias("content"))
+    index = tables.corpus(spark, sf_dir).select(F.concat("source", F.lit("#001")).alias("id"), "text", "source", "file_type", "region", "city", F.lit(1).alias("chunk"))
+    after, _, chunks = chunking.rebuild(_registered(spark, sf_dir), disk, index, end=LATIN_END, when=F.timestamp_seconds(F.lit(9)))
+    held = chunks.groupBy(F.col("source").alias("filename")).agg(F.count(F.lit(1)).alias("indexed"))
+    return after.join(held, "filename", "full").select("filename", "status", "chunk_count", F.col("message").isNotNull().alias("told"), "indexed", F.unix_timestamp("updated_at").alias("at"), "file_type", "sensitive", "md5")
+
+
+def registry_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered files with the number of articles in their stored tree."""
+    trees = parser.to_tree(parser.parse(_files(spark, sf_dir)))
+    joined = registry.with_trees(_registered(spark, sf_dir), trees)
+    nodes = F.flatten(F.transform(F.from_json("tree_json", parser.TREE)["tree"], lambda c: F.flatten(F.transform(c["sections"], lambda x: x["children"]))))
+    return joined.select("filename", "status", F.size(nodes).alias("articles"))
+
+
+def file_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry rows with their text, null where the file is missing or can't be read."""
+    content = F.when(F.col("id") % 13 == 0, F.unhex(F.lit("FFFFFF"))).otherwise(F.col("text").cast("binary"))
+    disk = extract_text(tables.corpus(spark, sf_dir).filter("id % 11 <> 0").select(F.col("source").alias("filename"), content.alias("content")))
+    return registry.file_detail(_registered(spark, sf_dir), disk).select("filename", "status", F.md5("content").alias("md5"), F.length("content").alias("n_chars"))
+
+
 def corpus_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = tables.corpus(spark, sf_dir).select(F.col("id"), "source", F.lit(1).alias("chunk"))
     ordered = chunking.with_corpus_order(chunks)
@@ -110,7 +142,7 @@ def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(last)).filter("n = 1").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-QUERIES = {f.__name__: f for f in (sentence_chunks, sentence_counts, chunk_ids, parsed_chunks, line_nodes, tree_round_trip, legal_parse, legal_contents, numbered_headings, rebuild_outcomes, corpus_order, summaries, latest_versions)}
+QUERIES = {f.__name__: f for f in (sentence_chunks, sentence_counts, chunk_ids, parsed_chunks, line_nodes, tree_round_trip, legal_parse, legal_contents, numbered_headings, rebuild_run, registry_trees, file_details, rebuild_outcomes, corpus_order, summaries, latest_versions)}
 
 _SENT = "list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -147,6 +179,13 @@ ORACLE_SQL = {
     "parsed_chunks": f"WITH RECURSIVE {PARSED_SQL} SELECT * FROM chunks",
     "tree_round_trip": f"WITH RECURSIVE {PARSED_SQL} SELECT * FROM chunks",
     "line_nodes": f"WITH RECURSIVE {ARTICLES_SQL} SELECT source AS filename, count(*) AS articles, CAST(max(length(body)) AS INT) AS longest FROM a JOIN c USING (id) GROUP BY source",
+    "rebuild_run": f"""WITH RECURSIVE {PARSED_SQL}, fl AS ({tables.FILES_SQL}), n AS (SELECT source, count(*) AS n FROM chunks GROUP BY source),
+o AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 13 = 0 THEN 'failed' WHEN doc_id % 5 = 0 THEN 'updated' ELSE 'skipped' END AS o FROM fl WHERE doc_id % 7 <> 0)
+SELECT filename, CASE WHEN o = 'failed' THEN 'failed' ELSE 'ready' END AS status, CAST(CASE o WHEN 'failed' THEN 0 WHEN 'updated' THEN n.n ELSE 1 END AS INT) AS chunk_count, o = 'failed' AS told,
+  CASE WHEN o = 'updated' THEN n.n ELSE 1 END AS indexed, CAST(CASE WHEN o IN ('failed', 'updated') THEN 9 ELSE 0 END AS BIGINT) AS at, file_type, sensitive,
+  CASE WHEN o = 'failed' THEN NULL WHEN o = 'missing' AND doc_id % 5 = 0 THEN 'stale' ELSE md5 END AS md5 FROM o LEFT JOIN n ON n.source = o.filename""",
+    "registry_trees": f"WITH RECURSIVE {ARTICLES_SQL} SELECT source AS filename, 'ready' AS status, CAST(count(*) AS INT) AS articles FROM a JOIN c USING (id) WHERE id % 7 <> 0 GROUP BY source",
+    "file_details": f"SELECT source AS filename, 'ready' AS status, CASE WHEN id % 11 <> 0 AND id % 13 <> 0 THEN md5(text) END AS md5, CASE WHEN id % 11 <> 0 AND id % 13 <> 0 THEN CAST(length(text) AS INT) END AS n_chars FROM ({tables.CORPUS_SQL}) WHERE id % 7 <> 0",
     "legal_parse": f"""WITH {_LEGAL}, h AS (SELECT filename, r_name, k, no, title, NULL AS s, '' AS ano, '' AS body FROM w
   UNION ALL SELECT filename, r_name, k, no, title, s_suppkey, '第' || (s_suppkey + 1) || '条', s_name || chr(10) || s_suppkey || ' is its key' FROM w JOIN supplier ON s_nationkey = k)
 SELECT filename, r_name AS doc_title, CAST(node AS INT) AS node, no AS chapter_no, title AS chapter_title, NULL::VARCHAR AS section_no, ano AS article_no, body

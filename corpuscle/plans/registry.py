@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.operators import chat, evalset, evaluate, governance, registry
+from corpuscle.functions import text as T
+from corpuscle.operators import auth, chat, evalset, evaluate, governance, registry
 from corpuscle.plans import tables
 from corpuscle.plans.tables import CORPUS_SQL, FILES_SQL, LOG_SQL
+from corpuscle.sources import files
 from corpuscle.sources.files import load
 from corpuscle.streaming import jobs
 
@@ -141,7 +143,7 @@ def richest_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = load(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("filename"))
+    names = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("filename"))
     return evalset.match_domain(names, evalset.domains(spark, WORDS)).select("doc_id", "domain")
 
 
@@ -155,13 +157,13 @@ def sample_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    contexts = chat.last_questions(messages).select("conv_id", F.when(F.col("conv_id") % 4 != 0, F.concat(F.lit("CONTEXT "), F.substring("text", 1, 40))).alias("context"))
+    contexts = chat.last_questions(messages).select("conv_id", F.when(F.col("conv_id") % 4 != 0, F.concat(F.lit("CONTEXT "), F.col("text"))).alias("context"))
     return chat.inject_context(messages, contexts)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream"), F.col("turn").alias("n"), "role", "text")
-    line = F.when(F.col("role") == "assistant", F.concat(F.lit("data: "), F.substring("text", 1, 30))).when((F.col("role") == "user") & (F.col("n") > 2), F.lit("data: [DONE]")).otherwise(F.lit(": keep-alive"))
+    line = F.when(F.col("role") == "assistant", F.concat(F.lit("data: "), "text")).when((F.col("role") == "user") & (F.col("n") > 2), F.lit("data: [DONE]")).otherwise(F.lit(": keep-alive"))
     return rows.select("stream", "n", line.alias("line"))
 
 
@@ -180,6 +182,121 @@ def validators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(registry.invalid(rows), ",").alias("invalid"))
 
 
+def claim_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All jobs after the next one was claimed: their states, and which is in processing."""
+    _, after = jobs.claim_next(_jobs(spark, sf_dir))
+    return after.select("id", "status")
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.col("event_type")
+    status = F.when(kinds == "click", "queued").when(kinds == "error", "failed").when(kinds == "view", "processing").otherwise("completed")
+    return load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), status.alias("status"))
+
+
+def recovered_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a restart, with every third job asked for again."""
+    rows = jobs.recover(_jobs(spark, sf_dir))
+    return jobs.retry(rows, rows.filter("id % 3 = 0")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def jobs_with_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs with the report of those that have one."""
+    rows = _jobs(spark, sf_dir)
+    reports = rows.filter("status = 'completed' AND id % 2 = 0").select("id", F.concat(F.lit("# Report "), F.col("id").cast("string")).alias("report_content"))
+    return registry.with_reports(rows, reports).select("id", "status", "report_content")
+
+
+def users_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"))
+    return registry.list_users(rows).withColumn("n", F.monotonically_increasing_id() >= 0)
+
+
+def accelerator_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures read out of status lines made of events."""
+    n = F.col("event_id")
+    said = lambda c: c.cast("string")
+    line = F.concat(F.lit("\x1b[32m"), said(n % 90 + 5), F.lit("C\x1b[0m "), said(n % 100), F.lit("% "), said(n % 37), F.lit("% 25M 900M Active "), said(n % 901), F.lit("M 12MB/40MB "), said(n % 8000), F.lit("MB/ 8192"))
+    rows = load(spark, sf_dir, "events").select(n.alias("id"), files.accelerator(F.when(n % 10 != 0, line).otherwise("")).alias("a"))
+    return rows.select("id", "a.*")
+
+
+def process_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    statm = F.when(n % 9 != 0, F.concat(F.lit("9 "), (n * 13).cast("string"), F.lit(" 1"))).otherwise("")
+    rows = load(spark, sf_dir, "events").select(n.alias("pid"), F.concat(F.lit("proc"), (n % 5).cast("string"), F.lit("\x00--x")).alias("cmdline"), statm.alias("statm"))
+    return files.processes(rows)
+
+
+def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = F.element_at(F.array(*map(F.lit, governance.ROLES)), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return load(spark, sf_dir, "customer").select(F.col("c_name").alias("username"), role.alias("role"), (F.col("c_custkey") % 5 != 0).alias("is_active"), F.col("c_custkey").alias("key"))
+
+
+SECRET = "a key for the tables of the driver"
+
+
+def issued_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all accounts, and what they say when they are read: expired and forged ones say nothing."""
+    rows = _accounts(spark, sf_dir).withColumn("token", auth.token(F.col("username"), F.col("role"), F.lit(1_700_000_000) + F.col("key"), 60, SECRET))
+    forged = F.when(F.col("key") % 3 == 0, F.concat("token", F.lit("x"))).otherwise(F.col("token"))
+    said = auth.claims(forged, F.when(F.col("key") % 4 == 0, F.lit(1_800_000_000)).otherwise(F.lit(1_700_000_000)), SECRET)
+    return rows.select("username", "token", said["sub"].alias("sub"), said["role"].alias("role"), said["exp"].alias("exp"))
+
+
+def login_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logins of known, inactive and unknown users, with right and wrong passwords, as the log tells them."""
+    accounts = _accounts(spark, sf_dir)
+    attempts = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.format_string("Customer#%09d", F.col("o_custkey") + F.when(F.col("o_orderkey") % 11 == 0, 10_000_000).otherwise(0)).alias("username"), (F.col("o_orderkey") % 4 != 0).alias("right"))
+    return auth.logins(attempts, accounts.drop("key"), F.col("right")).select("id", "username", "role", "ok", "detail")
+
+
+def audit_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows with the roles of users that are known."""
+    events = load(spark, sf_dir, "orders").select(F.format_string("Customer#%09d", F.col("o_custkey") * 2).alias("username"), F.lit("login").alias("action"), F.col("o_orderkey").cast("string").alias("target"), F.when(F.col("o_orderkey") % 2 == 0, "x").alias("detail"), F.lit(None).cast("string").alias("ip"), (F.col("o_orderkey") % 3 == 0).alias("ok"))
+    return governance.audit_rows(events, _accounts(spark, sf_dir)).select("username", "role", "action", "target", "detail", "ip", "success")
+
+
+def unaudited_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logged actions that are not among those to be audited."""
+    rows = load(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "login", F.col("event_type")).when(F.col("event_id") % 2 == 0, "delete_document").otherwise(F.col("event_type")).alias("action"))
+    return governance.unknown_actions(rows)
+
+
+def health_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roll-up of all probes, one set a row."""
+    n = F.col("event_id")
+    up, chat_up, report_up = n % 7 != 0, n % 3 != 0, n % 2 == 0
+    index = F.element_at(F.array(F.lit("ok"), F.lit("loading"), F.lit("error")), (n % 5 % 3 + 1).cast("int"))
+    return load(spark, sf_dir, "events").select(n.alias("id"), governance.health(up, chat_up, report_up, index).alias("health"), governance.engine_status(chat_up, report_up).alias("engines"))
+
+
+def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of jobs by their template."""
+    key = F.element_at(F.array(*[F.lit(t[0]) for t in chat.TEMPLATES]), (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), key.alias("task_type"), F.col("text").alias("original_text"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("requirements"), F.col("source").alias("context"))
+    return chat.prompts(rows, chat.templates(spark)).select("id", F.md5("system").alias("system"), F.md5("user").alias("user"))
+
+
+def reports_with_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports with the list of their sources below, where there are any."""
+    sources = F.when(F.col("doc_id") % 3 != 0, F.array(F.col("source"), F.col("lang")))
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(chat.append_sources(F.col("text"), sources)).alias("md5"))
+
+
+def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers put together from the deltas of streams."""
+    rows = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream"), F.col("turn").alias("n"), F.concat(F.lit("data: "), F.when(F.col("role") == "system", F.lit("not json")).otherwise(chat.sse_chunk(F.col("text")))).alias("line"))
+    return chat.sse_answers(chat.sse_data(rows)).select("stream", F.md5("answer").alias("answer"))
+
+
+def written_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small text functions on every document: list of a string, suffix and name of a path, summary of a message, text without thoughts."""
+    path = F.concat(F.lit("a\\b/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".TXT"))
+    listed = T.csv_list(F.when(F.col("doc_id") % 4 != 0, F.concat("lang", F.lit(", ,"), "source", F.lit(",,"))))
+    return load(spark, sf_dir, "documents").select("doc_id", T.basename(path).alias("name"), T.suffix(path).alias("suffix"), F.array_join(listed, "|").alias("listed"), T.message_summary(F.col("text")).alias("summary"), F.md5(T.without_thoughts(F.concat(F.lit("<think>"), "text", F.lit("</think>\n"), "source"))).alias("plain"))
+
+
 def change_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "customer")
     name = F.when(F.col("c_custkey") % 3 != 0, F.col("c_name"))
@@ -191,6 +308,7 @@ QUERIES = {
     for f in (
         status_counts, status_pivot, registry_stats, file_type_counts, distinct_sources, list_files_filtered, point_lookup, sensitive_hidden, may_delete, role_matrix, effective_roles, audit_page, audit_total, jobs_page, fifo_claim, registry_upsert, partial_update, seed_missing,
         cascade_delete, md5_changed, orphan_sources, first_meta_per_source, metadata_backfill, richest_collection, domain_lookup, even_sample, sample_by_hash, chat_context, sse_pass, sse_inject, validators, change_texts,
+        claim_marked, recovered_jobs, jobs_with_reports, users_in_order, accelerator_figures, process_sizes, issued_tokens, login_outcomes, audit_of_users, unaudited_actions, health_states, prompt_texts, reports_with_sources, stream_answers, written_forms,
     )
 }
 
@@ -198,7 +316,13 @@ _FILES = f"WITH files AS ({FILES_SQL})"
 _LOG = f"WITH log AS ({LOG_SQL})"
 _NEXT = f"""{_FILES}, o AS (SELECT filename, md5, size, status, sensitive FROM files WHERE doc_id % 7 <> 0),
 n AS (SELECT filename, CASE WHEN doc_id % 6 = 0 THEN md5 END AS md5, size + 1 AS size, 'queued' AS status FROM files WHERE doc_id % 3 = 0)"""
-_SSE = """WITH lines AS (SELECT conv_id AS stream, turn AS n, CASE WHEN role = 'assistant' THEN concat('data: ', substr(text, 1, 30)) WHEN role = 'user' AND turn > 2 THEN 'data: [DONE]' ELSE ': keep-alive' END AS line FROM conversations),
+_JOBS = "WITH j AS (SELECT event_id AS id, ts AS created_at, CASE event_type WHEN 'click' THEN 'queued' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'processing' ELSE 'completed' END AS status FROM events)"
+_ACCOUNTS = f"WITH a AS (SELECT c_name AS username, {governance.ROLES}[c_custkey % 4 + 1] AS role, c_custkey % 5 <> 0 AS active, c_custkey AS key FROM customer)"
+_URL = "rtrim(replace(replace(base64({0}), '+', '-'), '/', '_'), '=')"
+_PADS = ["unhex('" + bytes(b ^ x for b in SECRET.encode().ljust(64, bytes(1))).hex() + "')" for x in (0x36, 0x5C)]
+_TOKENS = f"""{_ACCOUNTS}, b AS (SELECT *, 1700000000 + key + 3600 AS exp, {_URL.format(f"encode('{auth.HEADER}')")} || '.' || {_URL.format("""encode('{"sub":"' || username || '","role":"' || role || '","iat":' || (1700000000 + key) || ',"exp":' || (1700000000 + key + 3600) || '}')""")} AS body FROM a),
+t AS (SELECT *, body || '.' || {_URL.format(f"unhex(sha256({_PADS[1]} || unhex(sha256({_PADS[0]} || encode(body)))))")} AS token FROM b)"""
+_SSE = """WITH lines AS (SELECT conv_id AS stream, turn AS n, CASE WHEN role = 'assistant' THEN concat('data: ', text) WHEN role = 'user' AND turn > 2 THEN 'data: [DONE]' ELSE ': keep-alive' END AS line FROM conversations),
 d AS (SELECT stream, n, regexp_replace(substr(line, 6), '^\\s+|\\s+$', '', 'g') AS data FROM lines WHERE line LIKE 'data:%'),
 s AS (SELECT stream, min(n) AS stop FROM d WHERE data = '[DONE]' GROUP BY stream),
 kept AS (SELECT d.stream, n, data FROM d LEFT JOIN s ON d.stream = s.stream WHERE stop IS NULL OR n <= stop)"""
@@ -230,10 +354,31 @@ ORACLE_SQL = {
 l AS (SELECT *, bare = '' OR region = '' OR city = '' AS lacks FROM b)
 SELECT filename, CASE WHEN NOT lacks THEN bare WHEN doc_id % 3 <> 0 THEN file_type ELSE '地方法规' END AS file_type, CASE WHEN NOT lacks OR doc_id % 3 <> 0 THEN region ELSE '' END AS region, CASE WHEN NOT lacks OR doc_id % 3 <> 0 THEN city ELSE '' END AS city FROM l""",
     "richest_collection": "SELECT lang AS collection, count(DISTINCT source) AS sources FROM documents GROUP BY lang ORDER BY 2 DESC, 1 LIMIT 1",
-    "domain_lookup": f"WITH w AS (SELECT unnest({WORDS}) AS k, unnest(range({len(WORDS)})) AS i), t AS (SELECT doc_id, substr(text, 1, 60) AS f FROM documents) SELECT t.doc_id, min_by(k, i) AS domain FROM t LEFT JOIN w ON contains(f, k) GROUP BY t.doc_id",
+    "domain_lookup": f"WITH w AS (SELECT unnest({WORDS}) AS k, unnest(range({len(WORDS)})) AS i), t AS (SELECT doc_id, text AS f FROM documents) SELECT t.doc_id, min_by(k, i) AS domain FROM t LEFT JOIN w ON contains(f, k) GROUP BY t.doc_id",
+    "claim_marked": f"{_JOBS} SELECT id, CASE WHEN id = (SELECT id FROM j WHERE status = 'queued' ORDER BY created_at, id LIMIT 1) THEN 'processing' ELSE status END AS status FROM j",
+    "recovered_jobs": f"{_JOBS} SELECT CASE WHEN status = 'processing' OR (status = 'failed' AND id % 3 = 0) THEN 'queued' ELSE status END AS status, count(*) AS n FROM j GROUP BY 1",
+    "jobs_with_reports": f"{_JOBS} SELECT id, status, CASE WHEN status = 'completed' AND id % 2 = 0 THEN '# Report ' || id END AS report_content FROM j",
+    "users_in_order": "SELECT c_custkey AS id, c_name AS username, true AS n FROM customer ORDER BY c_custkey",
+    "accelerator_figures": """SELECT event_id AS id, CASE WHEN event_id % 10 <> 0 THEN CAST(event_id % 90 + 5 AS INT) END AS temperature_c, CASE WHEN event_id % 10 <> 0 THEN round((event_id % 100 + event_id % 37) / 2.0::DOUBLE, 1) END AS util_percent,
+  CASE WHEN event_id % 10 <> 0 THEN 25 END AS clock_mhz_min, CASE WHEN event_id % 10 <> 0 THEN 900 END AS clock_mhz_max, CASE WHEN event_id % 10 <> 0 THEN CAST(event_id % 901 AS INT) END AS clock_mhz_cur, CASE WHEN event_id % 10 <> 0 THEN CAST(event_id % 8000 AS INT) END AS memory_used_mb, CASE WHEN event_id % 10 <> 0 THEN 8192 END AS memory_total_mb FROM events""",
+    "process_sizes": "SELECT event_id AS pid, 'proc' || (event_id % 5) AS name, CASE WHEN event_id % 9 <> 0 THEN CAST(round_even(event_id * 13 * 4 / 1024::DOUBLE, 0) AS INT) END AS rss_mb FROM events",
+    "issued_tokens": f"""{_TOKENS} SELECT username, token, CASE WHEN key % 3 <> 0 AND key % 4 <> 0 THEN username END AS sub, CASE WHEN key % 3 <> 0 AND key % 4 <> 0 THEN role END AS role, CASE WHEN key % 3 <> 0 AND key % 4 <> 0 THEN exp END AS exp FROM t""",
+    "login_outcomes": f"""{_ACCOUNTS}, p AS (SELECT o_orderkey AS id, printf('Customer#%09d', o_custkey + CASE WHEN o_orderkey % 11 = 0 THEN 10000000 ELSE 0 END) AS username, o_orderkey % 4 <> 0 AS fine FROM orders)
+SELECT id, p.username, CASE WHEN active THEN a.role ELSE '' END AS role, coalesce(active AND fine, false) AS ok, CASE WHEN coalesce(active AND fine, false) THEN '' ELSE 'wrong name or password' END AS detail FROM p LEFT JOIN a ON a.username = p.username""",
+    "audit_of_users": f"""{_ACCOUNTS} SELECT printf('Customer#%09d', o_custkey * 2) AS username, coalesce(a.role, '') AS role, 'login' AS action, CAST(o_orderkey AS VARCHAR) AS target, CASE WHEN o_orderkey % 2 = 0 THEN 'x' ELSE '' END AS detail, '' AS ip, CAST(o_orderkey % 3 = 0 AS INT) AS success
+FROM orders LEFT JOIN a ON a.username = printf('Customer#%09d', o_custkey * 2)""",
+    "unaudited_actions": "SELECT event_id, event_type AS action FROM events WHERE event_type <> 'login' AND event_id % 2 <> 0",
+    "health_states": """SELECT event_id AS id, CASE WHEN event_id % 7 <> 0 AND event_id % 3 <> 0 AND event_id % 2 = 0 AND event_id % 5 % 3 < 2 THEN 'ok' ELSE 'degraded' END AS health,
+  CASE WHEN event_id % 3 <> 0 AND event_id % 2 = 0 THEN 'both engines are ready' WHEN event_id % 3 <> 0 THEN 'only chat is ready' WHEN event_id % 2 = 0 THEN 'only reports are ready' ELSE 'no engine is reachable' END AS engines FROM events""",
+    "prompt_texts": f"""WITH t(k, system, body) AS (VALUES {", ".join("(" + str(i) + ", " + ", ".join("'" + x + "'" for x in t[3:]) + ")" for i, t in enumerate(chat.TEMPLATES))})
+SELECT doc_id AS id, md5(system) AS system, md5(replace(replace(replace(body, '{{original_text}}', text), '{{requirements}}', CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END), '{{context}}', source)) AS user FROM documents JOIN t ON k = doc_id % 3""",
+    "reports_with_sources": "SELECT doc_id, md5(CASE WHEN doc_id % 3 <> 0 THEN text || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## References' || chr(10) || chr(10) || source || chr(10) || chr(10) || lang ELSE text END) AS md5 FROM documents",
+    "stream_answers": "SELECT conv_id AS stream, md5(coalesce(string_agg(CASE WHEN role <> 'system' THEN text END, '' ORDER BY turn), '')) AS answer FROM conversations GROUP BY conv_id",
+    "written_forms": """SELECT doc_id, doc_id || '.TXT' AS name, 'txt' AS suffix, CASE WHEN doc_id % 4 <> 0 THEN lang || '|' || source ELSE '' END AS listed,
+  'text(' || length(trim(text, ' ' || chr(10))) || ')' || CASE WHEN length(trim(text, ' ' || chr(10))) > 80 THEN ': ' || substr(trim(text, ' ' || chr(10)), 1, 80) || '…' WHEN trim(text, ' ' || chr(10)) <> '' THEN ': ' || trim(text, ' ' || chr(10)) ELSE '' END AS summary, md5(source) AS plain FROM documents""",
     "sample_by_hash": "SELECT item_id AS query_id, text, ['short', 'news', 'long'][item_id % 3 + 1] AS kind FROM benchmark ORDER BY md5('42/' || CAST(item_id AS varchar)), item_id LIMIT 15",
     "even_sample": "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents) SELECT doc_id FROM r WHERE n IN (SELECT CAST(round_even(i * ((SELECT count(*) FROM documents) - 1) / 36::DOUBLE, 0) AS BIGINT) FROM range(37) t(i))",
-    "chat_context": """WITH l AS (SELECT conv_id, max_by(text, turn) AS text, min(turn) AS first FROM conversations GROUP BY conv_id), c AS (SELECT conv_id, first, CASE WHEN conv_id % 4 <> 0 THEN concat('CONTEXT ', substr(text, 1, 40)) END AS context FROM l)
+    "chat_context": """WITH l AS (SELECT conv_id, max_by(text, turn) AS text, min(turn) AS first FROM conversations GROUP BY conv_id), c AS (SELECT conv_id, first, CASE WHEN conv_id % 4 <> 0 THEN concat('CONTEXT ', text) END AS context FROM l)
 SELECT m.conv_id, turn, role, CASE WHEN context IS NOT NULL AND turn = first AND role = 'system' THEN m.text || chr(10) || chr(10) || context ELSE m.text END AS text FROM conversations m JOIN c ON m.conv_id = c.conv_id
 UNION ALL SELECT m.conv_id, turn - 1, 'system', context FROM conversations m JOIN c ON m.conv_id = c.conv_id WHERE context IS NOT NULL AND turn = first AND role <> 'system'""",
     "sse_pass": f"{_SSE} SELECT stream, n, data FROM kept",

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as T
-from corpuscle.operators import bm25, evaluate, facets, fusion, vectors
+from corpuscle.operators import bm25, embed, evaluate, facets, fusion, retrieve, vectors
 from corpuscle.plans import tables
-from corpuscle.plans.tables import CORPUS_SQL
+from corpuscle.plans.tables import CORPUS_SQL, FILES_SQL
 from corpuscle.sources.files import load
 
 TOP = 10
@@ -93,6 +93,46 @@ def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.rerank(_pool(spark, sf_dir)).filter(F.col("rank") <= 5).select("query_id", "id", "score", "rank")
 
 
+def rerank_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scorer that fails on every other query: those keep their order and scores."""
+    scorer = lambda q, t: F.when(F.length(q) % 2 == 1, fusion.lexical_overlap(q, t))
+    return fusion.rerank(_pool(spark, sf_dir), scorer).select("query_id", "id", "score", "rank")
+
+
+def _faceted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries with facets of their own: none, two types, or a type that must be in a place."""
+    kind = F.col("kind")
+    lists = {"file_types": F.when(kind == "news", facets.literal_list(FACET[0])).when(kind == "long", facets.literal_list(["地方法规"])), "provinces": F.when(kind == "long", facets.literal_list(FACET[1])), "cities": F.when(kind == "long", facets.literal_list([]))}
+    return tables.queries(spark, sf_dir).select("query_id", "text", *[c.alias(n) for n, c in lists.items()])
+
+
+def retrieve_faceted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of queries with facets, where sensitive sources may not be shown."""
+    shown = tables.files(spark, sf_dir).filter("NOT sensitive").select(F.col("filename").alias("source"))
+    found = retrieve.retrieve(_faceted(spark, sf_dir), retrieve.Corpus(tables.corpus(spark, sf_dir)), 5, visible=shown)
+    return found.select("query_id", "id", "score", "rank", "source")
+
+
+def embedded_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all documents by the encoder without a model, a row a number."""
+    rows = load(spark, sf_dir, "documents").select("doc_id", embed.embedder()(F.col("text")).alias("v"))
+    return rows.select("doc_id", F.posexplode("v").alias("n", "x")).select("doc_id", "n", F.round("x", 5).alias("x"))
+
+
+def query_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.kinds(tables.queries(spark, sf_dir))
+
+
+def mean_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.latency(load(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), (F.col("value") * 10).alias("ms")))
+
+
+def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of segments as one list a query: each order's parts, first seen first."""
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("segment"), (F.col("l_suppkey") % 3).alias("rank"), (F.col("l_partkey") % 4).alias("id"))
+    return vectors.segment_merge(lines, 3)
+
+
 def citation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = fusion.hits(bm25_topk(spark, sf_dir).filter("rank <= 3"), tables.corpus(spark, sf_dir), ["text", "source"])
     return fusion.citations(top).select("query_id", "context", F.array_join("sources", "\n\n").alias("sources"))
@@ -144,6 +184,7 @@ QUERIES = {
     "facet_none": _facet(None, None, None), "facet_empty_types": _facet([], FACET[1], None), "facet_places": _facet(None, FACET[1], FACET[2]), "facet_types": _facet(["行政法规"], None, None), "facet_types_places": _facet(*FACET),
     "vector_topk": vector_topk, "vector_filtered_overfetch": vector_filtered_overfetch, "vector_filtered_exact": vector_filtered_exact, "rrf_fusion": rrf_fusion, "hybrid_hits": hybrid_hits,
     "rerank_lexical": rerank_lexical, "citation_context": citation_context, "eval_metrics": eval_metrics, "eval_metrics_rollup": eval_metrics_rollup, "embedding_eval": embedding_eval, "query_segments": query_segments, "token_statistics": token_statistics,
+    "rerank_fallback": rerank_fallback, "retrieve_faceted": retrieve_faceted, "embedded_letters": embedded_letters, "query_kinds": query_kinds, "mean_latency": mean_latency, "merged_segments": merged_segments,
 }
 
 _BM25 = f"""corpus AS ({CORPUS_SQL}),
@@ -188,6 +229,18 @@ ORACLE_SQL = {
     "rerank_lexical": f"""WITH {_BM25}, pool AS (SELECT r.query_id, r.id, r.rank AS before, round(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '\\p{{L}}+')), regexp_extract_all(lower(c.text), '\\p{{L}}+')))::DOUBLE / len(list_distinct(regexp_extract_all(lower(b.text), '\\p{{L}}+'))), 5) AS score
   FROM ranked r JOIN bench b USING (query_id) JOIN corpus c ON c.id = r.id WHERE r.rank <= 20)
 SELECT query_id, id, score, CAST(n AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS n FROM pool) WHERE n <= 5""",
+    "rerank_fallback": f"""WITH {_BM25}, pool AS (SELECT r.query_id, r.id, r.rank AS before, r.score AS old, length(b.text) % 2 = 0 AS failed, round(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '\\p{{L}}+')), regexp_extract_all(lower(c.text), '\\p{{L}}+')))::DOUBLE / len(list_distinct(regexp_extract_all(lower(b.text), '\\p{{L}}+'))), 5) AS new
+  FROM ranked r JOIN bench b USING (query_id) JOIN corpus c ON c.id = r.id WHERE r.rank <= 20)
+SELECT query_id, id, CASE WHEN failed THEN old ELSE new END AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN failed THEN 0 ELSE new END DESC, before) AS INT) AS rank FROM pool""",
+    "retrieve_faceted": f"""WITH {_BM25}, fl AS ({FILES_SQL}), own AS (SELECT r.query_id, r.id, c.source, row_number() OVER (PARTITION BY r.query_id ORDER BY r.score DESC, c.corpus_pos) AS n FROM ranked r JOIN corpus c ON c.id = r.id JOIN bench b ON b.query_id = r.query_id JOIN fl ON fl.filename = c.source
+  WHERE NOT sensitive AND CASE b.kind WHEN 'short' THEN true WHEN 'news' THEN c.{_IN_TYPES} ELSE c.file_type = '地方法规' AND CASE WHEN c.city <> '' THEN false ELSE c.region IN ('src1', 'src3', 'src5') END END)
+SELECT query_id, id, round(1.0::DOUBLE / (60 + n), 5) AS score, CAST(n AS INT) AS rank, source FROM own WHERE n <= 5""",
+    "embedded_letters": """WITH t AS (SELECT doc_id, substr(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 1, 510) AS s FROM documents),
+c AS (SELECT doc_id, n, length(s) - length(replace(s, chr(CAST(97 + n AS INT)), '')) AS k FROM t, range(26) r(n))
+SELECT doc_id, CAST(n AS INT) AS n, round(k / CASE WHEN sum(k * k) OVER (PARTITION BY doc_id) = 0 THEN 1 ELSE sqrt(sum(k * k) OVER (PARTITION BY doc_id)) END, 5) AS x FROM c""",
+    "query_kinds": "SELECT ['short', 'news', 'long'][item_id % 3 + 1] AS kind, count(*) AS n, count(*) FILTER (length(text) >= 500) AS long FROM benchmark GROUP BY 1",
+    "mean_latency": "SELECT count(value) AS n, round(avg(value * 10), 3) AS mean_ms FROM events",
+    "merged_segments": "WITH f AS (SELECT l_orderkey AS query_id, l_partkey % 4 AS id, min(l_linenumber * 10 + l_suppkey % 3) AS place FROM lineitem GROUP BY ALL) SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place, id) AS INT) AS rank FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place, id) <= 3",
     "citation_context": f"""WITH {_BM25} SELECT query_id, string_agg(concat('[', CAST(rank AS varchar), ']（', source, '）', text), chr(10) ORDER BY rank) AS context, string_agg(concat('[', CAST(rank AS varchar), '] ', source, ' ', text), chr(10) || chr(10) ORDER BY rank) AS sources FROM ranked JOIN corpus USING (id) WHERE rank <= 3 GROUP BY query_id""",
     "eval_metrics": f"WITH {_PER} SELECT query_id, kind, round(hit, 5) AS hit, round(recall, 5) AS recall, round(precision, 5) AS precision, round(rr, 5) AS rr FROM per",
     "eval_metrics_rollup": f"WITH {_PER} SELECT coalesce(kind, 'all') AS kind, count(*) AS n, round(avg(hit), 4) AS hit, round(avg(recall), 4) AS recall, round(avg(precision), 4) AS precision, round(avg(rr), 4) AS mrr FROM per GROUP BY ROLLUP (kind)",

@@ -96,6 +96,18 @@ def claim(jobs: DataFrame, order: str = "created_at") -> DataFrame:
     return jobs.filter(F.col("status") == "queued").orderBy(order, "id").limit(1)
 
 
+def claim_next(jobs: DataFrame, order: str = "created_at") -> tuple[DataFrame, DataFrame]:
+    """(the claimed job, the next state of all jobs with that one in processing): both are written before the job is run.
+
+    One writer takes claims, so no two get one job; on a stream the checkpoint does this.
+    """
+    one = claim(jobs, order).select("id").withColumn("_claimed", F.lit(True))
+    marked = jobs.join(F.broadcast(one), "id", "left")  # one row
+    status = F.when(F.col("_claimed"), "processing").otherwise(F.col("status"))
+    after = marked.withColumn("status", status)
+    return after.filter("_claimed").select(*jobs.columns), after.select(*jobs.columns)
+
+
 def events_time(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
