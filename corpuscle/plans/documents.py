@@ -77,6 +77,7 @@ def legal_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbered_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of plain texts, one a region: nations under numbers in wide digits, their suppliers under numbers of two levels, a line of text below each."""
     nation = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    nation = nation.join(load(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")  # a heading needs text below
     wide = F.translate((F.col("n_nationkey") + 1).cast("string"), "0123456789", "０１２３４５６７８９")
     heads = nation.select("r_name", F.col("n_nationkey").alias("n"), F.lit(0).alias("k"), F.concat(wide, F.lit("．"), "n_name").alias("line"))
     number = F.concat((F.col("n_nationkey") + 1).cast("string"), F.lit("."), (F.col("s_suppkey") + 1).cast("string"))
