@@ -9,7 +9,8 @@ similarity.  Bands of the signature give buckets.
 
 Links, without ever forming the pairs of a bucket:
 1. every text of a bucket is compared with three leaders of it (least by three orders), exactly, on its shingles;
-2. components of the links found join most of each bucket;
+2. components of the links found join most of each bucket; where they do not, what lies outside the largest component is
+   compared with three more leaders, ROUNDS times;
 3. in buckets that still hold several components, all texts outside the largest one are compared with the whole bucket, in
    blocks of bounded size, each pair in the first band it shares, unless lengths or counts of shingles by bins show that they
    can't be alike; a block returns no more links than join its components.
@@ -35,6 +36,7 @@ from corpuscle.llm.graph import components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5  # a pair at 0.8 shares no band once in 20,000 times
+ROUNDS = 1  # of more leaders
 BLOCK = 2048
 BINS = 512
 ROUNDING = 1e-6  # so that exactly 0.8 counts
@@ -234,14 +236,27 @@ def leader_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("tid", "leader").alias("u"), F.least("tid", "leader").alias("v")).distinct()
 
 
-def cells(members: DataFrame, known: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Buckets of several components, in blocks: all texts, and beside them those outside the largest component."""
+def mixed_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Buckets of several components: (key, tid, band, root, main, n, most), main the largest component and `most` its texts there."""
     own = members.join(roots.select(F.col("u").alias("tid"), F.col("v").alias("root")), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     several = rekeyed(own, "key", F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
     inside = materialize(own.join(several, "key"), "mixed-buckets")
     sizes = inside.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     shape = rekeyed(sizes, "key", F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    placed = inside.join(shape, "key").join(known, "tid").join(sets, "tid")
+    return inside.join(shape, "key")
+
+
+def more_leader_pairs(inside: DataFrame, number: int) -> DataFrame:
+    """Texts outside the largest component of a bucket, each with three more leaders of it that are in other components."""
+    leaders = [F.min_by(F.struct("tid", "root"), F.xxhash64("tid", F.lit(3 * number + k))).alias(f"l{k}") for k in range(3)]
+    led = rekeyed(inside, "key", *leaders)
+    pairs = inside.filter(F.col("root") != F.col("main")).select("key", "tid", "root").join(led, "key").select("tid", "root", F.explode(F.array("l0", "l1", "l2")).alias("l")).filter("root != l.root")
+    return pairs.select(F.greatest("tid", "l.tid").alias("u"), F.least("tid", "l.tid").alias("v")).distinct()
+
+
+def cells(inside: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
+    """Mixed buckets in blocks: all texts, and beside them those outside the largest component."""
+    placed = inside.join(known, "tid").join(sets, "tid")
     blocks, probes = F.ceil(F.col("n") / BLOCK).cast("int"), F.greatest(F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int"), F.lit(1))
     at = lambda n, salt: F.pmod(F.xxhash64("tid", F.lit(salt)), n).cast("int")
     rest = ["band", "tid", "root", "weight", "sig", "elements"]
@@ -312,8 +327,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sets = materialize(shingle_sets(own, nodes), "shingles")  # of all texts that share a bucket
     first = materialize(verified(pairs, sets, similarity), "links")
     roots = components(first)
-    second = materialize(cross_links(cells(members, known, sets, roots), similarity), "links")
-    roots = components(first.unionByName(second)) if second.limit(1).count() else roots
+    for number in range(1, ROUNDS + 1):
+        links = materialize(verified(more_leader_pairs(mixed_buckets(members, roots), number), sets, similarity), "links")
+        if not links.limit(1).count():
+            break
+        roots = components(roots.unionByName(links))
+    second = materialize(cross_links(cells(mixed_buckets(members, roots), known, sets), similarity), "links")
+    roots = components(roots.unionByName(second)) if second.limit(1).count() else roots
     least = rekeyed(own, "tid", F.min("doc_id").alias("least")).join(roots.select(F.col("u").alias("tid"), F.col("v").alias("root")), "tid", "left")
     least = least.withColumn("root", F.coalesce("root", "tid"))
     return materialize(least.join(rekeyed(least, "root", F.min("least").alias("class_id")), "root").select("tid", "class_id"), "classes")

@@ -29,7 +29,7 @@ GRAMS = (4, 5, 6)
 BITS = 20
 MAX_TRAIN_ROWS = 20_000  # of labelled rows, the ones with the least hashes of their ids
 MAX_TRAIN_BYTES = 256 << 20  # of their texts
-MAX_FEATURES = 32_768
+MAX_FEATURES = 32_768  # 65,536 at most: rows are sent as 16-bit numbers
 LEAST_SEEN = 3  # rows with a bucket
 LEAST_GAIN = 10.83  # of a bucket's log-likelihood ratio; chi-squared at 0.001
 THRESHOLD = 0.7
@@ -192,12 +192,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> Mod
                 at = shared.value[found]
                 one = np.unique((doc[at >= 0] << BITS) | at[at >= 0])
                 cut = np.searchsorted(one >> BITS, np.arange(j - i + 1))
-                one = (one & ((1 << BITS) - 1)).astype(np.int32)
+                one = (one & ((1 << BITS) - 1)).astype(np.uint16)
                 out += [one[cut[k] : cut[k + 1]].tobytes() for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["toxic", "found"])
 
     fitted = sample.mapInArrow(rows_of, "toxic int, found binary").collect()  # at most `most` rows of a few hundred numbers
-    found, y = [np.frombuffer(f["found"], np.int32) for f in fitted], np.array([float(f["toxic"] > 0) for f in fitted])
+    found, y = [np.frombuffer(f["found"], np.uint16) for f in fitted], np.array([float(f["toxic"] > 0) for f in fitted])
     del fitted
     w, bias = _fit(found, y, r)
     weights = np.zeros(1 << BITS)
