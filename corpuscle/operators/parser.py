@@ -129,8 +129,37 @@ def plain_lines(files: DataFrame) -> DataFrame:
     return rows.select("filename", "n", "raw", "blank", kept.alias("heading"))
 
 
+def _articles(nodes: DataFrame, node: Column) -> DataFrame:
+    """The flat tree out of (filename, heading columns, body), in their order; what is lacking is null or ''."""
+    own = {c: F.col(c) if c in nodes.columns else F.lit(None).cast("string") for c in NODE[:4]}
+    chapter = [F.coalesce(own[c], F.lit("")).alias(c) for c in NODE[:2]]
+    return nodes.select("filename", node.cast("int").alias("node"), *chapter, *[own[c].alias(c) for c in NODE[2:4]], F.lit("").alias("article_no"), "body")
+
+
+def _packed(lines: Column, most: int) -> Column:
+    """Lines put together into texts of at most `most` characters without their line breaks; blank ones end a text.  A fold, so a file stays in its row."""
+    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("buf"), F.lit(0).alias("size"))
+
+    def step(a: Column, line: Column) -> Column:
+        size, done = F.length(line), F.when(a["buf"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["buf"])))
+        ended = F.struct(done.alias("out"), F.lit(None).cast("string").alias("buf"), F.lit(0).alias("size"))
+        close = F.struct(done.alias("out"), line.alias("buf"), size.alias("size"))
+        grow = F.struct(a["out"].alias("out"), F.concat_ws("\n", a["buf"], line).alias("buf"), (a["size"] + size).alias("size"))
+        return F.when(T.blank(line), ended).when(a["buf"].isNotNull() & (a["size"] + size > most), close).otherwise(grow)
+
+    texts = F.aggregate(lines, zero, step, lambda a: F.when(a["buf"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["buf"]))))
+    return F.filter(F.transform(texts, T.strip), lambda x: x != "")
+
+
 def plain_articles(files: DataFrame, most: int = 400) -> DataFrame:
-    """The flat tree of plain files."""
+    """The flat tree of plain files.  Files without a line that looks like a heading are parsed in their rows; only others are taken apart."""
+    headed = F.coalesce(F.exists(T.lines(F.col("text")), lambda x: heading(T.squeeze(x), T.strip(x)).isNotNull()), F.lit(False))
+    flat = files.filter(~headed).select("filename", F.posexplode(_packed(T.lines(F.col("text")), most)).alias("_k", "body"))
+    return _articles(flat, F.col("_k") + 1).unionByName(headed_articles(files.filter(headed), most))
+
+
+def headed_articles(files: DataFrame, most: int = 400) -> DataFrame:
+    """The flat tree of plain files with headings."""
     rows = plain_lines(files)
     breaks = F.col("blank") | F.col("heading").isNotNull()
     rows = rows.withColumn("segment", F.sum(F.when(breaks, 1).otherwise(0)).over(_upto())).withColumn("chapters", F.count(F.when(F.col("heading")["level"] == 1, 1)).over(_upto()))
@@ -139,23 +168,11 @@ def plain_articles(files: DataFrame, most: int = 400) -> DataFrame:
         for field in ("no", "title"):
             rows = rows.withColumn(f"{part}_{field}", F.last(F.when(F.col("heading")["level"] == level, F.col("heading")[field]), ignorenulls=True).over(window))
     bodies = rows.filter(~breaks).groupBy("filename", "segment").agg(F.array_sort(F.collect_list(F.struct("n", "raw"))).alias("rows"), *[F.first(c).alias(c) for c in NODE[:4]])
-    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("buf"), F.lit(0).alias("size"))
-
-    def step(a: Column, r: Column) -> Column:
-        size = F.length(r["raw"])
-        close = F.struct(F.concat(a["out"], F.array(a["buf"])).alias("out"), r["raw"].alias("buf"), size.alias("size"))
-        grow = F.struct(a["out"].alias("out"), F.concat_ws("\n", a["buf"], r["raw"]).alias("buf"), (a["size"] + size).alias("size"))
-        return F.when(a["buf"].isNotNull() & (a["size"] + size > most), close).otherwise(grow)
-
-    texts = F.aggregate("rows", zero, step, lambda a: F.concat(a["out"], F.array(a["buf"])))
-    nodes = bodies.select("filename", "segment", *NODE[:4], F.posexplode(F.filter(F.transform(texts, T.strip), lambda x: x != "")).alias("k", "body"))
-    node = F.row_number().over(Window.partitionBy("filename").orderBy("segment", "k"))
-    blanks = [F.coalesce(c, F.lit("")).alias(c) for c in NODE[:2]]
-    found = nodes.select("filename", node.alias("node"), *blanks, "section_no", "section_title", F.lit("").alias("article_no"), "body")
-    none = F.lit(None).cast("string")
+    texts = _packed(F.transform("rows", lambda r: r["raw"]), most)
+    nodes = bodies.select("filename", "segment", *NODE[:4], F.posexplode(texts).alias("k", "body"))
+    found = _articles(nodes, F.row_number().over(Window.partitionBy("filename").orderBy("segment", "k")))
     whole = files.join(found.select("filename").distinct(), "filename", "left_anti").filter(~T.blank(F.col("text")))
-    lone = whole.select("filename", F.lit(1).alias("node"), F.lit("").alias("chapter_no"), F.lit("").alias("chapter_title"), none.alias("section_no"), none.alias("section_title"), F.lit("").alias("article_no"), T.strip(F.col("text")).alias("body"))
-    return found.unionByName(lone)
+    return found.unionByName(_articles(whole.select("filename", T.strip(F.col("text")).alias("body")), F.lit(1)))
 
 
 def parse(files: DataFrame, most: int = 400) -> DataFrame:
