@@ -228,18 +228,27 @@ def buckets(known: DataFrame) -> DataFrame:
     return known.select("tid", "sig", bands.alias("band")).select(F.xxhash64("band", F.substring("sig", F.col("band") * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("key"), "tid", "band")
 
 
-def leader_pairs(members: DataFrame) -> DataFrame:
-    """Every text with each of three leaders of its buckets."""
+def led_buckets(members: DataFrame, *more) -> DataFrame:
+    """(key, n, leaders, ...): of each bucket the number of texts and up to three of them that all others are compared with."""
     leaders = [F.min("tid"), *(F.min_by("tid", F.xxhash64(F.col("tid"), F.lit(k))) for k in (1, 2))]
-    led = rekeyed(members, "key", F.count(F.lit(1)).alias("n"), *[x.alias(f"l{k}") for k, x in enumerate(leaders)]).filter("n > 1")
-    pairs = members.join(led, "key").select("tid", F.explode(F.array_distinct(F.array("l0", "l1", "l2"))).alias("leader")).filter("tid != leader")
+    led = rekeyed(members, "key", F.count(F.lit(1)).alias("n"), *[x.alias(f"l{k}") for k, x in enumerate(leaders)], *more)
+    return led.withColumn("leaders", F.array_distinct(F.array("l0", "l1", "l2"))).drop("l0", "l1", "l2")
+
+
+def leader_pairs(members: DataFrame) -> DataFrame:
+    """Every text with each leader of its buckets."""
+    led = led_buckets(members).filter("n > 1")
+    pairs = members.join(led, "key").select("tid", F.explode("leaders").alias("leader")).filter("tid != leader")
     return pairs.select(F.greatest("tid", "leader").alias("u"), F.least("tid", "leader").alias("v")).distinct()
 
 
 def mixed_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Buckets of several components: (key, tid, band, root, main, n, most), main the largest component and `most` its texts there."""
+    """Buckets of several components: (key, tid, band, root, main, n, most), main the largest component and `most` its texts there.
+
+    Where all texts but one are leaders every pair has been compared, so such buckets are left out.
+    """
     own = members.join(roots.select(F.col("u").alias("tid"), F.col("v").alias("root")), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    several = rekeyed(own, "key", F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
+    several = led_buckets(own, F.min("root").alias("a"), F.max("root").alias("b")).filter((F.col("a") < F.col("b")) & (F.col("n") - F.size("leaders") >= 2)).select("key")
     inside = materialize(own.join(several, "key"), "mixed-buckets")
     sizes = inside.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     shape = rekeyed(sizes, "key", F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
