@@ -44,7 +44,7 @@ WIDTHS = (1.0, 1.75, 2.5, 4.0)
 HASHES = (1, 2, 3, 4, 6, 8, 10, 12, 16, 20)
 TABLES = (1, 2, 4, 8)
 PROBES = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)
-ROW, PROBE = 40.0, 4.0  # what indexing a row, and sending a probe, cost in scored vectors
+ROW, PROBE = 20.0, 1.0  # what indexing a row, and sending a probe, cost in scored vectors
 
 
 def templates(m: int, most: int) -> np.ndarray:
