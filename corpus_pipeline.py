@@ -5,6 +5,11 @@ substring_dedup: words of passages of 35 words or more that occur elsewhere are
 the order of the Pfair schedule.  packing: their tokens are packed into sequences, the weights of mixing as each source's
 target share of tokens, so that sequences have the mixture that mixing decided; this stage alone returns other columns, a
 row for each piece.
+
+Defined results: null texts are never toxic by more than the bias, are no near copies, lose no words, are mixed like others
+and pack as their end id alone; empty texts are copies of each other in near_dedup; null doc_ids and sources, repeated rows,
+very long texts and extra columns of any name pass through as each operator's module says; of equal texts the least doc_id
+stays; an empty table gives an empty result.
 """
 
 from __future__ import annotations

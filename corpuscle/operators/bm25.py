@@ -83,6 +83,7 @@ def rank(scores: DataFrame, index: Index, top_n: int, candidates: DataFrame | No
         # they lie among the first top_n + scored ones, but ranks below top_n need no more than top_n positive scores
         ids = (query_ids if query_ids is not None else scores).select("query_id").distinct()
         first = positions.orderBy("corpus_pos").limit(top_n)
+        # a score is below zero only where the mean idf is: in a corpus whose average term is in more than half of the documents
         negative = scores.filter("score < 0").select("query_id").distinct()
         filler = ids.join(F.broadcast(first)).join(scores.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
         more = positions.join(F.broadcast(negative), how="cross").join(scores.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "id", "corpus_pos", F.lit(0.0).alias("score"))
