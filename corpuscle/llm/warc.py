@@ -30,6 +30,7 @@ from corpuscle.llm.common import materialize, new_path
 LEAST_BYTES = 0
 RANGE_BYTES = 8 << 20
 READ_BYTES = 1 << 18
+MOST_TASKS = 100_000  # beyond, a task has several ranges
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -207,7 +208,9 @@ def read_warc(files: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, wit
     """One row a record of the files (path, bytes), in ranges of range_bytes."""
     ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
     ranges = ranges.withColumn("stop", F.least(F.col("start") + range_bytes, F.col("bytes")))
-    tasks = ranges.repartition(F.col("path"), F.col("start"))
+    # a task a range: a given number of partitions is not put together again, however small their rows are
+    many = files.agg(F.sum(F.ceil(F.greatest("bytes", F.lit(1)) / range_bytes))).first()[0] or 1
+    tasks = ranges.repartition(min(int(many), MOST_TASKS), F.col("path"), F.col("start"))
 
     def run(batches):
         fs, _ = pyarrow.fs.FileSystem.from_uri(folder)
