@@ -84,6 +84,56 @@ def sources_chunk(sources: Column) -> Column:
     return F.to_json(F.struct(sources.alias("sources")))
 
 
+# fixed values: the marks of a turn
+TURN, TURN_END = "<|im_start|>", "<|im_end|>"
+
+
+def chat_texts(messages: DataFrame) -> DataFrame:
+    """(conv_id, text): turns (conv_id, turn, role, text) as marked text, in order, with the assistant's turn begun."""
+    one = F.concat(F.lit(TURN), "role", F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(TURN_END + "\n"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", one.alias("text"))))
+    whole = F.array_join(F.transform(turns, lambda x: x["text"]), "")
+    return messages.groupBy("conv_id").agg(F.concat(whole, F.lit(f"{TURN}assistant\n")).alias("text"))
+
+
+def substitute_paths(prompts: DataFrame, files: DataFrame, text: str = r"(?i)\.(txt|md)$") -> DataFrame:
+    """(id, prompt, media, ignored) of prompts (id, prompt): words between blanks, @name of a text file as its text.
+
+    The first @name of another kind is the medium and leaves the prompt, as do further ones, which are counted; text files
+    that are not there stay as they are written.  files: (filename, text).
+    """
+    words = prompts.select("id", F.posexplode(F.filter(F.split(F.coalesce("prompt", F.lit("")), r"\s+"), lambda x: x != "")).alias("n", "word"))
+    named = words.withColumn("name", F.when(F.col("word").startswith("@") & (F.length("word") > 1), F.substring("word", 2, 1 << 30)))
+    is_text = F.col("name").rlike(text)
+    read = named.withColumn("_text", F.when(is_text, F.col("name"))).join(files.select(F.col("filename").alias("_text"), F.col("text").alias("_body")), "_text", "left")
+    media = F.col("name").isNotNull() & ~is_text
+    rows = read.groupBy("id").agg(
+        F.array_sort(F.collect_list(F.when(~F.coalesce(media, F.lit(False)), F.struct("n", F.coalesce("_body", "word").alias("w"))))).alias("kept"),
+        F.min(F.when(media, F.struct("n", "name"))).alias("first"),
+        F.count_if(media).alias("media"),
+    )
+    return rows.select("id", F.array_join(F.transform("kept", lambda x: x["w"]), " ").alias("prompt"), F.col("first.name").alias("media"), F.greatest(F.col("media") - 1, F.lit(0)).alias("ignored"))
+
+
+def assemble(tokens: DataFrame) -> DataFrame:
+    """(stream, words) of a stream's byte tokens (stream, n, token): tokens are held until they are whole characters.
+
+    What is never whole comes last, with replacement characters.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"])
+    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(b"").alias("held"))
+
+    def step(a: Column, token: Column) -> Column:
+        both = F.concat(a["held"], token)
+        whole = F.struct(F.concat(a["out"], F.array(both.cast("string"))).alias("out"), F.lit(b"").alias("held"))
+        return F.when(F.is_valid_utf8(both.cast("string")), whole).otherwise(F.struct(a["out"].alias("out"), both.alias("held")))
+
+    def end(a: Column) -> Column:
+        return F.when(F.octet_length(a["held"]) > 0, F.concat(a["out"], F.array(F.make_valid_utf8(a["held"].cast("string"))))).otherwise(a["out"])
+
+    return tokens.groupBy("stream").agg(ordered.alias("t")).select("stream", F.aggregate("t", zero, step, end).alias("words"))
+
+
 CHUNK = "choices array<struct<delta:struct<content:string>,message:struct<content:string>>>"
 
 

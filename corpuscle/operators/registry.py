@@ -185,6 +185,10 @@ def invalid(rows: DataFrame, limits: dict[str, tuple[int, int]] = LIMITS) -> Col
     return F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
 
 
+def known_status(status: Column, states: list[str] = DOCUMENT_STATES) -> Column:
+    return F.coalesce(status.isin(states), F.lit(False))
+
+
 def check_status(value: str, states: list[str] = DOCUMENT_STATES) -> str:
     if value not in states:
         raise ValueError(f"unknown status {value!r}; known: {', '.join(states)}")

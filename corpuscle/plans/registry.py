@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as T
-from corpuscle.operators import auth, chat, evalset, evaluate, governance, registry
+from corpuscle.operators import auth, chat, chunking, evalset, evaluate, governance, parser, registry
 from corpuscle.plans import tables
 from corpuscle.plans.tables import CORPUS_SQL, FILES_SQL, LOG_SQL
 from corpuscle.sources import files
@@ -297,6 +297,62 @@ def written_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", T.basename(path).alias("name"), T.suffix(path).alias("suffix"), F.array_join(listed, "|").alias("listed"), T.message_summary(F.col("text")).alias("summary"), F.md5(T.without_thoughts(F.concat(F.lit("<think>"), "text", F.lit("</think>\n"), "source"))).alias("plain"))
 
 
+def inserted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with new rows that lack a column."""
+    old, new = _next_versions(spark, sf_dir)
+    return registry.insert(old.select("filename", "md5", "size"), new.select("filename", "size")).select("filename", "md5", "size")
+
+
+def flagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.set_flag(tables.files(spark, sf_dir), "filename", "doc7.txt", "sensitive", True).select("filename", "sensitive")
+
+
+def allowed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active users for each permission."""
+    accounts = _accounts(spark, sf_dir)
+    out = None
+    for permission in governance.MATRIX:
+        one = governance.allowed(accounts, permission).select(F.lit(permission).alias("permission"), "username")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def known_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs by whether their status is one of those there are."""
+    rows = _jobs(spark, sf_dir).withColumn("status", F.when(F.col("id") % 5 == 0, F.upper("status")).otherwise(F.col("status")))
+    return rows.select("id", registry.known_status(F.col("status")).alias("known"))
+
+
+def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index in which one source of three was written anew, and one was deleted."""
+    index = tables.corpus(spark, sf_dir).select(F.col("id"), "source", F.lit("old").alias("state"))
+    new = index.filter("id % 3 = 0").withColumn("state", F.lit("new"))
+    return chunking.delete_source(chunking.replace_sources(index, new), "doc7.txt")
+
+
+def legal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts are legal ones: documents with two or three lines in front that start as articles do."""
+    heads = F.when(F.col("doc_id") % 2 == 0, "第一条 a\n第 2 条 b\n 第三章 c\n").otherwise("第一条 a\n第二节 b\n")
+    return load(spark, sf_dir, "documents").select("doc_id", parser.is_legal(F.concat(heads, "text")).alias("legal"))
+
+
+def places_and_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases for the place and topic of files with names as laws have them."""
+    k = F.col("c_custkey")
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    region, city, ending = pick(["", "广东省", "北京市", "广西壮族自治区"], k), pick(["", "", "深圳市"], k), pick(["管理条例", "实施细则", "规定", "办法", "通知"], k)
+    name = F.concat(pick(["《", ""], k), region, F.lit("消防"), k.cast("string"), ending, pick([".docx", ".DOC", ".txt"], k))
+    return load(spark, sf_dir, "customer").select("c_custkey", evalset.place_phrase(region, city).alias("place"), evalset.topic_phrase(name).alias("topic"))
+
+
+def generated_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation queries out of the registry: how many of each kind, and what they are about."""
+    fields = F.element_at(F.array(F.lit("消防"), F.lit("电梯"), F.lit("其他")), (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = tables.files(spark, sf_dir).withColumn("filename", F.concat(fields, "filename"))
+    made = evalset.generate(rows, 10)
+    return made.select("kind", "doc", F.element_at("gold", 1).alias("gold"), F.array_join("file_types", ",").alias("types"), F.array_join("provinces", ",").alias("provinces"), F.array_join("cities", ",").alias("cities"), (F.length("q") >= 500).alias("long"))
+
+
 def change_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "customer")
     name = F.when(F.col("c_custkey") % 3 != 0, F.col("c_name"))
@@ -308,7 +364,7 @@ QUERIES = {
     for f in (
         status_counts, status_pivot, registry_stats, file_type_counts, distinct_sources, list_files_filtered, point_lookup, sensitive_hidden, may_delete, role_matrix, effective_roles, audit_page, audit_total, jobs_page, fifo_claim, registry_upsert, partial_update, seed_missing,
         cascade_delete, md5_changed, orphan_sources, first_meta_per_source, metadata_backfill, richest_collection, domain_lookup, even_sample, sample_by_hash, chat_context, sse_pass, sse_inject, validators, change_texts,
-        claim_marked, recovered_jobs, jobs_with_reports, users_in_order, accelerator_figures, process_sizes, issued_tokens, login_outcomes, audit_of_users, unaudited_actions, health_states, prompt_texts, reports_with_sources, stream_answers, written_forms,
+        inserted_rows, flagged_rows, allowed_users, known_statuses, index_upsert, legal_files, places_and_topics, generated_queries, claim_marked, recovered_jobs, jobs_with_reports, users_in_order, accelerator_figures, process_sizes, issued_tokens, login_outcomes, audit_of_users, unaudited_actions, health_states, prompt_texts, reports_with_sources, stream_answers, written_forms,
     )
 }
 
@@ -355,6 +411,20 @@ l AS (SELECT *, bare = '' OR region = '' OR city = '' AS lacks FROM b)
 SELECT filename, CASE WHEN NOT lacks THEN bare WHEN doc_id % 3 <> 0 THEN file_type ELSE '地方法规' END AS file_type, CASE WHEN NOT lacks OR doc_id % 3 <> 0 THEN region ELSE '' END AS region, CASE WHEN NOT lacks OR doc_id % 3 <> 0 THEN city ELSE '' END AS city FROM l""",
     "richest_collection": "SELECT lang AS collection, count(DISTINCT source) AS sources FROM documents GROUP BY lang ORDER BY 2 DESC, 1 LIMIT 1",
     "domain_lookup": f"WITH w AS (SELECT unnest({WORDS}) AS k, unnest(range({len(WORDS)})) AS i), t AS (SELECT doc_id, text AS f FROM documents) SELECT t.doc_id, min_by(k, i) AS domain FROM t LEFT JOIN w ON contains(f, k) GROUP BY t.doc_id",
+    "inserted_rows": f"{_NEXT} SELECT filename, md5, size FROM o UNION ALL SELECT filename, NULL, size FROM n",
+    "flagged_rows": f"{_FILES} SELECT filename, sensitive OR filename = 'doc7.txt' AS sensitive FROM files",
+    "allowed_users": f"{_ACCOUNTS}, m(permission, role) AS (VALUES {', '.join(f"('{p}', '{r}')" for p, roles in governance.MATRIX.items() for r in roles)}) SELECT permission, username FROM a JOIN m USING (role) WHERE active",
+    "known_statuses": f"{_JOBS} SELECT id, id % 5 <> 0 AS known FROM j",
+    "index_upsert": f"SELECT id, source, CASE WHEN id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM ({CORPUS_SQL}) WHERE source <> 'doc7.txt'",
+    "legal_files": "SELECT doc_id, doc_id % 2 = 0 AS legal FROM documents",
+    "places_and_topics": """WITH n AS (SELECT c_custkey, ['', '广东省', '北京市', '广西壮族自治区'][c_custkey % 4 + 1] AS region, ['', '', '深圳市'][c_custkey % 3 + 1] AS city, ['管理条例', '实施细则', '规定', '办法', '通知'][c_custkey % 5 + 1] AS ending, ['.docx', '.DOC', '.txt'][c_custkey % 3 + 1] AS suffix FROM customer)
+SELECT c_custkey, CASE WHEN city <> '' THEN '深圳' WHEN region = '' THEN '本地' ELSE ['', '广东', '北京', '广西'][c_custkey % 4 + 1] END AS place,
+  CASE WHEN region = '广西壮族自治区' THEN '' ELSE '' END || '消防' || c_custkey || CASE WHEN suffix = '.txt' THEN ending || suffix WHEN ending = '通知' THEN ending ELSE '' END AS topic FROM n""",
+    "generated_queries": f"""{_FILES}, r AS (SELECT *, ['消防', '电梯', '其他'][doc_id % 3 + 1] || filename AS name, doc_id % 3 < 2 AS fielded FROM files WHERE status = 'ready'),
+s AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS n FROM r WHERE fielded),
+w AS (SELECT CAST(round_even(i * ((SELECT count(*) FROM s) - 1) / 9::DOUBLE, 0) AS BIGINT) AS n FROM range(10) t(i)),
+k AS (SELECT 'short' AS kind, * FROM r UNION ALL SELECT 'news', * FROM r WHERE fielded UNION ALL SELECT 'long', * FROM r WHERE name IN (SELECT name FROM s JOIN w USING (n)))
+SELECT kind, name AS doc, name AS gold, file_type AS types, region AS provinces, city AS cities, kind = 'long' AS long FROM k""",
     "claim_marked": f"{_JOBS} SELECT id, CASE WHEN id = (SELECT id FROM j WHERE status = 'queued' ORDER BY created_at, id LIMIT 1) THEN 'processing' ELSE status END AS status FROM j",
     "recovered_jobs": f"{_JOBS} SELECT CASE WHEN status = 'processing' OR (status = 'failed' AND id % 3 = 0) THEN 'queued' ELSE status END AS status, count(*) AS n FROM j GROUP BY 1",
     "jobs_with_reports": f"{_JOBS} SELECT id, status, CASE WHEN status = 'completed' AND id % 2 = 0 THEN '# Report ' || id END AS report_content FROM j",
