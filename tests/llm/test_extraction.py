@@ -124,6 +124,9 @@ def test_template_text_on_nearly_all_pages(spark):
         ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a\n\nb\n\nc\n\nd"),
         ("<article><script>if (a</b/.test(x)) {}</script><p>a</p><style>x", "a"),
         ("<div class='shared-bread'>kept</div>", "kept"),
+        ("<article><p>a &lt; <b", "a <"),
+        ("<article><p>a</p><p class='x", "a"),
+        ("<article><p>a < b", "a < b"),
     ],
 )
 def test_single_pages(html, want):
