@@ -188,6 +188,18 @@ class Words:
         return at, mix((total[at + size] - total[at]) * down[at])
 
 
+# ---------------------------------------------------------------------------- SQL for oracles
+
+# CRC-32 in DuckDB: its table, and the value for a column of hex digits
+CRC_TABLE_SQL = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+def crc_sql(digits: str, table: str) -> str:
+    """The unsigned CRC-32 of the bytes in hex `digits`; table: a column with CRC_TABLE_SQL."""
+    steps = f"list_transform(range(length({digits}) // 2), lambda i: CAST('0x' || substr({digits}, CAST(2 * i + 1 AS INT), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, b: xor(c >> 8, {table}[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295)"
+
+
 # ---------------------------------------------------------------------------- groups in sorted batches
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import materialize, slices, text_buffer
+from corpuscle.llm.common import CRC_TABLE_SQL, crc_sql, materialize, slices, text_buffer
 
 WIDTH = 64
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
@@ -106,7 +106,7 @@ def feature(payload: bytes) -> str:
     mean = (h * v).sum() / n
     p = h[h > 0] / n
     bands = (1000 * h.reshape(8, 32).sum(1) / n).round().astype(int)
-    return f"mean={mean:.4f};std={np.sqrt((h * (v - mean) ** 2).sum() / n):.4f};entropy={-(p * np.log2(p)).sum():.4f};bands={','.join(map(str, bands))}"
+    return f"mean={mean:.4f};std={np.sqrt((h * (v - mean) ** 2).sum() / n):.4f};entropy={abs((p * np.log2(p)).sum()):.4f};bands={','.join(map(str, bands))}"
 
 
 def _store(batches):
@@ -195,3 +195,18 @@ def op10_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = docs.select("doc_id", page_of(F.col("text"), F.col("doc_id")).alias("html"))
     out = resolve(sequences(pages).drop("html"), features, F.col("_item.caption") != "cover")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+ORACLE = f"""
+WITH t AS MATERIALIZED (SELECT {CRC_TABLE_SQL} AS tab),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, hex(encode(coalesce(text, ''))) AS raw FROM documents),
+p AS MATERIALIZED (SELECT doc_id, n_bytes, greatest({WIDTH}, (n_bytes + {WIDTH - 1}) // {WIDTH} * {WIDTH}) AS size, raw || repeat('00', CAST(greatest({WIDTH}, (n_bytes + {WIDTH - 1}) // {WIDTH} * {WIDTH}) - n_bytes AS BIGINT)) AS hex FROM d),
+m AS (SELECT *, encode('P5' || chr(10) || '{WIDTH} ' || (size // {WIDTH}) || chr(10) || '255' || chr(10)) || unhex(hex) AS media FROM p),
+b AS (SELECT doc_id, size, CAST('0x' || unnest(list_transform(range(size), lambda i: substr(hex, CAST(2 * i + 1 AS INT), 2))) AS INT) AS v FROM p),
+c AS (SELECT doc_id, size, v, count(*) AS n FROM b GROUP BY ALL),
+e AS (SELECT doc_id, size, sum(n * v) / size::DOUBLE AS mean, abs(sum(n / size::DOUBLE * log2(n / size::DOUBLE))) AS entropy FROM c GROUP BY doc_id, size),
+f AS (SELECT c.doc_id, any_value(mean) AS mean, any_value(entropy) AS entropy, sqrt(sum(n * (v - mean) * (v - mean)) / any_value(c.size)) AS std, {", ".join(f"CAST(round_even(1000 * coalesce(sum(n) FILTER (v // 32 = {k}), 0)::DOUBLE / any_value(c.size), 0) AS INT) AS b{k}" for k in range(8))} FROM c JOIN e USING (doc_id) GROUP BY c.doc_id)
+SELECT m.doc_id, n_bytes, size AS payload_bytes, sha256(unhex(hex)) AS payload_sha256, CAST({crc_sql("right(hex, 128)", "tab")} AS BIGINT) AS tail_crc32, octet_length(media) AS media_bytes, sha256(media) AS media_sha256,
+  'mean=' || printf('%.4f', mean) || ';std=' || printf('%.4f', std) || ';entropy=' || printf('%.4f', entropy) || ';bands=' || concat_ws(',', {", ".join(f"b{k}" for k in range(8))}) AS feature, 3 AS position, 'document ' || m.doc_id || ' as samples' AS caption
+FROM m JOIN f USING (doc_id), t
+"""

@@ -16,7 +16,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import materialize, new_path
+from corpuscle.llm.common import CRC_TABLE_SQL, crc_sql, materialize, new_path
 
 SLOTS = 4096
 SHARDS = 8
@@ -27,7 +27,8 @@ def record_digests(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot, copies): equal records are counted before anything is shuffled."""
     text = F.coalesce(F.col("text"), F.lit(""))
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    keyed = one.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(slots)).cast("int"))
+    name = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "text_crc32")
+    keyed = one.withColumn("virtual_slot", F.pmod(F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long"), F.lit(slots)).cast("int"))
     return keyed.groupBy("doc_id", "size", "text_crc32", "virtual_slot").agg(F.count(F.lit(1)).alias("copies"))
 
 
@@ -117,3 +118,19 @@ def rebalance(docs: DataFrame, map_path: str, shards: int, slots: int = SLOTS) -
 def op5_fixed_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+# slots in falling order of bytes, each to the shard with the fewest bytes so far
+ORACLE = f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT {CRC_TABLE_SQL} AS tab),
+d AS MATERIALIZED (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, CAST({crc_sql("hex", "tab")} AS BIGINT) AS text_crc32 FROM (SELECT *, hex(encode(coalesce(text, ''))) AS hex FROM documents), t),
+v AS MATERIALIZED (SELECT *, CAST(CAST('0x' || substr(md5(doc_id || '/' || size || '/' || text_crc32), 1, 15) AS BIGINT) % {SLOTS} AS INT) AS virtual_slot FROM d),
+l AS MATERIALIZED (SELECT n AS virtual_slot, bytes, row_number() OVER (ORDER BY bytes DESC, n) AS k FROM (SELECT r.n, coalesce(sum(size), 0) AS bytes FROM range({SLOTS}) r(n) LEFT JOIN v ON v.virtual_slot = r.n GROUP BY r.n)),
+g(k, virtual_slot, shard, loads) AS (
+  SELECT 0::BIGINT, -1::BIGINT, -1, list_transform(range({SHARDS}), lambda i: 0::HUGEINT)
+  UNION ALL
+  SELECT l.k, l.virtual_slot, CAST(list_position(loads, list_min(loads)) - 1 AS INT), list_transform(loads, lambda x, i: x + CASE WHEN i = list_position(loads, list_min(loads)) THEN l.bytes ELSE 0 END)
+  FROM g JOIN l ON l.k = g.k + 1)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY v.virtual_slot, doc_id, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard, v.virtual_slot
+FROM v JOIN g ON g.virtual_slot = v.virtual_slot
+"""
