@@ -368,3 +368,18 @@ def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("tid", text_ids(docs))
     out = docs.select("doc_id", "tid").join(classes(docs), "tid", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+# all pairs that share a shingle, and the closure of their links
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, array_to_string(list_slice(words, i, i + {SHINGLE - 1}), ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {SHINGLE - 1}, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+c AS MATERIALIZED (SELECT doc_id, hash(shingle) AS shingle, count(*) AS n FROM s GROUP BY ALL),
+z AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS common FROM c x JOIN c y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE common >= {SIMILARITY} * (x.n + y.n - common) - {ROUNDING}
+  UNION SELECT x.doc_id, y.doc_id FROM documents x JOIN documents y ON x.text = y.text AND x.doc_id < y.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id WHERE r.root < l.b)
+SELECT doc_id, min(root) AS class_id, doc_id = min(root) AS kept FROM r GROUP BY doc_id
+"""
