@@ -15,7 +15,7 @@ deadlines are whole-number arithmetic on the block's number.  The last source le
 
 The number of a block in its queue needs no global sort: rows are counted by (source, bucket of a hash of the row), the
 counts are summed over the buckets, and rows are numbered within a bucket.  A source with a third of all rows is spread
-over all buckets.
+over all buckets.  `mixed` does this with hashes of the rows alone, and brings whole rows to their places afterwards.
 
 Defined results: a null source is a source of its own; a null doc_id, and a null, empty or very long text are rows like
 others; repeated rows get places of their own; equal deadlines go to the larger source, then by its name; every source is
@@ -34,7 +34,7 @@ from math import gcd, lcm
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import aside, new_path
+from corpuscle.llm.common import aside, materialize, new_path
 
 BUCKETS = (64, 8192, 100_000)  # least, most, rows a bucket
 WHOLE = 1 << 53  # shares of a whole without a period
@@ -181,7 +181,16 @@ def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None,
 def mixed(docs: DataFrame, targets: dict[str | None, float] | None = None) -> DataFrame:
     """The documents in their mixed order; columns as they were, whatever their names."""
     inner, back = aside(docs)
-    return back(scheduled(inner, [c for c in ("doc_id", "text") if c in docs.columns], targets, EXPONENT, None, None).orderBy("_position"))
+    wide = inner.withColumn("_row", spread([c for c in ("source", "doc_id", "text") if c in docs.columns]))
+    same = Window.partitionBy("_row")
+    places = scheduled(wide.select("source", "_row"), ["_row"], targets, EXPONENT, None, None).select("_row", "_position")
+    places = places.select("*", F.count(F.lit(1)).over(same).alias("_copies"), (F.row_number().over(same.orderBy("_position")) - 1).alias("_nth"))
+    places = materialize(places, "places")
+    # whole rows are moved to their places' hashes and then in order; rows of one hash, which are few, take their places in turn
+    once = wide.join(places.filter("_copies = 1").select("_row", "_position"), "_row")
+    again = wide.join(places.filter("_copies > 1 AND _nth = 0").select("_row"), "_row", "left_semi").withColumn("_nth", F.row_number().over(same.orderBy("_row")) - 1)
+    again = again.join(places.filter("_copies > 1").select("_row", "_nth", "_position"), ["_row", "_nth"]).drop("_nth")
+    return back(once.unionByName(again).orderBy("_position"))
 
 
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
