@@ -57,6 +57,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
+def lean_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """The session's Arrow batches have `rows` rows at most from now on: for plans over whole texts that run later."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "0")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def materialize(df: DataFrame, label: str, rows: int = BATCH_ROWS) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut, and losing executors loses nothing.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import aside, materialize, mix, slices
+from corpuscle.llm.common import aside, lean_batches, materialize, mix, slices
 
 GRAMS = (4, 5, 6)
 BITS = 20
@@ -207,6 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> Mod
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with `score`, of whole texts; a narrow transformation that sends texts to Python and only scores back."""
+    lean_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     @F.pandas_udf("double")
