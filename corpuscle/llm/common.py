@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -64,6 +65,23 @@ def lean_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker lives on beside the next stage's work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run):
+    """run, a generator over a partition's batches, that trims at its end."""
+
+    def whole(batches):
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def materialize(df: DataFrame, label: str, rows: int = BATCH_ROWS) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut, and losing executors loses nothing.
 

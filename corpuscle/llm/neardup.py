@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import Words, aside, materialize, mix, rekeyed, slices, text_ids, whole_groups
+from corpuscle.llm.common import Words, aside, materialize, mix, rekeyed, slices, text_ids, trimmed, whole_groups
 from corpuscle.llm.graph import components
 
 SHINGLE = 5
@@ -146,7 +146,7 @@ def sketches(texts: DataFrame) -> DataFrame:
                 raw = (sig & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([pa.array(tid[has], pa.int64()), pa.array(total[has], pa.int64()), pa.array([raw[k].tobytes() for k in has], pa.binary())], ["tid", "weight", "sig"])
 
-    found = texts.select("tid", "text").mapInArrow(run, "tid long, weight long, sig binary")
+    found = texts.select("tid", "text").mapInArrow(trimmed(run), "tid long, weight long, sig binary")
     return found.groupBy("tid").agg(F.max("weight").alias("weight"), F.max("sig").alias("sig"))
 
 
@@ -199,7 +199,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(tid, pa.int64()), pa.array([e[cut[k] : cut[k + 1]].tobytes() for k in range(len(tid))], pa.binary())], ["tid", "elements"])
 
     placed = docs.select("tid", "text", *[F.pmod(F.xxhash64("tid", F.lit(k)), F.lit(bits)).alias(f"p{k}") for k in (1, 2, 3, 4)])
-    chosen = placed.mapInArrow(run, "tid long, elements binary")
+    chosen = placed.mapInArrow(trimmed(run), "tid long, elements binary")
     return chosen.groupBy("tid").agg(F.max("elements").alias("elements"))
 
 
@@ -219,7 +219,7 @@ def _similar(batches):
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) of text ids that are alike enough, by their whole shingle sets."""
     joined = pairs.join(sets.select(F.col("tid").alias("u"), F.col("elements").alias("a")), "u").join(sets.select(F.col("tid").alias("v"), F.col("elements").alias("b")), "v")
-    return joined.select("u", "v", "a", "b", F.lit(similarity).alias("least")).mapInArrow(_similar, "u long, v long")
+    return joined.select("u", "v", "a", "b", F.lit(similarity).alias("least")).mapInArrow(trimmed(_similar), "u long, v long")
 
 
 def buckets(known: DataFrame) -> DataFrame:
@@ -323,7 +323,7 @@ def cross_links(dealt: DataFrame, similarity: float) -> DataFrame:
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-    return dealt.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, "u long, v long").distinct()
+    return dealt.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(trimmed(run), "u long, v long").distinct()
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

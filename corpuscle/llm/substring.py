@@ -31,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import Words, aside, slices
+from corpuscle.llm.common import Words, aside, slices, trim
 
 WINDOW = 35
 GROUPS = (16, 4 << 20, 64 << 20)  # least number; least and most bytes a group: 6.4 times the root of the corpus between them
@@ -113,6 +113,7 @@ def _probes(window: int, parts: int):
         keys = keys[cut[:-1]]
         part, low = (keys >> np.uint64(32)).astype(np.int32), (keys & _LOW).astype(np.uint32)
         ends = _cuts(part)
+        trim()
         return _batch([(int(part[a]), key[0].as_py(), low[a:b].tobytes(), np.packbits(flags[a:b]).tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)], PROBES)
 
     return run
@@ -172,7 +173,7 @@ def _candidates(texts: pa.Array, hits: pa.Table, window: int, parts: int):
         some = np.flatnonzero(np.cumsum(marked)[:-1] > 0)
         if len(some):
             raw, start = _spaced(words)
-            digests += [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start[some].tolist(), (start[some + window] - 1).tolist(), strict=True)]
+            digests.append(b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start[some].tolist(), (start[some + window] - 1).tolist(), strict=True)]))
             places.append(base + some)
         base += len(words.start)
     two = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
@@ -200,6 +201,7 @@ def _extended(window: int, parts: int):
         for a, b in zip(ends[:-1], ends[1:], strict=True):
             own = by_part[a:b]
             rows.append((int(part[own[0]]), key[0].as_py(), one[own].tobytes(), np.packbits(many[own]).tobytes(), own.astype(np.int32).tobytes()))
+        trim()
         return _batch(rows, DIGESTS)
 
     return run
@@ -270,7 +272,9 @@ def edited(docs: DataFrame, window: int, edit, schema) -> DataFrame:
 
     def run(key, rows, told):
         rows = _in_order(rows)
-        return edit(rows, _edits(_column(rows, "text"), told, window, parts))
+        out = edit(rows, _edits(_column(rows, "text"), told, window, parts))
+        trim()
+        return out
 
     return own.groupBy("_g").cogroup(told.groupBy("g")).applyInArrow(run, schema)
 

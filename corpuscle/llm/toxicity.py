@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import aside, lean_batches, materialize, mix, slices
+from corpuscle.llm.common import aside, lean_batches, materialize, mix, slices, trim, trimmed
 
 GRAMS = (4, 5, 6)
 BITS = 20
@@ -167,7 +167,7 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, rounds: int = 200
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> Model:
     spark = docs.sparkSession
     sample = materialize(training_rows(docs, labels, most).repartition(8), "toxicity-sample")
-    counts = sample.mapInArrow(_frequencies, "block int, at binary, counts binary").groupBy("block").applyInArrow(_sums, "bucket long, clean long, toxic long")
+    counts = sample.mapInArrow(trimmed(_frequencies), "block int, at binary, counts binary").groupBy("block").applyInArrow(_sums, "bucket long, clean long, toxic long")
     counts = materialize(counts, "toxicity-counts")
     rows = counts.filter(F.col("bucket") < 0).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
     n, m = rows["clean"] or 0, rows["toxic"] or 0
@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> Mod
                 out += [one[cut[k] : cut[k + 1]].tobytes() for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["toxic", "found"])
 
-    fitted = sample.mapInArrow(rows_of, "toxic int, found binary").collect()  # at most `most` rows of a few hundred numbers
+    fitted = sample.mapInArrow(trimmed(rows_of), "toxic int, found binary").collect()  # at most `most` rows of a few hundred numbers
     found, y = [np.frombuffer(f["found"], np.uint16) for f in fitted], np.array([float(f["toxic"] > 0) for f in fitted])
     del fitted
     w, bias = _fit(found, y, r)
@@ -216,6 +216,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         texts = text.tolist()
         ends = np.cumsum([len(t or "") + 1 for t in texts])
         cut = [0, *np.searchsorted(ends, np.arange(SLICE, ends[-1], SLICE)).tolist(), len(texts)] if texts else [0]
+        trim()
         parts = [own.score(texts[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True) if j > i]
         return pd.Series(np.concatenate([*parts, np.zeros(0)]))
 
