@@ -40,6 +40,7 @@ BUCKETS = (64, 8192, 100_000)  # least, most, rows a bucket
 WHOLE = 1 << 53  # shares of a whole without a period
 CHUNK, RUN = 8192, 65536  # slots a chunk, and of the last source
 EXPONENT = 0.5
+BROADCAST_ROWS = 1 << 20  # hashes of repeated rows, of 8 bytes, that are broadcast
 STEPS = 1 << 24  # of a schedule, about: blocks are rows up to that many
 LINE = ["queue", "stretch", "low", "start", "share", "whole", "first", "base", "lacking", "blocks"]  # low, first: blocks of the queue before the stretch, the chunk; start, base: slots before them; lacking: rows that blocks before the stretch had too few
 RESULT = ["position", "queue_position", "release", "deadline", "stretch"]
@@ -188,9 +189,11 @@ def mixed(docs: DataFrame, targets: dict[str | None, float] | None = None) -> Da
     places = materialize(places, "places")
     # whole rows are moved to their places' hashes and then in order; rows of one hash, which are few, take their places in turn
     once = wide.join(places.filter("_copies = 1").select("_row", "_position"), "_row")
-    again = wide.join(places.filter("_copies > 1 AND _nth = 0").select("_row"), "_row", "left_semi").withColumn("_nth", F.row_number().over(same.orderBy("_row")) - 1)
-    again = again.join(places.filter("_copies > 1").select("_row", "_nth", "_position"), ["_row", "_nth"]).drop("_nth")
-    return back(once.unionByName(again).orderBy("_position"))
+    repeated = places.filter("_copies > 1 AND _nth = 0").select("_row")
+    if many := repeated.count():
+        rows = wide.join(F.broadcast(repeated) if many <= BROADCAST_ROWS else repeated, "_row", "left_semi").withColumn("_nth", F.row_number().over(same.orderBy("_row")) - 1)
+        once = once.unionByName(rows.join(places.filter("_copies > 1").select("_row", "_nth", "_position"), ["_row", "_nth"]).drop("_nth"))
+    return back(once.orderBy("_position"))
 
 
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
