@@ -24,6 +24,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 
@@ -40,13 +41,14 @@ EVERY = 50
 BLOCK, ASKS = 8192, 2048
 FIT_QUERIES, FIT_SAMPLE = 100, 1024
 RECALL = 0.96
-WIDTHS = (1.0, 1.75, 2.5, 4.0)
-HASHES = (1, 2, 3, 4, 6, 8, 10, 12, 16, 20)
+WIDTHS = (1.75, 2.5, 4.0)
+HASHES = (1, 2, 4, 6, 8, 10, 12, 16, 20)
 TABLES = (1, 2, 4, 8)
 PROBES = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)
 ROW, PROBE = 20.0, 1.0  # what indexing a row, and sending a probe, cost in scored vectors
 
 
+@functools.cache
 def templates(m: int, most: int) -> np.ndarray:
     """Sets of perturbations in their expected order, over the 2m (hash, step) pairs sorted by distance (Lv et al. 2007)."""
     j = np.arange(1, m + 1)
