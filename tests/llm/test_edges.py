@@ -44,6 +44,7 @@ def tables(spark, path, some):
         ("documents", [(*r, *EXTRA) for r in ROWS], DOCS),
         ("embeddings", [(*r, 1, 2) for r in EMBEDDINGS], "vec_id long, embedding array<float>, label int, vid int"),
         ("pages", [(*r, "h") for r in PAGES], "page_id long, url string, html string, host string"),
+        ("benchmark", [(1, "one two three four"), (None, None), (2, "")], "item_id long, text string"),
         ("labels", LABELS, "doc_id long, quality int, toxic int"),
     ):
         spark.createDataFrame(rows[cut], schema).coalesce(2).write.parquet(f"{path}/{name}.parquet")
@@ -64,7 +65,7 @@ def empty_dir(spark, tmp_path_factory):
 def test_edge_rows(spark, edge_dir, name):
     out = QUERIES[name](spark, edge_dir).collect()
     rows = {"embeddings": None, "pages": len(PAGES), "documents": len(ROWS)}
-    table = {"op1": "embeddings", "op3": "pages", "op4": "pages"}.get(name.split("_")[0], "documents")
+    table = {"op1": "embeddings", "op12": "embeddings", "op3": "pages", "op4": "pages"}.get(name.split("_")[0], "documents")
     if rows[table] and not name.startswith("op8_"):
         assert len(out) == rows[table]
 
