@@ -1,23 +1,29 @@
 """Main text of pages by equivalence-class template deduction.
 
-Tokens of a page are its tags, told apart by their path (with class names, and their number among like siblings), and its
-blocks of text.  For every host and token the occurrence vector over the host's pages is kept as a fingerprint (sums over
-pages of a hash of page and count, with the numbers of pages and occurrences), so tokens with equal vectors fall into one
-equivalence class by grouping.  A class is valid if it is on nearly all pages of its host and has several tokens.  The
-class that is on most pages once, in one order, is the template's root; every other valid class is nested in the class
-that holds its nearest ancestor, in the gap between two of that class's tokens.
-
-The elements of the template delimit its slots; what lies in a slot on a page is its value.  A block of text that is itself
-a template token, of a valid class or on every page of its host, is no slot's value wherever it lies; only a page
-that has no other text keeps it.  Of the slots are extracted:
+Tokens of a page are its tags, told apart by their path (with class names, and their number among like siblings; a path is
+a number made of its parent's and its own name), and its blocks of text.  For every host and token the occurrence vector over
+the host's pages is kept as a fingerprint (sums over pages of a hash of page and count, with the numbers of pages and
+occurrences), so tokens with equal vectors fall into one equivalence class by grouping.  A class is valid if it is on
+nearly all pages of its host and has several tokens.  The class that is on most pages once, in one order, is the template's
+root; every other valid class is nested in the class that holds its nearest ancestor, in the gap between two of that
+class's tokens.
+
+The elements of the template delimit its slots; what lies in a slot on a page is its value.  A block of text is constant if
+it is a template token itself, of a valid class or on every page of its host.  Of the slots are extracted:
 1. those in an article or main element, where the template has one;
-2. else those in the innermost container that holds nearly all of the host's running text (text outside of links, summed over
-   its pages) and its main heading, but for elements there that hold hardly anything but links.
-Beside the template, fixed tag, role and class names tell menus, forms, adverts, comments and the like; they decide alone
-on hosts of fewer than LEAST_PAGES pages, and for a page on which its host's template does not fit.
+2. else those in the innermost container that holds nearly all of the host's varying text (text outside of links that is not
+   constant, summed over its pages) and its main heading, but for elements there that hold hardly anything but links, and
+   containers there that hold nothing but constant text.
+What a wanted slot holds is kept, constant or not: articles repeat headings.
+
+Beside the template, fixed tags and roles tell menus, forms, comments and the like, and so do class names that are such a
+name as a whole or a compound of one (site-footer, sidebar-left; not has-sidebar, ad-hoc).  Names are the weaker sign: those of
+elements around the container, or around an article where no other is, count for nothing.  Tags and names decide alone on
+hosts of a single page, which have nothing to compare, and for a page on which its host's template does not fit.
 
 Fingerprints are added up before anything is shuffled, so a host with a third of all pages is no hot spot; templates are
-joined to pages by host in a join that adaptive execution can split.
+joined to pages by host in a join that adaptive execution can split.  A page takes time and memory in proportion to its length,
+however deep it is nested and whatever in it never ends.
 
 Defined results: a null or empty html has an empty text; a null url is a host of its own; a null page_id is kept;
 repeated rows count as often as they are there and give equal texts; of classes that are on equally many pages the one with
@@ -27,9 +33,11 @@ their end; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter, defaultdict
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -38,17 +46,18 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm.common import materialize, slices
 
-LEAST_PAGES = 5  # of a host that gets a template
+LEAST_PAGES = 2  # that can be compared
 NEARLY_ALL = 0.8
 LEAST_TOKENS = 3
 HOSTS_KEPT = 256  # of templates that a task has at hand
 MOST = 0.8  # of a host's running text that the main container holds; of an element's text that links are in a menu
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
-_CUT = re.compile(r"<[a-zA-Z/!?][^>]*$", re.S)
-_CLASS = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_OPENS = re.compile(r"<[a-zA-Z/!?]")
+_CLASS = re.compile(r"(?<![\w-])(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _ROLE = re.compile(r"\brole\s*=\s*[\"']?([a-z]+)", re.I)
-_SPLIT = re.compile(r"[^a-z]+")
+_PARTS = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 # fixed values: HTML element names by kind
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -61,44 +70,90 @@ _SIDE_NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "respond", "disqus", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "footer", "menu", "nav", "navbar", "navigation",
     "sidebar", "aside", "widget", "widgets", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "popup", "modal", "overlay", "promo", "promotion", "sponsor", "sponsored", "masthead", "topbar", "toolbar", "pagination", "pager", "skip",
 }
+_COMMENT_NAMES = {"comment", "comments", "respond", "disqus"}
 _MAIN_NAMES = {"article", "main"}
+# of compounds: what may follow a side name, and what makes it a mere mention of one
+_HOLDERS = {"container", "wrapper", "wrap", "list", "section", "area", "box", "block", "bar", "left", "right", "top", "bottom", "inner", "outer", "content", "item", "items", "links", "main", "primary", "secondary", "slot", "unit", "panel", "group", "holder", "row", "col", "column", "form", "title", "header", "text", "body", "buttons", "icons", "message"}
+_MENTIONS = {"has", "have", "had", "no", "not", "non", "with", "without", "is", "hide", "hides", "hidden", "show", "shows", "open", "opened", "closed", "after", "before", "under", "below", "above", "beside", "next", "to", "full", "one", "two", "three"}
+_HOLD_SIBLINGS = ("ul", "ol", "dl", "table", "select")
 _CONTAINERS = {"html", "body", "div", "section", "td", "center"}
 _LISTS = {"ul", "ol", "dl", "div", "section", "table", "p"}
 
 
-def _side(tag: str, names: list[str], role: str, inside: bool) -> bool:
-    if tag in _SIDE_TAGS or role in _SIDE_ROLES or (tag == "header" and not inside):
-        return True
-    return tag not in ("html", "body", "article", "main") and bool(_SIDE_NAMES.intersection(names))
+@functools.lru_cache(1 << 16)
+def side_name(name: str) -> str:
+    """'comment', 'side' or '' for a class name or id: a side name as a whole, as a compound's head (site-footer), or before its holder (ad-slot)."""
+    parts = _PARTS.findall(_CAMEL.sub("-", name).lower())
+    if not parts or _MENTIONS.intersection(parts):
+        return ""
+    head = [parts[-1], *(p for p, after in zip(parts, parts[1:], strict=False) if after in _HOLDERS)]
+    if _COMMENT_NAMES.intersection(head):
+        return "comment"
+    return "side" if _SIDE_NAMES.intersection(head) else ""
+
+
+def child(path: str, own: str) -> str:
+    """The number of an element's path."""
+    return xxhash.xxh3_64_hexdigest(f"{path}/{own}")
+
+
+def named(path: str) -> str:
+    """The number of a path that is written out, as /html/body."""
+    out = ""
+    for own in path.split("/")[1:]:
+        out = child(out, own)
+    return out
+
+
+class Element(NamedTuple):
+    tag: str
+    path: str
+    hard: bool  # a menu, form, comment and the like by tag or role, or inside of one
+    soft: str  # the innermost element around, or this one, that is a side by name; within an article only those inside it
+    main: bool
+    under: bool  # an article's: it lies in a side by name itself
+    like: dict[str, int]  # children by name
+
+
+class Block(NamedTuple):
+    path: str
+    text: str
+    hard: bool
+    soft: str
+    main: bool
+    under: bool
 
 
 class Page:
-    """blocks: (path, text, side, main) in page order; tokens: of tags, how often; first: their first place; elements: of open tags (running text, text of links, side, main)."""
+    """blocks in page order; tokens: of tags, how often; first: their first place; parent, kind: of paths, the path around and the tag; elements: of paths (running text, text of links, hard, main)."""
 
     def __init__(self, html: str | None) -> None:
-        self.blocks: list[tuple[str, str, bool, bool]] = []
+        self.blocks: list[Block] = []
         self.tokens: Counter[str] = Counter()
         self.first: dict[str, int] = {}
+        self.parent: dict[str, str] = {}
+        self.kind: dict[str, str] = {}
         self.elements: dict[str, list] = {}
-        stack: list[tuple[str, str, bool, bool, dict[str, int]]] = [("", "", False, False, {})]  # tag, path, side, main, children
+        stack = [Element("", "", False, "", False, False, {})]
+        places: dict[str, list[int]] = defaultdict(list)  # of open tags in the stack
         parts: list[str] = []
         linked: list[str] = []
         link = 0  # the depth at which a link has begun
         html = html or ""
-        at, end = 0, len(html)
+        at, end, last = 0, len(html), html.rfind(">") if html else -1
 
         def flush() -> None:
             if parts:
                 text = " ".join(unescape("".join(parts)).split())
                 parts.clear()
                 if text:
-                    _, path, side, main, _ = stack[-1]
-                    self.blocks.append((path, text, side, main))
-                    if not side:
+                    e = stack[-1]
+                    self.blocks.append(Block(e.path, text, e.hard, e.soft, e.main, e.under))
+                    if not e.hard and e.path:
                         of_links = len(" ".join(unescape("".join(linked)).split())) if linked else 0
-                        for _, above, *_ in stack[1:]:
-                            self.elements[above][0] += max(len(text) - of_links, 0)
-                            self.elements[above][1] += of_links
+                        sums = self.elements[e.path]
+                        sums[0] += max(len(text) - of_links, 0)
+                        sums[1] += of_links
             linked.clear()
 
         def seen(token: str) -> None:
@@ -108,13 +163,16 @@ class Page:
         def close(k: int) -> None:
             nonlocal link
             flush()
-            for tag, path, *_ in reversed(stack[k:]):
-                if tag:
-                    seen("/" + path)
+            for e in reversed(stack[k:]):
+                seen("/" + e.path)
+                places[e.tag].pop()
             del stack[k:]
             if link > len(stack):
                 link = 0
 
+        def innermost(tags) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
         while at < end:
             m = _TOKEN.match(html, at)
             if m is None:
@@ -123,7 +181,7 @@ class Page:
                 continue
             at = m.end()
             slash, tag, attributes, text = m.groups()
-            if text == "<" and _CUT.match(html, at - 1):
+            if text == "<" and at - 1 > last and _OPENS.match(html, at - 1):
                 break  # the page ends within a tag
             if text is not None:
                 parts.append(text)
@@ -138,7 +196,7 @@ class Page:
                 linked.append(" ")
             if slash:
                 if tag not in _PHRASING:
-                    k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+                    k = innermost((tag,))
                     if k:
                         close(k)
                     elif tag == "p":
@@ -148,38 +206,47 @@ class Page:
                 if tag in ("br", "img"):
                     parts.append(" ")
                 continue
-            if tag in _ENDS_P:
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-                if k:
-                    close(k)
+            if tag in _ENDS_P and (k := innermost(("p",))):
+                close(k)
             if tag in _SIBLINGS:
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in _SIBLINGS[tag] or stack[i][0] in ("ul", "ol", "dl", "table", "select")), 0)
-                if k and stack[k][0] in _SIBLINGS[tag]:
+                k = innermost(_SIBLINGS[tag])
+                if k and k > innermost(_HOLD_SIBLINGS):
                     close(k)
             flush()
-            names = [n for g in _CLASS.findall(attributes) for n in _SPLIT.split(unescape("".join(g)).lower()) if n] if attributes else []
+            names = [n for g in _CLASS.findall(attributes) for n in unescape("".join(g)).split()] if attributes else []
             role = (_ROLE.search(attributes) or [None, ""])[1].lower() if attributes else ""
-            own = "".join([tag, *("." + n for n in sorted(set(names)))])
-            _, above, side, main, children = stack[-1]
-            children[own] = n = children.get(own, 0) + 1
-            path = f"{above}/{own}" if n == 1 else f"{above}/{own}[{n}]"
-            side = side or _side(tag, names, role, main)
-            main = main or tag in _MAIN_NAMES or role in _MAIN_NAMES
+            own = "".join([tag, *("." + n for n in sorted({"-".join(_PARTS.findall(n.lower())) for n in names} - {""}))])
+            e = stack[-1]
+            e.like[own] = n = e.like.get(own, 0) + 1
+            path = child(e.path, own if n == 1 else f"{own}[{n}]")
+            sides = {side_name(n) for n in names} if tag not in ("html", "body", "article", "main") else set()
+            hard = e.hard or "comment" in sides or tag in _SIDE_TAGS or role in _SIDE_ROLES or (tag == "header" and not e.main)
+            main = e.main or tag in _MAIN_NAMES or role in _MAIN_NAMES
+            under = e.under or (main and not e.main and e.soft != "")
+            soft = path if "side" in sides else "" if main and not e.main else e.soft
             seen(path)
-            self.elements.setdefault(path, [0, 0, side, main])
+            self.parent.setdefault(path, e.path)
+            self.kind.setdefault(path, tag)
+            self.elements.setdefault(path, [0, 0, hard, main])
             if tag in _RAW:
                 stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 at = stop.end() if stop else end
             elif tag not in _VOID and not attributes.endswith("/"):
-                stack.append((tag, path, side, main, {}))
+                places[tag].append(len(stack))
+                stack.append(Element(tag, path, hard, soft, main, under, {}))
         close(1)
+        for path in reversed(self.parent):  # children come after their parents
+            above = self.elements.get(self.parent[path])
+            if above:
+                above[0] += self.elements[path][0]
+                above[1] += self.elements[path][1]
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-SEEN = "host string, token string, text long, pages long, total long, high long, low long, place double, chars long, links long, side boolean, main boolean"
+SEEN = "host string, token string, text long, pages long, total long, high long, low long, place double, chars long, links long, hard boolean, main boolean, parent string, kind string"
 
 
 def _hash(*x) -> int:
@@ -196,16 +263,17 @@ def occurrences(pages: DataFrame) -> DataFrame:
         for batch in batches:
             ids, hosts, htmls = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             for i, j in slices(htmls, 1 << 23):
-                sums: dict = defaultdict(lambda: [0, 0, 0, 0, 0.0, 0, 0, False, False])
+                sums: dict = defaultdict(lambda: [0, 0, 0, 0, 0.0, 0, 0, False, False, None, None])
                 for page_id, host, html in zip(ids[i:j], hosts[i:j], htmls.slice(i, j - i).to_pylist(), strict=True):
                     page = Page(html)
                     n, key = max(len(page.first), 1), f"{page_id}/{xxhash.xxh3_64_hexdigest((html or '').encode('utf-8', 'surrogatepass'))}"
                     none = [0, 0, False, False]
-                    rows = [(t, None, c, page.first[t] / n, *page.elements.get(t, none)) for t, c in page.tokens.items()]
-                    rows += [(path, _hash(text), c, 0.0, c * len(text), 0, side, main) for (path, text, side, main), c in Counter(page.blocks).items()]
-                    rows.append(("", None, 1, 0.0, *none))
+                    rows = [(t, None, c, page.first[t] / n, *page.elements.get(t, none), page.parent.get(t), page.kind.get(t)) for t, c in page.tokens.items()]
+                    texts = Counter((b.path, b.text, b.hard, b.main) for b in page.blocks)
+                    rows += [(path, _hash(text), c, 0.0, c * len(text), 0, hard, main, None, None) for (path, text, hard, main), c in texts.items()]
+                    rows.append(("", None, 1, 0.0, *none, None, None))
                     marks = {}
-                    for token, text, c, place, chars, links, side, main in rows:
+                    for token, text, c, place, chars, links, hard, main, parent, kind in rows:
                         mark = marks.get(c)
                         if mark is None:
                             mark = marks[c] = xxhash.xxh3_64_intdigest(f"{c}/{key}")
@@ -217,56 +285,80 @@ def occurrences(pages: DataFrame) -> DataFrame:
                         s[4] += place
                         s[5] += chars
                         s[6] += links
-                        s[7], s[8] = s[7] or side, s[8] or main
-                kinds = [pa.string(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+                        s[7], s[8], s[9], s[10] = s[7] or hard, s[8] or main, parent, kind
+                kinds = [pa.string(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string()]
                 columns = list(zip(*((*k, *v) for k, v in sums.items()), strict=True)) if sums else [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SEEN.split(", ")])
 
-    added = [F.sum(c).alias(c) for c in ("pages", "total", "high", "low", "place", "chars", "links")] + [F.bool_or("side").alias("side"), F.bool_or("main").alias("main")]
+    added = [F.sum(c).alias(c) for c in ("pages", "total", "high", "low", "place", "chars", "links")] + [F.bool_or("hard").alias("hard"), F.bool_or("main").alias("main"), F.max("parent").alias("parent"), F.max("kind").alias("kind")]
     return pages.mapInArrow(run, SEEN).groupBy("host", "token", "text").agg(*added)
 
 
-TEMPLATE = "host string, classes array<struct<tokens:array<string>,parent:int,gap:int>>, slots array<struct<element:string,wanted:boolean>>, constant array<long>"
+TEMPLATE = "host string, classes array<struct<tokens:array<string>,parent:int,gap:int>>, slots array<struct<element:string,wanted:boolean>>, around array<string>"
 
 
 def nest(classes: list[list[dict]]) -> list[dict]:
     """Classes in the order of the template, each with the number of its parent and the gap it lies in (-1 for the root)."""
-    of = {t["token"]: (k, i) for k, c in enumerate(classes) for i, t in enumerate(c)}
+    of = {t["token"]: k for k, c in enumerate(classes) for t in c}
+    parents = {t["token"]: t["parent"] for c in classes for t in c}
     out = []
     for k, c in enumerate(classes):
-        parent, gap, path = -1, -1, c[0]["token"].removeprefix("/").removeprefix("/")
-        while k and "/" in path:
-            path = path.rpartition("/")[0]
-            found = of.get("/" + path)
-            if found and found[0] != k:
-                parent = found[0]
+        parent, gap, path = -1, -1, c[0]["token"].removeprefix("/")
+        while k and path:
+            path = parents.get(path)
+            if of.get(path, k) != k:
+                parent = of[path]
                 gap = sum(t["place"] <= c[0]["place"] for t in classes[parent]) - 1
                 break
         out.append({"tokens": [t["token"] for t in c], "parent": parent, "gap": gap})
     return out
 
 
-def _inside(path: str, element: str) -> bool:
-    return path == element or path.startswith(element + "/")
+def wanted_slots(tags: list[dict], still: list[dict]) -> tuple[dict[str, bool], list[str]]:
+    """Whether what lies in an element, and in no other of tags inside, is to be extracted; the elements around the container, itself included.
 
-
-def wanted_slots(elements: list[dict], still: list[dict]) -> dict[str, bool]:
-    """Whether what lies in a template's element, and in no element of the template inside, is to be extracted."""
-    if any(e["main"] and not e["side"] for e in elements):
-        return {e["token"]: e["main"] and not e["side"] for e in elements}
-    text = {e["token"]: e["chars"] - sum(t["chars"] for t in still if _inside(t["token"], e["token"])) for e in elements}
+    tags: opening tags in their order on the page, parents first.
+    """
+    if any(e["main"] and not e["hard"] for e in tags):
+        return {e["token"]: e["main"] and not e["hard"] for e in tags}, []
+    parent = {e["token"]: e["parent"] for e in tags}
+    constant, depth = defaultdict(int), {"": 0}
+    for t in still:
+        constant[t["token"]] += t["chars"]
+    for e in reversed(tags):
+        constant[e["parent"]] += constant[e["token"]]
+    for e in tags:
+        depth[e["token"]] = depth.get(e["parent"], 0) + 1
+    text = {e["token"]: e["chars"] - constant[e["token"]] for e in tags}
     every = max(text.values(), default=0)
-    tag = lambda e: re.match(r"[a-z0-9:-]*", e["token"].rpartition("/")[2])[0]
-    once = [e for e in elements if e["total"] == e["pages"] and not e["side"]]
-    headings = [e["token"] for e in sorted(once, key=lambda e: (tag(e), e["place"])) if tag(e) in ("h1", "h2") and text[e["token"]] > 0][:1]
-    holding = [e["token"] for e in once if tag(e) in _CONTAINERS and text[e["token"]] >= MOST * every and all(_inside(h, e["token"]) for h in headings)]
-    container = max(holding, key=lambda t: t.count("/"), default="")
-    menus = [e["token"] for e in elements if tag(e) in _LISTS and e["links"] >= MOST * (e["chars"] + e["links"]) > 0 and not any(_inside(h, e["token"]) for h in [*headings, container])]
-    return {e["token"]: not e["side"] and _inside(e["token"], container) and not any(_inside(e["token"], m) for m in menus) for e in elements}
-
-
-def deduce(tokens: list[dict], pages: int) -> tuple[list[dict], dict[str, bool], list[dict]]:
-    """The nested classes, the elements with whether they are wanted, and the constant texts of a host; no classes without a root."""
+    if every <= 0:  # pages that are copies of each other tell nothing
+        return {e["token"]: not e["hard"] for e in tags}, [e["token"] for e in tags]
+
+    def around(token: str) -> set[str]:
+        out = set()
+        while token:
+            out.add(token)
+            token = parent.get(token, "")
+        return out
+
+    once = [e for e in tags if e["total"] == e["pages"] and not e["hard"]]
+    heading = next((e["token"] for e in sorted(once, key=lambda e: (e["kind"], e["place"])) if e["kind"] in ("h1", "h2") and text[e["token"]] > 0), "")
+    over_heading = around(heading)
+    holding = [e["token"] for e in once if e["kind"] in _CONTAINERS and text[e["token"]] >= MOST * every and (not heading or e["token"] in over_heading)]
+    container = max(holding, key=lambda t: depth[t], default="")
+    over = around(container)
+    inside, out = {"": not container}, {}
+    for e in tags:
+        t = e["token"]
+        menu = e["kind"] in _LISTS and e["links"] >= MOST * (e["chars"] + e["links"]) > 0
+        template = e["kind"] in _LISTS - {"p"} and e["chars"] > 0 and text[t] <= 0
+        inside[t] = t == container or (inside.get(e["parent"], not container) and not e["hard"] and (t in over or t in over_heading or not (menu or template)))
+        out[t] = inside[t]
+    return out, sorted(over)
+
+
+def deduce(tokens: list[dict], pages: int) -> tuple[list[dict], dict[str, bool], list[str]]:
+    """The nested classes, the elements with whether they are wanted, and those around the container; no classes without a root."""
     vector = lambda t: (t["high"], t["low"], t["pages"], t["total"])
     tags = sorted((t for t in tokens if t["text"] is None), key=lambda t: (t["place"], t["token"]))
     classes = defaultdict(list)
@@ -280,8 +372,11 @@ def deduce(tokens: list[dict], pages: int) -> tuple[list[dict], dict[str, bool],
     members = Counter(map(vector, tokens))
     still = [t for t in tokens if t["text"] is not None and (t["pages"] == pages or members[vector(t)] >= LEAST_TOKENS)]
     held = {t["token"] for c in valid for t in c} | {t["token"] for t in tags if t["pages"] == pages}
-    elements = [t for t in tags if t["token"] in held and not t["token"].startswith("//")]
-    return nest([root, *(c for c in valid if c is not root)]), wanted_slots(elements, still), still
+    opening = [t for t in tags if not t["token"].startswith("/")]
+    wanted, over = wanted_slots(opening, still)
+    parent = {t["token"]: t["parent"] for t in opening}
+    slots = {t: w for t, w in wanted.items() if t in held or w != wanted.get(parent[t], w)}
+    return nest([root, *(c for c in valid if c is not root)]), slots, over
 
 
 def templates(seen: DataFrame) -> DataFrame:
@@ -290,53 +385,61 @@ def templates(seen: DataFrame) -> DataFrame:
     often = seen.filter(F.col("pages") >= NEARLY_ALL * LEAST_PAGES).filter("token != ''")  # most texts are on one page
     own = often.join(hosts, "host").filter(F.col("pages") >= NEARLY_ALL * F.col("all"))
     # what is on nearly all pages of a host is bounded by the length of its pages
-    token = F.struct("token", "text", "pages", "total", "high", "low", (F.col("place") / F.col("pages")).alias("place"), "chars", "links", "side", "main")
+    token = F.struct("token", "text", "pages", "total", "high", "low", (F.col("place") / F.col("pages")).alias("place"), "chars", "links", "hard", "main", "parent", "kind")
     grouped = own.groupBy("host").agg(F.first("all").alias("all"), F.collect_list(token).alias("tokens"))
 
     def run(batches):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                classes, slots, still = deduce(r["tokens"], r["all"])
+                classes, slots, over = deduce(r["tokens"], r["all"])
                 if classes:
-                    out.append((r["host"], classes, [{"element": e, "wanted": w} for e, w in slots.items()], [_hash(t["token"], t["text"]) for t in still]))
-            kinds = [pa.string(), pa.list_(pa.struct([("tokens", pa.list_(pa.string())), ("parent", pa.int32()), ("gap", pa.int32())])), pa.list_(pa.struct([("element", pa.string()), ("wanted", pa.bool_())])), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], ["host", "classes", "slots", "constant"])
+                    out.append((r["host"], classes, [{"element": e, "wanted": w} for e, w in slots.items()], over))
+            kinds = [pa.string(), pa.list_(pa.struct([("tokens", pa.list_(pa.string())), ("parent", pa.int32()), ("gap", pa.int32())])), pa.list_(pa.struct([("element", pa.string()), ("wanted", pa.bool_())])), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], ["host", "classes", "slots", "around"])
 
     return grouped.mapInArrow(run, TEMPLATE)
 
 
 class Template:
-    """A host's template: its root class, slots and constant texts, out of a row of templates()."""
+    """A host's template: its root class, slots and what is around the container, out of a row of templates()."""
 
-    def __init__(self, root: list[str], slots: list[dict], constant: list[int]) -> None:
+    def __init__(self, root: list[str], slots: list[dict], around: list[str]) -> None:
         self.root = root
         self.wanted = {s["element"]: s["wanted"] for s in slots}
-        self.constant = set(constant)
+        self.around = set(around)
 
     def fits(self, page: Page) -> bool:
         """Whether the root class is on the page once each, in its order."""
         places = [page.first.get(t, -1) for t in self.root]
         return all(page.tokens[t] == 1 for t in self.root) and all(a < b for a, b in zip(places, places[1:], strict=False))
 
-    def extracts(self, path: str) -> bool:
+    def extracts(self, page: Page) -> dict[str, bool]:
         """Whether the slot that a path lies in, that of the innermost template element around it, is wanted."""
-        while path:
-            if path in self.wanted:
-                return self.wanted[path]
-            path = path.rpartition("/")[0]
-        return True
+        out = {"": True}
+        for path, above in page.parent.items():
+            out[path] = self.wanted.get(path, out[above])
+        return out
 
 
 def main_blocks(page: Page, template: Template | None = None) -> list[str]:
     """The blocks of a page's wanted slots, in page order."""
-    kept = [b for b in page.blocks if not b[2]]
-    if any(b[3] for b in kept):
-        kept = [b for b in kept if b[3]]
+    open_ = [b for b in page.blocks if not b.hard]
+    mains = [b for b in open_ if b.main and not b.soft]
+    kept = [b for b in mains if not b.under]
+    if not kept:
+        kept = [b for b in open_ if not b.main and not b.soft]
+        length = lambda blocks: sum(len(b.text) for b in blocks)
+        if length(mains) > length(kept):  # an article in a wrapper that is named like a side
+            kept = mains
     if template and template.fits(page):
-        kept = [b for b in kept if template.extracts(b[0]) or b[3]] or kept
-        kept = [b for b in kept if _hash(b[0], _hash(b[1])) not in template.constant] or kept
-    return [text for _, text, _, _ in kept]
+        wanted = template.extracts(page)
+        # of elements that are sides by name, those that the container lies in are none
+        slots = [b for b in open_ if b.main and not b.soft and not b.under or wanted[b.path] and (not b.soft or b.soft in template.around)]
+        if kept and kept[0].main:
+            slots = [b for b in slots if b.main]
+        kept = slots or kept
+    return [b.text for b in kept]
 
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
@@ -347,7 +450,7 @@ def extract(pages: DataFrame) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     seen = materialize(occurrences(own.select("page_id", "host", "html")), "tokens-seen")
     learnt = materialize(templates(seen), "templates")
-    joined = own.join(learnt, "host", "left").select("page_id", "url", "html", "host", F.col("classes")[0]["tokens"].alias("root"), "slots", "constant")
+    joined = own.join(learnt, "host", "left").select("page_id", "url", "html", "host", F.col("classes")[0]["tokens"].alias("root"), "slots", "around")
 
     def run(batches):
         known: dict[str, Template | None] = {}
