@@ -191,6 +191,7 @@ def in_order(rows: DataFrame, *order) -> DataFrame:
 def drawn(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Scored rows with rank: their places among the highest scores, floor(percent * N / 100) of N eligible rows; others null."""
     eligible = F.col("eligible")
+    rows = materialize(rows, "scored")  # ranges are found by a pass of their own
     placed = in_order(rows, eligible.desc(), F.col("score").desc(), "doc_id", "n_features", "weight")
     most = percent * placed.filter(eligible).count() // 100
     return placed.withColumn("rank", F.when(eligible & (F.col("place") <= most), F.col("place"))).drop("place", "eligible")
