@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpuscle.plans import documents, media, native, registry, retrieval
+from corpuscle.plans import documents, media, native, registry, retrieval, search
 
-QUERIES = retrieval.QUERIES | documents.QUERIES | registry.QUERIES | native.QUERIES | media.QUERIES
-ORACLE_SQL = retrieval.ORACLE_SQL | documents.ORACLE_SQL | registry.ORACLE_SQL | native.ORACLE_SQL | media.ORACLE_SQL
+QUERIES = retrieval.QUERIES | documents.QUERIES | registry.QUERIES | native.QUERIES | media.QUERIES | search.QUERIES
+ORACLE_SQL = retrieval.ORACLE_SQL | documents.ORACLE_SQL | registry.ORACLE_SQL | native.ORACLE_SQL | media.ORACLE_SQL | search.ORACLE_SQL
 FLAGSHIP = retrieval.hybrid_hits
