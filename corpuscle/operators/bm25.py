@@ -72,22 +72,21 @@ def score(queries: DataFrame, index: Index, k1: float = K1, b: float = B) -> Dat
 def rank(scores: DataFrame, index: Index, top_n: int, candidates: DataFrame | None = None, digits: int = 5, query_ids: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank, corpus_pos): the best top_n of each query.
 
-    candidates: (query_id, id); without it all of the corpus.  Documents of no score fill up a list in corpus order; only
-    the first top_n + (number of scored documents) of those can be needed, so the filler is a bounded prefix.
+    candidates: (query_id, id); without it all of the corpus.  Documents of no score fill up a list in corpus order.
     """
     positions = index.lengths.select("id", "corpus_pos")
     if candidates is not None:
         scored = candidates.join(scores, ["query_id", "id"], "left").join(positions, "id")
     else:
-        # all scored documents, and as filler the first top_n documents of the corpus that the query did not score:
-        # they lie among the first top_n + scored ones, but ranks below top_n need no more than top_n positive scores
+        # all scored documents, and as filler the first documents of the corpus that the query did not score: ranks up to top_n
+        # need those among the first top_n, or, where scores can be negative, among the first top_n and as many as are scored
         ids = (query_ids if query_ids is not None else scores).select("query_id").distinct()
-        first = positions.orderBy("corpus_pos").limit(top_n)
-        # a score is below zero only where the mean idf is: in a corpus whose average term is in more than half of the documents
-        negative = scores.filter("score < 0").select("query_id").distinct()
-        filler = ids.join(F.broadcast(first)).join(scores.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
-        more = positions.join(F.broadcast(negative), how="cross").join(scores.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "id", "corpus_pos", F.lit(0.0).alias("score"))
-        scored = scores.join(positions, "id").unionByName(filler.select("query_id", "id", "score", "corpus_pos")).unionByName(more.select("query_id", "id", "score", "corpus_pos")).dropDuplicates(["query_id", "id"])
+        first = F.broadcast(positions.orderBy("corpus_pos").limit(top_n))
+        if index.terms.filter("idf < 0").limit(1).count():  # only if the average term is in more than half of the documents
+            most = scores.groupBy("query_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+            first = positions.orderBy("corpus_pos").limit(top_n + most)
+        filler = ids.crossJoin(first).join(scores.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
+        scored = scores.join(positions, "id").unionByName(filler.select("query_id", "id", "score", "corpus_pos"))
     rounded = scored.withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), digits))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_pos")
     return rounded.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top_n).select("query_id", "id", "score", "rank", "corpus_pos")

@@ -23,13 +23,6 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir, TOP).select("query_id", "id", "score", "rank")
 
 
-def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole queries through the index of postings."""
-    index = bm25.build(tables.corpus(spark, sf_dir))
-    q = tables.queries(spark, sf_dir)
-    return bm25.rank(bm25.score(q, index), index, TOP, query_ids=q).select("query_id", "id", "score", "rank")
-
-
 def bm25_candidates_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = facets.facet_predicate(F.col("file_type"), F.col("region"), F.col("city"), *map(facets.literal_list, FACET))
     return bm25.rank_batch(tables.queries(spark, sf_dir), tables.corpus(spark, sf_dir), TOP, where).select("query_id", "id", "score", "rank")
@@ -180,14 +173,14 @@ def token_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "bm25_topk": bm25_topk, "bm25_postings": bm25_postings, "bm25_candidates_filtered": bm25_candidates_filtered,
+    "bm25_topk": bm25_topk, "bm25_candidates_filtered": bm25_candidates_filtered,
     "facet_none": _facet(None, None, None), "facet_empty_types": _facet([], FACET[1], None), "facet_places": _facet(None, FACET[1], FACET[2]), "facet_types": _facet(["行政法规"], None, None), "facet_types_places": _facet(*FACET),
     "vector_topk": vector_topk, "vector_filtered_overfetch": vector_filtered_overfetch, "vector_filtered_exact": vector_filtered_exact, "rrf_fusion": rrf_fusion, "hybrid_hits": hybrid_hits,
     "rerank_lexical": rerank_lexical, "citation_context": citation_context, "eval_metrics": eval_metrics, "eval_metrics_rollup": eval_metrics_rollup, "embedding_eval": embedding_eval, "query_segments": query_segments, "token_statistics": token_statistics,
     "rerank_fallback": rerank_fallback, "retrieve_faceted": retrieve_faceted, "embedded_letters": embedded_letters, "query_kinds": query_kinds, "mean_latency": mean_latency, "merged_segments": merged_segments,
 }
 
-_BM25 = f"""corpus AS ({CORPUS_SQL}),
+BM25_SQL = f"""corpus AS ({CORPUS_SQL}),
 tok AS MATERIALIZED (SELECT id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS token FROM corpus),
 tf AS MATERIALIZED (SELECT id, token, count(*) AS tf FROM tok GROUP BY ALL),
 len AS (SELECT c.id, corpus_pos, coalesce(n, 0) AS len FROM corpus c LEFT JOIN (SELECT id, count(*) AS n FROM tok GROUP BY id) t ON c.id = t.id),
@@ -202,12 +195,12 @@ ranked AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY quer
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
 _VEC = f"""vec AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label AS ql, b.label AS cl, round({_COS}, 5) AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % {VECTORS} = 0),
 vranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM vec)"""
-_FUSED = f"""{_BM25}, {_VEC},
+_FUSED = f"""{BM25_SQL}, {_VEC},
 lists AS (SELECT 0 AS l, query_id, id, rank FROM ranked WHERE rank <= {2 * TOP} UNION ALL SELECT 1, query_id, id, rank FROM vranked WHERE rank <= {2 * TOP}),
 summed AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS s, min(l * 1000 + rank) AS seen FROM lists GROUP BY ALL),
 fused AS (SELECT query_id, id, round(s, 5) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, seen) AS INT) AS rank FROM summed)"""
 _GOLD = "gold AS (SELECT b.query_id, c.source FROM bench b JOIN corpus c ON contains(c.text, b.text))"
-_PER = f"""{_BM25}, {_GOLD},
+_PER = f"""{BM25_SQL}, {_GOLD},
 fnd AS (SELECT query_id, rank, source FROM ranked JOIN corpus USING (id) WHERE rank <= 5),
 m AS (SELECT query_id, count(DISTINCT source) AS n, min(rank) AS first FROM fnd JOIN gold USING (query_id, source) GROUP BY query_id),
 w AS (SELECT query_id, count(*) AS wanted FROM gold GROUP BY query_id),
@@ -217,22 +210,21 @@ _IN_PLACE = "(file_type = '国家法律' OR CASE WHEN city <> '' THEN city IN ('
 _FACET_ROWS = f"SELECT id, file_type, region, city FROM ({CORPUS_SQL}) WHERE "
 
 ORACLE_SQL = {
-    "bm25_postings": f"WITH {_BM25} SELECT query_id, id, score, rank FROM ranked WHERE rank <= {TOP}",
-    "bm25_topk": f"WITH {_BM25} SELECT query_id, id, score, rank FROM ranked WHERE rank <= {TOP}",
-    "bm25_candidates_filtered": f"WITH {_BM25} SELECT query_id, id, score, CAST(r AS INT) AS rank FROM (SELECT ranked.query_id, ranked.id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_pos) AS r FROM ranked JOIN corpus USING (id) WHERE {_IN_TYPES} AND {_IN_PLACE}) WHERE r <= {TOP}",
+    "bm25_topk": f"WITH {BM25_SQL} SELECT query_id, id, score, rank FROM ranked WHERE rank <= {TOP}",
+    "bm25_candidates_filtered": f"WITH {BM25_SQL} SELECT query_id, id, score, CAST(r AS INT) AS rank FROM (SELECT ranked.query_id, ranked.id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_pos) AS r FROM ranked JOIN corpus USING (id) WHERE {_IN_TYPES} AND {_IN_PLACE}) WHERE r <= {TOP}",
     "facet_none": _FACET_ROWS + "true", "facet_empty_types": _FACET_ROWS + "false", "facet_places": _FACET_ROWS + _IN_PLACE, "facet_types": _FACET_ROWS + "file_type = '行政法规'", "facet_types_places": _FACET_ROWS + f"{_IN_TYPES} AND {_IN_PLACE}",
     "vector_topk": f"WITH {_VEC} SELECT query_id, id, score, rank FROM vranked WHERE rank <= {TOP}",
     "vector_filtered_overfetch": f"WITH {_VEC} SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM vranked WHERE rank <= {3 * TOP} AND ql = cl QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {TOP}",
     "vector_filtered_exact": f"WITH {_VEC} SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM vec WHERE ql = cl QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {TOP}",
     "rrf_fusion": f"WITH {_FUSED} SELECT query_id, id, score, rank FROM fused WHERE rank <= {TOP}",
     "hybrid_hits": f"WITH {_FUSED} SELECT query_id, id, score, rank, source, file_type, CAST(length(text) AS INT) AS n_chars FROM fused JOIN corpus USING (id) WHERE rank <= {TOP}",
-    "rerank_lexical": f"""WITH {_BM25}, pool AS (SELECT r.query_id, r.id, r.rank AS before, round(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '\\p{{L}}+')), regexp_extract_all(lower(c.text), '\\p{{L}}+')))::DOUBLE / len(list_distinct(regexp_extract_all(lower(b.text), '\\p{{L}}+'))), 5) AS score
+    "rerank_lexical": f"""WITH {BM25_SQL}, pool AS (SELECT r.query_id, r.id, r.rank AS before, round(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '\\p{{L}}+')), regexp_extract_all(lower(c.text), '\\p{{L}}+')))::DOUBLE / len(list_distinct(regexp_extract_all(lower(b.text), '\\p{{L}}+'))), 5) AS score
   FROM ranked r JOIN bench b USING (query_id) JOIN corpus c ON c.id = r.id WHERE r.rank <= 20)
 SELECT query_id, id, score, CAST(n AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS n FROM pool) WHERE n <= 5""",
-    "rerank_fallback": f"""WITH {_BM25}, pool AS (SELECT r.query_id, r.id, r.rank AS before, r.score AS old, length(b.text) % 2 = 0 AS failed, round(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '\\p{{L}}+')), regexp_extract_all(lower(c.text), '\\p{{L}}+')))::DOUBLE / len(list_distinct(regexp_extract_all(lower(b.text), '\\p{{L}}+'))), 5) AS new
+    "rerank_fallback": f"""WITH {BM25_SQL}, pool AS (SELECT r.query_id, r.id, r.rank AS before, r.score AS old, length(b.text) % 2 = 0 AS failed, round(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '\\p{{L}}+')), regexp_extract_all(lower(c.text), '\\p{{L}}+')))::DOUBLE / len(list_distinct(regexp_extract_all(lower(b.text), '\\p{{L}}+'))), 5) AS new
   FROM ranked r JOIN bench b USING (query_id) JOIN corpus c ON c.id = r.id WHERE r.rank <= 20)
 SELECT query_id, id, CASE WHEN failed THEN old ELSE new END AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN failed THEN 0 ELSE new END DESC, before) AS INT) AS rank FROM pool""",
-    "retrieve_faceted": f"""WITH {_BM25}, fl AS ({FILES_SQL}), own AS (SELECT r.query_id, r.id, c.source, row_number() OVER (PARTITION BY r.query_id ORDER BY r.score DESC, c.corpus_pos) AS n FROM ranked r JOIN corpus c ON c.id = r.id JOIN bench b ON b.query_id = r.query_id JOIN fl ON fl.filename = c.source
+    "retrieve_faceted": f"""WITH {BM25_SQL}, fl AS ({FILES_SQL}), own AS (SELECT r.query_id, r.id, c.source, row_number() OVER (PARTITION BY r.query_id ORDER BY r.score DESC, c.corpus_pos) AS n FROM ranked r JOIN corpus c ON c.id = r.id JOIN bench b ON b.query_id = r.query_id JOIN fl ON fl.filename = c.source
   WHERE NOT sensitive AND CASE b.kind WHEN 'short' THEN true WHEN 'news' THEN c.{_IN_TYPES} ELSE c.file_type = '地方法规' AND CASE WHEN c.city <> '' THEN false ELSE c.region IN ('src1', 'src3', 'src5') END END)
 SELECT query_id, id, round(1.0::DOUBLE / (60 + n), 5) AS score, CAST(n AS INT) AS rank, source FROM own WHERE n <= 5""",
     "embedded_letters": """WITH t AS (SELECT doc_id, substr(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 1, 510) AS s FROM documents),
@@ -241,7 +233,7 @@ SELECT doc_id, CAST(n AS INT) AS n, round(k / CASE WHEN sum(k * k) OVER (PARTITI
     "query_kinds": "SELECT ['short', 'news', 'long'][item_id % 3 + 1] AS kind, count(*) AS n, count(*) FILTER (length(text) >= 500) AS long FROM benchmark GROUP BY 1",
     "mean_latency": "SELECT count(value) AS n, round(avg(value * 10), 3) AS mean_ms FROM events",
     "merged_segments": "WITH f AS (SELECT l_orderkey AS query_id, l_partkey % 4 AS id, min(l_linenumber * 10 + l_suppkey % 3) AS place FROM lineitem GROUP BY ALL) SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place, id) AS INT) AS rank FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place, id) <= 3",
-    "citation_context": f"""WITH {_BM25} SELECT query_id, string_agg(concat('[', CAST(rank AS varchar), ']（', source, '）', text), chr(10) ORDER BY rank) AS context, string_agg(concat('[', CAST(rank AS varchar), '] ', source, ' ', text), chr(10) || chr(10) ORDER BY rank) AS sources FROM ranked JOIN corpus USING (id) WHERE rank <= 3 GROUP BY query_id""",
+    "citation_context": f"""WITH {BM25_SQL} SELECT query_id, string_agg(concat('[', CAST(rank AS varchar), ']（', source, '）', text), chr(10) ORDER BY rank) AS context, string_agg(concat('[', CAST(rank AS varchar), '] ', source, ' ', text), chr(10) || chr(10) ORDER BY rank) AS sources FROM ranked JOIN corpus USING (id) WHERE rank <= 3 GROUP BY query_id""",
     "eval_metrics": f"WITH {_PER} SELECT query_id, kind, round(hit, 5) AS hit, round(recall, 5) AS recall, round(precision, 5) AS precision, round(rr, 5) AS rr FROM per",
     "eval_metrics_rollup": f"WITH {_PER} SELECT coalesce(kind, 'all') AS kind, count(*) AS n, round(avg(hit), 4) AS hit, round(avg(recall), 4) AS recall, round(avg(precision), 4) AS precision, round(avg(rr), 4) AS mrr FROM per GROUP BY ROLLUP (kind)",
     "embedding_eval": f"WITH {_VEC} SELECT query_id, round(avg(CAST(ql = cl AS DOUBLE)), 5) AS precision FROM vranked WHERE rank <= {TOP + 1} AND id <> query_id GROUP BY query_id",

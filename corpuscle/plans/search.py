@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import segment
 from corpuscle.functions import text as T
-from corpuscle.operators import bm25
+from corpuscle.operators import bm25, inverted
 from corpuscle.plans import tables
+from corpuscle.plans.retrieval import BM25_SQL
+from corpuscle.plans.tables import FILES_SQL
 from corpuscle.sources.files import load
+from corpuscle.sources.keyed import KeyedTable
+from corpuscle.sources.store import new_folder
 
 TOP = 10
 LETTER = r"\p{L}"
@@ -46,7 +50,44 @@ def bm25_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "id", "score", "rank")
 
 
-QUERIES = {"segmented_queries": segmented_queries, "segmented_words": segmented_words, "bm25_segmented": bm25_segmented}
+def _index(spark: SparkSession, sf_dir: str) -> inverted.Inverted:
+    index = inverted.Inverted(spark, new_folder(spark, "index"), block=8)
+    index.upsert(tables.corpus(spark, sf_dir))
+    return index
+
+
+def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole queries through a stored index, by block bounds."""
+    return _index(spark, sf_dir).search(tables.queries(spark, sf_dir), TOP).select("query_id", "id", "score", "rank")
+
+
+def postings_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search takes apart of the postings of each query's terms."""
+    return _index(spark, sf_dir).reading(tables.queries(spark, sf_dir), TOP)
+
+
+def index_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of old texts, after new texts for the German documents, and without the French ones."""
+    docs = tables.corpus(spark, sf_dir)
+    lang = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    index = inverted.Inverted(spark, new_folder(spark, "index"), block=8)
+    index.upsert(docs.join(lang, "id").withColumn("text", F.when(F.col("lang") == "de", F.concat(F.lit("old text "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))))
+    index.upsert(docs.join(lang.filter("lang = 'de'"), "id", "left_semi"))
+    index.delete(docs.join(lang.filter("lang = 'fr'"), "id", "left_semi").select("source"))
+    return index.search(tables.queries(spark, sf_dir), TOP).select("query_id", "id", "score", "rank")
+
+
+def keyed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry of files as a keyed table: failed ones are queued again, sensitive ones leave."""
+    files = tables.files(spark, sf_dir).select("filename", "size", "status", "sensitive")
+    table = KeyedTable(spark, new_folder(spark, "files"), "filename", 16)
+    table.upsert(files)
+    table.upsert(files.filter("status = 'failed'").withColumn("status", F.lit("queued")))
+    table.delete(files.filter("sensitive"))
+    return table.read()
+
+
+QUERIES = {"bm25_postings": bm25_postings, "postings_read": postings_read, "index_deltas": index_deltas, "keyed_files": keyed_files, "segmented_queries": segmented_queries, "segmented_words": segmented_words, "bm25_segmented": bm25_segmented}
 
 # the least cost of every end of a run, from its last letter on, and the words that begin there
 _SEGMENTED = r"""WITH RECURSIVE counts AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents) GROUP BY w),
@@ -66,4 +107,11 @@ whole AS (SELECT item_id, nth, 0 AS part, piece AS word FROM pieces WHERE NOT re
   UNION ALL SELECT item_id, pieces.nth, path.nth, substr(run, i, n) FROM pieces JOIN path ON run = piece)
 SELECT item_id AS query_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY nth, part) - 1 AS INT) AS place, word FROM whole"""
 
-ORACLE_SQL = {"segmented_queries": _SEGMENTED}
+_LEFT = BM25_SQL.replace("FROM documents)", "FROM documents WHERE lang IS NULL OR lang <> 'fr')")
+
+ORACLE_SQL = {
+    "segmented_queries": _SEGMENTED,
+    "bm25_postings": f"WITH {BM25_SQL} SELECT query_id, id, score, rank FROM ranked WHERE rank <= {TOP}",
+    "index_deltas": f"WITH {_LEFT} SELECT query_id, id, score, rank FROM ranked WHERE rank <= {TOP}",
+    "keyed_files": f"SELECT filename, size, CASE WHEN status = 'failed' THEN 'queued' ELSE status END AS status, sensitive FROM ({FILES_SQL}) WHERE NOT sensitive",
+}
