@@ -75,6 +75,7 @@ _MAIN_NAMES = {"article", "main"}
 # of compounds: what may follow a side name, and what makes it a mere mention of one
 _HOLDERS = {"container", "wrapper", "wrap", "list", "section", "area", "box", "block", "bar", "left", "right", "top", "bottom", "inner", "outer", "content", "item", "items", "links", "main", "primary", "secondary", "slot", "unit", "panel", "group", "holder", "row", "col", "column", "form", "title", "header", "text", "body", "buttons", "icons", "message"}
 _MENTIONS = {"has", "have", "had", "no", "not", "non", "with", "without", "is", "hide", "hides", "hidden", "show", "shows", "open", "opened", "closed", "after", "before", "under", "below", "above", "beside", "next", "to", "full", "one", "two", "three"}
+_NONE: frozenset[str] = frozenset()
 _HOLD_SIBLINGS = ("ul", "ol", "dl", "table", "select")
 _CONTAINERS = {"html", "body", "div", "section", "td", "center"}
 _LISTS = {"ul", "ol", "dl", "div", "section", "table", "p"}
@@ -92,6 +93,16 @@ def side_name(name: str) -> str:
     return "side" if _SIDE_NAMES.intersection(head) else ""
 
 
+@functools.lru_cache(1 << 14)
+def signs(tag: str, attributes: str) -> tuple[str, str, frozenset[str]]:
+    """Of a tag: its name with class names, its role, and the kinds of side that its names are."""
+    names = [n for g in _CLASS.findall(attributes) for n in unescape("".join(g)).split()]
+    role = (_ROLE.search(attributes) or [None, ""])[1].lower()
+    own = "".join([tag, *("." + n for n in sorted({"-".join(_PARTS.findall(n.lower())) for n in names} - {""}))])
+    return own, role, frozenset(side_name(n) for n in names if tag not in ("html", "body", "article", "main"))
+
+
+@functools.lru_cache(1 << 16)
 def child(path: str, own: str) -> str:
     """The number of an element's path."""
     return xxhash.xxh3_64_hexdigest(f"{path}/{own}")
@@ -213,13 +224,10 @@ class Page:
                 if k and k > innermost(_HOLD_SIBLINGS):
                     close(k)
             flush()
-            names = [n for g in _CLASS.findall(attributes) for n in unescape("".join(g)).split()] if attributes else []
-            role = (_ROLE.search(attributes) or [None, ""])[1].lower() if attributes else ""
-            own = "".join([tag, *("." + n for n in sorted({"-".join(_PARTS.findall(n.lower())) for n in names} - {""}))])
+            own, role, sides = signs(tag, attributes) if attributes else (tag, "", _NONE)
             e = stack[-1]
             e.like[own] = n = e.like.get(own, 0) + 1
             path = child(e.path, own if n == 1 else f"{own}[{n}]")
-            sides = {side_name(n) for n in names} if tag not in ("html", "body", "article", "main") else set()
             hard = e.hard or "comment" in sides or tag in _SIDE_TAGS or role in _SIDE_ROLES or (tag == "header" and not e.main)
             main = e.main or tag in _MAIN_NAMES or role in _MAIN_NAMES
             under = e.under or (main and not e.main and e.soft != "")
