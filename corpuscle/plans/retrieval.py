@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as T
-from corpuscle.operators import bm25, embed, evaluate, facets, fusion, retrieve, vectors
+from corpuscle.operators import blocks, bm25, embed, evaluate, facets, fusion, retrieve, vectors
 from corpuscle.plans import tables
 from corpuscle.plans.tables import CORPUS_SQL, FILES_SQL
 from corpuscle.sources.files import load
@@ -38,32 +38,33 @@ def _facet(types, provinces, cities):
 VECTORS = 50  # of the vectors, those whose id it divides are queries
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def vector_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = load(spark, sf_dir, "embeddings")
     q = rows.filter(F.col("vec_id") % VECTORS == 0).select(F.col("vec_id").alias("query_id"), "embedding", "label")
     return q, rows.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("corpus_pos"), "embedding", "label")
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, c = _vectors(spark, sf_dir)
+    q, c = vector_tables(spark, sf_dir)
     return vectors.vector_rank(q, c, TOP).select("query_id", "id", "score", "rank")
 
 
 def vector_filtered_overfetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, c = _vectors(spark, sf_dir)
+    q, c = vector_tables(spark, sf_dir)
     same = q.select("query_id", "label").join(c.select("id", "label"), "label").select("query_id", "id")
     return vectors.vector_rank(q, c, TOP, same, mode="overfetch").select("query_id", "id", "score", "rank")
 
 
 def vector_filtered_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, c = _vectors(spark, sf_dir)
-    same = q.select("query_id", "label").join(c.select("id", "label"), "label").select("query_id", "id")
-    return vectors.vector_rank(q, c, TOP, same).select("query_id", "id", "score", "rank")
+    """The nearest of a query's label: blocks of queries meet blocks of vectors of their label."""
+    q, c = vector_tables(spark, sf_dir)
+    found = blocks.best(blocks.blocks(c, ["label"], blocks.VECTORS), q, ["label"], TOP)
+    return vectors.rank(found, TOP).select("query_id", "id", "score", "rank")
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     words = _ranked(spark, sf_dir, 2 * TOP)
-    vq, vc = _vectors(spark, sf_dir)
+    vq, vc = vector_tables(spark, sf_dir)
     return words, vectors.vector_rank(vq, vc, 2 * TOP)
 
 
@@ -155,7 +156,7 @@ def eval_metrics_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embedding_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each query vector's ten nearest others that have its label."""
-    q, c = _vectors(spark, sf_dir)
+    q, c = vector_tables(spark, sf_dir)
     ranked = vectors.vector_rank(q, c, TOP + 1).join(c.select("id", F.col("label").alias("found")), "id").join(q.select("query_id", "label"), "query_id").filter("id != query_id")
     return ranked.groupBy("query_id").agg(F.round(F.avg((F.col("label") == F.col("found")).cast("double")), 5).alias("precision"))
 

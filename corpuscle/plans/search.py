@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions import segment
 from corpuscle.functions import text as T
-from corpuscle.operators import bm25, inverted
+from corpuscle.operators import bm25, inverted, vector_index
 from corpuscle.plans import tables
-from corpuscle.plans.retrieval import BM25_SQL
+from corpuscle.plans.retrieval import BM25_SQL, vector_tables
+from corpuscle.plans.retrieval import ORACLE_SQL as VECTOR_SQL
 from corpuscle.plans.tables import FILES_SQL
 from corpuscle.sources.files import load
 from corpuscle.sources.keyed import KeyedTable
@@ -87,7 +90,26 @@ def keyed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
-QUERIES = {"bm25_postings": bm25_postings, "postings_read": postings_read, "index_deltas": index_deltas, "keyed_files": keyed_files, "segmented_queries": segmented_queries, "segmented_words": segmented_words, "bm25_segmented": bm25_segmented}
+def _cells(spark: SparkSession, sf_dir: str, facet: str | None = None) -> tuple[DataFrame, vector_index.VectorIndex]:
+    q, c = vector_tables(spark, sf_dir)
+    index = vector_index.VectorIndex(spark, new_folder(spark, "vectors"))
+    index.build(c, max(1, round(math.sqrt(c.count()))), facet)
+    return q, index
+
+
+def vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors through stored cells, by bounds."""
+    q, index = _cells(spark, sf_dir)
+    return index.search(q, TOP).select("query_id", "id", "score", "rank")
+
+
+def vector_cells_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of a query's label through stored cells, of which those without the label are not looked at."""
+    q, index = _cells(spark, sf_dir, "label")
+    return index.search(q, TOP, facet="label").select("query_id", "id", "score", "rank")
+
+
+QUERIES = {"vector_cells": vector_cells, "vector_cells_filtered": vector_cells_filtered, "bm25_postings": bm25_postings, "postings_read": postings_read, "index_deltas": index_deltas, "keyed_files": keyed_files, "segmented_queries": segmented_queries, "segmented_words": segmented_words, "bm25_segmented": bm25_segmented}
 
 # the least cost of every end of a run, from its last letter on, and the words that begin there
 _SEGMENTED = r"""WITH RECURSIVE counts AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents) GROUP BY w),
@@ -113,5 +135,6 @@ ORACLE_SQL = {
     "segmented_queries": _SEGMENTED,
     "bm25_postings": f"WITH {BM25_SQL} SELECT query_id, id, score, rank FROM ranked WHERE rank <= {TOP}",
     "index_deltas": f"WITH {_LEFT} SELECT query_id, id, score, rank FROM ranked WHERE rank <= {TOP}",
+    "vector_cells": VECTOR_SQL["vector_topk"], "vector_cells_filtered": VECTOR_SQL["vector_filtered_exact"],
     "keyed_files": f"SELECT filename, size, CASE WHEN status = 'failed' THEN 'queued' ELSE status END AS status, sensitive FROM ({FILES_SQL}) WHERE NOT sensitive",
 }
