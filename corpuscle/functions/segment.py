@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MILLIONTHS = 1_000_000
-MOST_WORDS = 2_000_000  # of a dictionary, which every task holds: some 60 bytes a word
+MOST_WORDS = 500_000  # of a dictionary, which every task holds: some 60 bytes a word, and some 500 on the driver while it is made
 LONGEST = 63  # letters of a word
 LETTERS_AT_ONCE = 1 << 19
 HAN = r"\p{IsHan}"
@@ -200,10 +200,11 @@ def given(spark, path: str) -> DataFrame:
     return spark.read.text(path).select(F.get(part, 0).alias("word"), F.expr("try_cast(get(split(trim(value), '\\\\s+'), 1) AS long)").alias("count")).filter("word != ''")
 
 
-def learnt(texts: DataFrame, tokenizer: Callable[[Column], Column], least: int = 1) -> DataFrame:
-    """(word, count) of texts that have blanks between words."""
+def learnt(texts: DataFrame, tokenizer: Callable[[Column], Column], least: int = 1, most: int | None = None) -> DataFrame:
+    """(word, count) of texts that have blanks between words; most: only so many words, the most frequent and then the first."""
     counts = texts.select(F.explode(tokenizer(F.coalesce("text", F.lit("")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
-    return counts.filter(F.col("count") >= least) if least > 1 else counts
+    counts = counts.filter(F.col("count") >= least) if least > 1 else counts
+    return counts.orderBy(F.desc("count"), "word").limit(most) if most else counts
 
 
 def discovered(texts: DataFrame, letters: str = HAN, longest: int = 4, least: int = 5, cohesion: float = 2.0, freedom: int = 2) -> DataFrame:

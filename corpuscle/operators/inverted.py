@@ -11,8 +11,9 @@ documents and tokens and the mean idf are kept in the manifest, so scores are th
 
 A search takes the bound of each block first: no document of it can score more than the sum over the query's terms of the
 part that the block's largest tf and shortest document give.  The blocks of the highest bounds are scored; the k-th best score
-there is a threshold, and only blocks whose bound reaches it are read besides.  Bounds come from narrow columns; postings of
-other blocks are never taken apart.
+there is a threshold, and only blocks whose bound reaches it for some query are read besides.  Bounds come from narrow columns;
+postings of other blocks are never taken apart.  Rows of postings meet by groups of GROUP documents, bounded work that returns
+the best of each query, as products of matrices: no row is made for a posting and a query.
 
 Defined results: a null text has no tokens; documents of equal ids are different rows, each ranked; a null source is a
 source; of equal scores (five digits) the lesser corpus_pos is first; where fewer than top_n documents have a score, others
@@ -22,19 +23,25 @@ follow in the order of corpus_pos with 0; an empty index finds nothing.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from corpuscle.functions import text as T
+from corpuscle.operators.blocks import written
 from corpuscle.operators.bm25 import EPSILON, K1, B
-from corpuscle.sources.store import Store, new_folder
+from corpuscle.sources.store import Store
 
 BLOCK = 16  # documents: larger blocks have wider bounds, smaller ones more rows
 FIRST_BLOCKS = 4  # of a query that give its threshold
+GROUP = 4096  # documents that a task scores at once
+DOCUMENTS_AT_ONCE = 512
+QUERIES_AT_ONCE = 256
 MOST_NAMES = 10_000  # terms or sources that are named to a scan
 BLOOM = {"parquet.bloom.filter.enabled#source": "true", "parquet.bloom.filter.expected.ndv#source": "10000"}
 DIGITS = 5
@@ -91,6 +98,14 @@ def _mean(m: dict) -> float:
     return m["tokens"] / m["n"] if m["tokens"] else 1.0
 
 
+class _Asked(NamedTuple):
+    """Queries as a matrix: what a term's part of a score is multiplied by for each query."""
+
+    ids: list
+    terms: list[str]
+    weights: np.ndarray
+
+
 class Inverted:
     """An index in a folder.  corpus: (id, corpus_pos, source, text); ids are of the type `id_type`."""
 
@@ -209,76 +224,149 @@ class Inverted:
         raw = F.col("raw")
         return self._raw(m).select("term", "df", F.when(raw < 0, epsilon * m["mean_idf"]).otherwise(raw).alias("idf"))
 
-    def _asked(self, m: dict, queries: DataFrame, k1: float, epsilon: float) -> tuple[DataFrame, DataFrame]:
-        """(query_id, term, weight) of queries (query_id, text), and the postings of their terms."""
-        asked = queries.select("query_id", F.explode(self.tokenizer(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    def _asked(self, m: dict, queries: DataFrame, k1: float, epsilon: float) -> list[_Asked]:
+        """The queries (query_id, text), a stated set, as matrices of QUERIES_AT_ONCE."""
+        rows = queries.select("query_id", F.explode(self.tokenizer(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")).collect()
+        names = sorted({r["term"] for r in rows})
+        raw, idf = self._raw(m), {}
+        for i in range(0, len(names), MOST_NAMES):
+            for r in raw.filter(F.col("term").isin(names[i : i + MOST_NAMES])).collect():
+                idf[r["term"]] = r["raw"] if r["raw"] >= 0 else epsilon * m["mean_idf"]
+        ids = sorted({r["query_id"] for r in rows})
+        out = []
+        for i in range(0, len(ids), QUERIES_AT_ONCE):
+            some = {q: n for n, q in enumerate(ids[i : i + QUERIES_AT_ONCE])}
+            own = [r for r in rows if r["query_id"] in some and r["term"] in idf]
+            terms = sorted({r["term"] for r in own})
+            at = {t: n for n, t in enumerate(terms)}
+            weights = np.zeros((len(terms), len(some)))
+            for r in own:
+                weights[at[r["term"]], some[r["query_id"]]] = r["times"] * idf[r["term"]] * (k1 + 1)
+            out.append(_Asked(list(some), terms, weights))
+        return out
+
+    def _postings(self, m: dict, asked: _Asked) -> DataFrame:
         postings = self.store.load([s["postings"] for s in m["segments"]], POSTINGS)
-        raw = self._raw(m)
-        names = [r[0] for r in asked.select("term").distinct().limit(MOST_NAMES + 1).collect()]
-        if len(names) <= MOST_NAMES:  # of more terms there is hardly a range that a scan could skip
-            postings, raw = postings.filter(F.col("term").isin(names)), raw.filter(F.col("term").isin(names))
-        idf = F.when(F.col("raw") < 0, epsilon * m["mean_idf"]).otherwise(F.col("raw"))
-        return self._written(asked.join(raw, "term").select("query_id", "term", (F.col("times") * idf * (k1 + 1)).alias("weight"))), postings
-
-    def _written(self, df: DataFrame) -> DataFrame:
-        """df in the shared folder: what several steps of a search read is computed once, and outlives lost executors."""
-        spark = df.sparkSession
-        path = new_folder(spark, "search")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    def _bounds(self, m: dict, weights: DataFrame, postings: DataFrame, k1: float, b: float) -> DataFrame:
-        """(query_id, block, bound): no document of the block scores more."""
-        tf = F.col("max_tf").cast("double")
-        part = F.greatest(F.col("weight"), F.lit(0.0)) * tf / (tf + k1 * (1 - b + b * F.col("min_len") / _mean(m)))
-        return postings.select("term", "block", "max_tf", "min_len").join(weights, "term").groupBy("query_id", "block").agg(F.sum(part).alias("bound"))
-
-    def _scores(self, m: dict, pairs: DataFrame, weights: DataFrame, postings: DataFrame, k1: float, b: float) -> DataFrame:
-        """(query_id, doc, score) of all living documents in the blocks of pairs (query_id, block)."""
-        hits = postings.join(weights, "term").join(pairs.select("query_id", "block"), ["query_id", "block"])
-        each = hits.select("query_id", "weight", F.inline(F.arrays_zip("docs", "tfs", "lens")))
-        tf = F.col("tfs").cast("double")
-        part = F.col("weight") * tf / (tf + k1 * (1 - b + b * F.col("lens") / _mean(m)))
-        summed = each.groupBy("query_id", F.col("docs").alias("doc")).agg(F.sum(part).alias("score"))
-        return self._alive(m, summed).withColumn("score", F.round("score", DIGITS))
-
-    def _survivors(self, m: dict, weights: DataFrame, postings: DataFrame, top_n: int, k1: float, b: float) -> DataFrame:
-        """(query_id, block, least): blocks that may hold one of the best top_n, and the score that takes."""
-        bounds = self._written(self._bounds(m, weights, postings, k1, b))
-        best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
-        first = bounds.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= max(FIRST_BLOCKS, -(-4 * top_n // self.block)))
-        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
-        scored = self._scores(m, first, weights, postings, k1, b)
-        least = scored.withColumn("n", F.row_number().over(by)).filter(F.col("n") == top_n).select("query_id", F.col("score").alias("least"))
-        # half a digit of rounding and the last bits of sums in other orders
-        reach = F.coalesce("least", F.lit(0.0)) - 10.0**-DIGITS
-        return self._written(bounds.join(least, "query_id", "left").filter(F.col("bound") >= reach).select("query_id", "block", "least"))
+        # of more terms there is hardly a range that a scan could skip
+        postings = postings.filter(F.col("term").isin(asked.terms)) if len(asked.terms) <= MOST_NAMES else postings.join(self.store.spark.createDataFrame([(t,) for t in asked.terms], "term string"), "term", "left_semi")
+        return postings.withColumn("group", F.floor(F.col("block") / GROUP))
+
+    def _bounds(self, m: dict, asked: _Asked, k1: float, b: float, least: np.ndarray | None) -> DataFrame:
+        """(query, block, bound): of each group of documents the FIRST_BLOCKS highest for each query or, with `least`, (block) that reach it for any."""
+        mean, first, digits = _mean(m), FIRST_BLOCKS, DIGITS
+        shared = self.store.spark.sparkContext.broadcast(asked)
+
+        def run(table: pa.Table) -> pa.Table:
+            own = shared.value
+            table = table.combine_chunks()
+            blocks, row = np.unique(table["block"].to_numpy(), return_inverse=True)
+            terms = pc.index_in(table["term"].combine_chunks(), value_set=pa.array(own.terms, pa.string())).to_numpy()
+            tf, short = table["max_tf"].to_numpy().astype(float), table["min_len"].to_numpy()
+            used, column = np.unique(terms, return_inverse=True)
+            part = np.zeros((len(blocks), len(used)))
+            part[row, column] = tf / (tf + k1 * (1 - b + b * short / mean))
+            bound = part @ np.maximum(own.weights[used], 0)
+            if least is not None:
+                # half a digit of rounding, and the last bits of sums in other orders
+                return pa.table({"block": blocks[((bound >= least[None] - 10.0**-digits) & (bound > 0)).any(1)]})
+            best = np.argsort(-bound, 0, kind="stable")[:first]
+            query = np.tile(np.arange(bound.shape[1]), len(best))
+            best = best.ravel()
+            return pa.table({"query": pa.array(query, pa.int32()), "block": blocks[best], "bound": bound[best, query]})
+
+        schema = "block long" if least is not None else "query int, block long, bound double"
+        return self._postings(m, asked).select("group", "term", "block", "max_tf", "min_len").groupBy("group").applyInArrow(run, schema)
+
+    def _scores(self, m: dict, asked: _Asked, postings: DataFrame, top_n: int, k1: float, b: float, zeros: bool = False) -> DataFrame:
+        """(query_id, doc, id, corpus_pos, score): of each group of living documents in the given postings the best top_n for each query.
+
+        zeros: documents without a score too; else those above 0 alone.
+        """
+        mean, digits = _mean(m), DIGITS
+        shared = self.store.spark.sparkContext.broadcast(asked)
+        docs = self._alive(m, self._docs(m["segments"]).select("doc", "id", "corpus_pos")).withColumn("group", F.floor(F.col("doc") / GROUP))
+
+        def run(hits: pa.Table, living: pa.Table) -> pa.Table:
+            own = shared.value
+            living = living.combine_chunks().sort_by("doc")
+            doc = living["doc"].to_numpy()
+            score = np.zeros((len(doc), len(own.ids)))
+            if hits.num_rows and len(doc):
+                hits = hits.combine_chunks()
+                sizes = np.asarray(hits["docs"].combine_chunks().value_lengths())
+                flat = lambda name: hits[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                of, tf, size = flat("docs"), flat("tfs").astype(float), flat("lens")
+                term = np.repeat(pc.index_in(hits["term"].combine_chunks(), value_set=pa.array(own.terms, pa.string())).to_numpy(), sizes)
+                row = np.minimum(np.searchsorted(doc, of), len(doc) - 1)
+                alive = doc[row] == of
+                used, column = np.unique(term[alive], return_inverse=True)
+                for i in range(0, len(doc), DOCUMENTS_AT_ONCE):
+                    here = (row[alive] >= i) & (row[alive] < i + DOCUMENTS_AT_ONCE)
+                    dense = np.zeros((min(DOCUMENTS_AT_ONCE, len(doc) - i), len(used)))
+                    dense[row[alive][here] - i, column[here]] = (tf / (tf + k1 * (1 - b + b * size / mean)))[alive][here]
+                    score[i : i + len(dense)] = (dense @ own.weights[used]).round(digits)
+            place = living["corpus_pos"].to_numpy()
+            order = np.argsort(place, kind="stable")
+            best = order[np.argsort(-score[order], 0, kind="stable")[:top_n]]
+            query = np.tile(np.arange(score.shape[1]), len(best))
+            best = best.ravel()
+            kept = zeros | (score[best, query] > 0)
+            best, query = best[kept], query[kept]
+            at = pa.array(best)
+            asked_ids = pa.array(own.ids, kind).take(pa.array(query))
+            return pa.table({"query_id": asked_ids, "doc": living["doc"].take(at), "id": living["id"].take(at), "corpus_pos": living["corpus_pos"].take(at), "score": score[best, query] + 0.0})
+
+        kind = pa.int64() if all(isinstance(q, int) for q in asked.ids) else pa.string()
+        schema = f"query_id {'long' if kind == pa.int64() else 'string'}, doc long, id {dict(docs.dtypes)['id']}, corpus_pos long, score double"
+        given = postings.select("group", "term", "docs", "tfs", "lens").groupBy("group")
+        return given.cogroup((docs if zeros else docs.join(postings.select("group").distinct(), "group", "left_semi")).groupBy("group")).applyInArrow(lambda key, x, y: run(x.drop(["group"]), y.drop(["group"])), schema)
+
+    def _survivors(self, m: dict, asked: _Asked, top_n: int, k1: float, b: float) -> DataFrame:
+        """(block): blocks that may hold one of the best top_n of a query."""
+        best = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
+        first = self._bounds(m, asked, k1, b, None).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= FIRST_BLOCKS)
+        named = sorted({r[0] for r in first.select("block").distinct().collect()})  # FIRST_BLOCKS a query
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"))
+        scored = self._scores(m, asked, self._postings(m, asked).filter(F.col("block").isin(named)), top_n, k1, b)
+        known = {r["query_id"]: r["score"] for r in scored.withColumn("n", F.row_number().over(by)).filter(F.col("n") == top_n).collect()}  # a row a query
+        return self._bounds(m, asked, k1, b, np.array([known.get(q, 0.0) for q in asked.ids]))
 
     def search(self, queries: DataFrame, top_n: int, version: int | None = None, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
-        """(query_id, id, score, rank, corpus_pos): the best top_n documents of each query (query_id, text)."""
+        """(query_id, id, score, rank, corpus_pos): the best top_n documents of each query (query_id, text), a stated set."""
         m = self._read(version)
         docs = self._alive(m, self._docs(m["segments"]).select("doc", "id", "corpus_pos"))
-        weights, postings = self._asked(m, queries, k1, epsilon)
-        pairs = self._survivors(m, weights, postings, top_n, k1, b) if m["mean_idf"] >= 0 else self._bounds(m, weights, postings, k1, b).withColumn("least", F.lit(None).cast("double"))
-        scored = self._scores(m, pairs, weights, postings, k1, b)
-        least = pairs.groupBy("query_id").agg(F.max("least").alias("least"))
-        kept = scored.join(least, "query_id").filter(F.col("least").isNull() | (F.col("score") >= F.col("least"))).drop("least")
-        # queries for which fewer than top_n documents score above 0: the first documents without a score, which lie among the first
-        # top_n, or, if scores can be negative, among the first top_n and as many as have a score
-        prefix = top_n
-        if m["mean_idf"] < 0:
-            prefix += scored.groupBy("query_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-        short = queries.select("query_id").distinct().join(kept.filter("score > 0").groupBy("query_id").count().filter(F.col("count") >= top_n), "query_id", "left_anti") if m["mean_idf"] >= 0 else queries.select("query_id").distinct()
-        first = docs.orderBy("corpus_pos").limit(prefix)
-        filler = short.crossJoin(F.broadcast(first)).join(scored.select("query_id", "doc"), ["query_id", "doc"], "left_anti").withColumn("score", F.lit(0.0))
-        found = kept.join(docs, "doc").unionByName(filler.select("doc", "query_id", "score", "id", "corpus_pos"))
+        every = queries.select("query_id").distinct()
+        if m["mean_idf"] < 0:  # the average term is in more than half of the documents: those without a score may be the best
+            found = None
+            for asked in self._asked(m, queries, k1, epsilon):
+                one = self._scores(m, asked, self._postings(m, asked), top_n, k1, b, zeros=True)
+                found = one if found is None else found.unionByName(one)
+        else:
+            found = None
+            for asked in self._asked(m, queries, k1, epsilon):
+                survivors = written(self._survivors(m, asked, top_n, k1, b))
+                one = self._scores(m, asked, self._postings(m, asked).join(survivors, "block", "left_semi"), top_n, k1, b)
+                found = one if found is None else found.unionByName(one)
+        first = docs.orderBy("corpus_pos").limit(top_n)
+        if found is None:
+            filler = every.crossJoin(F.broadcast(first))
+            found = filler.withColumn("score", F.lit(0.0))
+        else:
+            # queries with fewer than top_n scores above 0: their next documents are among the first top_n of all
+            found = written(found)
+            enough = found.groupBy("query_id").count().filter(F.col("count") >= top_n)
+            filler = every.join(enough, "query_id", "left_anti").crossJoin(F.broadcast(first)).join(found.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
+            found = found.unionByName(filler.withColumn("score", F.lit(0.0)))
         by = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_pos")
         return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top_n).select("query_id", "id", "score", "rank", "corpus_pos")
 
     def reading(self, queries: DataFrame, top_n: int, version: int | None = None) -> DataFrame:
-        """(query_id, blocks, blocks_read, postings, postings_read): of all that a query's terms have, what a search takes apart."""
+        """(pass, blocks, blocks_read, postings, postings_read): of all that the terms of QUERIES_AT_ONCE queries have, what a search takes apart."""
         m = self._read(version)
-        weights, postings = self._asked(m, queries, K1, EPSILON)
-        read = self._survivors(m, weights, postings, top_n, K1, B).select("query_id", "block").withColumn("read", F.lit(1))
-        rows = postings.select("term", "block", F.size("docs").alias("n")).join(weights, "term").join(read, ["query_id", "block"], "left")
-        return rows.groupBy("query_id").agg(F.countDistinct("block").alias("blocks"), F.countDistinct(F.when(F.col("read") == 1, F.col("block"))).alias("blocks_read"), F.sum("n").alias("postings"), F.coalesce(F.sum(F.when(F.col("read") == 1, F.col("n"))), F.lit(0)).alias("postings_read"))
+        out = self.store.spark.createDataFrame([], "pass int, blocks long, blocks_read long, postings long, postings_read long")
+        for n, asked in enumerate(self._asked(m, queries, K1, EPSILON)):
+            read = written(self._survivors(m, asked, top_n, K1, B)).withColumn("read", F.lit(1))
+            rows = self._postings(m, asked).groupBy("block").agg(F.sum(F.size("docs")).alias("n")).join(read, "block", "left")
+            sums = rows.agg(F.count(F.lit(1)).alias("blocks"), F.count("read").alias("blocks_read"), F.sum("n").alias("postings"), F.coalesce(F.sum(F.when(F.col("read") == 1, F.col("n"))), F.lit(0)).alias("postings_read"))
+            out = out.unionByName(sums.select(F.lit(n).alias("pass"), "*"))
+        return out

@@ -19,6 +19,7 @@ from corpuscle.sources.keyed import KeyedTable
 from corpuscle.sources.store import new_folder
 
 TOP = 10
+WORDS = 100_000  # of the dictionary: its size is the model's, not the corpus's
 LETTER = r"\p{L}"
 
 
@@ -27,8 +28,8 @@ def _squeezed(text) -> F.Column:
 
 
 def _tokenizer(spark: SparkSession, sf_dir: str):
-    """Texts without blanks to words of the corpus: the dictionary is what its documents count."""
-    words = segment.trie(segment.learnt(tables.corpus(spark, sf_dir).select("text"), T.words))
+    """Texts without blanks to words of a dictionary: the WORDS most frequent ones of all documents."""
+    words = segment.trie(segment.learnt(tables.corpus(spark, sf_dir).select("text"), T.words, most=WORDS))
     cut = segment.segmenter(words, spark, letters=LETTER)
     return lambda text: cut(_squeezed(text))
 
@@ -112,7 +113,7 @@ def vector_cells_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"vector_cells": vector_cells, "vector_cells_filtered": vector_cells_filtered, "bm25_postings": bm25_postings, "postings_read": postings_read, "index_deltas": index_deltas, "keyed_files": keyed_files, "segmented_queries": segmented_queries, "segmented_words": segmented_words, "bm25_segmented": bm25_segmented}
 
 # the least cost of every end of a run, from its last letter on, and the words that begin there
-_SEGMENTED = r"""WITH RECURSIVE counts AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents) GROUP BY w),
+_SEGMENTED = r"""WITH RECURSIVE counts AS MATERIALIZED (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents) GROUP BY w ORDER BY n DESC, w LIMIT 100000),
 words AS (SELECT w, CAST(round(1000000 * ln((SELECT sum(n) FROM counts) / CAST(n AS DOUBLE))) AS BIGINT) AS cost FROM counts WHERE length(w) <= 63),
 lone AS (SELECT CAST(round(1000000 * ln(CAST(sum(n) AS DOUBLE))) AS BIGINT) AS cost FROM counts),
 pieces AS (SELECT item_id, unnest(p) AS piece, unnest(range(len(p))) AS nth FROM (SELECT item_id, regexp_extract_all(lower(replace(text, ' ', '')), '\p{L}+|\p{N}+') AS p FROM benchmark)),
