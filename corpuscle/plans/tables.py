@@ -46,9 +46,10 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = load(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    rows = load(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    # what texts give is taken before the join, which then moves no texts
+    own = load(spark, sf_dir, "documents").select(filename().alias("filename"), "doc_id", F.md5("text").alias("md5"), *_facets(), F.octet_length("text").cast("long").alias("size"))
     status = F.when(F.col("quality") == 1, "ready").when(F.col("quality") == 0, "failed").otherwise("building")
-    return rows.select(filename().alias("filename"), "doc_id", F.md5("text").alias("md5"), *_facets(), F.octet_length("text").cast("long").alias("size"), status.alias("status"), (F.coalesce("toxic", F.lit(0)) == 1).alias("sensitive"))
+    return own.join(labels, "doc_id", "left").select("filename", "doc_id", "md5", "file_type", "region", "city", "size", status.alias("status"), (F.coalesce("toxic", F.lit(0)) == 1).alias("sensitive"))
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
