@@ -12,7 +12,8 @@ documents and tokens and the mean idf are kept in the manifest, so scores are th
 A search takes the bound of each block first: no document of it can score more than the sum over the query's terms of the
 part that the block's largest tf and shortest document give.  The blocks of the highest bounds are scored; the k-th best score
 there is a threshold, and only blocks whose bound reaches it for some query are read besides.  Bounds come from narrow columns;
-postings of other blocks are never taken apart.  Rows of postings meet by groups of GROUP documents, bounded work that returns
+postings of other blocks are never taken apart.  More than FEW queries at once reach nearly every block together: they are scored
+without bounds, in one pass, with the same result.  Rows of postings meet by groups of GROUP documents, bounded work that returns
 the best of each query, as products of matrices: no row is made for a posting and a query.
 
 Defined results: a null text has no tokens; documents of equal ids are different rows, each ranked; a null source is a
@@ -42,6 +43,7 @@ FIRST_BLOCKS = 4  # of a query that give its threshold
 GROUP = 4096  # documents that a task scores at once
 DOCUMENTS_AT_ONCE = 512
 QUERIES_AT_ONCE = 256
+FEW = 16  # queries for which bounds are worth their passes: those of many leave hardly a block out
 MOST_NAMES = 10_000  # terms or sources that are named to a scan
 BLOOM = {"parquet.bloom.filter.enabled#source": "true", "parquet.bloom.filter.expected.ndv#source": "10000"}
 DIGITS = 5
@@ -98,6 +100,27 @@ def _mean(m: dict) -> float:
     return m["tokens"] / m["n"] if m["tokens"] else 1.0
 
 
+def _reader(shared, mean: float):
+    """For the rows of a group: blocks and postings of each query, and those of them that its score reaches."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own, least = shared.value
+        table = table.combine_chunks()
+        blocks, row = np.unique(table["block"].to_numpy(), return_inverse=True)
+        terms = pc.index_in(table["term"].combine_chunks(), value_set=pa.array(own.terms, pa.string())).to_numpy()
+        used, column = np.unique(terms, return_inverse=True)
+        part, n = np.zeros((len(blocks), len(used))), np.zeros((len(blocks), len(used)))
+        tf = table["max_tf"].to_numpy().astype(float)
+        part[row, column] = tf / (tf + K1 * (1 - B + B * table["min_len"].to_numpy() / mean))
+        n[row, column] = table["n"].to_numpy()
+        bound, held = part @ np.maximum(own.weights[used], 0), n @ (own.weights[used] != 0)
+        read = (held > 0) & (bound > 0) & (bound >= least[None] - 10.0**-DIGITS)
+        sums = [(held > 0).sum(0), read.sum(0), held.sum(0), (held * read).sum(0)]
+        return pa.table({"query": pa.array(range(len(own.ids)), pa.int32()), **{c: pa.array(x.astype(np.int64)) for c, x in zip(("blocks", "blocks_read", "postings", "postings_read"), sums, strict=True)}})
+
+    return run
+
+
 class _Asked(NamedTuple):
     """Queries as a matrix: what a term's part of a score is multiplied by for each query."""
 
@@ -321,15 +344,15 @@ class Inverted:
         given = postings.select("group", "term", "docs", "tfs", "lens").groupBy("group")
         return given.cogroup((docs if zeros else docs.join(postings.select("group").distinct(), "group", "left_semi")).groupBy("group")).applyInArrow(lambda key, x, y: run(x.drop(["group"]), y.drop(["group"])), schema)
 
-    def _survivors(self, m: dict, asked: _Asked, top_n: int, k1: float, b: float) -> DataFrame:
-        """(block): blocks that may hold one of the best top_n of a query."""
+    def _least(self, m: dict, asked: _Asked, top_n: int, k1: float, b: float) -> np.ndarray:
+        """Of each query a score that top_n documents reach, 0 where the first blocks hold fewer."""
         best = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
         first = self._bounds(m, asked, k1, b, None).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= FIRST_BLOCKS)
         named = sorted({r[0] for r in first.select("block").distinct().collect()})  # FIRST_BLOCKS a query
         by = Window.partitionBy("query_id").orderBy(F.desc("score"))
         scored = self._scores(m, asked, self._postings(m, asked).filter(F.col("block").isin(named)), top_n, k1, b)
         known = {r["query_id"]: r["score"] for r in scored.withColumn("n", F.row_number().over(by)).filter(F.col("n") == top_n).collect()}  # a row a query
-        return self._bounds(m, asked, k1, b, np.array([known.get(q, 0.0) for q in asked.ids]))
+        return np.array([known.get(q, 0.0) for q in asked.ids])
 
     def search(self, queries: DataFrame, top_n: int, version: int | None = None, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
         """(query_id, id, score, rank, corpus_pos): the best top_n documents of each query (query_id, text), a stated set."""
@@ -344,8 +367,11 @@ class Inverted:
         else:
             found = None
             for asked in self._asked(m, queries, k1, epsilon):
-                survivors = written(self._survivors(m, asked, top_n, k1, b))
-                one = self._scores(m, asked, self._postings(m, asked).join(survivors, "block", "left_semi"), top_n, k1, b)
+                postings = self._postings(m, asked)
+                if len(asked.ids) <= FEW:
+                    survivors = written(self._bounds(m, asked, k1, b, self._least(m, asked, top_n, k1, b)))
+                    postings = postings.join(survivors, "block", "left_semi")
+                one = self._scores(m, asked, postings, top_n, k1, b)
                 found = one if found is None else found.unionByName(one)
         first = docs.orderBy("corpus_pos").limit(top_n)
         if found is None:
@@ -361,12 +387,15 @@ class Inverted:
         return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top_n).select("query_id", "id", "score", "rank", "corpus_pos")
 
     def reading(self, queries: DataFrame, top_n: int, version: int | None = None) -> DataFrame:
-        """(pass, blocks, blocks_read, postings, postings_read): of all that the terms of QUERIES_AT_ONCE queries have, what a search takes apart."""
+        """(query_id, blocks, blocks_read, postings, postings_read): of what the terms of each query have, what a search for it takes apart by bounds."""
         m = self._read(version)
-        out = self.store.spark.createDataFrame([], "pass int, blocks long, blocks_read long, postings long, postings_read long")
-        for n, asked in enumerate(self._asked(m, queries, K1, EPSILON)):
-            read = written(self._survivors(m, asked, top_n, K1, B)).withColumn("read", F.lit(1))
-            rows = self._postings(m, asked).groupBy("block").agg(F.sum(F.size("docs")).alias("n")).join(read, "block", "left")
-            sums = rows.agg(F.count(F.lit(1)).alias("blocks"), F.count("read").alias("blocks_read"), F.sum("n").alias("postings"), F.coalesce(F.sum(F.when(F.col("read") == 1, F.col("n"))), F.lit(0)).alias("postings_read"))
-            out = out.unionByName(sums.select(F.lit(n).alias("pass"), "*"))
+        kinds = dict(queries.dtypes)["query_id"]
+        out = self.store.spark.createDataFrame([], f"query_id {kinds}, blocks long, blocks_read long, postings long, postings_read long")
+        for asked in self._asked(m, queries, K1, EPSILON):
+            least, mean = self._least(m, asked, top_n, K1, B), _mean(m)
+            rows = self._postings(m, asked).select("group", "term", "block", "max_tf", "min_len", F.size("docs").alias("n"))
+            run = _reader(self.store.spark.sparkContext.broadcast((asked, least)), mean)
+            sums = rows.groupBy("group").applyInArrow(run, "query int, blocks long, blocks_read long, postings long, postings_read long").groupBy("query").agg(*[F.sum(c).alias(c) for c in ("blocks", "blocks_read", "postings", "postings_read")])
+            names = self.store.spark.createDataFrame(list(enumerate(asked.ids)), f"query int, query_id {kinds}")
+            out = out.unionByName(sums.join(F.broadcast(names), "query").drop("query"))  # QUERIES_AT_ONCE rows
         return out

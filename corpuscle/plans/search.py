@@ -61,12 +61,12 @@ def _index(spark: SparkSession, sf_dir: str) -> inverted.Inverted:
 
 
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole queries through a stored index, by block bounds."""
+    """Whole queries through a stored index."""
     return _index(spark, sf_dir).search(tables.queries(spark, sf_dir), TOP).select("query_id", "id", "score", "rank")
 
 
 def postings_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a search takes apart of the postings of each query's terms."""
+    """What a search by bounds takes apart of the postings of each query's terms."""
     return _index(spark, sf_dir).reading(tables.queries(spark, sf_dir), TOP)
 
 
