@@ -2,7 +2,7 @@
 
 A feature is an n-gram of 4 to 6 characters within a blank-delimited word of the lower-cased text, blanks at its ends
 included, hashed to one of 2**20 buckets and counted once a document.  On a bounded sample of labelled rows (MAX_TRAIN_ROWS
-rows, MAX_TRAIN_BYTES of text, in the order of a hash of their ids):
+rows of documents that are there, MAX_TRAIN_BYTES of text, in the order of a hash of their ids):
 1. document frequencies of each bucket in toxic and other rows are summed over the executors;
 2. buckets in LEAST_SEEN rows or more whose log-likelihood ratio is LEAST_GAIN or more are the features, of more than
    MAX_FEATURES those with the greatest ratio, with r = log of the smoothed frequencies' ratio; all are parameters of the model;
@@ -29,7 +29,7 @@ GRAMS = (4, 5, 6)
 BITS = 20
 MAX_TRAIN_ROWS = 20_000  # of labelled rows, the ones with the least hashes of their ids
 MAX_TRAIN_BYTES = 256 << 20  # of their texts
-MAX_FEATURES = 32_768  # 65,536 at most: rows are sent as 16-bit numbers
+MAX_FEATURES = 32_768  # of the model; train() takes any number, or none
 LEAST_SEEN = 3  # rows with a bucket
 LEAST_GAIN = 10.83  # of a bucket's log-likelihood ratio; chi-squared at 0.001
 THRESHOLD = 0.7
@@ -71,6 +71,7 @@ def held_out(doc_id: Column | None = None) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS, most_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
     """(toxic, text) of the bounded sample.  Rows are chosen by ids, hashes and lengths; only chosen texts are moved."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")  # else labels of absent documents would use the bound up
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     place = [F.xxhash64("doc_id"), "doc_id", "_hash"]
     narrow = docs.select("doc_id", F.xxhash64("text").alias("_hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_size"))
@@ -164,7 +165,8 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, rounds: int = 200
     return w, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS, most_features: int | None = MAX_FEATURES) -> Model:
+    """most_features: None for all that LEAST_GAIN lets through, which the 2**BITS buckets bound."""
     spark = docs.sparkSession
     sample = materialize(training_rows(docs, labels, most).repartition(8), "toxicity-sample")
     counts = sample.mapInArrow(trimmed(_frequencies), "block int, at binary, counts binary").groupBy("block").applyInArrow(_sums, "bucket long, clean long, toxic long")
@@ -175,11 +177,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> Mod
         share = m / (n + m) if n + m else 0.0
         return Model(np.zeros(1 << BITS), np.log((share + 1e-9) / (1 - share + 1e-9)))
     told = counts.filter(F.col("bucket") >= 0).withColumn("gain", _gain(F.col("clean"), F.lit(float(n)), F.col("toxic"), F.lit(float(m)))).filter(F.col("gain") >= LEAST_GAIN)
-    top = told.orderBy(F.desc("gain"), "bucket").limit(MAX_FEATURES).collect()  # bounded by MAX_FEATURES
+    top = told.orderBy(F.desc("gain"), "bucket").limit(most_features or 1 << BITS).collect()
     if not top:
         return Model(np.zeros(1 << BITS), np.log(m / n))
     bucket, a, b = (np.array([t[k] for t in top]) for k in ("bucket", "clean", "toxic"))
     r = np.log((b + 1) / (m + 2)) - np.log((a + 1) / (n + 2))
+    kind = np.dtype(np.uint16 if len(bucket) <= 1 << 16 else np.uint32)
     index = np.full(1 << BITS, -1, np.int32)
     index[bucket] = np.arange(len(bucket))
     shared = spark.sparkContext.broadcast(index)  # 4 MB whatever the corpus holds
@@ -192,12 +195,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> Mod
                 at = shared.value[found]
                 one = np.unique((doc[at >= 0] << BITS) | at[at >= 0])
                 cut = np.searchsorted(one >> BITS, np.arange(j - i + 1))
-                one = (one & ((1 << BITS) - 1)).astype(np.uint16)
+                one = (one & ((1 << BITS) - 1)).astype(kind)
                 out += [one[cut[k] : cut[k + 1]].tobytes() for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["toxic", "found"])
 
     fitted = sample.mapInArrow(trimmed(rows_of), "toxic int, found binary").collect()  # at most `most` rows of a few hundred numbers
-    found, y = [np.frombuffer(f["found"], np.uint16) for f in fitted], np.array([float(f["toxic"] > 0) for f in fitted])
+    found, y = [np.frombuffer(f["found"], kind) for f in fitted], np.array([float(f["toxic"] > 0) for f in fitted])
     del fitted
     w, bias = _fit(found, y, r)
     weights = np.zeros(1 << BITS)

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import hashlib
 import random
+import zlib
 
 import numpy as np
 
@@ -113,3 +115,21 @@ def test_the_sample_is_bounded_by_rows_and_bytes(spark):
     assert X.training_rows(docs, labels).count() == len(set(range(100)) - held) + (0 not in held)
     assert X.training_rows(docs, labels, most=10).count() == 10
     assert X.training_rows(docs, labels, most_bytes=1000).count() in (10, 11)
+
+
+def test_labels_of_absent_documents_do_not_use_up_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    held = {i for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1}
+    labels = spark.range(59_300).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    assert X.training_rows(docs, labels).count() == 300 - len(held)
+    assert X.training_rows(docs, labels, most=150).count() == 150
+
+
+def test_no_limit_of_features(spark):
+    """More features than 16 bits number, and the same model where the limit does not bind."""
+    rows = [(i, " ".join(hashlib.md5(f"{i % 2}/{k}".encode()).hexdigest()[:12] for k in range(6000)), i % 2) for i in range(0, 60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    every, some = X.train(docs, labels, most_features=None), X.train(docs, labels)
+    assert (every.weights != 0).sum() > 1 << 16 and (some.weights != 0).sum() == X.MAX_FEATURES
+    assert every.score([rows[1][1]])[0] > 0.9 > 0.1 > every.score([rows[0][1]])[0]
