@@ -41,8 +41,8 @@ def blocks(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
     schema = _schema(rows, keys)
     names = [*keys, "ids", "positions", "vectors", "width"]
 
-    def run(batches):
-        for batch in batches:
+    def run(given):
+        for batch in given:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
@@ -82,8 +82,8 @@ def best(vector_blocks: DataFrame, queries: DataFrame, keys: list[str], top_n: i
     kinds = dict(pairs.dtypes)
     schema = f"query_id {kinds['query_ids'][6:-1]}, id {kinds['ids'][6:-1]}, corpus_pos long, score double"
 
-    def run(batches):
-        for batch in batches:
+    def run(given):
+        for batch in given:
             for i in range(batch.num_rows):
                 asked, asked_v, ids, places, own, width = (batch.column(k).slice(i, 1) for k in range(6))
                 width = width[0].as_py()
@@ -101,7 +101,7 @@ def best(vector_blocks: DataFrame, queries: DataFrame, keys: list[str], top_n: i
 
 
 @contextlib.contextmanager
-def _batches(spark, rows: int):
+def batches(spark, rows: int):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(rows))
@@ -115,6 +115,6 @@ def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df as a table in the shared folder; rows: of an Arrow batch while it is written."""
     spark = df.sparkSession
     path = new_folder(spark, "blocks")
-    with _batches(spark, rows) if rows else contextlib.nullcontext():
+    with batches(spark, rows) if rows else contextlib.nullcontext():
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

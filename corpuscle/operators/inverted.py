@@ -2,8 +2,9 @@
 
 A segment holds for its documents
 * `forward`: (doc, id, corpus_pos, source, len, terms, tfs), with Bloom filters of the sources;
-* `postings`: (term, block, docs, tfs, lens, max_tf, min_len), a row for each term and block of at most BLOCK documents, in
-  ranges and in the order of (term, block), so that a scan for some terms skips what other terms take up;
+* `postings`: (term, block, n, data, max_tf, min_len), a row for each term and block of at most BLOCK documents, in ranges and
+  in the order of (term, block), so that a scan for some terms skips what other terms take up; data: 32-bit pairs of a
+  document (after the block's first) and its tf;
 * `terms`: (term, df).
 An upsert writes one segment with the new documents and marks those that their sources had before as deleted; a delete only
 marks.  Both name their sources to the scan, which skips row groups without them.  `merge` rewrites segments as one, without what is deleted.  Numbers of
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from corpuscle.functions import text as T
-from corpuscle.operators.blocks import written
+from corpuscle.operators.blocks import batches, written
 from corpuscle.operators.bm25 import EPSILON, K1, B
 from corpuscle.sources.store import Store
 
@@ -47,10 +48,11 @@ FEW = 16  # queries for which bounds are worth their passes: those of many leave
 MOST_NAMES = 10_000  # terms or sources that are named to a scan
 BLOOM = {"parquet.bloom.filter.enabled#source": "true", "parquet.bloom.filter.expected.ndv#source": "10000"}
 DIGITS = 5
+BATCH_ROWS = 1000  # documents of an Arrow batch while an index is written
 _PART, _ROW = 1 << 20, 1 << 32  # a document's number: segment, partition and row
 
 FORWARD = "doc long, id {id}, corpus_pos long, source string, len int, terms array<string>, tfs array<int>"
-POSTINGS = "term string, block long, docs array<long>, tfs array<int>, lens array<int>, max_tf int, min_len int"
+POSTINGS = "term string, block long, n int, data binary, max_tf int, min_len int"
 TERMS = "term string, df long"
 DELETED = "segment int, doc long"
 DELETED_TERMS = "segment int, term string, df long"
@@ -89,9 +91,10 @@ def _blocks(batches, size: int):
         if not len(code):
             continue
         first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (block[of[1:]] != block[of[:-1]])]))
-        at = pa.array(np.concatenate([first, [len(code)]]), pa.int32())
-        lists = [pa.ListArray.from_arrays(at, pa.array(x, kind)) for x, kind in ((ids[of], pa.int64()), (tf, pa.int32()), (lens[of], pa.int32()))]
-        columns = [coded.dictionary.take(pa.array(code[first])), pa.array(block[of[first]]), *lists, pa.array(np.maximum.reduceat(tf, first), pa.int32()), pa.array(np.minimum.reduceat(lens[of], first), pa.int32())]
+        at = np.concatenate([first, [len(code)]])
+        pairs = np.column_stack([ids[of] - block[of], tf]).astype("<i4")
+        data = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(pairs.tobytes())])
+        columns = [coded.dictionary.take(pa.array(code[first])), pa.array(block[of[first]]), pa.array(np.diff(at), pa.int32()), data, pa.array(np.maximum.reduceat(tf, first), pa.int32()), pa.array(np.minimum.reduceat(lens[of], first), pa.int32())]
         yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in POSTINGS.split(", ")])
 
 
@@ -145,14 +148,16 @@ class Inverted:
         # documents of like lengths share blocks, which makes bounds tight
         numbered = counted.sortWithinPartitions("len").withColumn("_id", F.monotonically_increasing_id())
         doc = F.lit(number * _PART * _ROW) + F.shiftright("_id", 33) * _ROW + F.col("_id").bitwiseAND((1 << 33) - 1)
-        forward = self.store.write(numbered.select(doc.alias("doc"), "id", F.col("corpus_pos").cast("long").alias("corpus_pos"), "source", "len", "terms", "tfs"), "forward", options=BLOOM)
+        with batches(self.store.spark, BATCH_ROWS):
+            forward = self.store.write(numbered.select(doc.alias("doc"), "id", F.col("corpus_pos").cast("long").alias("corpus_pos"), "source", "len", "terms", "tfs"), "forward", options=BLOOM)
         rows = self.store.load([forward], self.forward)
         n, tokens = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
         if not n:
             return None
         blocks = rows.select("doc", "len", "terms", "tfs").mapInArrow(lambda batches, n=self.block: _blocks(batches, n), POSTINGS)
-        postings = self.store.write(blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "postings")
-        df = self.store.load([postings], POSTINGS).groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
+        with batches(self.store.spark, BATCH_ROWS):
+            postings = self.store.write(blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "postings")
+        df = self.store.load([postings], POSTINGS).groupBy("term").agg(F.sum("n").alias("df"))
         return {"number": number, "forward": forward, "postings": postings, "terms": self.store.write(df, "terms"), "n": n, "tokens": tokens}
 
     def _counts(self, corpus: DataFrame) -> DataFrame:
@@ -307,7 +312,7 @@ class Inverted:
         """
         mean, digits = _mean(m), DIGITS
         shared = self.store.spark.sparkContext.broadcast(asked)
-        docs = self._alive(m, self._docs(m["segments"]).select("doc", "id", "corpus_pos")).withColumn("group", F.floor(F.col("doc") / GROUP))
+        docs = self._alive(m, self._docs(m["segments"]).select("doc", "id", "corpus_pos", "len")).withColumn("group", F.floor(F.col("doc") / GROUP))
 
         def run(hits: pa.Table, living: pa.Table) -> pa.Table:
             own = shared.value
@@ -316,12 +321,13 @@ class Inverted:
             score = np.zeros((len(doc), len(own.ids)))
             if hits.num_rows and len(doc):
                 hits = hits.combine_chunks()
-                sizes = np.asarray(hits["docs"].combine_chunks().value_lengths())
-                flat = lambda name: hits[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-                of, tf, size = flat("docs"), flat("tfs").astype(float), flat("lens")
+                sizes = hits["n"].to_numpy()
+                pairs = np.frombuffer(b"".join(hits["data"].to_pylist()), "<i4").reshape(-1, 2)
+                of, tf = np.repeat(hits["block"].to_numpy(), sizes) + pairs[:, 0], pairs[:, 1].astype(float)
                 term = np.repeat(pc.index_in(hits["term"].combine_chunks(), value_set=pa.array(own.terms, pa.string())).to_numpy(), sizes)
                 row = np.minimum(np.searchsorted(doc, of), len(doc) - 1)
                 alive = doc[row] == of
+                size = living["len"].to_numpy()[row]
                 used, column = np.unique(term[alive], return_inverse=True)
                 for i in range(0, len(doc), DOCUMENTS_AT_ONCE):
                     here = (row[alive] >= i) & (row[alive] < i + DOCUMENTS_AT_ONCE)
@@ -341,7 +347,7 @@ class Inverted:
 
         kind = pa.int64() if all(isinstance(q, int) for q in asked.ids) else pa.string()
         schema = f"query_id {'long' if kind == pa.int64() else 'string'}, doc long, id {dict(docs.dtypes)['id']}, corpus_pos long, score double"
-        given = postings.select("group", "term", "docs", "tfs", "lens").groupBy("group")
+        given = postings.select("group", "term", "block", "n", "data").groupBy("group")
         return given.cogroup((docs if zeros else docs.join(postings.select("group").distinct(), "group", "left_semi")).groupBy("group")).applyInArrow(lambda key, x, y: run(x.drop(["group"]), y.drop(["group"])), schema)
 
     def _least(self, m: dict, asked: _Asked, top_n: int, k1: float, b: float) -> np.ndarray:
@@ -393,7 +399,7 @@ class Inverted:
         out = self.store.spark.createDataFrame([], f"query_id {kinds}, blocks long, blocks_read long, postings long, postings_read long")
         for asked in self._asked(m, queries, K1, EPSILON):
             least, mean = self._least(m, asked, top_n, K1, B), _mean(m)
-            rows = self._postings(m, asked).select("group", "term", "block", "max_tf", "min_len", F.size("docs").alias("n"))
+            rows = self._postings(m, asked).select("group", "term", "block", "max_tf", "min_len", "n")
             run = _reader(self.store.spark.sparkContext.broadcast((asked, least)), mean)
             sums = rows.groupBy("group").applyInArrow(run, "query int, blocks long, blocks_read long, postings long, postings_read long").groupBy("query").agg(*[F.sum(c).alias(c) for c in ("blocks", "blocks_read", "postings", "postings_read")])
             names = self.store.spark.createDataFrame(list(enumerate(asked.ids)), f"query int, query_id {kinds}")
