@@ -3,9 +3,11 @@
 Each source is a queue of blocks.  Block j of a source of weight w is released at floor(j / w) and due at
 ceil((j + 1) / w); earliest deadline first then runs in every slot one block that has been released.  Weights are exact
 ratios of whole numbers (roots and the like are rounded to 2**-53, as floats are), and the schedule runs over a whole
-stretch without a period, so no source is ever a whole block from its target, however long the stretch.
+stretch without a period, so within a stretch no source is ever a whole block from its target, however long it is.
 
 A source that is used up leaves, which ends a stretch; the others go on with their weights scaled up, counted from there.
+What a source lacks at the end of a stretch, less than a block, is not made up for in the next one: measured against the sum
+of its targets over all stretches a source can be several blocks away (7 with 20 sources that end at 20 different times).
 
 A block is one row, up to STEPS rows; beyond, blocks are so many rows that the schedule has about STEPS steps (`block` sets
 it), and the bound is of one such block: 1,200 rows of 2 * 10**10.  The driver runs the schedule, some 2 microseconds a

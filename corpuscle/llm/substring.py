@@ -11,8 +11,8 @@ A window is `window` consecutive words of one document; it is repeated if its wo
 
 Hash values of step 1 only choose what step 2 looks at; equal words have equal hashes, so nothing is lost by them.
 
-Documents are dealt into groups of some megabytes by a hash of the row, so copies of one text are spread.  A group sends
-each hash or digest once to the part of the hash space it falls in, however often it holds it, with the mark "twice or more"; a part answers
+Documents are dealt into groups of some megabytes by a hash of doc_id and text, so copies of one text under different ids are
+spread; rows that are equal in both share a group, however many there are.  A group sends each hash or digest once to the part of the hash space it falls in, however often it holds it, with the mark "twice or more"; a part answers
 each group with those that are repeated.  So a passage in all documents costs a part one entry a group, and never one a document.
 The numbers of groups and of parts both follow the corpus.
 
