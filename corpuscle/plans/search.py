@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import segment
 from corpuscle.functions import text as T
-from corpuscle.operators import bm25, inverted, vector_index
+from corpuscle.operators import bm25, inverted, sketches, vector_index
 from corpuscle.plans import tables
 from corpuscle.plans.retrieval import BM25_SQL, vector_tables
 from corpuscle.plans.retrieval import ORACLE_SQL as VECTOR_SQL
@@ -110,7 +110,20 @@ def vector_cells_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(q, TOP, facet="label").select("query_id", "id", "score", "rank")
 
 
-QUERIES = {"vector_cells": vector_cells, "vector_cells_filtered": vector_cells_filtered, "bm25_postings": bm25_postings, "postings_read": postings_read, "index_deltas": index_deltas, "keyed_files": keyed_files, "segmented_queries": segmented_queries, "segmented_words": segmented_words, "bm25_segmented": bm25_segmented}
+def weekly_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users and the median value of each week, out of stored sketches of days; whether they are within their bounds of the exact ones."""
+    events = load(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "user_id", "value")
+    path = new_folder(spark, "sketches")
+    sketches.kept(events, ["day"], F.col("user_id"), F.col("value")).write.parquet(path)
+    week = F.date_trunc("week", "day").cast("date").alias("week")
+    told = sketches.told(sketches.merged(spark.read.parquet(path).select(week, "n", "distinct_sketch", "quantile_sketch"), ["week"]), [0.5])
+    exact = events.select(week, "user_id", "value").join(F.broadcast(told.select("week", F.get("quantiles", F.lit(0)).alias("median"))), "week")  # a row a week
+    exact = exact.groupBy("week").agg(F.countDistinct("user_id").alias("users"), (F.count_if(F.col("value") <= F.col("median")) / F.count("value")).alias("rank"))
+    near = F.abs(F.col("values") - F.col("users")) <= sketches.DISTINCT_ERROR * F.col("users")
+    return told.join(exact, "week").select(F.col("week").cast("string").alias("week"), "n", "users", near.alias("users_near"), (F.abs(F.col("rank") - 0.5) <= sketches.RANK_ERROR + 1 / F.col("n")).alias("median_near"))
+
+
+QUERIES = {"weekly_sketches": weekly_sketches, "vector_cells": vector_cells, "vector_cells_filtered": vector_cells_filtered, "bm25_postings": bm25_postings, "postings_read": postings_read, "index_deltas": index_deltas, "keyed_files": keyed_files, "segmented_queries": segmented_queries, "segmented_words": segmented_words, "bm25_segmented": bm25_segmented}
 
 # the least cost of every end of a run, from its last letter on, and the words that begin there
 _SEGMENTED = r"""WITH RECURSIVE counts AS MATERIALIZED (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents) GROUP BY w ORDER BY n DESC, w LIMIT 100000),
@@ -136,6 +149,7 @@ ORACLE_SQL = {
     "segmented_queries": _SEGMENTED,
     "bm25_postings": f"WITH {BM25_SQL} SELECT query_id, id, score, rank FROM ranked WHERE rank <= {TOP}",
     "index_deltas": f"WITH {_LEFT} SELECT query_id, id, score, rank FROM ranked WHERE rank <= {TOP}",
+    "weekly_sketches": "SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS week, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_near, true AS median_near FROM events GROUP BY 1",
     "vector_cells": VECTOR_SQL["vector_topk"], "vector_cells_filtered": VECTOR_SQL["vector_filtered_exact"],
     "keyed_files": f"SELECT filename, size, CASE WHEN status = 'failed' THEN 'queued' ELSE status END AS status, sensitive FROM ({FILES_SQL}) WHERE NOT sensitive",
 }
