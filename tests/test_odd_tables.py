@@ -26,8 +26,17 @@ def same(spark, path, name, **tables):
     pd.testing.assert_frame_equal(canonical(got), canonical(want), check_dtype=False)
 
 
+def documents(*texts):
+    n = len(texts)
+    return pa.table({"doc_id": list(range(1, n + 1)), "text": list(texts), "lang": ["de"] * n, "source": ["s"] * n, "n_chars": [len(t) for t in texts]})
+
+
 def test_latest_versions_of_equal_numbers(spark, tmp_path):
     # the first rows as stored are in the smaller file, which is read last
     many = pa.table({"l_orderkey": [k % 50 for k in range(5000)], "l_linenumber": [7] * 5000, "l_partkey": list(range(5000))})
     few = pa.table({"l_orderkey": list(range(60)), "l_linenumber": [7] * 60, "l_partkey": [-1 - k for k in range(60)]})
     same(spark, tmp_path, "latest_versions", lineitem=[few, many])
+
+
+def test_sentence_chunks_keep_line_ends_at_cuts(spark, tmp_path):
+    same(spark, tmp_path, "sentence_chunks", documents=documents("x" * 399 + "\n" + "y" * 500 + ".", "x" * 399 + " " + "y" * 500, "a b. c"))
