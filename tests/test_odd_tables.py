@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from __spark_entry__ import oracle_sql, queries
 from tests.test_catalog import canonical
@@ -40,3 +41,11 @@ def test_latest_versions_of_equal_numbers(spark, tmp_path):
 
 def test_sentence_chunks_keep_line_ends_at_cuts(spark, tmp_path):
     same(spark, tmp_path, "sentence_chunks", documents=documents("x" * 399 + "\n" + "y" * 500 + ".", "x" * 399 + " " + "y" * 500, "a b. c"))
+
+
+@pytest.mark.parametrize("name", ["line_nodes"])
+def test_addresses_are_no_headings(spark, tmp_path, name):
+    # an address at the start of a short line, numbers, a list and a legal number: the length rule alone counts
+    texts = ["56.187.231.175 Keit in lich auf.\nUng sich.", "eins\n1. zwei\ndrei", "vier " * 200, "第一条 a\n第二条 b\n第三条 c", "# fünf\nsechs"] * 3
+    labels = pa.table({"doc_id": [1, 2, 5], "quality": [1, 0, 1], "toxic": [0, 1, 0]})
+    same(spark, tmp_path, name, documents=documents(*texts), labels=labels)
