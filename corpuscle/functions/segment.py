@@ -28,7 +28,7 @@ PLAIN = r"[\p{L}\p{N}]"  # runs of these that are no graph's letters are words a
 
 
 class Trie:
-    """Nodes are numbers; a child is found by its parent's number and a letter in one sorted array."""
+    """Nodes are numbers; a child is found by its parent's number and a letter in one hashed array."""
 
     def __init__(self, words: list[str], costs: list[int], unknown: int) -> None:
         """unknown: the cost of a letter that is no word."""
@@ -49,14 +49,42 @@ class Trie:
             known += len(found)
             done = live[size[live] == k + 1]
             cost.update(zip(node[done].tolist(), own[done].tolist(), strict=True))
-        order = np.argsort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-        self.keys = np.concatenate(keys)[order] if keys else np.zeros(0, np.int64)
-        self.ends = np.concatenate(ends)[order] if keys else np.zeros(0, np.int64)
+        self._hashed(np.concatenate(keys) if keys else np.zeros(0, np.int64), np.concatenate(ends) if keys else np.zeros(0, np.int64))
         self.cost = np.full(known, -1, np.int64)
         if cost:
             self.cost[list(cost)] = list(cost.values())
         self.depth = len(keys)
 
+    def _hashed(self, keys: np.ndarray, ends: np.ndarray) -> None:
+        """Each key in the first free slot from its hash on; at most a quarter of the slots is taken."""
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.ends = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        slot, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.ends[slot[put]] = keys[put], ends[put]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _children(self, keys: np.ndarray) -> np.ndarray:
+        """The nodes under keys, 0 where there is none."""
+        slot = self._slots(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.ends[slot], 0)
+        other = np.flatnonzero((found != keys) & (found >= 0))
+        while len(other):
+            slot[other] = (slot[other] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[slot[other]]
+            hit = found == keys[other]
+            out[other[hit]] = self.ends[slot[other[hit]]]
+            other = other[~hit & (found >= 0)]
+        return out
+
     def graph(self, letters: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, length, cost) of all words at all places; left: letters from a place to the end of its run."""
         places, lengths, costs = [np.arange(len(letters))], [np.ones(len(letters), np.int64)], [np.full(len(letters), self.unknown, np.int64)]
@@ -66,10 +94,9 @@ class Trie:
             at, node = at[inside], node[inside]
             if not len(at):
                 break
-            key = node << 21 | letters[at + k]
-            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[found] == key
-            at, node = at[hit], self.ends[found[hit]]
+            child = self._children(node << 21 | letters[at + k])
+            hit = child > 0
+            at, node = at[hit], child[hit].astype(np.int64)
             word = np.flatnonzero(self.cost[node] >= 0)
             if k:
                 places.append(at[word])
@@ -86,19 +113,28 @@ class Trie:
         if not n:
             return begins
         place, length, cost = self.graph(letters, left)
-        order = np.lexsort((place, left[place]))  # from the ends of the runs; the words of a place together
-        place, length, cost = place[order], length[order], cost[order]
-        steps = np.searchsorted(left[place], np.arange(1, int(left.max()) + 2))
-        best = np.zeros(n + 1, np.int64)  # of the rest of the run; a run's end is the next one's begin, so that is asked for only within a run
-        take = np.zeros(n, np.int64)
+        # letters from the ends of the runs on, the words of a letter together; a letter has at most one word of a length
+        order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        own = rank[place]
+        first = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=n))])
+        slot, at = np.empty(len(own), np.int64), first[:-1].copy()
+        for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(length)) + 1):
+            slot[part] = at[own[part]]
+            at[own[part]] += 1
+        value, to = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
+        value[slot] = cost << 6 | (LONGEST - length)  # the cheapest, of these the longest
+        to[slot] = np.where(length < left[place], rank[np.minimum(place + length, n - 1)], n)
+        steps = np.searchsorted(left[order], np.arange(1, int(left.max()) + 2))
+        best = np.zeros(n + 1, np.int64)  # of the rest of the run, without its lowest bits; the last is that of a run's end
+        taken = np.empty(n, np.int64)
         for a, b in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
-            p, size = place[a:b], length[a:b]
-            rest = np.where(size < left[p], best[p + size], 0)
-            value = (cost[a:b] + rest) << 6 | (LONGEST - size)  # the cheapest, of these the longest
-            first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-            least = np.minimum.reduceat(value, first)
-            best[p[first]] = least >> 6
-            take[p[first]] = LONGEST - (least & 63)
+            lo, hi = first[a], first[b]
+            taken[a:b] = least = np.minimum.reduceat(value[lo:hi] + best[to[lo:hi]], first[a:b] - lo)
+            best[a:b] = least & ~63
+        take = np.empty(n, np.int64)
+        take[order] = LONGEST - (taken & 63)
         at = np.flatnonzero(np.concatenate([[True], left[:-1] == 1]))  # runs
         while len(at):
             begins[at] = True

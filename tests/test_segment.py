@@ -8,8 +8,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpuscle.functions import segment as S
 from corpuscle.functions import text as T
@@ -191,3 +193,18 @@ def dp(run, costs, unknown):
         out.append(run[i : i - best[i][1]])
         i -= best[i][1]
     return out
+
+
+def test_children_by_hash():
+    words = [a + b + c for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx"]
+    t = S.Trie(words, [1] * len(words), 9)
+    keys = t.keys[t.keys >= 0]
+    assert len(keys) == 8 + 64 + 512 and len(set(t._children(keys).tolist())) == len(keys)
+    assert not t._children(keys + (1 << 40)).any()
+
+
+def test_words_of_a_run_beyond_16_bits():
+    t = S.Trie(["ab", "aba"], [1, 1], 9)
+    letters = np.frombuffer(("ab" * 40_000).encode("utf-32-le"), np.uint32).astype(np.int64)
+    begins = t.words(letters, np.arange(80_000, 0, -1))
+    assert np.flatnonzero(begins).tolist() == list(range(0, 80_000, 2))
