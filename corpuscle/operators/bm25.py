@@ -92,6 +92,10 @@ def rank(scores: DataFrame, index: Index, top_n: int, candidates: DataFrame | No
     return rounded.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top_n).select("query_id", "id", "score", "rank", "corpus_pos")
 
 
+def _tokens(corpus: DataFrame, tokenizer) -> Column:
+    return F.col("tokens") if "tokens" in corpus.columns else tokenizer(F.coalesce("text", F.lit("")))
+
+
 QUERIES_AT_ONCE = 256  # of a matrix
 AT_ONCE_BYTES = 128 << 20  # of matrices sent to all tasks for one pass
 DOCUMENTS_AT_ONCE = 512
@@ -104,7 +108,7 @@ def _weights(queries: list, corpus: DataFrame, tokenizer, k1: float, b: float, e
     asked = asked.select("q", F.explode(tokenizer(F.coalesce("text", F.lit("")))).alias("token")).groupBy("q", "token").agg(F.count(F.lit(1)).alias("times")).collect()
     terms = sorted({r["token"] for r in asked})
     # a row a document without a token carries its length
-    tokens = corpus.select(tokenizer(F.coalesce("text", F.lit(""))).alias("tokens"))
+    tokens = corpus.select(_tokens(corpus, tokenizer).alias("tokens"))
     each = tokens.select(F.size("tokens").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("tokens"))).alias("token"))
     df = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("token").isNull(), F.col("len"))).alias("len"))
     whole = df.filter(F.col("token").isNull()).select(F.col("df").cast("double").alias("n"), (F.col("len") / F.col("df")).alias("mean_len"))
@@ -159,7 +163,8 @@ def rank_batch(queries: DataFrame, corpus: DataFrame, top_n: int, where: Column
     """(query_id, id, score, rank, corpus_pos), as `rank`.
 
     The queries (long query_id, text) are a stated set.  `where` restricts what is ranked, not the statistics; `among` does
-    so for each of several sets of query ids, by the rows of the corpus that they may find.
+    so for each of several sets of query ids, by the rows of the corpus that they may find.  A corpus with `tokens` is taken by
+    these, not by its text: that is for tokenizers that cost more than to write what they give.
     """
     spark = corpus.sparkSession
     kind = dict(corpus.dtypes)["id"]
@@ -171,7 +176,7 @@ def rank_batch(queries: DataFrame, corpus: DataFrame, top_n: int, where: Column
     mean, matrices = _weights(asked, corpus, tokenizer, k1, b, epsilon) if asked else (1.0, [])
     best = spark.createDataFrame([], f"query_id long, id {kind}, corpus_pos long, score double")
     for g, (_, some) in enumerate(among):
-        rows = some.select("id", F.col("corpus_pos").cast("long").alias("corpus_pos"), tokenizer(F.coalesce("text", F.lit(""))).alias("tokens"))
+        rows = some.select("id", F.col("corpus_pos").cast("long").alias("corpus_pos"), _tokens(some, tokenizer).alias("tokens"))
         own = [([q for q in ids if group[q] == g], terms, weights[:, [k for k, q in enumerate(ids) if group[q] == g]]) for ids, terms, weights in matrices]
         own = [m for m in own if m[0]]
         while own:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import segment
 from corpuscle.functions import text as T
 from corpuscle.operators import bm25, inverted, sketches, vector_index
+from corpuscle.operators.blocks import written
 from corpuscle.plans import tables
 from corpuscle.plans.retrieval import BM25_SQL, vector_tables
 from corpuscle.plans.retrieval import ORACLE_SQL as VECTOR_SQL
@@ -50,7 +51,10 @@ def segmented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 where neither queries nor documents have blanks."""
-    found = bm25.rank_batch(tables.queries(spark, sf_dir), tables.corpus(spark, sf_dir), TOP, tokenizer=_tokenizer(spark, sf_dir))
+    cut = _tokenizer(spark, sf_dir)
+    # both passes of the ranking read words that were cut once
+    docs = written(tables.corpus(spark, sf_dir).select("id", "corpus_pos", cut(F.col("text")).alias("tokens")), inverted.BATCH_ROWS)
+    found = bm25.rank_batch(tables.queries(spark, sf_dir), docs, TOP, tokenizer=cut)
     return found.select("query_id", "id", "score", "rank")
 
 

@@ -208,3 +208,10 @@ def test_words_of_a_run_beyond_16_bits():
     letters = np.frombuffer(("ab" * 40_000).encode("utf-32-le"), np.uint32).astype(np.int64)
     begins = t.words(letters, np.arange(80_000, 0, -1))
     assert np.flatnonzero(begins).tolist() == list(range(0, 80_000, 2))
+
+
+def test_ranking_by_words_cut_before(spark):
+    corpus = spark.createDataFrame([(1, 1, "a b"), (2, 2, "b c"), (3, 3, "d")], "id long, corpus_pos long, text string")
+    queries = spark.createDataFrame([(1, "b d"), (2, "c")], "query_id long, text string")
+    cut = corpus.select("id", "corpus_pos", T.words(F.col("text")).alias("tokens"))
+    assert sorted(map(tuple, bm25.rank_batch(queries, cut, 2).collect())) == sorted(map(tuple, bm25.rank_batch(queries, corpus, 2).collect()))
