@@ -5,7 +5,7 @@ Two ways to the same scores:
   follows the postings of the terms asked for: for few, selective queries and for candidates given as pairs.
 * `rank_batch`: two passes over the corpus for many queries, whose words would make most pairs of query and document anyway:
   one for the statistics of all terms, one to rank.  Each batch of documents becomes a matrix of term weights, multiplied
-  by the matrices of the queries; a batch returns the best top_n of each query, so nothing of the size of the corpus is
+  by the matrices of the queries; a task returns the best top_n of each query, so nothing of the size of the corpus is
   shuffled.  Queries whose matrices pass AT_ONCE_BYTES take another ranking pass.
 """
 
@@ -130,33 +130,41 @@ def _weights(queries: list, corpus: DataFrame, tokenizer, k1: float, b: float, e
 
 
 def _best(batches, shared, top_n: int, digits: int, k1: float, b: float):
-    """For each batch of (id, corpus_pos, tokens): the best top_n of each query, documents without a score included."""
+    """For all batches of (id, corpus_pos, tokens) of a task: the best top_n of each query, documents without a score included."""
     mean, matrices = shared.value
     matrices = [(ids, pa.array(terms, pa.string()), weights) for ids, terms, weights in matrices]
-    for batch in batches:
+    best = [None] * len(matrices)  # (query, id, corpus_pos, score), at most top_n rows a query
+    # memory is that of DOCUMENTS_AT_ONCE documents, whatever batches are
+    for batch in (b.slice(i, DOCUMENTS_AT_ONCE) for b in batches for i in range(0, b.num_rows, DOCUMENTS_AT_ONCE)):
         tokens = batch.column(2)
         lengths = np.asarray(tokens.value_lengths().fill_null(0))
         place = batch.column(1).to_numpy(zero_copy_only=False)
         by_place, take = np.argsort(place, kind="stable"), min(top_n, batch.num_rows)
         words = tokens.flatten()
         of = np.repeat(np.arange(batch.num_rows), lengths)
-        for ids, terms, weights in matrices:
+        for m, (ids, terms, weights) in enumerate(matrices):
             found = pc.index_in(words, value_set=terms)
             doc, term = of[np.asarray(found.is_valid())], found.drop_null().to_numpy().astype(np.int64)
             cell, tf = np.unique(doc * max(len(terms), 1) + term, return_counts=True)
             doc, term = cell // max(len(terms), 1), cell % max(len(terms), 1)
-            part = tf / (tf + k1 * (1 - b + b * lengths[doc] / mean))
-            scores = np.zeros((batch.num_rows, len(ids)))
-            for i in range(0, batch.num_rows, DOCUMENTS_AT_ONCE):
-                lo, hi = np.searchsorted(doc, [i, i + DOCUMENTS_AT_ONCE])
-                used, column = np.unique(term[lo:hi], return_inverse=True)
-                dense = np.zeros((min(DOCUMENTS_AT_ONCE, batch.num_rows - i), len(used)))
-                dense[doc[lo:hi] - i, column] = part[lo:hi]
-                scores[i : i + len(dense)] = dense @ weights[used]
-            scores = scores.round(digits)
+            used, column = np.unique(term, return_inverse=True)
+            dense = np.zeros((batch.num_rows, len(used)))
+            dense[doc, column] = tf / (tf + k1 * (1 - b + b * lengths[doc] / mean))
+            scores = (dense @ weights[used]).round(digits)
             rows = by_place[np.argsort(-scores[by_place], 0, kind="stable")[:take]].T.ravel()
             query = np.repeat(np.arange(len(ids)), take)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in query], pa.int64()), batch.column(0).take(pa.array(rows)), pa.array(place[rows], pa.int64()), pa.array(scores[rows, query], pa.float64())], ["query_id", "id", "corpus_pos", "score"])
+            some = pa.table({"query": query, "id": batch.column(0).take(pa.array(rows)), "corpus_pos": pa.array(place[rows], pa.int64()), "score": scores[rows, query]})
+            if best[m] is not None:
+                some = pa.concat_tables([best[m], some])
+                order = np.lexsort((some["corpus_pos"].to_numpy(), -some["score"].to_numpy(), some["query"].to_numpy()))
+                of_query = some["query"].to_numpy()[order]
+                nth = np.arange(len(order)) - np.searchsorted(of_query, of_query)
+                some = some.take(pa.array(order[nth < top_n])).combine_chunks()
+            best[m] = some
+    for (ids, _, _), some in zip(matrices, best, strict=True):
+        if some is not None:
+            named = pa.array(ids, pa.int64()).take(some["query"].combine_chunks())
+            yield from pa.table({"query_id": named, **{c: some[c] for c in ("id", "corpus_pos", "score")}}).combine_chunks().to_batches()
 
 
 def rank_batch(queries: DataFrame, corpus: DataFrame, top_n: int, where: Column | None = None, tokenizer: Callable[[Column], Column] = T.words, k1: float = K1, b: float = B, epsilon: float = EPSILON, digits: int = 5, among: list[tuple[list, DataFrame]] | None = None) -> DataFrame:

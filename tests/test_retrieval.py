@@ -162,3 +162,21 @@ def test_retrieve(spark):
     none, why = retrieve.retrieve_or_empty(q.drop("text"), corpus)
     assert none.count() == 0 and why
     corpus.reset()
+
+
+def test_a_task_keeps_the_best_of_all_its_batches():
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from corpuscle.operators import bm25
+
+    def batch(first):
+        n = 700
+        return pa.record_batch({"id": list(range(first, first + n)), "corpus_pos": list(range(first, first + n)), "tokens": [["a"] * (i % 7) + ["b"] for i in range(n)]})
+
+    shared = SimpleNamespace(value=(3.0, [([5, 6], ["a", "b"], np.array([[1.0, 0.0], [0.0, 1.0]]))]))
+    out = list(bm25._best(iter([batch(0), batch(1000)]), shared, 3, 5, 1.5, 0.75))
+    rows = [(r["query_id"], r["id"]) for b in out for r in b.to_pylist()]
+    assert len(rows) == 6 and [i for q, i in rows if q == 5] == [6, 13, 20] and [i for q, i in rows if q == 6] == [0, 7, 14]
