@@ -43,7 +43,7 @@ def test_sentence_chunks_keep_line_ends_at_cuts(spark, tmp_path):
     same(spark, tmp_path, "sentence_chunks", documents=documents("x" * 399 + "\n" + "y" * 500 + ".", "x" * 399 + " " + "y" * 500, "a b. c"))
 
 
-@pytest.mark.parametrize("name", ["line_nodes", "parsed_chunks", "registry_trees", "tree_round_trip"])
+@pytest.mark.parametrize("name", ["line_nodes", "parsed_chunks", "tree_round_trip", "registry_trees", "rebuild_run"])
 def test_addresses_are_no_headings(spark, tmp_path, name):
     # an address at the start of a short line, numbers, a list and a legal number: the length rule alone counts
     texts = ["56.187.231.175 Keit in lich auf.\nUng sich.", "eins\n1. zwei\ndrei", "vier " * 200, "第一条 a\n第二条 b\n第三条 c", "# fünf\nsechs"] * 3
