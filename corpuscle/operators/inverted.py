@@ -41,7 +41,7 @@ from corpuscle.sources.store import Store
 
 BLOCK = 16  # documents: larger blocks have wider bounds, smaller ones more rows
 FIRST_BLOCKS = 4  # of a query that give its threshold
-GROUP = 4096  # documents that a task scores at once
+GROUP = 1024  # documents that a task scores at once
 DOCUMENTS_AT_ONCE = 512
 QUERIES_AT_ONCE = 256
 FEW = 16  # queries for which bounds are worth their passes: those of many leave hardly a block out
@@ -98,6 +98,13 @@ def _blocks(batches, size: int):
         yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in POSTINGS.split(", ")])
 
 
+def _pairs(data: pa.Array) -> np.ndarray:
+    """(document after the block's first, tf) of all rows of postings, as they lie in memory."""
+    data = data.combine_chunks() if isinstance(data, pa.ChunkedArray) else data
+    at = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4)
+    return np.frombuffer(data.buffers()[2], "<i4", (at[-1] - at[0]) // 4, at[0]).reshape(-1, 2)
+
+
 def _mean(m: dict) -> float:
     """The mean length; any number does where no document has a token."""
     return m["tokens"] / m["n"] if m["tokens"] else 1.0
@@ -322,7 +329,7 @@ class Inverted:
             if hits.num_rows and len(doc):
                 hits = hits.combine_chunks()
                 sizes = hits["n"].to_numpy()
-                pairs = np.frombuffer(b"".join(hits["data"].to_pylist()), "<i4").reshape(-1, 2)
+                pairs = _pairs(hits["data"].combine_chunks())
                 of, tf = np.repeat(hits["block"].to_numpy(), sizes) + pairs[:, 0], pairs[:, 1].astype(float)
                 term = np.repeat(pc.index_in(hits["term"].combine_chunks(), value_set=pa.array(own.terms, pa.string())).to_numpy(), sizes)
                 row = np.minimum(np.searchsorted(doc, of), len(doc) - 1)

@@ -144,3 +144,15 @@ def test_equal_scores_follow_positions(spark, tmp_path):
     index.upsert(corpus(spark, docs, {i: "x" for i in docs}))
     queries = [(1, "fire"), (2, "plant"), (3, "permit")]
     assert found(index, spark, queries, 12) == brute(docs, queries, 12)
+
+
+def test_pairs_as_they_lie_in_memory():
+    import numpy as np
+    import pyarrow as pa
+
+    from corpuscle.operators.inverted import _pairs
+
+    rows = [np.array(x, "<i4").tobytes() for x in ([0, 1], [1, 2, 3, 4], [5, 6])]
+    assert _pairs(pa.array(rows, pa.binary()).slice(1)).tolist() == [[1, 2], [3, 4], [5, 6]]
+    assert _pairs(pa.chunked_array([rows[:1], rows[1:]], pa.binary())).tolist() == [[0, 1], [1, 2], [3, 4], [5, 6]]
+    assert _pairs(pa.array([], pa.binary())).tolist() == []
