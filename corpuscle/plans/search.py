@@ -76,12 +76,11 @@ def postings_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index of old texts, after new texts for the German documents, and without the French ones."""
-    docs = tables.corpus(spark, sf_dir)
-    lang = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    docs = tables.corpus(spark, sf_dir, "lang")
     index = inverted.Inverted(spark, new_folder(spark, "index"), block=8)
-    index.upsert(docs.join(lang, "id").withColumn("text", F.when(F.col("lang") == "de", F.concat(F.lit("old text "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))))
-    index.upsert(docs.join(lang.filter("lang = 'de'"), "id", "left_semi"))
-    index.delete(docs.join(lang.filter("lang = 'fr'"), "id", "left_semi").select("source"))
+    index.upsert(docs.withColumn("text", F.when(F.col("lang") == "de", F.concat(F.lit("old text "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))))
+    index.upsert(docs.filter("lang = 'de'"))
+    index.delete(docs.filter("lang = 'fr'").select("source"))
     return index.search(tables.queries(spark, sf_dir), TOP).select("query_id", "id", "score", "rank")
 
 

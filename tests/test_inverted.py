@@ -156,3 +156,11 @@ def test_pairs_as_they_lie_in_memory():
     assert _pairs(pa.array(rows, pa.binary()).slice(1)).tolist() == [[1, 2], [3, 4], [5, 6]]
     assert _pairs(pa.chunked_array([rows[:1], rows[1:]], pa.binary())).tolist() == [[0, 1], [1, 2], [3, 4], [5, 6]]
     assert _pairs(pa.array([], pa.binary())).tolist() == []
+
+
+def test_index_deltas_reads_languages_with_the_texts(spark, small):
+    from corpuscle.plans import tables
+
+    docs = tables.corpus(spark, small, "lang")
+    assert docs.columns[-1] == "lang" and docs.filter("lang = 'de'").count()
+    assert "Join" not in docs._jdf.queryExecution().toString()
