@@ -2,9 +2,10 @@
 
 A segment holds for its documents
 * `forward`: (doc, id, corpus_pos, source, len, terms, tfs), with Bloom filters of the sources;
-* `postings`: (term, block, n, data, max_tf, min_len), a row for each term and block of at most BLOCK documents, in ranges and
-  in the order of (term, block), so that a scan for some terms skips what other terms take up; data: 32-bit pairs of a
-  document (after the block's first) and its tf;
+* `postings`: (term, block, n, data, max_tf, min_len), a row for each term and block of at most BLOCK documents.  They are made
+  and written where their documents are, without a shuffle, in runs of some BATCH_ROWS documents in the order of (term, block)
+  and in pages of PAGE_ROWS, so that a scan for few terms skips the pages of others; data: 32-bit pairs of a document (after
+  the block's first) and its tf;
 * `terms`: (term, df).
 An upsert writes one segment with the new documents and marks those that their sources had before as deleted; a delete only
 marks.  Both name their sources to the scan, which skips row groups without them.  `merge` rewrites segments as one, without what is deleted.  Numbers of
@@ -12,8 +13,9 @@ documents and tokens and the mean idf are kept in the manifest, so scores are th
 
 A search takes the bound of each block first: no document of it can score more than the sum over the query's terms of the
 part that the block's largest tf and shortest document give.  The blocks of the highest bounds are scored; the k-th best score
-there is a threshold, and only blocks whose bound reaches it for some query are read besides.  Bounds come from narrow columns;
-postings of other blocks are never taken apart.  More than FEW queries at once reach nearly every block together: they are scored
+there is a threshold, and only blocks whose bound reaches it for some query are read besides.  Bounds come from narrow columns in
+one pass, a row a block that holds those of all queries, and are written: the threshold and what it leaves are read from there.
+Postings of other blocks are never taken apart.  More than FEW queries at once reach nearly every block together: they are scored
 without bounds, in one pass, with the same result.  Rows of postings meet by groups of GROUP documents, bounded work that returns
 the best of each query, as products of matrices: no row is made for a posting and a query.
 
@@ -45,7 +47,10 @@ GROUP = 1024  # documents that a task scores at once
 DOCUMENTS_AT_ONCE = 512
 QUERIES_AT_ONCE = 256
 FEW = 16  # queries for which bounds are worth their passes: those of many leave hardly a block out
-MOST_NAMES = 10_000  # terms or sources that are named to a scan
+MOST_NAMES = 10_000  # sources that are named to a scan
+MOST_TERMS = 10  # that are named to a scan: of more a Parquet filter takes the least and the greatest alone
+PAGE_ROWS = 4096
+PAGES = {"parquet.page.row.count.limit": str(PAGE_ROWS)}
 BLOOM = {"parquet.bloom.filter.enabled#source": "true", "parquet.bloom.filter.expected.ndv#source": "10000"}
 DIGITS = 5
 BATCH_ROWS = 1000  # documents of an Arrow batch while an index is written
@@ -71,7 +76,7 @@ def _counted(tokens: pa.Array) -> pa.Array:
 
 
 def _blocks(batches, size: int):
-    """Rows of forward, in the order of doc, to rows of postings."""
+    """Rows of forward, in the order of doc, to rows of postings, those of a batch in the order of (term, block)."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -86,7 +91,9 @@ def _blocks(batches, size: int):
         block = np.repeat(ids[start], np.diff(np.concatenate([start, [len(ids)]])))
         coded = terms.flatten().dictionary_encode()
         code, tf, lens = coded.indices.to_numpy(zero_copy_only=False), tfs.flatten().to_numpy(zero_copy_only=False), length.to_numpy(zero_copy_only=False)
-        by = np.lexsort((of, code, block[of]))
+        place = np.empty(len(coded.dictionary), np.int64)
+        place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place))
+        by = np.argsort(place[code], kind="stable")  # of ascends, and so do the blocks of a term
         code, of, tf = code[by], of[by], tf[by]
         if not len(code):
             continue
@@ -110,25 +117,22 @@ def _mean(m: dict) -> float:
     return m["tokens"] / m["n"] if m["tokens"] else 1.0
 
 
-def _reader(shared, mean: float):
-    """For the rows of a group: blocks and postings of each query, and those of them that its score reaches."""
+def _matrix(rows: pa.Array, kind: str, width: int) -> np.ndarray:
+    """Binary rows of `width` numbers each, in the order of the rows."""
+    at = np.frombuffer(rows.buffers()[1], np.int32, len(rows) + 1, rows.offset * 4)
+    return np.frombuffer(rows.buffers()[2], kind, (at[-1] - at[0]) // np.dtype(kind).itemsize, at[0]).reshape(-1, width)
 
-    def run(table: pa.Table) -> pa.Table:
-        own, least = shared.value
-        table = table.combine_chunks()
-        blocks, row = np.unique(table["block"].to_numpy(), return_inverse=True)
-        terms = pc.index_in(table["term"].combine_chunks(), value_set=pa.array(own.terms, pa.string())).to_numpy()
-        used, column = np.unique(terms, return_inverse=True)
-        part, n = np.zeros((len(blocks), len(used))), np.zeros((len(blocks), len(used)))
-        tf = table["max_tf"].to_numpy().astype(float)
-        part[row, column] = tf / (tf + K1 * (1 - B + B * table["min_len"].to_numpy() / mean))
-        n[row, column] = table["n"].to_numpy()
-        bound, held = part @ np.maximum(own.weights[used], 0), n @ (own.weights[used] != 0)
-        read = (held > 0) & (bound > 0) & (bound >= least[None] - 10.0**-DIGITS)
-        sums = [(held > 0).sum(0), read.sum(0), held.sum(0), (held * read).sum(0)]
-        return pa.table({"query": pa.array(range(len(own.ids)), pa.int32()), **{c: pa.array(x.astype(np.int64)) for c, x in zip(("blocks", "blocks_read", "postings", "postings_read"), sums, strict=True)}})
 
-    return run
+def _packed(rows: np.ndarray, kind: str) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    own = np.ascontiguousarray(rows, kind)
+    at = np.arange(len(own) + 1, dtype=np.int32) * (own.shape[1] * own.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(at), pa.py_buffer(own.tobytes())])
+
+
+def _reaches(bound: np.ndarray, least: np.ndarray) -> np.ndarray:
+    # half a digit of rounding, and the last bits of sums in other orders
+    return (bound >= least[None] - 10.0**-DIGITS) & (bound > 0)
 
 
 class _Asked(NamedTuple):
@@ -163,7 +167,7 @@ class Inverted:
             return None
         blocks = rows.select("doc", "len", "terms", "tfs").mapInArrow(lambda batches, n=self.block: _blocks(batches, n), POSTINGS)
         with batches(self.store.spark, BATCH_ROWS):
-            postings = self.store.write(blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "postings")
+            postings = self.store.write(blocks, "postings", options=PAGES)
         df = self.store.load([postings], POSTINGS).groupBy("term").agg(F.sum("n").alias("df"))
         return {"number": number, "forward": forward, "postings": postings, "terms": self.store.write(df, "terms"), "n": n, "tokens": tokens}
 
@@ -181,8 +185,12 @@ class Inverted:
 
     def _raw(self, m: dict) -> DataFrame:
         """(term, df, raw idf) of all terms that a document has."""
-        gone = self.store.load([d["terms"] for d in m["deleted"]], DELETED_TERMS)
-        df = self.store.load([s["terms"] for s in m["segments"]], TERMS).unionByName(gone.select("term", (-F.col("df")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
+        df = self.store.load([s["terms"] for s in m["segments"]], TERMS)
+        if m["deleted"]:
+            gone = self.store.load([d["terms"] for d in m["deleted"]], DELETED_TERMS)
+            df = df.unionByName(gone.select("term", (-F.col("df")).alias("df")))
+        if m["deleted"] or len(m["segments"]) > 1:  # a segment has a row a term
+            df = df.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
         n = F.lit(float(m["n"]))
         return df.withColumn("raw", F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
 
@@ -263,10 +271,7 @@ class Inverted:
         """The queries (query_id, text), a stated set, as matrices of QUERIES_AT_ONCE."""
         rows = queries.select("query_id", F.explode(self.tokenizer(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")).collect()
         names = sorted({r["term"] for r in rows})
-        raw, idf = self._raw(m), {}
-        for i in range(0, len(names), MOST_NAMES):
-            for r in raw.filter(F.col("term").isin(names[i : i + MOST_NAMES])).collect():
-                idf[r["term"]] = r["raw"] if r["raw"] >= 0 else epsilon * m["mean_idf"]
+        idf = {r["term"]: r["raw"] if r["raw"] >= 0 else epsilon * m["mean_idf"] for r in self._raw(m).join(F.broadcast(self._numbered(names)), "term").collect()}
         ids = sorted({r["query_id"] for r in rows})
         out = []
         for i in range(0, len(ids), QUERIES_AT_ONCE):
@@ -280,42 +285,40 @@ class Inverted:
             out.append(_Asked(list(some), terms, weights))
         return out
 
+    def _numbered(self, terms: list[str]) -> DataFrame:
+        """(term, t): of the queries, a stated set."""
+        return self.store.spark.createDataFrame([(t, n) for n, t in enumerate(terms)], "term string, t int")
+
     def _postings(self, m: dict, asked: _Asked) -> DataFrame:
+        """(group, t, block, n, data, max_tf, min_len) of the queries' terms, t being their place among these."""
         postings = self.store.load([s["postings"] for s in m["segments"]], POSTINGS)
-        # of more terms there is hardly a range that a scan could skip
-        postings = postings.filter(F.col("term").isin(asked.terms)) if len(asked.terms) <= MOST_NAMES else postings.join(self.store.spark.createDataFrame([(t,) for t in asked.terms], "term string"), "term", "left_semi")
-        return postings.withColumn("group", F.floor(F.col("block") / GROUP))
+        if len(asked.terms) <= MOST_TERMS:
+            postings = postings.filter(F.col("term").isin(asked.terms))
+        return postings.join(F.broadcast(self._numbered(asked.terms)), "term").drop("term").withColumn("group", F.floor(F.col("block") / GROUP))
 
-    def _bounds(self, m: dict, asked: _Asked, k1: float, b: float, least: np.ndarray | None) -> DataFrame:
-        """(query, block, bound): of each group of documents the FIRST_BLOCKS highest for each query or, with `least`, (block) that reach it for any."""
-        mean, first, digits = _mean(m), FIRST_BLOCKS, DIGITS
+    def _bounds(self, m: dict, asked: _Asked, k1: float, b: float) -> DataFrame:
+        """(block, bounds, held): of all queries together, as binary rows of doubles and ints; held: postings of the query's terms."""
+        mean = _mean(m)
         shared = self.store.spark.sparkContext.broadcast(asked)
 
         def run(table: pa.Table) -> pa.Table:
             own = shared.value
-            table = table.combine_chunks()
             blocks, row = np.unique(table["block"].to_numpy(), return_inverse=True)
-            terms = pc.index_in(table["term"].combine_chunks(), value_set=pa.array(own.terms, pa.string())).to_numpy()
             tf, short = table["max_tf"].to_numpy().astype(float), table["min_len"].to_numpy()
-            used, column = np.unique(terms, return_inverse=True)
-            part = np.zeros((len(blocks), len(used)))
+            used, column = np.unique(table["t"].to_numpy(), return_inverse=True)
+            part, n = np.zeros((len(blocks), len(used))), np.zeros((len(blocks), len(used)))
             part[row, column] = tf / (tf + k1 * (1 - b + b * short / mean))
-            bound = part @ np.maximum(own.weights[used], 0)
-            if least is not None:
-                # half a digit of rounding, and the last bits of sums in other orders
-                return pa.table({"block": blocks[((bound >= least[None] - 10.0**-digits) & (bound > 0)).any(1)]})
-            best = np.argsort(-bound, 0, kind="stable")[:first]
-            query = np.tile(np.arange(bound.shape[1]), len(best))
-            best = best.ravel()
-            return pa.table({"query": pa.array(query, pa.int32()), "block": blocks[best], "bound": bound[best, query]})
+            n[row, column] = table["n"].to_numpy()
+            bound, held = part @ np.maximum(own.weights[used], 0), n @ (own.weights[used] != 0)
+            return pa.table({"block": blocks, "bounds": _packed(bound, "<f8"), "held": _packed(held, "<i4")})
 
-        schema = "block long" if least is not None else "query int, block long, bound double"
-        return self._postings(m, asked).select("group", "term", "block", "max_tf", "min_len").groupBy("group").applyInArrow(run, schema)
+        rows = self._postings(m, asked).select("group", "t", "block", "max_tf", "min_len", "n")
+        return written(rows.groupBy("group").applyInArrow(run, "block long, bounds binary, held binary"))
 
-    def _scores(self, m: dict, asked: _Asked, postings: DataFrame, top_n: int, k1: float, b: float, zeros: bool = False) -> DataFrame:
+    def _scores(self, m: dict, asked: _Asked, postings: DataFrame, top_n: int, k1: float, b: float, zeros: bool = False, groups: DataFrame | None = None) -> DataFrame:
         """(query_id, doc, id, corpus_pos, score): of each group of living documents in the given postings the best top_n for each query.
 
-        zeros: documents without a score too; else those above 0 alone.
+        zeros: documents without a score too; else those above 0 alone.  groups: (group) of the postings, if these are of few.
         """
         mean, digits = _mean(m), DIGITS
         shared = self.store.spark.sparkContext.broadcast(asked)
@@ -331,7 +334,7 @@ class Inverted:
                 sizes = hits["n"].to_numpy()
                 pairs = _pairs(hits["data"].combine_chunks())
                 of, tf = np.repeat(hits["block"].to_numpy(), sizes) + pairs[:, 0], pairs[:, 1].astype(float)
-                term = np.repeat(pc.index_in(hits["term"].combine_chunks(), value_set=pa.array(own.terms, pa.string())).to_numpy(), sizes)
+                term = np.repeat(hits["t"].to_numpy(), sizes)
                 row = np.minimum(np.searchsorted(doc, of), len(doc) - 1)
                 alive = doc[row] == of
                 size = living["len"].to_numpy()[row]
@@ -354,19 +357,42 @@ class Inverted:
 
         kind = pa.int64() if all(isinstance(q, int) for q in asked.ids) else pa.string()
         schema = f"query_id {'long' if kind == pa.int64() else 'string'}, doc long, id {dict(docs.dtypes)['id']}, corpus_pos long, score double"
-        given = postings.select("group", "term", "block", "n", "data").groupBy("group")
-        return given.cogroup((docs if zeros else docs.join(postings.select("group").distinct(), "group", "left_semi")).groupBy("group")).applyInArrow(lambda key, x, y: run(x.drop(["group"]), y.drop(["group"])), schema)
+        given = postings.select("group", "t", "block", "n", "data").groupBy("group")
+        return given.cogroup((docs if groups is None else docs.join(groups, "group", "left_semi")).groupBy("group")).applyInArrow(lambda key, x, y: run(x.drop(["group"]), y.drop(["group"])), schema)
 
-    def _least(self, m: dict, asked: _Asked, top_n: int, k1: float, b: float) -> np.ndarray:
+    def _least(self, m: dict, asked: _Asked, bounds: DataFrame, top_n: int, k1: float, b: float) -> np.ndarray:
         """Of each query a score that top_n documents reach, 0 where the first blocks hold fewer."""
+        width, most = len(asked.ids), FIRST_BLOCKS
+
+        def firsts(given):
+            for batch in filter(len, given):
+                blocks = batch.column(0).to_numpy()
+                order = np.argsort(blocks)
+                bound = _matrix(batch.column(1), "<f8", width)[order]
+                best = np.argsort(-bound, 0, kind="stable")[:most]
+                query = np.tile(np.arange(width), len(best))
+                best = best.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(blocks[order][best]), pa.array(bound[best, query])], ["query", "block", "bound"])
+
         best = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
-        first = self._bounds(m, asked, k1, b, None).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= FIRST_BLOCKS)
-        named = sorted({r[0] for r in first.select("block").distinct().collect()})  # FIRST_BLOCKS a query
+        first = bounds.select("block", "bounds").mapInArrow(firsts, "query int, block long, bound double").withColumn("n", F.row_number().over(best)).filter(F.col("n") <= FIRST_BLOCKS)
+        named = self.store.spark.createDataFrame([(r[0],) for r in first.select("block").distinct().collect()], "block long")  # FIRST_BLOCKS a query
         by = Window.partitionBy("query_id").orderBy(F.desc("score"))
-        scored = self._scores(m, asked, self._postings(m, asked).filter(F.col("block").isin(named)), top_n, k1, b)
+        postings = self._postings(m, asked).join(F.broadcast(named), "block", "left_semi")
+        scored = self._scores(m, asked, postings, top_n, k1, b, groups=F.broadcast(named.select(F.floor(F.col("block") / GROUP).alias("group")).distinct()))
         known = {r["query_id"]: r["score"] for r in scored.withColumn("n", F.row_number().over(by)).filter(F.col("n") == top_n).collect()}  # a row a query
         return np.array([known.get(q, 0.0) for q in asked.ids])
 
+    def _survivors(self, asked: _Asked, bounds: DataFrame, least: np.ndarray) -> DataFrame:
+        """(block): those that reach `least` for any query."""
+        width = len(asked.ids)
+
+        def run(given):
+            for batch in filter(len, given):
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(_reaches(_matrix(batch.column(1), "<f8", width), least).any(1)))], ["block"])
+
+        return written(bounds.select("block", "bounds").mapInArrow(run, "block long"))
+
     def search(self, queries: DataFrame, top_n: int, version: int | None = None, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
         """(query_id, id, score, rank, corpus_pos): the best top_n documents of each query (query_id, text), a stated set."""
         m = self._read(version)
@@ -380,11 +406,13 @@ class Inverted:
         else:
             found = None
             for asked in self._asked(m, queries, k1, epsilon):
-                postings = self._postings(m, asked)
+                postings, groups = self._postings(m, asked), None
                 if len(asked.ids) <= FEW:
-                    survivors = written(self._bounds(m, asked, k1, b, self._least(m, asked, top_n, k1, b)))
+                    bounds = self._bounds(m, asked, k1, b)
+                    survivors = self._survivors(asked, bounds, self._least(m, asked, bounds, top_n, k1, b))
                     postings = postings.join(survivors, "block", "left_semi")
-                one = self._scores(m, asked, postings, top_n, k1, b)
+                    groups = survivors.select(F.floor(F.col("block") / GROUP).alias("group")).distinct()
+                one = self._scores(m, asked, postings, top_n, k1, b, groups=groups)
                 found = one if found is None else found.unionByName(one)
         first = docs.orderBy("corpus_pos").limit(top_n)
         if found is None:
@@ -404,11 +432,19 @@ class Inverted:
         m = self._read(version)
         kinds = dict(queries.dtypes)["query_id"]
         out = self.store.spark.createDataFrame([], f"query_id {kinds}, blocks long, blocks_read long, postings long, postings_read long")
+        kept = ("blocks", "blocks_read", "postings", "postings_read")
         for asked in self._asked(m, queries, K1, EPSILON):
-            least, mean = self._least(m, asked, top_n, K1, B), _mean(m)
-            rows = self._postings(m, asked).select("group", "term", "block", "max_tf", "min_len", "n")
-            run = _reader(self.store.spark.sparkContext.broadcast((asked, least)), mean)
-            sums = rows.groupBy("group").applyInArrow(run, "query int, blocks long, blocks_read long, postings long, postings_read long").groupBy("query").agg(*[F.sum(c).alias(c) for c in ("blocks", "blocks_read", "postings", "postings_read")])
+            bounds = self._bounds(m, asked, K1, B)
+            least, width = self._least(m, asked, bounds, top_n, K1, B), len(asked.ids)
+
+            def run(given, least=least, width=width):
+                for batch in filter(len, given):
+                    held = _matrix(batch.column(1), "<i4", width).astype(np.int64)
+                    read = (held > 0) & _reaches(_matrix(batch.column(0), "<f8", width), least)
+                    sums = [(held > 0).sum(0), read.sum(0), held.sum(0), (held * read).sum(0)]
+                    yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), *(pa.array(x) for x in sums)], ["query", *kept])
+
+            sums = bounds.select("bounds", "held").mapInArrow(run, "query int, " + ", ".join(f"{c} long" for c in kept)).groupBy("query").agg(*[F.sum(c).alias(c) for c in kept])
             names = self.store.spark.createDataFrame(list(enumerate(asked.ids)), f"query int, query_id {kinds}")
             out = out.unionByName(sums.join(F.broadcast(names), "query").drop("query"))  # QUERIES_AT_ONCE rows
         return out

@@ -158,6 +158,44 @@ def test_pairs_as_they_lie_in_memory():
     assert _pairs(pa.array([], pa.binary())).tolist() == []
 
 
+def test_postings_are_made_once_and_read_twice(spark, tmp_path, monkeypatch):
+    """Postings are written where they are made; what a search reads comes from one pass of bounds and one for the first blocks."""
+    plans, parts, loads = {}, {}, []
+    write, load = I.Store.write, I.Store.load
+
+    def recorded(self, df, label, *more, **options):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        parts[label] = write(self, df, label, *more, **options)
+        return parts[label]
+
+    monkeypatch.setattr(I.Store, "write", recorded)
+    monkeypatch.setattr(I.Store, "load", lambda self, names, schema: (loads.append(schema), load(self, names, schema))[1])
+    docs = random_docs(random.Random(8), range(150))
+    index = I.Inverted(spark, f"file://{tmp_path}/i", block=4)
+    index.upsert(corpus(spark, docs, {i: "s" for i in docs}))
+    assert "Exchange" not in plans["postings"]
+    loads.clear()
+    read = {r["query_id"]: r for r in index.reading(spark.createDataFrame(QUERIES, "query_id long, text string"), 5).collect()}
+    assert loads.count(I.POSTINGS) == 2
+    rows = spark.read.parquet(f"{index.store.path}/{parts['postings']}").collect()
+    for q, text in QUERIES:
+        if text:
+            own = [r for r in rows if r["term"] in text.split()]
+            assert (read[q]["blocks"], read[q]["postings"]) == (len({r["block"] for r in own}), sum(r["n"] for r in own))
+            assert read[q]["blocks_read"] <= read[q]["blocks"] and read[q]["postings_read"] <= read[q]["postings"]
+            assert bool(read[q]["blocks_read"]) == bool(own)
+
+
+def test_blocks_of_a_batch_are_in_the_order_of_terms():
+    import pyarrow as pa
+
+    texts = ["b a", "c b", "a c", "b a"]
+    columns = [pa.array([0, 1, 2, 3], pa.int64()), pa.array([2] * 4, pa.int32()), pa.array([sorted(t.split(), reverse=True) for t in texts]), pa.array([[1, 2]] * 4, pa.list_(pa.int32()))]
+    (rows,) = I._blocks([pa.RecordBatch.from_arrays(columns, ["doc", "len", "terms", "tfs"])], 2)
+    assert [(r["term"], r["block"], r["n"]) for r in rows.to_pylist()] == [("a", 0, 1), ("a", 2, 2), ("b", 0, 2), ("b", 2, 1), ("c", 0, 1), ("c", 2, 1)]
+    assert I._pairs(rows["data"]).tolist() == [[0, 2], [0, 2], [1, 2], [0, 1], [1, 2], [1, 1], [1, 1], [0, 1]]
+
+
 def test_index_deltas_reads_languages_with_the_texts(spark, small):
     from corpuscle.plans import tables
 
