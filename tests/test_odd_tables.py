@@ -51,12 +51,17 @@ def test_addresses_are_no_headings(spark, tmp_path, name):
     same(spark, tmp_path, name, documents=documents(*texts), labels=labels)
 
 
-def without_text():
-    texts = ["", " \n ", None, "\u3000", "Text."] * 6
+def without_text(*more):
+    texts = ["", " \n ", None, "Text.", *more] * 6
     return documents(*[t or "" for t in texts]).set_column(1, "text", pa.array(texts))
 
 
 def test_outcomes_of_files_without_text(spark, tmp_path):
     # the second label of a document makes no second file
     labels = pa.table({"doc_id": [1, 2, 5, 5], "quality": [1, 0, 1, 0], "toxic": [0, 1, 0, 0]})
-    same(spark, tmp_path, "rebuild_outcomes", documents=without_text(), labels=labels)
+    same(spark, tmp_path, "rebuild_outcomes", documents=without_text("\u3000"), labels=labels)
+
+
+def test_rebuild_of_files_without_text(spark, tmp_path):
+    labels = pa.table({"doc_id": [1, 2, 5], "quality": [1, 0, 1], "toxic": [0, 1, 0]})
+    same(spark, tmp_path, "rebuild_run", documents=without_text(), labels=labels)
