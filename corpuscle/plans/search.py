@@ -20,7 +20,7 @@ from corpuscle.sources.keyed import KeyedTable
 from corpuscle.sources.store import new_folder
 
 TOP = 10
-WORDS = 100_000  # of the dictionary: its size is the model's, not the corpus's
+WORDS = 100_000  # of the dictionary of segmented_queries, as its SQL has it
 LETTER = r"\p{L}"
 
 
@@ -28,30 +28,34 @@ def _squeezed(text) -> F.Column:
     return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit("")))
 
 
-def _tokenizer(spark: SparkSession, sf_dir: str):
-    """Texts without blanks to words of a dictionary: the WORDS most frequent ones of all documents."""
-    words = segment.trie(segment.learnt(tables.corpus(spark, sf_dir).select("text"), T.words, most=WORDS))
+def _counts(spark: SparkSession, sf_dir: str):
+    return segment.learnt(tables.corpus(spark, sf_dir).select("text"), T.words)
+
+
+def _tokenizer(spark: SparkSession, words: segment.Trie | segment.Slices):
+    """Texts without blanks to words of a dictionary."""
     cut = segment.segmenter(words, spark, letters=LETTER)
     return lambda text: cut(_squeezed(text))
 
 
 def segmented_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts without their blanks, in words of the documents."""
-    words = _tokenizer(spark, sf_dir)(F.col("text"))
+    """Benchmark texts without their blanks, in the WORDS most frequent words of the documents."""
+    most = _counts(spark, sf_dir).orderBy(F.desc("count"), "word").limit(WORDS)
+    words = _tokenizer(spark, segment.trie(most))(F.col("text"))
     rows = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(words).alias("place", "word"))
     return rows.select("query_id", "place", "word")
 
 
 def segmented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without their blanks, in words."""
-    words = _tokenizer(spark, sf_dir)(F.col("text"))
+    """All documents without their blanks, in words: the dictionary is all words of the documents."""
+    words = _tokenizer(spark, segment.stored(_counts(spark, sf_dir)))(F.col("text"))
     rows = tables.corpus(spark, sf_dir).select("id", words.alias("words"))
     return rows.select("id", F.size("words").alias("n"), F.md5(F.array_join("words", " ")).alias("md5"))
 
 
 def bm25_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 where neither queries nor documents have blanks."""
-    cut = _tokenizer(spark, sf_dir)
+    cut = _tokenizer(spark, segment.stored(_counts(spark, sf_dir)))
     # both passes of the ranking read words that were cut once
     docs = written(tables.corpus(spark, sf_dir).select("id", "corpus_pos", cut(F.col("text")).alias("tokens")), inverted.BATCH_ROWS)
     found = bm25.rank_batch(tables.queries(spark, sf_dir), docs, TOP, tokenizer=cut)

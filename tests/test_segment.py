@@ -215,3 +215,29 @@ def test_ranking_by_words_cut_before(spark):
     queries = spark.createDataFrame([(1, "b d"), (2, "c")], "query_id long, text string")
     cut = corpus.select("id", "corpus_pos", T.words(F.col("text")).alias("tokens"))
     assert sorted(map(tuple, bm25.rank_batch(queries, cut, 2).collect())) == sorted(map(tuple, bm25.rank_batch(queries, corpus, 2).collect()))
+
+
+def test_stored_slices_equal_one_trie(spark, monkeypatch):
+    """A dictionary in many small slices, some of them empty, and parts of a few letters; the last text is one run."""
+    rnd = random.Random(7)
+    counts = Counter("".join(rnd.choice("甲乙丙丁") for _ in range(rnd.randrange(1, 7))) for _ in range(400))
+    trie, costs, unknown = of(counts)
+    made = S.stored(spark.createDataFrame(list(counts.items()), "word string, count long"), words=20)
+    assert made.count > 10 and made.unknown == unknown
+    texts = ["".join(rnd.choice("甲乙丙丁戊 a") for _ in range(rnd.randrange(0, 40))) for _ in range(300)] + ["", None, "甲乙丙丁" * 200]
+    monkeypatch.setattr(S, "LETTERS_AT_ONCE", 100)
+    got = S.cut(pa.array(texts), made).to_pylist()
+    assert got == S.cut(pa.array(texts), trie).to_pylist() == [brute(t, costs, unknown) for t in texts]
+    assert S.cut(pa.array(["甲乙 ab"]), S.stored(spark.createDataFrame([], "word string, count long"))).to_pylist() == [["甲", "乙", "ab"]]
+
+
+def test_every_word_of_the_documents_is_in_the_dictionary(spark, tmp_path, monkeypatch):
+    """segmented_words with more words than the most frequent ones that segmented_queries takes."""
+    from corpuscle.plans import search
+
+    monkeypatch.setattr(search, "WORDS", 2)
+    texts = ["abc def abc def abc def", "ghi jkl"]
+    rows = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    rows.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["id"]: r["n"] for r in search.segmented_words(spark, f"file://{tmp_path}").collect()}
+    assert got == {0: 6, 1: 2}
