@@ -29,8 +29,8 @@ MOST_WORDS = 500_000  # of a dictionary, which every task holds: some 60 bytes a
 LONGEST = 63  # letters of a word
 LETTERS_AT_ONCE = 1 << 19
 SLICE_WORDS = 500_000  # some 60 MB as a trie
-SLICES_KEPT = 4  # by a worker, which reads the others again for the next letters
-SLICED_ROUNDS = 8  # LETTERS_AT_ONCE that are looked up in the slices before their paths are taken
+SLICES_KEPT = 2  # by a worker, which reads the others again for the next letters
+SLICED_ROUNDS = 2  # LETTERS_AT_ONCE that are looked up in the slices before their paths are taken
 PREFIX = 3  # letters that decide on a word's slice; shorter words are in all slices
 HAN = r"\p{IsHan}"
 PLAIN = r"[\p{L}\p{N}]"  # runs of these that are no graph's letters are words as they stand
@@ -145,8 +145,7 @@ class Slices:
 
     def words(self, letters: np.ndarray, left: np.ndarray) -> np.ndarray:
         """Where words begin on the cheapest paths."""
-        second, third = (np.where(left > k, np.concatenate([letters[k:], letters[:k]]), 0) for k in (1, 2))
-        own = slice_of(letters, second, third, self.count)
+        own = slice_of(letters, *(np.where(left > k, np.concatenate([letters[k:], letters[:k]]), 0) for k in (1, 2)), self.count)
         parts = []
         for k in range(self.count)[:: self.turn]:
             at = np.flatnonzero(own == k)
